@@ -1,0 +1,215 @@
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from folioscope.llm import op3_search, op5_toxicity, op6_secrets, op8_mixing, op10_language
+
+
+# ---- exact top-k
+
+
+def brute_top(rows, is_query, k=5):
+    good = [(i, [int(np.floor(256 * np.float64(x))) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = {}
+    for q, v in good:
+        if is_query(q):
+            scored = [(-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q]
+            out[q] = [(i, -s) for s, i in sorted(scored)[:k]]
+    return out
+
+
+def answers(df):
+    got = defaultdict(list)
+    for r in df.orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(got[r["query_id"]])
+    return dict(got)
+
+
+def test_top_k(spark, small):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
+    assert answers(op3_search.query(spark, small)) == brute_top(rows, lambda i: i % 50 == 0)
+
+
+def test_top_k_of_odd_rows(spark):
+    rows = [(0, [1.0, 2.0, 3.0]), (1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0]), (3, None), (4, [1.0, None, 1.0]), (5, [float("nan"), 1.0, 1.0]), (6, [float("inf"), 0.0, 0.0]), (7, []), (8, [-1.0]), (50, [0.001, -0.001, 4.0]), (100, [1e30, 1.0, 1.0]), (None, [1.0, 1.0, 1.0])]
+    table = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, v int, score string")
+    got = answers(op3_search.top_k(table, lambda i: i % 50 == 0, query_block=2))
+    usual = [(i, v) for i, v in rows if i is not None]
+    want = brute_top([(i, v) for i, v in usual], lambda i: i % 50 == 0)
+    hold = lambda s: max(-(2**63), min(2**63 - 1, s))
+    assert got[50][1:] == [(i, hold(s)) for i, s in want[50]][1:] and got[0][0][0] == 100
+    assert got[0][1:] == [(i, hold(s)) for i, s in want[0]][1:]
+    assert op3_search.top_k(table.where("false"), lambda i: i % 50 == 0).collect() == []
+
+
+def test_bounds_hold():
+    draw = np.random.default_rng(0)
+    q, x = draw.normal(size=(20, 37)), draw.normal(size=(30, 37))
+    for n in op3_search.LEVELS:
+        assert (op3_search.statistics(q, n) @ op3_search.statistics(x, n).T >= q @ x.T - 1e-9).all()
+
+
+# ---- toxicity
+
+
+def test_toxicity_is_learned(spark):
+    base = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    known = labels.where("doc_id % 3 > 0")
+    held = labels.where("doc_id % 3 = 0")
+    got = op5_toxicity.severity(docs, op5_toxicity.learn(docs, known))
+    rows = got.join(held, "doc_id").select(got["toxic"].alias("said"), (held["toxic"] == 1).alias("is"), "severity", "grade").collect()
+    # some 270 labelled documents to learn from here, 35 of them toxic, in four languages
+    assert sum(r["said"] == r["is"] for r in rows) / len(rows) > 0.93
+    assert not any(r["said"] and not r["is"] for r in rows)
+    assert all(0 <= r["severity"] <= 3 for r in rows) and len({r["grade"] for r in rows}) >= 3
+    kept = op5_toxicity.without_toxic(docs, op5_toxicity.learn(docs, known))
+    assert kept.columns == docs.columns and kept.count() == got.where("not toxic").count()
+
+
+def test_ordinal_fit_orders_its_thresholds():
+    draw = np.random.default_rng(1)
+    x = draw.normal(size=(600, 3))
+    grade = np.searchsorted([-0.5, 0.7, 2], x @ [1.5, -1, 0] + draw.logistic(size=600) * 0.3)
+    weights, thresholds = op5_toxicity.fit(x, grade)
+    assert (np.diff(thresholds) > 0).all() and weights[0] > 0 > weights[1] and abs(weights[2]) < 0.5
+
+
+def test_toxicity_of_odd_rows(spark, odd, none):
+    no_labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
+    model = op5_toxicity.learn(odd, no_labels)
+    assert op5_toxicity.severity(odd, model).where("toxic").isEmpty() and op5_toxicity.severity(odd, model).count() == odd.count()
+    bad = spark.createDataFrame([(i, f"some words vile{i % 3} here", 1) for i in range(40)] + [(i, "some words here", 0) for i in range(100, 160)], "doc_id long, text string, toxic int")
+    model = op5_toxicity.learn(bad.select("doc_id", "text"), bad.select("doc_id", "toxic"))
+    assert op5_toxicity.severity(bad, model).where("toxic").count() == 40
+    assert op5_toxicity.severity(odd, model).count() == odd.count() and op5_toxicity.without_toxic(odd, model).columns == odd.columns
+    assert op5_toxicity.severity(none, model).collect() == []
+
+
+# ---- secrets
+
+
+def brute_spans(text):
+    """By the patterns as the contract has them."""
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m[2]) >= 12:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def test_base_spans(spark, plain):
+    base = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{base}/documents.parquet").collect()}
+    found = 0
+    for r in op6_secrets.query(spark, base).collect():
+        want = brute_spans(texts[r["doc_id"]])
+        line = [f"{op6_secrets.KINDS[k]}:{a}:{b}" for a, k, b in want]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == n for _, k, _ in want) for n in range(3)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(line).encode()).hexdigest()
+        assert set(line) <= set(r["spans"].split(",")) or not line
+        found += len(want)
+    assert found > 10
+
+
+def test_models_tell_random_strings_from_identifiers():
+    model = op6_secrets.train("the quick brown fox jumps over lazy dogs while reading several ordinary documents about nothing value index count name user table get data list type file state parse build render update window handler event message server client request response config option default thread".split())
+    random, ordinary = op6_secrets.labelled("other words make these names and paths together".split(), 600, 99)
+    assert np.mean([model.score(s) > model.least for s in random]) > 0.9
+    assert np.mean([model.score(s) > model.least for s in ordinary]) < 0.02
+
+
+def test_secrets_of_odd_rows(spark, odd, none):
+    model = op6_secrets.learn(odd)
+    rows = {r["doc_id"]: r["spans"] for r in op6_secrets.scan(odd, model).collect()}
+    assert [s["kind"] for s in rows[10]] == ["assign", "access", "hex"] and rows[2] == rows[3] == []
+    extra = spark.createDataFrame([(1, "say 8fQz71LxWk2vPq9RtYbN4mJc now", 30), (2, "é key zX9", 9)], "doc_id long, text string, n_chars long")
+    assert op6_secrets.redacted(extra, model).orderBy("doc_id").collect()[0]["text"] == f"say {op6_secrets.PLACEHOLDER} now"
+    clean = {r["doc_id"]: r for r in op6_secrets.redacted(odd, model).collect()}
+    assert clean[10]["text"] == f'password="{op6_secrets.PLACEHOLDER}" {op6_secrets.PLACEHOLDER} {op6_secrets.PLACEHOLDER}' and clean[10]["n_chars"] == len(clean[10]["text"])
+    assert clean[2]["text"] is None and clean[8]["text"] == odd.where("doc_id = 8").first()["text"]
+    assert op6_secrets.scan(none, model).collect() == []
+
+
+# ---- mixing
+
+
+def shares(totals, share=1.5, most=2.0):
+    names = sorted((n for n in totals if n is not None)) + [None] * (None in totals)
+    weight = {n: (3, 1, 2)[i % 3] for i, n in enumerate(names)}
+    full, whole = {}, share * sum(totals.values())
+    while True:
+        rest = sum(weight[n] for n in names if n not in full)
+        level = (whole - sum(full.values())) / rest if rest else 0
+        over = {n: most * totals[n] for n in names if n not in full and level * weight[n] > most * totals[n]}
+        if not over:
+            return {n: full.get(n, level * weight[n]) for n in names}
+        full |= over
+
+
+def test_mixing(spark, small):
+    base = "/root/testdata/sf0.01"
+    rows = op8_mixing.query(spark, base).collect()
+    texts = {r["doc_id"]: r for r in spark.read.parquet(f"{base}/documents.parquet").collect()}
+    totals, taken, largest = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in rows:
+        d = texts[r["doc_id"]]
+        assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", d["text"] or "")) and 0 <= r["taken"] <= 2 * r["size"]
+        totals[d["source"]] += r["size"]
+        taken[d["source"]] += r["taken"]
+        largest[d["source"]] = max(largest[d["source"]], r["size"])
+    want = shares(dict(totals))
+    for r in rows:
+        source = texts[r["doc_id"]]["source"]
+        assert r["source_size"] == totals[source] and r["target"] == pytest.approx(want[source])
+    for source, target in want.items():
+        assert abs(taken[source] - target) <= largest[source]
+    again = {r["doc_id"]: r["taken"] for r in op8_mixing.query(spark, base).collect()}
+    assert again == {r["doc_id"]: r["taken"] for r in rows}
+
+
+def test_mixing_of_odd_rows(odd, none):
+    sized = op8_mixing.sized(odd)
+    rows = op8_mixing.mix(sized).collect()
+    assert len(rows) == odd.count()
+    totals = defaultdict(int)
+    for r in rows:
+        totals[r["source"]] += r["size"]
+    want = shares(dict(totals))
+    assert all(r["target"] == pytest.approx(want[r["source"]]) and r["copies"] <= 2 for r in rows)
+    assert op8_mixing.mixed_documents(odd).columns == odd.columns
+    assert op8_mixing.mix(op8_mixing.sized(none)).collect() == []
+    assert op8_mixing.mixed_documents(none).collect() == []
+
+
+# ---- language
+
+
+def test_language_is_learned(spark):
+    base = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in op10_language.query(spark, base).collect()}
+    right, n = 0, 0
+    for r in spark.read.parquet(f"{base}/documents.parquet").collect():
+        own = got[r["doc_id"]]
+        assert own["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= own["score"] <= 1
+        if own["held_out"] and own["lang_pred"] != "und":
+            n += 1
+            right += own["lang_pred"] == r["lang"]
+    assert right / n > 0.95
+
+
+def test_language_of_odd_rows(odd, none, docs):
+    net = op10_language.learn(docs)
+    got = {r["doc_id"]: r for r in op10_language.predict(odd, net).collect()}
+    assert got[2]["lang_pred"] == got[3]["lang_pred"] == got[7]["lang_pred"] == "und" and got[1]["lang_pred"] in net.languages
+    assert op10_language.predict(odd, None).where("lang_pred <> 'und'").isEmpty()
+    assert op10_language.learn(none) is None and op10_language.predict(none, net).collect() == []
+    big = odd.where("doc_id = 9")
+    assert op10_language.predict(big, net).count() == 2
