@@ -138,7 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
     toxic = own.where("toxic = 1")
-    counts = toxic.mapInArrow(tally, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 3")
+    counts = toxic.mapInArrow(tally, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 5")
     table = np.sort(np.array([r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(CONSIDERED).collect()], np.int64).view(np.uint64))
     if not len(table):
         return nothing
