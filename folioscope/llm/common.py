@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer single text is a step of its own.
 STEP_BYTES = 1 << 20
+#: Bytes of an Arrow batch at most, a single row apart.
+BATCH_LIMIT = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -80,6 +84,16 @@ def dealt(df: DataFrame, number: str, pieces: int) -> DataFrame:
     return df.repartitionById(max(1, pieces), F.col(number))
 
 
+_calls = [0]
+
+
+def now_and_then() -> None:
+    """trim() at every 64th call, for functions that get many small groups."""
+    _calls[0] += 1
+    if _calls[0] % 64 == 0:
+        trim()
+
+
 def text_buffers(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts end to end, and where each begins and the last ends; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -109,8 +123,25 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             end = min(max(end, begin + 1), batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end
+        trim()
+
+
+def trim() -> None:
+    """Give free memory back to the system, so that a worker waiting for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches between Spark and Python to BATCH_LIMIT bytes, where no smaller limit is set."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int("".join(c for c in spark.conf.get(key) if c.isdigit() or c == "-") or 0)
+    if now <= 0 or now > BATCH_LIMIT:
+        spark.conf.set(key, str(BATCH_LIMIT))
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:
-    """The named columns cast to the given types and nothing else, so that extra columns can't clash."""
+    """The named columns cast to the given types and nothing else, so that extra columns can't clash; batches of them are bounded."""
+    bounded_batches(df.sparkSession)
     return df.select(*[F.col(name).cast(kind).alias(name) for name, kind in columns.items()])

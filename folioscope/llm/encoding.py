@@ -1,14 +1,16 @@
 """Exact token ids of whole texts, with each distinct stretch of text encoded once.
 
 A text is cut where no tokenizer of the two kinds used here can join the sides: before a space that a
-non-space follows, before a line feed that follows a visible ASCII character, and before a comma or full stop
-that follows an ASCII letter.  Byte-level BPE starts a new pre-token at each of those places, and so does the
-word BPE (which drops white space); their special strings hold no such place.  The stretches of a batch are
-dictionary-encoded, those a worker hasn't met are encoded by the library, and the rest come from its memory.
+non-space follows; before and after a single line feed between visible characters; and where a letter meets a
+punctuation mark (of ASCII, but for the apostrophe of contractions and < | > of special strings).  Byte-level BPE
+starts a new pre-token at each of those places, and so does the word BPE (which drops white space).  The stretches
+of a batch are dictionary-encoded, those a worker hasn't met are encoded by the library, and the rest come from
+its memory.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from itertools import chain, repeat
 
@@ -27,6 +29,10 @@ _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[*b"!\"#$%&()*+,-./:;=?@[]^_{}~"]] = True
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[0x41:0x5B] += 32
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -35,60 +41,127 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return np.zeros(1, np.int64)
     flag = np.zeros(len(data), bool)
     here, before = data[1:], data[:-1]
-    flag[1:] = ((here == 0x2C) | (here == 0x2E)) & _LETTER[before] | (here == 0x0A) & _VISIBLE[before]
-    flag[:-1] |= (data[:-1] == 0x20) & _FOLLOWS_SPACE[data[1:]]
+    letter = _LETTER[data]
+    # second bytes of U+00C0 to U+017F, all letters but two; U+0130 loses a mark when folded
+    letter[1:] |= (before == 0xC4) & (here != 0xB0) | (before == 0xC5) | (before == 0xC3) & (here != 0x97) & (here != 0xB7)
+    flag[1:] = letter[:-1] & _MARK[here]
+    flag[:-1] |= (before == 0x20) & _FOLLOWS_SPACE[here]
+    feed = np.flatnonzero(here == 0x0A) + 1
+    feed = feed[letter[feed - 1] | _VISIBLE[data[feed - 1]]]
+    flag[feed] = True
+    after = feed[feed + 1 < len(data)] + 1
+    flag[after[_FOLLOWS_SPACE[data[after]]]] = True
     starts = offsets[:-1]
     flag[starts[starts < len(data)]] = True
     return np.append(np.flatnonzero(flag), len(data))
 
 
+def _byte_symbols() -> dict[int, str]:
+    """What byte-level pre-tokenizers write for each byte: itself where it is visible Latin-1, else the next of 256, 257, ..."""
+    out, n = {}, 256
+    for b in range(256):
+        if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE:
+            out[b] = chr(b)
+        else:
+            out[b] = chr(n)
+            n += 1
+    return out
+
+
+_SYMBOLS = _byte_symbols()
+
+
 class Encoder:
     """Ids of texts by a tokenizers file, without added special tokens; bounded memory of stretches met before.
 
-    When the memory holds `entries` stretches it is emptied; results don't depend on it.
+    When the memory would hold more than `entries` stretches, those met in one batch only are forgotten, and all
+    if that isn't enough; results don't depend on it.  A stretch that is one plain word (Latin letters below
+    U+0180, a space before them at most) goes to the library's model at once, as its pre-tokenizer would hand it on.
     """
 
-    def __init__(self, path: str, entries: int = 1 << 20):
+    def __init__(self, path: str, entries: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        rules = json.loads(self.tokenizer.to_str())
+        kinds = [p["type"] for p in (rules["pre_tokenizer"] or {}).get("pretokenizers", [rules["pre_tokenizer"] or {"type": ""}])]
+        #: The normalizer lower-cases, and white space never reaches the model.
+        self.folds = "Lowercase" in [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])] and kinds == ["Split", "ByteLevel"]
+        self.plain = self.folds or (kinds == ["ByteLevel"] and rules["normalizer"] is None)
         self.entries = entries
-        self._empty()
-
-    def _empty(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 20, np.uint32)
+        self._forget(np.zeros(0, np.int64))
+
+    def _forget(self, kept: np.ndarray) -> None:
+        """Keep only the stretches of these numbers."""
+        names = list(self.known) if len(kept) else []
+        length = self.bounds[kept + 1] - self.bounds[kept] if len(kept) else np.zeros(0, np.int64)
+        ends = np.cumsum(length)
+        ids = self.ids[np.repeat(self.bounds[kept] - (ends - length), length) + np.arange(ends[-1])] if len(kept) else np.zeros(0, np.uint32)
+        self.known: dict[str, int] = {names[i]: n for n, i in enumerate(kept.tolist())}
+        self.ids = np.concatenate([ids, np.zeros(1 << 18, np.uint32)])
         self.bounds = np.zeros(self.entries + 1, np.int64)
+        self.bounds[1 : len(kept) + 1] = ends
+        self.met = np.zeros(self.entries, np.uint8)
+
+    def _ids(self, stretches: list[str]) -> list[list[int]]:
+        out: list = [None] * len(stretches)
+        rest = []
+        if self.plain:
+            tokenize, folds = self.tokenizer.model.tokenize, self.folds
+            for i, s in enumerate(stretches):
+                word = s[1:] if s[0] == " " else s
+                if word.isalpha() and max(word) < "\u0180":
+                    own = word.lower() if folds else s
+                    if folds and not own.isalpha():  # a mark came off a letter
+                        rest.append(i)
+                        continue
+                    if not folds or not word.isascii():
+                        own = own.encode().decode("latin-1").translate(_SYMBOLS)
+                    out[i] = [t.id for t in tokenize(own)]
+                else:
+                    rest.append(i)
+        else:
+            rest = list(range(len(stretches)))
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([stretches[i] for i in rest], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
 
     def _numbers(self, stretches: list[str]) -> np.ndarray:
-        if len(self.known) + len(stretches) > self.entries:
-            self._empty()
-            if len(stretches) + 1 > len(self.bounds):
-                self.bounds = np.zeros(len(stretches) + 1, np.int64)
         known = self.known
         found = np.fromiter(map(known.get, stretches, repeat(-1)), np.int64, len(stretches))
         new = np.flatnonzero(found < 0)
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
+        if len(known) + len(new) > self.entries:
+            self._forget(np.flatnonzero(self.met > 1) if len(new) + (self.met > 1).sum() <= self.entries else np.zeros(0, np.int64))
+            if len(self.known) + len(stretches) > len(self.met):
+                self.bounds = np.concatenate([self.bounds, np.zeros(len(stretches), np.int64)])
+                self.met = np.concatenate([self.met, np.zeros(len(stretches), np.uint8)])
+            known = self.known
+            found = np.fromiter(map(known.get, stretches, repeat(-1)), np.int64, len(stretches))
+            new = np.flatnonzero(found < 0)
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
             texts = [stretches[i] for i in part]
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            lists = self._ids(texts)
             n = len(known)
             ends = self.bounds[n] + np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
             while ends[-1] > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) // 2, np.uint32)])
             self.ids[self.bounds[n] : ends[-1]] = np.fromiter(chain.from_iterable(lists), np.uint32, ends[-1] - self.bounds[n])
             self.bounds[n + 1 : n + 1 + len(part)] = ends
             found[part] = np.arange(n, n + len(part))
             known.update(zip(texts, range(n, n + len(part))))
+        self.met[found] = np.minimum(self.met[found], 254) + 1
         return found
 
     def _stretches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each stretch its number in memory; for each text the first of its stretches, with the end last."""
         data, offsets = text_buffers(texts)
         at = cuts(data, offsets)
+        if self.folds and b"<|" not in data.tobytes():  # a special string is matched before the letters are folded
+            data = _FOLDED[data]
         if len(at) == 1:
             return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
         pieces = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()

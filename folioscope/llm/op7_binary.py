@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dealt, documents, only, partitions, range_bounds, range_of, staged, steps
+from .common import dealt, documents, only, partitions, range_bounds, range_of, staged, steps, trim
 from .encoding import encoder
 from .op1_tokens import BATCH_BYTES
 
@@ -145,22 +145,23 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int = END_ID, name:
     return staged(ordered.mapInArrow(segment, SEGMENTS), name)
 
 
+def _documents_of(row: dict) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """doc_ids, where each document's ids begin (the end last), and all ids of one segment."""
+    starts = np.concatenate([[0], np.cumsum(np.frombuffer(row["lengths"], "<i8"))])
+    keys = pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=np.frombuffer(row["doc_nulls"], np.uint8).astype(bool))
+    return keys, starts, decode_blocks(row["payload"]).astype("<u4")
+
+
 def read_documents(segments: DataFrame) -> DataFrame:
     """bucket, segment, doc_id, first (ids before it in its segment), ids (uint32 bytes) of every document in the files."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield _documents_of(row)
-
-    def _documents_of(row: dict) -> pa.RecordBatch:
-        ids = decode_blocks(row["payload"]).astype("<u4")
-        lengths = np.frombuffer(row["lengths"], "<i8")
-        starts = np.concatenate([[0], np.cumsum(lengths)])
-        keys = pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=np.frombuffer(row["doc_nulls"], np.uint8).astype(bool))
-        own = [ids[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])]
-        n = len(lengths)
-        return pa.RecordBatch.from_arrays([pa.array([row["bucket"]] * n, pa.int32()), pa.array([row["segment"]] * n, pa.int64()), keys, pa.array(starts[:-1]), pa.array(own, pa.binary())], ["bucket", "segment", "doc_id", "first", "ids"])
+                keys, starts, ids = _documents_of(row)
+                own = [ids[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])]
+                n = len(own)
+                yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]] * n, pa.int32()), pa.array([row["segment"]] * n, pa.int64()), keys, pa.array(starts[:-1]), pa.array(own, pa.binary())], ["bucket", "segment", "doc_id", "first", "ids"])
 
     return segments.mapInArrow(decode, "bucket int, segment long, doc_id long, first long, ids binary")
 
@@ -189,12 +190,14 @@ def digests(segments: DataFrame) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [x.as_buffer() for x in batch["ids"]]
-            crc = pa.array([zlib.crc32(x) for x in own], pa.int64())
-            n = pa.array([len(x) // 4 for x in own], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["bucket"], batch["segment"], batch["doc_id"], batch["first"], n, crc], ["bucket", "segment", "doc_id", "first", "n_tokens", "ids_crc32"])
+            for row in batch.to_pylist():
+                keys, at, ids = _documents_of(row)
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1], at[1:])]
+                n = len(crc)
+                yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]] * n, pa.int32()), pa.array([row["segment"]] * n, pa.int64()), keys, pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["bucket", "segment", "doc_id", "first", "n_tokens", "ids_crc32"])
+            trim()
 
-    rows = read_documents(segments).mapInArrow(digest, "bucket int, segment long, doc_id long, first long, n_tokens long, ids_crc32 long")
+    rows = segments.mapInArrow(digest, "bucket int, segment long, doc_id long, first long, n_tokens long, ids_crc32 long")
     return rows.join(starts, ["bucket", "segment"]).select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 

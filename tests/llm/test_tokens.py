@@ -13,7 +13,7 @@ from folioscope.llm import op1_tokens, op4_packing, op7_binary
 from folioscope.llm.encoding import Encoder
 
 PATHS = {n: public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json")}
-ALPHABET = [*"ab éñ \n\t.,'s<|>0 1  中 \r  日΅AZİς\x1c\x85", "<|endoftext|>", "don't", "  ", "\n\n", ", ", ". ", ".\n"]
+ALPHABET = [*"ab éñ \n\t.,'s<|>0 1  中 \r  日΅AZİς\x1c\x85", "<|endoftext|>", "don't", "  ", "\n\n", ", ", ". ", ".\n", "!!", "ß,", "×.", "÷", "”.", "é\n", "\nÀ", "\n×", "$$$", "_", "-"]
 
 
 @pytest.fixture(scope="module", params=sorted(PATHS))
