@@ -1,8 +1,8 @@
 """From band keys to verified links to components, for documents that are near copies of each other.
 
-keys: a table of (node, key) rows.  Nodes are integers; equal keys make two nodes candidates.  The steps never hold a
-bucket in one task: counts and smallest members are pre-aggregated, and joins are plain equi-joins that Spark splits
-where a key is hot.
+keys: a table of (node, n, key) rows; n is the size of the node's shingle set.  Nodes are integers; equal keys make two
+nodes candidates.  The steps never hold a bucket in one task: counts and smallest members are pre-aggregated, and
+joins are plain equi-joins that Spark splits where a key is hot.
 """
 
 from __future__ import annotations
@@ -14,64 +14,175 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import now_and_then, staged, steps
 from .shingles import sets
 
 
-def stars(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b), a < b, from the smallest node of each bucket to each other member; and the buckets' (node, key) rows.
+#: Ids that are broadcast at most, to pick the texts of candidates; beyond it the texts are shuffled once.
+BROADCAST_IDS = 2_000_000
+#: Rows and shingles of one block of a bucket, about.
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 200_000
+#: Members of a bucket whose pairs are joined one by one at most; larger buckets go by blocks.
+SMALL_BUCKET = 12
+
+
+def bands(threshold: float, values: int, miss: float = 1e-6) -> tuple[int, int]:
+    """(bands, rows): the longest bands that a signature of so many values allows, if a pair at the threshold is to be missed with at most that probability."""
+    for rows in range(values, 1, -1):
+        if (1 - threshold**rows) ** (values // rows) <= miss:
+            return values // rows, rows
+    return values, 1
+
+
+def alike_in_size(one: str, other: str, part: int, whole: int):
+    """Whether two sets of these sizes can reach the likeness at all."""
+    return F.least(one, other) * F.lit(whole) >= F.greatest(one, other) * F.lit(part)
+
+
+def far_apart(bits: int, threshold: float) -> int:
+    """How many of so many one-bit values may differ between sets at the threshold: the mean, and six deviations more.
+
+    A bit of a smallest hash is the same with probability (1 + likeness) / 2; that six deviations are passed has a
+    probability of 1e-9.
+    """
+    p = (1 - threshold) / 2
+    return int(bits * p + 6 * (bits * p * (1 - p)) ** 0.5) + 1
+
+
+def close_sketches(one: list[str], other: list[str], threshold: float):
+    """Whether two sketches (columns of 64 one-bit values each) are near enough to be worth a check of the whole sets."""
+    apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(one, other)), F.lit(0))
+    return apart <= far_apart(64 * len(one), threshold)
+
+
+def stars(keys: DataFrame, part: int, whole: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b), a < b, from the smallest node of each bucket to each other member; and the buckets' (key, node, n) rows.
 
     The smallest node is the centre in every bucket it is in, so a cluster's members share their edges and
-    a cluster of n costs about n edges.
+    a cluster of n costs about n edges.  Edges between sets too unlike in size are left out.
     """
-    buckets = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("key", "a")
-    members = staged(keys.join(buckets, "key").select("key", "node", "a"), "buckets")
-    edges = members.where("node > a").select("a", F.col("node").alias("b")).distinct()
+    buckets = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("a"), F.max("node").alias("last")).where("a.node < last").select("key", "a")
+    members = staged(keys.join(buckets, "key").select("key", "node", "n", F.col("a.node").alias("a"), F.col("a.n").alias("an")), "buckets")
+    edges = members.where((F.col("node") > F.col("a")) & alike_in_size("n", "an", part, whole)).select("a", F.col("node").alias("b")).distinct()
     return edges, members
 
 
-def crossings(members: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
-    """Candidate edges that the stars left open: members of one bucket that are in different components still.
+def blocks(rows: DataFrame, extra: list[str]) -> DataFrame:
+    """rows(key, node, n, ..) dealt to pairs of blocks (key, p, q), p <= q: every two rows of a bucket meet in one of them.
+
+    Blocks are made by a hash of the node, of about BLOCK_ROWS rows and BLOCK_SHINGLES shingles, so a group of the
+    result is bounded whatever the bucket holds.
+    """
+    sizes = rows.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = rows.join(staged(sizes, "block-counts"), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "n", "component", *extra)
+
 
-    First the buckets that span components; then, within them, pairs across components only.  A bucket whose
-    members are all connected already has nothing to add, so a group of copies costs nothing here.
+def crossings(members: DataFrame, labels: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, part: int, whole: int) -> DataFrame:
+    """Links (a, b) between members of one bucket that the stars left in different components.
+
+    Only buckets that span components matter, and pairs across them.  Small buckets' pairs are joined, their sketches
+    compared in the join.  Blocks of a larger bucket meet twice.  First with
+    sketches: they say which members have any near one across components, one row for each such member, so that
+    documents which share a passage and little else go no further.  Then with texts: full sets decide, and each
+    meeting gives at most the links that join components, never all pairs.  Both are exact up to the sketch's
+    bound (see far_apart).
     """
-    own = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_ = staged(own.join(mixed, "key"), "open-buckets")
-    one = open_.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-    other = open_.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-    pairs = one.join(other, "key").where("ca <> cb and a < b").select("a", "b").distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    own = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    mixed = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high").select("key", "members")
+    words = [c for c in sketches.columns if c != "node"]
+    all_open = staged(own.join(mixed, "key").join(sketches, "node"), "open-buckets")
+    few = _within_small(all_open.where(F.col("members") <= SMALL_BUCKET), words, part, whole)
+    few = verified(staged(few, "close-pairs"), texts, size, part, whole)
+    open_ = all_open.where(F.col("members") > SMALL_BUCKET).drop("members")
+    most, threshold = far_apart(64 * len(words), part / whole), part / whole
+
+    def possible(table: pa.Table) -> np.ndarray:
+        """Pairs of rows of two blocks (or one with itself) that may be linked, as a matrix over the rows."""
+        n, component = table["n"].to_numpy(), table["component"].to_numpy()
+        apart = np.zeros((len(n), len(n)), np.int32)
+        for w in words:
+            x = table[w].to_numpy()
+            apart += np.bitwise_count(x[:, None] ^ x[None])
+        ok = (apart <= most) & (component[:, None] != component[None]) & (np.minimum(n[:, None], n[None]) >= threshold * np.maximum(n[:, None], n[None]) - 1e-9)
+        block, (p, q) = table["own"].to_numpy(), (table["p"][0].as_py(), table["q"][0].as_py())
+        return ok & (block[:, None] == p) & (block[None] == q) if p != q else np.triu(ok, 1)
+
+    def promising(table: pa.Table) -> pa.Table:
+        now_and_then()
+        ok = possible(table)
+        return table.select(["key", "node"]).filter(pa.array(ok.any(axis=0) | ok.any(axis=1)))
+
+    some = blocks(open_, words).groupBy("key", "p", "q").applyInArrow(promising, "key long, node long").distinct()
+    some = staged(some, "promising")
+
+    def link(table: pa.Table) -> pa.Table:
+        nodes, column, found, of = table["node"].to_pylist(), table["text"].combine_chunks(), [], {}
+        held: dict[int, np.ndarray] = {}
+        now_and_then()
+
+        def root(x: int) -> int:
+            while of.setdefault(x, x) != x:
+                x = of[x]
+            return x
+
+        component = table["component"].to_pylist()
+        for i, j in zip(*np.nonzero(possible(table))):
+            x, y = root(component[i]), root(component[j])
+            if x == y:
+                continue
+            for k in (i, j):
+                if k not in held:
+                    held[k] = sets(column.slice(k, 1), size)[0]
+            common = len(np.intersect1d(held[i], held[j], assume_unique=True))
+            if common and whole * common >= part * (len(held[i]) + len(held[j]) - common):
+                of[max(x, y)] = min(x, y)
+                found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    full = open_.join(some, ["key", "node"]).join(texts, "node")
+    return blocks(full, [*words, "text"]).groupBy("key", "p", "q").applyInArrow(link, "a long, b long").where("a <> b").distinct().unionAll(few)
+
+
+def _within_small(open_: DataFrame, words: list[str], part: int, whole: int) -> DataFrame:
+    """Pairs (a, b) across components in buckets of at most SMALL_BUCKET members: so many for each member at most."""
+    one = open_.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), *[F.col(w).alias(f"{w}_a") for w in words])
+    other = open_.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), *[F.col(w).alias(f"{w}_b") for w in words])
+    near = alike_in_size("na", "nb", part, whole) & close_sketches([f"{w}_a" for w in words], [f"{w}_b" for w in words], part / whole)
+    return one.join(other, (one["key"] == other["key"]) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+
+
+def texts_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of the given nodes, staged.  Their ids are broadcast while they number at most BROADCAST_IDS."""
+    nodes = staged(nodes.distinct(), "nodes")
+    few = nodes.count() <= BROADCAST_IDS
+    return staged(texts.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").select("node", "text"), "candidate-texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, part: int, whole: int) -> DataFrame:
     """The (a, b) of pairs whose full shingle sets have whole * intersection >= part * union, by texts(node, text).
 
-    Only the texts of candidates move: the smaller side of the first join (the ids) is broadcast by Spark where its
-    size allows.  Each pair takes its member's text first and the centre's last, so a centre's text isn't copied
-    for each of its members.
+    Each pair takes its member's text first and the centre's last, so a centre's text isn't copied for each of its
+    members.  A node with several texts links by any of them.
     """
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = staged(texts.join(nodes, "node", "left_semi").select("node", "text"), "candidate-texts")
-    with_b = pairs.join(needed.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(needed.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
         for batch in batches:
-            rows = min(batch.num_rows, 256)
-            for at in range(0, batch.num_rows, rows or 1):
-                some = batch.slice(at, rows)
+            for some in steps([batch], "text_b"):
                 keep = []
-                for a, text, other in zip(some["a"].to_pylist(), some["text_a"], sets(some["text_b"], size)):
-                    if a != last:
-                        last, own = a, sets(pa.array([text.as_py()], pa.string()), size)[0]
+                for text, other in zip(some["text_a"], sets(some["text_b"], size)):
+                    text = text.as_py()
+                    if text != last:
+                        last, own = text, sets(pa.array([text], pa.string()), size)[0]
                     common = len(np.intersect1d(own, other, assume_unique=True))
                     keep.append(common > 0 and whole * common >= part * (len(own) + len(other) - common))
                 yield pa.RecordBatch.from_arrays([some["a"].filter(pa.array(keep)), some["b"].filter(pa.array(keep))], ["a", "b"])
 
-    return both.mapInArrow(check, "a long, b long")
+    return both.mapInArrow(check, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -96,21 +207,19 @@ def components(edges: DataFrame) -> DataFrame:
         now = small
 
 
-def linked(keys: DataFrame, texts: DataFrame, size: int, part: int, whole: int) -> tuple[DataFrame, DataFrame]:
-    """Verified edges (a, b) and (node, component) from band keys and texts(node, text).
+def linked(keys: DataFrame, texts: DataFrame, sketches: DataFrame, size: int, part: int, whole: int) -> tuple[DataFrame, DataFrame]:
+    """Verified edges (a, b) and (node, component) from band keys, texts(node, text) and sketches(node, columns of 64 bits).
 
-    Stars first; then rounds over what they left open, until no bucket holds an untested pair across components.
+    Stars first; then what they left open, after which no bucket holds an untested pair across components.
+    The texts of all bucket members are picked once for both.
     """
-    edges, members = stars(keys)
-    tested = staged(edges, "tested")
+    edges, members = stars(keys, part, whole)
+    words = [c for c in sketches.columns if c != "node"]
+    side = lambda x: sketches.select(F.col("node").alias(x), *[F.col(w).alias(f"{w}_{x}") for w in words])
+    near = close_sketches([f"{w}_a" for w in words], [f"{w}_b" for w in words], part / whole)
+    tested = staged(edges.join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b"), "tested")
+    texts = texts_of(members.select("node"), texts)
     links = staged(verified(tested, texts, size, part, whole), "links")
-    while True:
-        labels = staged(components(links), "labels")
-        more = staged(crossings(members, labels, tested), "crossings")
-        if more.isEmpty():
-            return links, labels
-        tested = staged(tested.unionByName(more), "tested")
-        found = staged(verified(more, texts, size, part, whole), "links")
-        if found.isEmpty():
-            return links, labels
-        links = staged(links.unionByName(found), "links")
+    more = staged(crossings(members, staged(components(links), "labels"), sketches, texts, size, part, whole), "crossings")
+    links = staged(links.unionByName(more), "links")
+    return links, staged(components(links), "labels")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dealt, documents, only, partitions, range_bounds, range_of, steps
+from .common import dealt, documents, only, partitions, range_bounds, range_of, staged, steps
 from .linking import linked
 from .shingles import mixed, shingles
 
@@ -57,7 +57,8 @@ def edited(text: str, following: str) -> str:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint, keys (band keys) of docs(doc_id, text).  Null texts count as empty; equal texts get equal fingerprints."""
+    """doc_id, fingerprint, keys (band keys), w0, w1 (a bit of each value) of docs(doc_id, text).  Null texts count as empty; equal texts get equal fingerprints."""
+    words = [f"w{i}" for i in range(PERMUTATIONS // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = np.random.Generator(np.random.PCG64(5)).integers(1 << 63, size=(BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
@@ -65,9 +66,10 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             rows = prints(part["text"], size)
             wide = mixed(rows[:, : BANDS * ROWS].astype(np.uint64) + np.uint64(1)).reshape(-1, BANDS, ROWS)
             keys = mixed((wide * seeds).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([as_text(r) for r in rows], pa.string()), pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", "fingerprint", "keys"])
+            sketch = np.packbits(rows & 1 > 0, axis=1).view(np.int64).reshape(-1, len(words))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([as_text(r) for r in rows], pa.string()), pa.array(list(keys), pa.list_(pa.int64())), *[pa.array(c) for c in sketch.T]], ["doc_id", "fingerprint", "keys", *words])
 
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fingerprint string, keys array<long>")
+    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fingerprint string, keys array<long>" + "".join(f", {w} long" for w in words))
 
 
 def near_pairs(docs: DataFrame, size: int = SHINGLE, part: int = 80, whole: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -81,8 +83,10 @@ def near_pairs(docs: DataFrame, size: int = SHINGLE, part: int = 80, whole: int
     worded = table.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     same = worded.groupBy(F.sha2("text", 256).alias("content")).agg(F.min("doc_id").alias("first"))
     firsts = worded.join(same.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    keys = fingerprints(firsts, size).select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
-    links, labels = linked(keys, worded.select(F.col("doc_id").alias("node"), "text"), size, part, whole)
+    found = staged(fingerprints(firsts, size), "fingerprints")
+    keys = found.select(F.col("doc_id").alias("node"), F.lit(1).alias("n"), F.explode("keys").alias("key"))
+    sketches = found.groupBy(F.col("doc_id").alias("node")).agg(*[F.min(f"w{i}").alias(f"w{i}") for i in range(PERMUTATIONS // 64)])
+    links, labels = linked(keys, worded.select(F.col("doc_id").alias("node"), "text"), sketches, size, part, whole)
     classes = same.join(labels, F.col("first") == F.col("node"), "left").select("content", F.coalesce("component", "first").alias("class_id"))
     rows = table.select("doc_id", F.sha2("text", 256).alias("content")).join(classes, "content", "left")
     return links, rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
