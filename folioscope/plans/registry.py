@@ -1,9 +1,270 @@
-"""Queries over the provided tables, and their SQL."""
+"""Queries over the provided tables, and the same in SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from folioscope.functions import markdown, text
+from folioscope.operators import library as lib
+from folioscope.operators import search
+from folioscope.sources.views import manifest, notes, table, tombstones
+
+TODAY = "2024-03-15"
+
+NOTE = """note AS (SELECT doc_id::VARCHAR AS guid, '/' || coalesce(lang,'') || '/' || coalesce(source,'') || '/' AS location,
+ substring(split_part(coalesce(text,''), chr(10), 1), 1, 120) AS title, coalesce(text,'') AS body, strlen(coalesce(text,''))::BIGINT AS package_size,
+ strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id), '%Y-%m-%d %H:%M:%S') AS data_modified, doc_id FROM documents)"""
+LOCAL = """l AS (SELECT guid, md5(body) AS md5, location || guid || '.zip' AS path, doc_id % 5 AS synced_revision, doc_id % 7 = 0 AS dirty_info, doc_id % 13 = 0 AS dirty_data FROM note WHERE doc_id % 11 <> 0)"""
+REMOTE = """r AS (SELECT guid, md5(CASE WHEN doc_id % 3 = 0 THEN body || 'x' ELSE body END) AS md5, CASE WHEN doc_id % 19 = 0 THEN '/moved' ELSE '' END || location || guid || '.zip' AS path, doc_id % 6 AS synced_revision FROM note WHERE doc_id % 17 <> 0)"""
+TOMBS = """lt AS (SELECT guid, strftime(DATE '2024-01-01' + (doc_id % 60)::INTEGER, '%Y-%m-%d') AS removed_at, doc_id % 3 AS synced_revision FROM note WHERE doc_id % 11 = 0 OR doc_id % 101 = 0),
+ rt AS (SELECT guid FROM note WHERE doc_id % 17 = 0 OR doc_id % 101 = 0)"""
+WITH = f"WITH {NOTE}"
+TRIM = r"regexp_replace({}, '^[\s\pZ]+|[\s\pZ]+$', '', 'g')"
+FP = f"substring(sha256({TRIM.format('body')}), 1, 32)"
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# ---- search
+
+
+def _bm25_sql(kw: str, folder: str | None = None) -> str:
+    tf = " + ".join(f"(length(lower({c})) - length(replace(lower({c}), '{kw}', ''))) / {len(kw)}" for c in ("title", "body", "location"))
+    after = f"WHERE starts_with(location, '{folder}')" if folder else ""
+    return f"""{WITH}, m AS (SELECT *, greatest(length(title)-2,0) + greatest(length(body)-2,0) + greatest(length(location)-2,0) AS d,
+ contains(lower(title),'{kw}') OR contains(lower(body),'{kw}') OR contains(lower(location),'{kw}') AS hit FROM note),
+s AS (SELECT count(*) AS na, avg(d) AS av, count(*) FILTER (hit) AS nh FROM m),
+h AS (SELECT m.*, -greatest(1e-6, ln((na-nh+0.5)/(nh+0.5))) * tf * 2.2 / (tf + 1.2*(0.25+0.75*d/av)) AS score FROM (SELECT *, {tf} AS tf FROM m WHERE hit) m, s),
+t AS (SELECT * FROM (SELECT * FROM h ORDER BY score, guid LIMIT 200) {after}),
+f AS (SELECT *, CASE WHEN body = '' THEN guid ELSE {FP} END AS fp FROM t),
+w AS (SELECT *, CASE WHEN body = '' THEN 1 ELSE count(*) OVER (PARTITION BY fp) END AS dup_count, row_number() OVER (PARTITION BY fp ORDER BY score, guid) AS n FROM f)
+SELECT guid, title, location, round(score, 6) AS score, CASE WHEN contains(lower(title), '{kw}') THEN 'title' ELSE 'body' END AS hit_in, dup_count::BIGINT AS dup_count FROM w WHERE n = 1"""
+
+
+query("q_search_bm25", _bm25_sql("wher"))(lambda s, d: search.search(notes(s, d), "wher"))
+query("q_search_title_hit", _bm25_sql("the"))(lambda s, d: search.search(notes(s, d), "the"))
+query("q_search_folder_after_limit", _bm25_sql("thin", "/en/src1"))(lambda s, d: search.search(notes(s, d), "thin", "/en/src1"))
+
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+query(
+    "q_search_short_kw",
+    f"""{WITH}, t AS (SELECT * FROM note WHERE {' OR '.join(_FOLD.format(c) + " LIKE '%zt%'" for c in ('title', 'body', 'location'))} ORDER BY guid LIMIT 200),
+f AS (SELECT *, CASE WHEN body = '' THEN guid ELSE {FP} END AS fp FROM t),
+w AS (SELECT *, CASE WHEN body = '' THEN 1 ELSE count(*) OVER (PARTITION BY fp) END AS dup_count, row_number() OVER (PARTITION BY fp ORDER BY guid) AS n FROM f)
+SELECT guid, title, location, 0.0::DOUBLE AS score, CASE WHEN contains({_FOLD.format('title')}, 'zt') THEN 'title' ELSE 'body' END AS hit_in, dup_count::BIGINT AS dup_count FROM w WHERE n = 1""",
+)(lambda s, d: search.search(notes(s, d), "zt"))
+
+query(
+    "q_search_dedup",
+    f"""{WITH}, f AS (SELECT *, CASE WHEN body = '' THEN guid ELSE {FP} END AS fp FROM note),
+w AS (SELECT *, CASE WHEN body = '' THEN 1 ELSE count(*) OVER (PARTITION BY fp) END AS dup_count, row_number() OVER (PARTITION BY fp ORDER BY guid) AS n FROM f)
+SELECT guid, dup_count::BIGINT AS dup_count FROM w WHERE n = 1""",
+)(lambda s, d: search.collapse(notes(s, d), "guid").select("guid", F.col("dup_count").cast("long").alias("dup_count")))
+
+query("q_snippet", f"{WITH} SELECT guid, replace(substring(body, greatest(1, instr(body, 'thin') - 40)::BIGINT, 120), 'thin', '<mark>thin</mark>') AS snippet FROM note WHERE contains(body, 'thin')")(
+    lambda s, d: notes(s, d).where(F.col("body").contains("thin")).select("guid", search.snippet(F.col("body"), "thin").alias("snippet"))
+)
+query("q_attachment_search", """SELECT item_id, text AS display_name FROM benchmark WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%on_re%'""")(
+    lambda s, d: search.attachment_search(table(s, d, "benchmark").select("item_id", F.col("text").alias("display_name"), F.col("text").alias("db_name"), F.lit(4).alias("tier")), "on_re").select("item_id", "display_name")
+)
+query("q_history_top20", "SELECT event_type || '-' || (user_id % 40) AS keyword, max(epoch_us(ts)) AS ts FROM events GROUP BY 1 ORDER BY ts DESC, keyword LIMIT 20")(
+    lambda s, d: search.record(
+        h := table(s, d, "events").select(F.concat_ws("-", "event_type", (F.col("user_id") % 40).cast("string")).alias("keyword"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts")), h.where("false")
+    )
+)
+
+# ---- text
+
+_EXTRACT = "html"
+for _p, _b in ((r"(?is)<style\b.*?</style\s*>", " "), (r"(?is)<script\b.*?</script\s*>", " "), (r"(?s)<!--.*?-->", " "), (r"(?i)</(p|div|li|tr|h[1-6]|table|ul|ol|blockquote|pre|section|article)\s*>|<br\s*/?>", "\n"), (r"<[^>]*>", " ")):
+    _EXTRACT = f"regexp_replace({_EXTRACT}, '{_p}', '{_b}', 'g')"
+_EXTRACT = f"replace({_EXTRACT}, '&amp;', chr(57344))"
+for _n, _b in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("nbsp", " ")):
+    _EXTRACT = f"replace({_EXTRACT}, '&{_n};', '{_b}')"
+_EXTRACT = f"replace({_EXTRACT}, chr(57344), '&')"
+for _p, _b in ((r"[ \t\r\f]+", " "), (r" ?\n ?", "\n"), (r"\n{2,}", "\n")):
+    _EXTRACT = f"regexp_replace({_EXTRACT}, '{_p}', '{_b}', 'g')"
+_EXTRACT = TRIM.format(_EXTRACT)
+query("q_extract_text", f"SELECT page_id, {_EXTRACT} AS plain FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", text.extract_text(F.col("html")).alias("plain")))
+query("q_text_length", f"SELECT page_id, length({_EXTRACT})::BIGINT AS n FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", F.length(text.extract_text(F.col("html"))).cast("long").alias("n")))
+query("q_near_empty", f"{WITH} SELECT guid FROM note WHERE length({TRIM.format('body')}) < 40")(lambda s, d: notes(s, d).where(F.length(text.trim(F.col("body"))) < 40).select("guid"))
+query("q_fingerprint", f"{WITH} SELECT guid, {FP} AS fp FROM note")(lambda s, d: notes(s, d).select("guid", text.fingerprint(F.col("body")).alias("fp")))
+query("q_duplicate_groups", f"{WITH} SELECT {FP} AS fp, count(*) AS n, min(doc_id) AS first FROM note GROUP BY 1 HAVING count(*) > 1")(
+    lambda s, d: notes(s, d).groupBy(text.fingerprint(F.col("body")).alias("fp")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+)
+_TITLE = TRIM.format("{}")
+
+
+def _title_sql(c: str) -> str:
+    clean = f"regexp_replace(regexp_replace({TRIM.format(c)}, '[\\\\/:*?\"<>|]', '_', 'g'), '[\\x00-\\x1F\\x7F-\\x{{9F}}]', '', 'g')"
+    dotted = f"regexp_replace({TRIM.format(clean)}, '\\.+$', '')"
+    return f"substring(CASE WHEN {dotted} = '' THEN 'untitled' ELSE {dotted} END, 1, 120)"
+
+
+query("q_sanitize_title", f"{WITH} SELECT guid, {_title_sql('title')} AS name FROM note")(lambda s, d: notes(s, d).select("guid", text.sanitize_title(F.col("title")).alias("name")))
+query("q_sanitize_location", f"SELECT page_id, array_to_string(list_transform(list_filter(string_split(url, '/'), lambda x: x <> ''), lambda x: {_title_sql('x')}), '/') AS place FROM pages")(
+    lambda s, d: table(s, d, "pages").select("page_id", text.sanitize_location(F.col("url")).alias("place"))
+)
+query("q_html_escape", "SELECT page_id, replace(replace(replace(replace(html,'&','&amp;'),'<','&lt;'),'>','&gt;'),'\"','&quot;') AS escaped FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", text.html_escape(F.col("html")).alias("escaped")))
+query("q_human_size", f"{WITH} SELECT guid, CASE WHEN package_size < 1024 THEN package_size || ' B' WHEN package_size < 1048576 THEN printf('%.1f KB', package_size / 1024.0) ELSE printf('%.1f MB', package_size / 1048576.0) END AS size FROM note")(
+    lambda s, d: notes(s, d).select("guid", text.human_size(F.col("package_size")).alias("size"))
+)
+query("q_md_line_kinds", r"""WITH x AS (SELECT doc_id, unnest(string_split(coalesce(text,''), chr(10))) AS line FROM documents), k AS (SELECT doc_id, CASE WHEN regexp_matches(line, '^\s*$') THEN 'blank' WHEN regexp_matches(line, '^ {0,3}(```|~~~)') THEN 'fence' WHEN regexp_matches(line, '^ {0,3}#{1,6}( |$)') THEN 'heading'
+ WHEN regexp_matches(line, '^ {0,3}(-( *-){2,}|\*( *\*){2,}|_( *_){2,}) *$') THEN 'rule' WHEN regexp_matches(line, '^ {0,3}>') THEN 'quote' WHEN regexp_matches(line, '^\s*([-*+]|[0-9]+[.)]) ') THEN 'list' WHEN regexp_matches(line, '^\s*\|.*\|\s*$') THEN 'table' ELSE 'text' END AS kind FROM x)
+SELECT doc_id, kind, count(*) AS n FROM k GROUP BY ALL""")(
+    lambda s, d: table(s, d, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).groupBy("doc_id", text.line_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
+)
+
+
+@query(
+    "q_fence_state",
+    r"""WITH x AS (SELECT conv_id, turn, regexp_matches(coalesce(text,''), '(?i)the') AS fence FROM conversations)
+SELECT conv_id, turn, coalesce(sum(CASE WHEN fence THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS open_before FROM x""",
+)
+def _fence_state(s: SparkSession, d: str) -> DataFrame:
+    """Whether an odd number of fence lines came before each line; turns stand in for lines and a word for the fence."""
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    fence = F.coalesce("text", F.lit("")).rlike("(?i)the")
+    return table(s, d, "conversations").select("conv_id", "turn", (F.coalesce(F.sum(F.when(fence, 1).otherwise(0)).over(before), F.lit(0)) % 2 == 1).alias("open_before"))
+
+
+query("q_html_to_md")(lambda s, d: table(s, d, "pages").select("page_id", markdown.html_to_md(F.col("html")).alias("md")))
+
+# ---- folders and lists
+
+_DEEP = "SELECT doc_id, location, string_split(trim(location, '/'), '/') AS p FROM note WHERE location <> '//'"
+query("q_folder_expand", f"""{WITH}, x AS ({_DEEP}), y AS (SELECT DISTINCT unnest(list_transform(range(1, len(p) + 1), lambda i: '/' || array_to_string(p[1:i], '/') || '/')) AS path FROM x)
+SELECT path, list_last(string_split(trim(path, '/'), '/')) AS name, regexp_replace(path, '[^/]+/$', '') AS parent FROM y""")(lambda s, d: lib.folder_rows(notes(s, d)))
+_with_flag = lambda s, d: notes(s, d).withColumn("has_attachment", (F.col("doc_id") % 9 == 0).cast("int"))
+query("q_tree_direct", f"{WITH} SELECT location AS path, count(*) AS direct_count, max((doc_id % 9 = 0)::INTEGER) AS has_attachment FROM note GROUP BY 1")(lambda s, d: lib.direct_counts(_with_flag(s, d)))
+query("q_tree_rollup", f"""{WITH}, x AS ({_DEEP}), y AS (SELECT doc_id, unnest(list_transform(range(1, len(p) + 1), lambda i: '/' || array_to_string(p[1:i], '/') || '/')) AS path FROM x)
+SELECT path, count(*) AS total_count, max((doc_id % 9 = 0)::INTEGER) AS has_attachment, (len(string_split(path, '/')) - 2)::INTEGER AS depth FROM y GROUP BY path""")(lambda s, d: lib.rollup(_with_flag(s, d)))
+_LIST = "guid, title, location, package_size, data_modified"
+_list = lambda df: df.select(*_LIST.split(", "))
+query("q_list_modified", f"{WITH} SELECT {_LIST} FROM note WHERE location = '/en/src1/' ORDER BY data_modified DESC, guid LIMIT 5000")(lambda s, d: _list(lib.listing(notes(s, d), "/en/src1/")))
+query("q_list_title_nocase", f"{WITH} SELECT {_LIST} FROM note ORDER BY {_FOLD.format('title')}, guid LIMIT 100")(lambda s, d: _list(lib.listing(notes(s, d), sort="title", limit=100)))
+query("q_list_size", f"{WITH} SELECT {_LIST} FROM note ORDER BY package_size DESC, guid LIMIT 200")(lambda s, d: _list(lib.listing(notes(s, d), sort="size", limit=200)))
+query("q_list_title_filter", f"{WITH} SELECT {_LIST} FROM note WHERE {_FOLD.format('title')} LIKE '%th_re%' ORDER BY data_modified DESC, guid LIMIT 5000")(lambda s, d: _list(lib.listing(notes(s, d), contains="th_re")))
+query("q_note_flags", f"{WITH} SELECT guid, package_size > 0 AND length(body) < 10 AS is_empty, false AS is_webclip, false AS system FROM note")(lambda s, d: lib.flags(notes(s, d)).select("guid", "is_empty", "is_webclip", "system"))
+
+# ---- attachments
+
+_names = lambda s, d: table(s, d, "benchmark").where("item_id % 5 <> 4").select(F.concat(F.lit("attachments/"), F.col("item_id").cast("string")).alias("file_path"), F.col("text").alias("display_name"), F.when(F.col("item_id") % 5 == 0, F.concat(F.lit("g"), F.col("item_id").cast("string"))).alias("file_guid"))
+_records = lambda s, d: table(s, d, "benchmark").where("item_id % 5 in (0, 4)").select(F.concat(F.lit("g"), F.col("item_id").cast("string")).alias("record_guid"), (F.col("item_id") % 7).cast("string").alias("document_guid"), F.col("text").alias("db_name"))
+_ATT = f"""{WITH}, nm AS (SELECT 'attachments/' || item_id AS file_path, text AS display_name, CASE WHEN item_id % 5 = 0 THEN (item_id % 7)::VARCHAR END AS owner FROM benchmark WHERE item_id % 5 <> 4),
+pr AS (SELECT DISTINCT file_path, guid FROM nm JOIN note ON owner IS NULL AND contains(body, display_name)),
+c AS (SELECT file_path, count(*) AS hits, min(guid) AS one FROM pr GROUP BY 1),
+a AS (SELECT file_path, display_name, 1 AS tier, 'db-record' AS source, owner AS document_guid, 0::BIGINT AS hits FROM nm WHERE owner IS NOT NULL
+ UNION ALL SELECT nm.file_path, display_name, CASE WHEN hits = 1 THEN 2 WHEN hits > 1 THEN 3 ELSE 4 END, CASE WHEN hits IS NULL THEN 'unlinked' ELSE 'filename-in-body' END, CASE WHEN hits = 1 THEN one END, coalesce(hits, 0) FROM nm LEFT JOIN c USING (file_path) WHERE owner IS NULL
+ UNION ALL SELECT 'db-missing:g' || item_id, text, 0, 'db-missing', (item_id % 7)::VARCHAR, 0 FROM benchmark WHERE item_id % 5 = 4),
+b AS (SELECT pr.file_path, guid AS document_guid FROM pr JOIN c USING (file_path) WHERE hits > 1)"""
+query("q_attachment_tiers", f"{_ATT} SELECT * FROM a")(lambda s, d: lib.attribute(_names(s, d), notes(s, d), _records(s, d))[0])
+query("q_tier_counts", f"{_ATT} SELECT CASE WHEN tier BETWEEN 1 AND 4 THEN tier ELSE 0 END AS tier, count(*) AS n FROM a GROUP BY 1")(
+    lambda s, d: lib.attribute(_names(s, d), notes(s, d), _records(s, d))[0].groupBy(F.when(F.col("tier").between(1, 4), F.col("tier")).otherwise(0).alias("tier")).agg(F.count("*").alias("n"))
+)
+query("q_db_missing", f"{_ATT} SELECT file_path, document_guid FROM a WHERE tier = 0")(lambda s, d: lib.attribute(_names(s, d), notes(s, d), _records(s, d))[0].where("tier = 0").select("file_path", "document_guid"))
+query("q_note_attachments", f"""{_ATT} SELECT document_guid, string_agg(display_name || '@' || file_path, ';' ORDER BY display_name, file_path) AS files FROM
+ (SELECT document_guid, display_name, file_path FROM a WHERE document_guid IS NOT NULL UNION ALL SELECT b.document_guid, display_name, file_path FROM b JOIN a USING (file_path)) GROUP BY 1""")(
+    lambda s, d: lib.note_attachments(*lib.attribute(_names(s, d), notes(s, d), _records(s, d))).select("document_guid", F.array_join(F.transform("files", lambda x: F.concat(x["display_name"], F.lit("@"), x["file_path"])), ";").alias("files"))
+)
+
+# ---- manifest and export
+
+_disk = lambda s, d: notes(s, d).where("doc_id % 23 <> 0").select(F.concat("location", "guid", F.lit(".zip")).alias("path"), F.md5(F.when(F.col("doc_id") % 29 == 0, F.lit("other")).otherwise(F.col("body"))).alias("md5"))
+_DISK = "k AS (SELECT location || guid || '.zip' AS path, md5(CASE WHEN doc_id % 29 = 0 THEN 'other' ELSE body END) AS kmd5 FROM note WHERE doc_id % 23 <> 0)"
+query("q_manifest_missing", f"{WITH}, {LOCAL}, {_DISK} SELECT guid, CASE WHEN kmd5 IS NULL THEN 'missing' ELSE 'md5' END AS problem FROM l LEFT JOIN k USING (path) WHERE kmd5 IS NULL OR kmd5 <> md5")(lambda s, d: lib.invariants(manifest(s, d, "local"), _disk(s, d)))
+query("q_orphans", f"{WITH}, {LOCAL}, {_DISK} SELECT path FROM k WHERE path NOT IN (SELECT path FROM l)")(lambda s, d: lib.orphans(manifest(s, d, "local"), _disk(s, d)))
+query("q_tombstone_dup", f"{WITH}, {LOCAL}, {TOMBS} SELECT guid FROM l JOIN lt USING (guid)")(lambda s, d: manifest(s, d, "local").join(tombstones(s, d, "local"), "guid", "left_semi").select("guid"))
+query("q_unsynced", f"{WITH}, {LOCAL} SELECT guid, dirty_info, dirty_data FROM l WHERE dirty_info OR dirty_data")(lambda s, d: lib.unsynced(manifest(s, d, "local")).select("guid", "dirty_info", "dirty_data"))
+query("q_watermarks", f"{WITH}, {LOCAL}, {TOMBS} SELECT 'note' AS kind, coalesce(max(synced_revision), 0)::BIGINT AS watermark FROM l UNION ALL SELECT 'deleted', coalesce(max(synced_revision), 0)::BIGINT FROM lt")(
+    lambda s, d: lib.watermarks(note=manifest(s, d, "local"), deleted=tombstones(s, d, "local"))
+)
+query("q_reconcile", f"{WITH}, {LOCAL} SELECT guid, path FROM l WHERE guid NOT IN (SELECT guid FROM note WHERE doc_id % 4 <> 0)")(lambda s, d: lib.reconcile(manifest(s, d, "local"), notes(s, d).where("doc_id % 4 <> 0")).select("guid", "path"))
+query("q_commit", f"{WITH}, {LOCAL} SELECT guid, CASE WHEN dirty_info AND guid::BIGINT % 2 = 0 THEN 99 ELSE synced_revision END::BIGINT AS synced_revision, dirty_info AND guid::BIGINT % 2 = 1 AS dirty_info, dirty_data AND NOT (dirty_info AND guid::BIGINT % 2 = 0) AS dirty_data FROM l")(
+    lambda s, d: lib.commit(m := manifest(s, d, "local"), m.where("dirty_info and cast(guid as bigint) % 2 = 0"), 99).select("guid", F.col("synced_revision").cast("long").alias("synced_revision"), "dirty_info", "dirty_data")
+)
+
+
+def _export(s: SparkSession, d: str) -> DataFrame:
+    n = notes(s, d).withColumn("path", F.concat("location", "title"))
+    source = n.where("doc_id % 10 <> 3").select("guid", "title", "path", "data_modified", "package_size", F.lit("md").alias("mode"))
+    before = n.where("doc_id % 8 <> 5").select(
+        "guid", F.when(F.col("doc_id") % 6 == 1, F.lit("old")).otherwise(F.col("title")).alias("title"), "path", F.when(F.col("doc_id") % 4 == 2, F.lit("2000-01-01 00:00:00")).otherwise(F.col("data_modified")).alias("data_modified"), "package_size", F.lit("md").alias("mode")
+    )
+    return lib.export_plan(source, before, n.where("doc_id % 14 = 0").select("guid"))
+
+
+query("q_export_plan_status", f"""{WITH}, b AS (SELECT guid, doc_id % 10 <> 3 AS has, doc_id % 8 <> 5 AS had, doc_id % 14 = 0 AS edited, doc_id % 6 = 1 AND title <> 'old' AS info, doc_id % 4 <> 2 OR data_modified = '2000-01-01 00:00:00' AS same FROM note),
+t AS (SELECT *, CASE WHEN NOT has THEN 'tombstoned' WHEN edited THEN 'kept' WHEN had AND same THEN 'reused' WHEN had THEN 'reexported' ELSE 'added' END AS status FROM b WHERE has OR had)
+SELECT guid, status, CASE WHEN status = 'added' THEN true WHEN status IN ('reused', 'reexported') THEN info ELSE false END AS dirty_info, status IN ('added', 'reexported') AS dirty_data FROM t""")(_export)
+query("q_export_names")(lambda s, d: lib.export_names(notes(s, d)))
+
+# ---- replication
+
+_two = lambda s, d: (manifest(s, d, "local"), manifest(s, d, "remote"))
+query("q_upload_plan", f"""{WITH}, {LOCAL}, {REMOTE}, b AS (SELECT l.guid, l.md5, r.md5 AS rm, coalesce(r.synced_revision > l.synced_revision AND r.md5 <> l.md5, false) AS risky FROM l LEFT JOIN r USING (guid) WHERE dirty_info OR dirty_data)
+SELECT guid, CASE WHEN rm = md5 THEN 'skip' WHEN risky THEN 'conditional_put' ELSE 'put' END AS action, risky FROM b""")(lambda s, d: lib.upload_plan(*_two(s, d)))
+
+
+def _download_sql(role: str, on_demand: bool) -> str:
+    keep = "conflict" if role == "writer" else "false"
+    side = "CASE WHEN conflict AND r_rev > l_rev THEN 'remote' ELSE 'none' END" if role == "writer" else "CASE WHEN conflict THEN 'local' ELSE 'none' END"
+    return f"""{WITH}, {LOCAL}, {REMOTE}, b AS (SELECT coalesce(l.guid, r.guid) AS guid, l.guid IS NOT NULL AND r.guid IS NOT NULL AND (dirty_info OR dirty_data) AND l.md5 <> r.md5 AS conflict, r.guid IS NULL AS gone, coalesce(l.md5 = r.md5, false) AS same, coalesce(l.path <> r.path, false) AS moved, l.synced_revision AS l_rev, r.synced_revision AS r_rev FROM l FULL JOIN r ON l.guid = r.guid)
+SELECT guid, CASE WHEN {keep} THEN 'keep_local' WHEN gone THEN 'vanished' WHEN NOT same THEN '{'pending' if on_demand else 'download'}' ELSE 'none' END AS action, {side} AS side_copy, moved AND NOT {keep} AS trash_old_path FROM b"""
+
+
+query("q_download_plan_writer", _download_sql("writer", False))(lambda s, d: lib.download_plan(*_two(s, d)))
+query("q_download_plan_reader", _download_sql("reader", False))(lambda s, d: lib.download_plan(*_two(s, d), role="reader"))
+query("q_on_demand_pending", f"SELECT action, count(*) AS n FROM ({_download_sql('writer', True)}) GROUP BY 1")(lambda s, d: lib.download_plan(*_two(s, d), on_demand=True).groupBy("action").agg(F.count("*").alias("n")))
+query("q_diverged", f"""{WITH}, {LOCAL}, {REMOTE}, {TOMBS} SELECT guid FROM l JOIN r USING (guid) WHERE l.md5 <> r.md5 OR l.path <> r.path UNION SELECT guid FROM l WHERE guid NOT IN (SELECT guid FROM r) AND guid NOT IN (SELECT guid FROM rt) UNION SELECT guid FROM lt WHERE guid IN (SELECT guid FROM r)""")(
+    lambda s, d: lib.diverged(manifest(s, d, "local"), tombstones(s, d, "local"), manifest(s, d, "remote"), tombstones(s, d, "remote"))
+)
+_cloud = lambda s, d, k: table(s, d, "benchmark").where(f"item_id % {k} <> 0").select(F.col("item_id").cast("string").alias("file_path"), F.when(F.col("item_id") % 3 != 1, F.md5(F.concat("text", F.when(F.col("item_id") % 2 == 0, F.lit(str(k))).otherwise(F.lit(""))))).alias("md5"), (F.col("item_id") % 4).cast("int").alias("tier"))
+query("q_attachment_down", """WITH x AS (SELECT item_id::VARCHAR AS file_path, item_id, text FROM benchmark), c AS (SELECT *, CASE WHEN item_id % 3 <> 1 THEN md5(text || CASE WHEN item_id % 2 = 0 THEN '5' ELSE '' END) END AS m FROM x WHERE item_id % 5 <> 0 AND item_id % 4 <> 0),
+ h AS (SELECT *, CASE WHEN item_id % 3 <> 1 THEN md5(text || CASE WHEN item_id % 2 = 0 THEN '6' ELSE '' END) END AS m FROM x WHERE item_id % 6 <> 0)
+SELECT c.file_path, CASE WHEN h.item_id IS NULL THEN 'get' WHEN c.m IS NULL THEN 'keep' WHEN c.m <> h.m THEN 'get' ELSE 'none' END AS action FROM c LEFT JOIN h USING (file_path)""")(lambda s, d: lib.attachment_plan(_cloud(s, d, 6), _cloud(s, d, 5)))
+query("q_trash_days_left", f"{WITH}, {TOMBS} SELECT guid, (30 - date_diff('day', removed_at::DATE, DATE '{TODAY}'))::INTEGER AS days_left FROM lt")(lambda s, d: lib.expired(tombstones(s, d, "local"), F.lit(TODAY).cast("date")).select("guid", "days_left"))
+query("q_gc_candidates", f"{WITH}, {TOMBS} SELECT guid FROM lt WHERE date_diff('day', removed_at::DATE, DATE '{TODAY}') >= 30")(lambda s, d: lib.expired(tombstones(s, d, "local"), F.lit(TODAY).cast("date")).where("expired").select("guid"))
+
+# ---- audits
+
+_snap = lambda s, d, k: notes(s, d).where(f"doc_id % {k} <> 0").select(F.col("guid").alias("path"), (F.col("package_size") + F.when(F.col("doc_id") % 15 == 1, F.lit(k)).otherwise(F.lit(0))).alias("bytes"), F.col("doc_id").alias("mtime"))
+query("q_snapshot_diff", f"""{WITH}, b AS (SELECT guid AS path, doc_id FROM note WHERE doc_id % 9 <> 0), a AS (SELECT guid AS path, doc_id FROM note WHERE doc_id % 12 <> 0)
+SELECT coalesce(b.path, a.path) AS path, CASE WHEN a.path IS NULL THEN 'removed' WHEN b.path IS NULL THEN 'added' ELSE 'modified' END AS change FROM b FULL JOIN a ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.doc_id % 15 = 1""")(lambda s, d: lib.snapshot_diff(_snap(s, d, 9), _snap(s, d, 12)))
+query("q_percentile_rank", "WITH x AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) - 1 AS i, count(*) OVER () AS n FROM lineitem WHERE l_extendedprice IS NOT NULL), q AS (SELECT unnest([0.5, 0.99])::DOUBLE AS q) SELECT q, v AS value FROM x JOIN q ON i = floor((n - 1) * q + 0.5)")(
+    lambda s, d: lib.nearest_rank(table(s, d, "lineitem"), "l_extendedprice", [0.5, 0.99])
+)
+query("q_median_size", f"{WITH}, x AS (SELECT package_size AS v, row_number() OVER (ORDER BY package_size) - 1 AS i, count(*) OVER () AS n FROM note) SELECT max(v) FILTER (i = floor((n - 1) * 0.5 + 0.5)) AS median, max(v) AS largest FROM x")(
+    lambda s, d: lib.nearest_rank(notes(s, d), "package_size", [0.5, 1.0]).agg(F.max(F.when(F.col("q") == 0.5, F.col("value"))).alias("median"), F.max("value").alias("largest"))
+)
+query("q_inspect_counters", f"""{WITH} SELECT count(*) AS notes, count(*) FILTER (length(body) < 10) AS near_empty, count(*) FILTER (package_size = 0) AS empty_packages, coalesce(sum(package_size), 0)::BIGINT AS bytes, count(*) FILTER (regexp_matches(body, '(?i)https?://')) AS with_links,
+ count(*) FILTER (contains(body, chr(10))) AS multi_line, max(length(body))::INTEGER AS longest, count(DISTINCT location) AS folders FROM note""")(lambda s, d: lib.inspect(notes(s, d)))
+query("q_mode_counts", "SELECT coalesce(lang, '-') AS mode, count(*) AS n FROM documents GROUP BY 1")(lambda s, d: table(s, d, "documents").groupBy(F.coalesce("lang", F.lit("-")).alias("mode")).agg(F.count("*").alias("n")))
+query("q_report", f"{WITH} SELECT bool_and(NOT (length(body) < 40 AND doc_id % 2 = 0)) AS ok, count(*) FILTER (length(body) < 40 AND doc_id % 2 = 0) AS failed, array_to_string((list_sort(list(guid) FILTER (length(body) < 40 AND doc_id % 2 = 0)))[1:8], ',') AS samples FROM note")(
+    lambda s, d: lib.report(notes(s, d).select(F.col("guid").alias("id"), (F.length("body") >= 40).alias("passed"), (F.col("doc_id") % 2 != 0).alias("skipped"))).withColumn("samples", F.array_join("samples", ","))
+)
+query("q_latest_state", "SELECT user_id::VARCHAR AS guid, max(epoch_us(ts)) AS ts, arg_max(event_type, epoch_us(ts) || '-' || event_type) AS event_type FROM events GROUP BY 1")(
+    lambda s, d: lib.latest(table(s, d, "events").select(F.col("user_id").cast("string").alias("guid"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "event_type"))
+)
