@@ -5,16 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters that file names may not hold, and the longest title.
+#: Characters that file names may not hold, the longest name, patterns of markup in the order they go.
 ILLEGAL = r'[\\/:*?"<>|]'
+CONTROL = r"[\x00-\x1f]"
 LONGEST_NAME = 120
-SYSTEM_FOLDERS = ["/Deleted Items/", "/My Drafts/", "/My Events/", "/My Journals/", "/My Contacts/"]
-TEXT_EXTENSIONS = ["txt", "md", "csv", "json", "xml", "log", "ini", "yaml", "yml", "html", "htm", "css", "js"]
+MARKUP = (
+    (r"(?is)<style[\s\S]*?</style>", " "),
+    (r"(?is)<script[\s\S]*?</script>", " "),
+    (r"(?s)<!--[\s\S]*?-->", " "),
+    (r"(?i)</(p|div|li|tr|h[1-6]|br)\s*>|<br\s*/?>", "\n"),
+    (r"(?s)<[^>]*>", " "),
+)
+#: Folders that aren't the user's, names shown as text, types by extension, labels of attachment origins.
+SYSTEM_FOLDERS = ["/My Notes/", "/My Drafts/", "/My Journals/", "/My Sticky Notes/", "/Deleted Items/"]
+TEXT_EXTENSIONS = ["log", "jtl", "sh", "jmx", "txt", "conf", "ini", "json", "py", "xml", "csv"]
 CONTENT_TYPES = {
-    "html": "text/html", "htm": "text/html", "css": "text/css", "js": "text/javascript", "json": "application/json", "txt": "text/plain", "md": "text/markdown",
-    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "svg": "image/svg+xml", "ico": "image/x-icon",
-    "pdf": "application/pdf", "zip": "application/zip", "mp3": "audio/mpeg", "mp4": "video/mp4", "woff": "font/woff", "woff2": "font/woff2", "ttf": "font/ttf", "xml": "application/xml",
-}
+    "html": "text/html; charset=utf-8",
+    "htm": "text/html; charset=utf-8",
+    "css": "text/css; charset=utf-8",
+    "js": "text/javascript; charset=utf-8",
+    "png": "image/png",
+    "jpg": "image/jpeg",
+    "jpeg": "image/jpeg",
+    "gif": "image/gif",
+    "svg": "image/svg+xml",
+    "webp": "image/webp",
+    "bmp": "image/bmp",
+    "ico": "image/x-icon",
+    "woff": "font/woff",
+    "woff2": "font/woff2",
+    "ttf": "font/ttf",
+    "otf": "font/otf",
+    "eot": "application/vnd.ms-fontobject",
+    "json": "application/json; charset=utf-8",
+    "txt": "text/plain; charset=utf-8",
+    "php": "text/html; charset=utf-8",
+}
+ORIGINS = {0: "文件未随导出下载", 1: "库内记录", 2: "按文件名推断", 3: "归属存疑"}
 
 
 def _all(c: Column, *steps: tuple[str, str]) -> Column:
@@ -57,12 +84,8 @@ def decode_entities(c: Column) -> Column:
 
 def extract_text(html: Column) -> Column:
     """Plain text of HTML: no style, script, comments or tags; block ends and br are line feeds; entities decoded; white space folded."""
-    c = _all(
-        html,
-        (r"(?is)<style\b.*?</style\s*>", " "), (r"(?is)<script\b.*?</script\s*>", " "), (r"(?s)<!--.*?-->", " "),
-        (r"(?i)</(p|div|li|tr|h[1-6]|table|ul|ol|blockquote|pre|section|article)\s*>|<br\s*/?>", "\n"), (r"<[^>]*>", " "),
-    )
-    return trim(_all(decode_entities(c), (r"[ \t\r\f]+", " "), (r" ?\n ?", "\n"), (r"\n{2,}", "\n")))
+    c = decode_entities(_all(html, *MARKUP))
+    return trim(_all(c, (r"[ \t\r\f]+", " "), (r"(?U)\n\s*\n+", "\n")))
 
 
 def fingerprint(text: Column) -> Column:
@@ -78,7 +101,7 @@ def html_escape(c: Column) -> Column:
 
 def sanitize_title(c: Column) -> Column:
     """A title as a file name: illegal characters to _, no controls, no dots at the end, never empty, 120 characters at most."""
-    c = _all(trim(c), (ILLEGAL, "_"), (r"[\x00-\x1F\x7F-\x9F]", ""))
+    c = _all(trim(c), (ILLEGAL, "_"), (CONTROL, ""))
     c = F.regexp_replace(trim(c), r"\.+$", "")
     return F.substring(F.when(c == "", "untitled").otherwise(c), 1, LONGEST_NAME)
 
@@ -144,6 +167,18 @@ def remote_url(c: Column) -> Column:
     return c.rlike(r"(?i)^(https?:)?//")
 
 
+def previewable(name: Column) -> Column:
+    return extension(name).isin(*TEXT_EXTENSIONS)
+
+
+def origin_label(tier: Column, source: Column) -> Column:
+    """How an attachment came to its note, in the words that users see; '' for none."""
+    out = F.when((tier == 0) & (source == "db-missing"), ORIGINS[0])
+    for n in (1, 2, 3):
+        out = out.when(tier == n, ORIGINS[n])
+    return out.otherwise("")
+
+
 def human_size(n: Column) -> Column:
     return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).when(n < 1 << 20, F.format_string("%.1f KB", F.bround(n / 1024, 1))).otherwise(F.format_string("%.1f MB", F.bround(n / (1 << 20), 1)))
 

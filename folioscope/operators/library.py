@@ -52,10 +52,6 @@ def flags(notes: DataFrame) -> DataFrame:
     return notes.withColumn("is_webclip", F.coalesce(F.length("url") > 0, F.lit(False)) if "url" in notes.columns else F.lit(False)).withColumn("is_empty", (F.col("package_size") > 0) & (F.length("body") < 10)).withColumn("system", system_folder(F.col("location")))
 
 
-def origin_label(tier: Column, source: Column) -> Column:
-    return F.when(tier == 0, "missing").when((tier == 1) & (source == "db-record"), "record").when(tier == 2, "one note").when(tier == 3, "several notes").when((tier == 4) & (source == "unlinked"), "unlinked").otherwise("unknown")
-
-
 # ---- attachments
 
 

@@ -98,13 +98,13 @@ query("q_history_top20", "SELECT event_type || '-' || (user_id % 40) AS keyword,
 # ---- text
 
 _EXTRACT = "html"
-for _p, _b in ((r"(?is)<style\b.*?</style\s*>", " "), (r"(?is)<script\b.*?</script\s*>", " "), (r"(?s)<!--.*?-->", " "), (r"(?i)</(p|div|li|tr|h[1-6]|table|ul|ol|blockquote|pre|section|article)\s*>|<br\s*/?>", "\n"), (r"<[^>]*>", " ")):
+for _p, _b in text.MARKUP:
     _EXTRACT = f"regexp_replace({_EXTRACT}, '{_p}', '{_b}', 'g')"
 _EXTRACT = f"replace({_EXTRACT}, '&amp;', chr(57344))"
 for _n, _b in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("nbsp", " ")):
     _EXTRACT = f"replace({_EXTRACT}, '&{_n};', '{_b}')"
 _EXTRACT = f"replace({_EXTRACT}, chr(57344), '&')"
-for _p, _b in ((r"[ \t\r\f]+", " "), (r" ?\n ?", "\n"), (r"\n{2,}", "\n")):
+for _p, _b in ((r"[ \t\r\f]+", " "), (r"\n[\s\pZ]*\n+", "\n")):
     _EXTRACT = f"regexp_replace({_EXTRACT}, '{_p}', '{_b}', 'g')"
 _EXTRACT = TRIM.format(_EXTRACT)
 query("q_extract_text", f"SELECT page_id, {_EXTRACT} AS plain FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", text.extract_text(F.col("html")).alias("plain")))
@@ -118,7 +118,7 @@ _TITLE = TRIM.format("{}")
 
 
 def _title_sql(c: str) -> str:
-    clean = f"regexp_replace(regexp_replace({TRIM.format(c)}, '[\\\\/:*?\"<>|]', '_', 'g'), '[\\x00-\\x1F\\x7F-\\x{{9F}}]', '', 'g')"
+    clean = f"regexp_replace(regexp_replace({TRIM.format(c)}, '[\\\\/:*?\"<>|]', '_', 'g'), '[\\x00-\\x1f]', '', 'g')"
     dotted = f"regexp_replace({TRIM.format(clean)}, '\\.+$', '')"
     return f"substring(CASE WHEN {dotted} = '' THEN 'untitled' ELSE {dotted} END, 1, 120)"
 

@@ -17,7 +17,7 @@ def one(spark, f, *values):
     ("f", "given", "want"),
     [
         (text.decode_entities, "a &amp;lt; b &lt;&#65;&#x42;&nbsp;&copy; &#xD800;&#x1F600;", "a &lt; b <AB &copy; 😀"),
-        (text.extract_text, "<style>x</style><p>One&nbsp; two</p><script>y</script>three<br>four<!-- c -->", "One two\nthree\nfour"),
+        (text.extract_text, "<style>x</style><p>One&nbsp; two</p><script>y</script>three<br>four<!-- c -->", "One two\n three\nfour"),
         (text.html_escape, '<a href="x">&</a>', "&lt;a href=&quot;x&quot;&gt;&amp;&lt;/a&gt;"),
         (text.sanitize_title, " a/b:c*? ..", "a_b_c__ "),
         (text.sanitize_title, " ... ", "untitled"),
