@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_top_k": op3_search.ORACLE}
+    return {"op3_exact_top_k": op3_search.ORACLE, "op9_near_dedup": op9_dedup.ORACLE}
