@@ -230,3 +230,22 @@ def line_kind(line: Column) -> Column:
         .when(line.rlike(r"^ {0,3}([-*_])( *\1){2,} *$"), "rule").when(line.rlike(r"^ {0,3}>"), "quote").when(line.rlike(r"^\s*([-*+]|[0-9]+[.)]) "), "list")
         .when(line.rlike(r"^\s*\|.*\|\s*$"), "table").otherwise("text")
     )
+
+
+def validate_html(html: Column, host_scheme: str) -> Column:
+    """rejected (empty, host reference, or null), scripts (how many), no_text, before a body is saved.
+
+    host_scheme: the URL scheme by which the application refers to itself, which must not get into bodies.
+    """
+    rejected = F.when(trim(html) == "", "empty").when(html.contains(host_scheme), "host reference")
+    return F.struct(rejected.alias("rejected"), F.regexp_count(html, F.lit("(?i)<script")).alias("scripts"), (extract_text(html) == "").alias("no_text"))
+
+
+def canonical_role(role: Column) -> Column:
+    """The older name of the writer's role mapped to the present one; others as they are."""
+    return F.when(role == "export", "writer").otherwise(role)
+
+
+def canonical_policy(policy: Column) -> Column:
+    """on_demand, or full for anything else, so that a slip of the pen never hides notes."""
+    return F.when(trim(policy) == "on_demand", "on_demand").otherwise("full")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: The newest manifest schema that readers accept, and the defaults of columns that older ones lack.
 SCHEMA_VERSION = 6
-DEFAULTS = {"origin": ("string", "wiznote"), "content_format": ("string", "html"), "dirty_info": ("int", 0), "dirty_data": ("int", 0), "revision": ("long", 0), "synced_revision": ("long", 0), "has_attachment": ("int", 0)}
+DEFAULTS = {"content_format": ("string", "html"), "dirty_info": ("int", 0), "dirty_data": ("int", 0), "revision": ("long", 0), "synced_revision": ("long", 0), "has_attachment": ("int", 0)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +29,14 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def conform(df: DataFrame, version: int = SCHEMA_VERSION) -> DataFrame:
-    """df with every manifest column that it lacks, at its default; newer schemas are refused."""
+def conform(df: DataFrame, version: int = SCHEMA_VERSION, origin: str = "imported") -> DataFrame:
+    """df with every manifest column that it lacks, at its default; newer schemas are refused.
+
+    origin: what the library calls notes that came from its source before there was such a column.
+    """
     if version > SCHEMA_VERSION:
         raise ValueError(f"manifest schema {version} is newer than {SCHEMA_VERSION}")
-    for name, (kind, value) in DEFAULTS.items():
+    for name, (kind, value) in {"origin": ("string", origin), **DEFAULTS}.items():
         if name not in df.columns:
             df = df.withColumn(name, F.lit(value).cast(kind))
     return df.fillna({"has_attachment": 0})

@@ -49,6 +49,10 @@ def test_more_text(spark):
     assert one(spark, text.inject_before_body_end, "<b></BODY>x</body>y", "!") == "<b></BODY>x!</body>y"
     assert one(spark, text.inject_before_body_end, "none", "!") == "none!"
     assert one(spark, text.image_kind, b"\x89PNG\r\n\x1a\n0000") == "png" and one(spark, text.image_kind, b"<?xml?><svg/>") == "svg" and one(spark, text.image_kind, b"zzzz") is None
+    check = lambda c: text.validate_html(c, "app://")
+    assert one(spark, check, " ")["rejected"] == "empty" and one(spark, check, "<a href='app://x'>y</a>")["rejected"] == "host reference"
+    assert tuple(one(spark, check, "<SCRIPT>a</script><script></script><img>")) == (None, 2, True)
+    assert one(spark, text.canonical_role, "export") == "writer" and one(spark, text.canonical_role, "") == "" and one(spark, text.canonical_policy, " on_demand ") == "on_demand" and one(spark, text.canonical_policy, "x") == "full"
     assert one(spark, lambda c: search.occurrences(c, "ana"), "Banana") == 2
     assert one(spark, lambda c: search.highlight(c, "É"), "café") == "caf<mark>é</mark>"
 
@@ -136,6 +140,6 @@ def test_upsert_and_conform(spark):
     base = spark.createDataFrame([("a", 1, False, False), ("b", 1, True, False)], "guid string, x int, dirty_info boolean, dirty_data boolean")
     out = {r["guid"]: tuple(r)[1:] for r in library.upsert(base, spark.createDataFrame([("b", 2), ("c", 3)], "guid string, x int")).collect()}
     assert out == {"a": (1, False, False), "b": (2, True, False), "c": (3, True, True)}
-    assert conform(spark.createDataFrame([("a",)], "guid string")).first()["origin"] == "wiznote"
+    assert conform(spark.createDataFrame([("a",)], "guid string"), origin="elsewhere").first()["origin"] == "elsewhere"
     with pytest.raises(ValueError, match="newer"):
         conform(base, 7)
