@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 #: Part of export decisions: documents made by another version are made anew.
 CONVERTER_VERSION = "3"
@@ -202,23 +203,40 @@ def html_to_md(html: pd.Series) -> pd.Series:
     return html.map(convert)
 
 
-_BLOCKS = ArrayType(StructType([StructField("mode", StringType()), StructField("source", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
-#: A code area's hidden source, its editor's attributes and the rendered lines.
+_BLOCKS = ArrayType(StructType([StructField("mode", StringType()), StructField("source", StringType()), StructField("rendered", BooleanType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
+#: A code area's hidden source, the editor's container with its language, and the lines that the editor rendered.
 _TEXTAREA = re.compile(r"(?is)<textarea\b([^>]*)>(.*?)</textarea>")
-_LANGUAGE = re.compile(r"(?is)data-(?:mode|lang)\s*=\s*[\"']([^\"']*)")
+_HIDDEN = re.compile(r"(?is)display(.{0,17})")
+_CONTAINER = re.compile(r"(?is)<(?!textarea\b|/)[a-z][^>]*\bdata-(?:mode|lang)\s*=\s*[\"']([^\"']*)[^>]*>")
+_RENDERED = re.compile(r"(?is)<pre\b[^>]*\bclass\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</pre>")
+
+
+def rendered_lines(mirror: str) -> list[str]:
+    """Lines of code that the editor has rendered: class CodeMirror-line as a word, and none that is for measuring."""
+    own = [m for m in _RENDERED.finditer(mirror) if "CodeMirror-line" in m[1].split() and "measure" not in m[1]]
+    return [unescape(re.sub(r"(?s)<[^>]*>", "", m[2])).replace("\u200b", "").replace("\u00a0", " ") for m in own]
+
+
+def find_blocks(text: str, mirror: str = "code-mirror") -> list[dict]:
+    """Hidden, non-empty text areas that hold code.
+
+    mode is the language of the nearest container that ends before the area; rendered tells whether an element named
+    by mirror follows with lines in it.
+    """
+    containers = [(m.end(), m[1]) for m in _CONTAINER.finditer(text)]
+    out, mode, k = [], "", 0
+    for m in _TEXTAREA.finditer(text):
+        hidden = _HIDDEN.search(m[1])
+        while k < len(containers) and containers[k][0] <= m.start():
+            mode, k = containers[k][1], k + 1
+        if not (hidden and "none" in hidden[1].lower()) or not m[2].strip():
+            continue
+        after = re.compile(rf"\s*<{re.escape(mirror)}>(.*?)</{re.escape(mirror)}>", re.S).match(text, m.end())
+        out.append({"mode": mode, "source": unescape(m[2]), "rendered": bool(after and rendered_lines(after[1])), "start": m.start(), "end": m.end()})
+    return out
 
 
 @F.pandas_udf(_BLOCKS)
 def code_blocks(html: pd.Series) -> pd.Series:
-    """Hidden, non-empty text areas that hold code, with the language of the nearest container before each."""
-    from html import unescape
-
-    def find(text: str | None) -> list[dict]:
-        out = []
-        for m in _TEXTAREA.finditer(text or ""):
-            if re.search(r"(?i)display\s*:\s*none|\bhidden\b", m[1]) and m[2].strip():
-                modes = _LANGUAGE.findall((text or "")[: m.start()] + m[1])
-                out.append({"mode": modes[-1] if modes else "", "source": unescape(m[2]), "start": m.start(), "end": m.end()})
-        return out
-
-    return html.map(find)
+    """find_blocks of every text; null has none."""
+    return html.map(lambda text: find_blocks(text or ""))

@@ -217,10 +217,10 @@ def resource_refs(html: Column) -> Column:
 
 
 def inject_before_body_end(html: Column, snippet: Column) -> Column:
-    """snippet before the last </body> of any case, else at the end."""
-    at = F.regexp_instr(F.reverse(F.lower(html)), F.lit(">ydob/<"))
+    """snippet and a line feed before the last </body> of any case, else a line feed and snippet at the end."""
+    at = F.regexp_instr(F.reverse(ascii_lower(html)), F.lit(">ydob/<"))
     cut = F.length(html) - at - 6
-    return F.when(at > 0, F.concat(F.substring(html, F.lit(1), cut), snippet, F.substring(html, cut + 1, F.length(html)))).otherwise(F.concat(html, snippet))
+    return F.when(at > 0, F.concat(F.substring(html, F.lit(1), cut), snippet, F.lit("\n"), F.substring(html, cut + 1, F.length(html)))).otherwise(F.concat(html, F.lit("\n"), snippet))
 
 
 def line_kind(line: Column) -> Column:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions import markdown, text
+from folioscope.functions import keys, markdown, render, text
+from folioscope.operators import audit
 from folioscope.operators import library as lib
 from folioscope.operators import search
 from folioscope.sources.views import manifest, notes, table, tombstones
@@ -268,3 +269,87 @@ query("q_report", f"{WITH} SELECT bool_and(NOT (length(body) < 40 AND doc_id % 2
 query("q_latest_state", "SELECT user_id::VARCHAR AS guid, max(epoch_us(ts)) AS ts, arg_max(event_type, epoch_us(ts) || '-' || event_type) AS event_type FROM events GROUP BY 1")(
     lambda s, d: lib.latest(table(s, d, "events").select(F.col("user_id").cast("string").alias("guid"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "event_type"))
 )
+
+# ---- names, keys, rendering and audits
+
+query("q_url_encode", "SELECT page_id, replace(replace(replace(replace(url_encode(url), '%2F', '/'), '%3A', ':'), '%40', '@'), '~', '%7E') AS place FROM pages")(
+    lambda s, d: table(s, d, "pages").select("page_id", keys.url_encode_path(F.col("url")).alias("place"))
+)
+query(
+    "q_path_hash",
+    """WITH x AS (SELECT page_id, hex(encode(url)) AS h FROM pages WHERE url IS NOT NULL), y AS (SELECT page_id, list_prepend(2216829733::BIGINT, list_transform(range(1, (length(h) // 2 + 1)::BIGINT), lambda i: ('0x' || substring(h, (2 * i - 1)::BIGINT, 2))::BIGINT)) AS b FROM x)
+SELECT page_id, lpad(printf('%x', list_reduce(b, lambda h, v: (xor(h, v) * 435) & 4294967295)), 8, '0') AS hash8 FROM y""",
+)(lambda s, d: table(s, d, "pages").where("url is not null").select("page_id", keys.path_hash(F.col("url")).alias("hash8")))
+query(
+    "q_entry_names",
+    r"""WITH x AS (SELECT page_id, coalesce(url, '') AS u FROM pages), y AS (SELECT page_id, u, regexp_replace(substring(regexp_replace(regexp_replace(regexp_extract(u, '(?s)([^/\\]*)$', 1), '(?s)\.[^.]*$', ''), '[^\pL\pN_.-]', '_', 'g'), 1, 40), '\.+$', '') AS stem,
+ lower(substring(regexp_replace(regexp_extract(u, '(?s)\.([^.]*)$', 1), '[^A-Za-z0-9]', '', 'g'), 1, 12)) AS ext FROM x)
+SELECT page_id, CASE WHEN regexp_matches(stem, '^_*$') THEN 'page' || page_id ELSE stem END AS stem, CASE WHEN ext = '' THEN 'bin' ELSE ext END AS ext FROM y""",
+)(lambda s, d: table(s, d, "pages").select("page_id", keys.entry_stem(F.col("url"), F.concat(F.lit("page"), "page_id")).alias("stem"), keys.entry_extension(F.col("url")).alias("ext")))
+query(
+    "q_object_keys",
+    f"""{WITH} SELECT guid, 'lib/native/' || CASE WHEN doc_id % 5 = 4 THEN '_unlinked_attachments/' ELSE 'attachments/' END || guid || '.bin' AS place, '_conflicts/' || guid || '_' || (doc_id % 7) || '_local.zip' AS kept, '"' || md5(body) || '"' AS tag, substring(md5(title), 1, 12) AS machine FROM note""",
+)(
+    lambda s, d: notes(s, d).select(
+        "guid",
+        keys.attachment_key("/lib/", keys.attachment_place(F.concat(F.lit("attachments/"), "guid", F.lit(".bin")), F.col("doc_id") % 5, F.lit(None).cast("string"))).alias("place"),
+        keys.conflict_place(F.concat(F.lit("{"), "guid", F.lit("}")), F.col("doc_id") % 7, local=True).alias("kept"),
+        keys.etag(F.col("body")).alias("tag"),
+        keys.machine_tag(F.col("title")).alias("machine"),
+    )
+)
+query("q_data_uris", f"SELECT page_id, len(regexp_extract_all(html, '{keys.DATA_URI}'))::BIGINT AS n, CASE WHEN regexp_matches(html, '{keys.DATA_URI}') THEN 'text-data' ELSE 'none' END AS kind FROM pages WHERE html IS NOT NULL")(
+    lambda s, d: table(s, d, "pages").where("html is not null").select("page_id", F.size(keys.data_uris(F.col("html"))).cast("long").alias("n"), keys.paste_kind(F.lit(0), F.col("html"), F.lit("")).alias("kind"))
+)
+query("q_md_to_html")(lambda s, d: notes(s, d).select("guid", render.md_to_html(F.col("body")).alias("html")))
+query("q_md_highlight", f"{WITH} SELECT guid, replace(replace(replace(body, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS shown FROM note")(lambda s, d: notes(s, d).select("guid", render.strip_tags(render.highlight_md(F.col("body"))).alias("shown")))
+query("q_render_health")(lambda s, d: audit.worst_rendered(notes(s, d)))
+query("q_conversion_stats")(lambda s, d: audit.conversion_stats(table(s, d, "pages").select(F.col("page_id").alias("key"), markdown.html_to_md(F.col("html")).alias("md"))))
+query("q_purity", "SELECT page_id, len(regexp_extract_all(html, 'https://'))::BIGINT AS hosts, len(regexp_extract_all(html, '(?i)<script'))::BIGINT AS scripts, hosts = 0 AND scripts = 0 AS ok FROM pages WHERE html IS NOT NULL")(
+    lambda s, d: table(s, d, "pages").where("html is not null").select("page_id", audit.purity(F.col("html"), "https://").alias("p")).select("page_id", F.col("p.hosts").cast("long").alias("hosts"), F.col("p.scripts").cast("long").alias("scripts"), "p.ok")
+)
+@query(
+    "q_missing_refs",
+    """WITH r AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '(?i)href="([^"]+)"', 1)) AS ref FROM pages), e AS (SELECT DISTINCT page_id, regexp_extract(ref, '([^/]*)$', 1) AS name FROM r WHERE length(ref) % 2 = 0)
+SELECT r.page_id AS key, ref FROM r LEFT JOIN e ON r.page_id = e.page_id AND e.name = regexp_extract(ref, '([^/]*)$', 1) WHERE e.name IS NULL""",
+)
+def _missing_refs(s: SparkSession, d: str) -> DataFrame:
+    """Links stand in for resources; those of even length are entries of the page's package."""
+    refs = F.regexp_extract_all("html", F.lit('(?i)href="([^"]+)"'), 1)
+    bodies = table(s, d, "pages").select(F.col("page_id").alias("key"), "html")
+    entries = bodies.select("key", F.explode(refs).alias("ref")).where(F.length("ref") % 2 == 0).select("key", F.regexp_extract("ref", "([^/]*)$", 1).alias("name"))
+    return audit.missing_refs(bodies, entries, refs)
+
+
+@query(
+    "q_render_compare",
+    r"""WITH x AS (SELECT conv_id, turn, replace(text, ' ', CASE WHEN turn % 3 = 0 THEN chr(9) ELSE '  ' END) AS a, replace(text, ' ', CASE WHEN turn % 3 = 0 THEN '    ' WHEN turn % 3 = 1 THEN ' ' ELSE '  x' END) AS b FROM conversations WHERE text IS NOT NULL),
+ y AS (SELECT *, regexp_replace(replace(a, chr(9), '    '), '\n+$', '') AS na, regexp_replace(replace(b, chr(9), '    '), '\n+$', '') AS nb FROM x)
+SELECT conv_id, turn, CASE WHEN na = nb THEN 'same' WHEN regexp_replace(regexp_replace(na, '[ \t]+', ' ', 'g'), '(?m)^ | $', '', 'g') = regexp_replace(regexp_replace(nb, '[ \t]+', ' ', 'g'), '(?m)^ | $', '', 'g') THEN 'width' ELSE 'diff' END AS verdict FROM y""",
+)
+def _render_compare(s: SparkSession, d: str) -> DataFrame:
+    """Turns with their spaces changed by rule, against another change."""
+    kind = F.col("turn") % 3
+    a = F.replace("text", F.lit(" "), F.when(kind == 0, "\t").otherwise("  "))
+    b = F.replace("text", F.lit(" "), F.when(kind == 0, "    ").when(kind == 1, " ").otherwise("  x"))
+    return table(s, d, "conversations").where("text is not null").select("conv_id", "turn", render.compare_rendered(a, b).alias("verdict"))
+
+
+query("q_action_counts", f"SELECT count(*) FILTER (action = 'skip') AS skip, count(*) FILTER (action = 'get') AS get FROM ({_download_sql('writer', False)})")(lambda s, d: audit.action_counts(lib.download_plan(*_two(s, d)), ["skip", "get"]))
+query("q_tree_totals", f"{WITH} SELECT CASE WHEN split_part(location, '/', 2) IN ('en', 'de') THEN split_part(location, '/', 2) ELSE '' END AS top, count(*) AS files, sum(package_size)::BIGINT AS bytes FROM note GROUP BY 1")(
+    lambda s, d: audit.tree_totals(notes(s, d).select(F.regexp_replace("location", "^/", "").alias("path"), F.col("package_size").alias("bytes")), ["en", "de"])
+)
+@query(
+    "q_trash_files",
+    f"""{WITH}, t AS (SELECT guid, doc_id FROM note WHERE doc_id % 4 = 0), k AS (SELECT '_trash/2024-01-0' || (1 + doc_id % 3) || '/' || guid || CASE WHEN doc_id % 5 = 0 THEN '_x_1.zip' ELSE '.zip' END AS path, guid FROM note WHERE doc_id % 3 <> 0
+ UNION ALL SELECT '_trash/2024-01-09/' || guid || '_2.zip', guid FROM note WHERE doc_id % 8 = 0)
+SELECT t.guid, coalesce(max(CASE WHEN doc_id % 12 = 4 AND path LIKE '_trash/2024-01-0' || (1 + doc_id % 3) || '/%' AND doc_id % 5 <> 0 THEN path END), max(path)) AS file FROM t LEFT JOIN k USING (guid) GROUP BY t.guid""",
+)
+def _trash_files(s: SparkSession, d: str) -> DataFrame:
+    """Tombstones by rule, some with a note of where the package went, against a trash of some of the packages."""
+    n = notes(s, d)
+    day = F.concat(F.lit("_trash/2024-01-0"), (1 + F.col("doc_id") % 3).cast("string"), F.lit("/"), "guid")
+    disk = n.where("doc_id % 3 <> 0").select(F.concat(day, F.when(F.col("doc_id") % 5 == 0, "_x_1.zip").otherwise(".zip")).alias("path"))
+    disk = disk.unionAll(n.where("doc_id % 8 = 0").select(F.concat(F.lit("_trash/2024-01-09/"), "guid", F.lit("_2.zip"))))
+    tombs = n.where("doc_id % 4 = 0").select("guid", F.concat("location", "guid", F.lit(".zip")).alias("last_path"), F.when(F.col("doc_id") % 12 == 4, F.concat(day, F.lit(".zip"))).alias("trash_path"))
+    return audit.trash_files(tombs, disk)

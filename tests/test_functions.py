@@ -46,8 +46,8 @@ def test_text(spark, f, given, want):
 def test_more_text(spark):
     assert one(spark, text.ancestors, "/a/b/") == ["/a/", "/a/b/"] and one(spark, text.ancestors, "/") == []
     assert one(spark, text.resource_refs, 'x src="index_files/a.png" index_files/b.png\' index_files/a.png"') == ["a.png", "b.png"]
-    assert one(spark, text.inject_before_body_end, "<b></BODY>x</body>y", "!") == "<b></BODY>x!</body>y"
-    assert one(spark, text.inject_before_body_end, "none", "!") == "none!"
+    assert one(spark, text.inject_before_body_end, "<b></BODY>x</body>y", "!") == "<b></BODY>x!\n</body>y"
+    assert one(spark, text.inject_before_body_end, "none", "!") == "none\n!"
     assert one(spark, text.image_kind, b"\x89PNG\r\n\x1a\n0000") == "png" and one(spark, text.image_kind, b"<?xml?><svg/>") == "svg" and one(spark, text.image_kind, b"zzzz") is None
     check = lambda c: text.validate_html(c, "app://")
     assert one(spark, check, " ")["rejected"] == "empty" and one(spark, check, "<a href='app://x'>y</a>")["rejected"] == "host reference"
