@@ -175,26 +175,40 @@ def export_plan(source: DataFrame, previous: DataFrame, edited: DataFrame | None
 def export_names(notes: DataFrame) -> DataFrame:
     """guid, directory, name: names free of collisions in each directory, in order of title and guid.
 
-    A directory is one group, since each name depends on those before it; base names are made in the JVM first.
-    Second: the first 110 characters with _ and 8 of the guid; then _2, _3 and on.
-    """
-    own = notes.select("guid", sanitize_location(F.col("location")).alias("directory"), sanitize_title(F.col("title")).alias("base"), "title")
+    The first note of a base name has it; each later one has the first 110 characters with _ and the first 8 of its
+    guid, and where that is taken, _2, _3 and on.  A name also takes name.zip.  Null titles count as empty.
 
-    def name(rows: pd.DataFrame) -> pd.DataFrame:
-        used, names = set(), []
+    All names that a note could get begin alike up to the first _ or . (or 100 characters), so notes whose base begins
+    otherwise can't collide with it: a family.  In families where every name is wanted once, which SQL finds by
+    counting, the names stand as they are; only the others go through the chain, one family at a time.
+    """
+    bare = F.substring(F.regexp_replace("guid", r"^[{}]+|[{}]+$", ""), 1, 8)
+    own = notes.select("guid", sanitize_location(F.col("location")).alias("directory"), F.coalesce("title", F.lit("")).alias("title"))
+    own = own.withColumn("base", sanitize_title(F.col("title"))).withColumn("family", F.regexp_extract("base", r"(?s)^[^_.]{0,100}", 0)).withColumn("other", F.concat(F.substring("base", 1, 110), F.lit("_"), bare))
+    first = own.groupBy("directory", "base").agg(F.min(F.struct("title", "guid")).alias("first")).select(F.col("first.guid").alias("guid"), "directory", F.lit(True).alias("first")).distinct()
+    wanted = own.join(first, ["guid", "directory"], "left").withColumn("name", F.when(F.col("first"), F.col("base")).otherwise(F.col("other")))
+    taken = wanted.select("directory", "family", F.explode(F.array("name", F.concat("name", F.lit(".zip")))).alias("name"))
+    contested = taken.groupBy("directory", "family", "name").count().where("count > 1").select("directory", "family", F.lit(True).alias("contested")).distinct()
+    told = wanted.join(contested, ["directory", "family"], "left")
+
+    def chain(rows: pd.DataFrame) -> pd.DataFrame:
+        used, names, tried = set(), [], {}
         rows = rows.sort_values(["title", "guid"])
-        for base, guid in zip(rows["base"], rows["guid"]):
+        for base, other in zip(rows["base"], rows["other"]):
             got, n = base, 1
-            if got.lower() in used:
-                got = stem = f"{base[:110]}_{guid.replace('-', '')[:8]}"
-                while got.lower() in used:
+            if got in used:
+                got, head = other, base[:110]
+                n = tried.get(head, 1)
+                while got in used:
                     n += 1
-                    got = f"{stem}_{n}"
-            used |= {got.lower(), f"{got}.zip".lower()}
+                    got = f"{head}_{n}"
+                tried[head] = n
+            used |= {got, f"{got}.zip"}
             names.append(got)
         return pd.DataFrame({"guid": rows["guid"], "directory": rows["directory"], "name": names})
 
-    return own.groupBy("directory").applyInPandas(name, "guid string, directory string, name string")
+    chained = told.where("contested").groupBy("directory", "family").applyInPandas(chain, "guid string, directory string, name string")
+    return told.where("contested is null").select("guid", "directory", "name").unionByName(chained)
 
 
 # ---- replication

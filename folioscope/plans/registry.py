@@ -220,7 +220,8 @@ def _export(s: SparkSession, d: str) -> DataFrame:
 query("q_export_plan_status", f"""{WITH}, b AS (SELECT guid, doc_id % 10 <> 3 AS has, doc_id % 8 <> 5 AS had, doc_id % 14 = 0 AS edited, doc_id % 6 = 1 AND title <> 'old' AS info, doc_id % 4 <> 2 OR data_modified = '2000-01-01 00:00:00' AS same FROM note),
 t AS (SELECT *, CASE WHEN NOT has THEN 'tombstoned' WHEN edited THEN 'kept' WHEN had AND same THEN 'reused' WHEN had THEN 'reexported' ELSE 'added' END AS status FROM b WHERE has OR had)
 SELECT guid, status, CASE WHEN status = 'added' THEN true WHEN status IN ('reused', 'reexported') THEN info ELSE false END AS dirty_info, status IN ('added', 'reexported') AS dirty_data FROM t""")(_export)
-query("q_export_names")(lambda s, d: lib.export_names(notes(s, d)))
+query("q_export_names", f"""{WITH}, x AS (SELECT guid, regexp_replace(trim(location, '/'), '/+', '/', 'g') AS directory, title, {_title_sql("title")} AS base FROM note)
+SELECT guid, directory, CASE WHEN row_number() OVER (PARTITION BY directory, base ORDER BY title, guid) = 1 THEN base ELSE substring(base, 1, 110) || '_' || substring(guid, 1, 8) END AS name FROM x""")(lambda s, d: lib.export_names(notes(s, d)))
 
 # ---- replication
 

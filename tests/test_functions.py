@@ -130,10 +130,28 @@ def test_row_changes(spark):
     assert back["data_modified"] == "d" and back["dirty_data"] and back["revision"] == 2 and gone2.isEmpty()
 
 
+def names_in_order(rows):
+    """One note after another, each asking what is taken already."""
+    used, out = {}, []
+    for guid, location, title in sorted(rows, key=lambda r: (r[2], r[0])):
+        own, base = used.setdefault(location, set()), title
+        candidates = [base, f"{base[:110]}_{guid.strip('{}')[:8]}", *[f"{base[:110]}_{i}" for i in range(2, 99)]]
+        name = next(c for c in candidates if c not in own)
+        own |= {name, name + ".zip"}
+        out.append((guid, name))
+    return dict(out)
+
+
 def test_export_names(spark):
-    rows = [("g1", "/x/", "same"), ("g2-aaaabbbb", "/x/", "same"), ("g2-aaaabbbc", "/x/", "same"), ("g3", "/y/", "same")]
-    got = {r["guid"]: r["name"] for r in library.export_names(spark.createDataFrame(rows, "guid string, location string, title string")).collect()}
-    assert got == {"g1": "same", "g2-aaaabbbb": "same_g2aaaabb", "g2-aaaabbbc": "same_g2aaaabb_2", "g3": "same"}
+    long = "t" * 115
+    rows = [("g1", "/x/", "same"), ("{g2-aaaabb}", "/x/", "same"), ("g2-aaaabbbc", "/x/", "same"), ("g3", "/y/", "same")]
+    rows += [("z1", "/x/", "a"), ("z2", "/x/", "a.zip"), ("z3", "/x/", "a_z4"), ("z4", "/x/", "a"), ("z5", "/x/", "a_2"), ("z6", "/x/", "b"), ("z7", "/x/", "b")]
+    rows += [("y1", "/x/", long), ("y2", "/x/", long), ("y3", "/x/", long[:110] + "_y2"), ("y2", "/y/", "b"), ("g2-aaaaccc", "/x/", "same"), ("h1", "/x/", "same_2")]
+    rows = [(f"{g}", loc, t) for g, loc, t in rows]
+    got = {r["guid"]: r["name"] for r in library.export_names(spark.createDataFrame([r for r in rows if r[1] == "/x/"], "guid string, location string, title string")).collect()}
+    assert got == names_in_order([r for r in rows if r[1] == "/x/"])
+    assert got["g1"] == "same" and got["z7"] == "b_z7"
+    assert library.export_names(spark.createDataFrame([], "guid string, location string, title string")).count() == 0
 
 
 def test_upsert_and_conform(spark):
