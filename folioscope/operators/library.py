@@ -55,21 +55,31 @@ def flags(notes: DataFrame) -> DataFrame:
 # ---- attachments
 
 
+def _grams(c: Column, n: int) -> Column:
+    """Distinct substrings of n characters."""
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
 def containment(names: DataFrame, notes: DataFrame) -> DataFrame:
     """(file_path, guid) for every name(file_path, display_name) that a note's body contains.
 
-    A name's longest inner word must stand whole in any text that contains the name, so the pairs to test come from an
-    equi-join on that word.  Names without an inner word (two words or fewer) are tested against all bodies in a
-    nested loop, which is what such a name means.
+    A name's inner word (neither first nor last) must stand whole in any text that contains the name, so the pairs to
+    test come from an equi-join on the longest of these.  A name of one or two words needs a body's word that contains
+    the name's longest word: such words are found among the distinct words of all bodies, by the first three
+    characters (all, if fewer) of the name's word.  Names that are null, empty or white space are in no body.
     """
     words = F.filter(F.split("display_name", r"\s+"), lambda w: w != "")
+    longest = lambda ws: F.array_sort(ws, lambda a, b: F.length(b) - F.length(a))[0]
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    anchored = names.withColumn("anchor", F.when(F.size(words) > 2, F.array_sort(inner, lambda a, b: F.length(b) - F.length(a))[0]))
-    keys = anchored.where("anchor is not null")
-    held = notes.select("guid", F.explode(F.array_distinct(F.split("body", r"\s+"))).alias("anchor")).join(keys, "anchor").select("guid", "file_path", "display_name")
-    found = held.join(notes.select("guid", "body"), "guid").where(F.col("body").contains(F.col("display_name"))).select("file_path", "guid")
-    loose = anchored.where("anchor is null and display_name <> ''")
-    return found.unionByName(notes.join(loose, F.col("body").contains(F.col("display_name"))).select("file_path", "guid")).distinct()
+    anchored = names.select("file_path", "display_name", (F.size(words) > 2).alias("whole"), F.when(F.size(words) > 2, longest(inner)).when(F.size(words) > 0, longest(words)).alias("anchor")).where("anchor is not null")
+    held = notes.select("guid", F.explode(F.array_distinct(F.split("body", r"\s+"))).alias("anchor"))
+    loose = anchored.where("not whole").withColumn("n", F.least(F.lit(3), F.length("anchor"))).withColumn("gram", F.substring(F.col("anchor"), F.lit(1), F.col("n")))
+    vocabulary = held.where("anchor <> ''").select(F.col("anchor").alias("word")).distinct()
+    grams = F.array_distinct(F.concat(*[_grams(F.col("word"), n) for n in (1, 2, 3)]))
+    near = vocabulary.select("word", F.explode(grams).alias("gram")).join(loose, "gram").where(F.col("word").contains(F.col("anchor"))).select(F.col("word").alias("anchor"), "file_path", "display_name")
+    keys = anchored.where("whole").select("anchor", "file_path", "display_name").unionByName(near)
+    pairs = held.join(keys, "anchor").select("guid", "file_path", "display_name").distinct()
+    return pairs.join(notes.select("guid", "body"), "guid").where(F.col("body").contains(F.col("display_name"))).select("file_path", "guid").distinct()
 
 
 def attribute(names: DataFrame, notes: DataFrame, records: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

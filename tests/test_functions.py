@@ -142,6 +142,14 @@ def names_in_order(rows):
     return dict(out)
 
 
+def test_containment(spark):
+    bodies = [("1", "see photo.png and my file name.txt"), ("2", "xphoto.pngx; a b"), ("3", "a  b"), ("4", ""), ("5", "the end of my file name.txtual")]
+    names = ["photo.png", "a b", "b", "x", "my file name.txt", "of my", "file name.txt", "", " ", None, "zzz", "the"]
+    n = spark.createDataFrame([(f"f{i}", x) for i, x in enumerate(names)], "file_path string, display_name string")
+    got = sorted(tuple(r) for r in library.containment(n, spark.createDataFrame(bodies, "guid string, body string")).collect())
+    assert got == sorted((f"f{i}", g) for i, x in enumerate(names) for g, b in bodies if x and x.strip() and x in b)
+
+
 def test_export_names(spark):
     long = "t" * 115
     rows = [("g1", "/x/", "same"), ("{g2-aaaabb}", "/x/", "same"), ("g2-aaaabbbc", "/x/", "same"), ("g3", "/y/", "same")]
