@@ -73,12 +73,13 @@ def containment(names: DataFrame, notes: DataFrame) -> DataFrame:
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     anchored = names.select("file_path", "display_name", (F.size(words) > 2).alias("whole"), F.when(F.size(words) > 2, longest(inner)).when(F.size(words) > 0, longest(words)).alias("anchor")).where("anchor is not null")
     held = notes.select("guid", F.explode(F.array_distinct(F.split("body", r"\s+"))).alias("anchor"))
+    pairs = held.join(anchored.where("whole").select("anchor", "file_path", "display_name"), "anchor").select("guid", "file_path", "display_name")
     loose = anchored.where("not whole").withColumn("n", F.least(F.lit(3), F.length("anchor"))).withColumn("gram", F.substring(F.col("anchor"), F.lit(1), F.col("n")))
-    vocabulary = held.where("anchor <> ''").select(F.col("anchor").alias("word")).distinct()
-    grams = F.array_distinct(F.concat(*[_grams(F.col("word"), n) for n in (1, 2, 3)]))
-    near = vocabulary.select("word", F.explode(grams).alias("gram")).join(loose, "gram").where(F.col("word").contains(F.col("anchor"))).select(F.col("word").alias("anchor"), "file_path", "display_name")
-    keys = anchored.where("whole").select("anchor", "file_path", "display_name").unionByName(near)
-    pairs = held.join(keys, "anchor").select("guid", "file_path", "display_name").distinct()
+    if not loose.isEmpty():  # one look at the names spares a pass over all bodies
+        vocabulary = held.where("anchor <> ''").select(F.col("anchor").alias("word")).distinct()
+        grams = F.array_distinct(F.concat(*[_grams(F.col("word"), n) for n in (1, 2, 3)]))
+        near = vocabulary.select("word", F.explode(grams).alias("gram")).join(loose, "gram").where(F.col("word").contains(F.col("anchor"))).select(F.col("word").alias("anchor"), "file_path", "display_name")
+        pairs = pairs.unionByName(held.join(near, "anchor").select("guid", "file_path", "display_name").distinct())
     return pairs.join(notes.select("guid", "body"), "guid").where(F.col("body").contains(F.col("display_name"))).select("file_path", "guid").distinct()
 
 
