@@ -299,15 +299,19 @@ query(
         keys.machine_tag(F.col("title")).alias("machine"),
     )
 )
-query("q_data_uris", f"SELECT page_id, len(regexp_extract_all(html, '{keys.DATA_URI}'))::BIGINT AS n, CASE WHEN regexp_matches(html, '{keys.DATA_URI}') THEN 'text-data' ELSE 'none' END AS kind FROM pages WHERE html IS NOT NULL")(
-    lambda s, d: table(s, d, "pages").where("html is not null").select("page_id", F.size(keys.data_uris(F.col("html"))).cast("long").alias("n"), keys.paste_kind(F.lit(0), F.col("html"), F.lit("")).alias("kind"))
+query("q_data_uris", f"""WITH x AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN html || '<img src="data:image/png;base64,' || to_base64(encode(url)) || '">' ELSE html END AS h FROM pages WHERE html IS NOT NULL AND url IS NOT NULL)
+SELECT page_id, len(regexp_extract_all(h, '{keys.DATA_URI}'))::BIGINT AS n, regexp_extract(h, '{keys.DATA_URI}') AS first, CASE WHEN regexp_matches(h, '{keys.DATA_URI}') THEN 'html-data' ELSE 'none' END AS kind FROM x""")(
+    lambda s, d: table(s, d, "pages")
+    .where("html is not null and url is not null")
+    .select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat("html", F.lit('<img src="'), keys.as_data_uri(F.lit("x.png"), F.encode("url", "UTF-8")), F.lit('">'))).otherwise(F.col("html")).alias("h"))
+    .select("page_id", F.size(keys.data_uris(F.col("h"))).cast("long").alias("n"), F.coalesce(F.get(keys.data_uris(F.col("h")), F.lit(0)), F.lit("")).alias("first"), keys.paste_kind(F.lit(0), F.lit(""), F.col("h")).alias("kind"))
 )
 query("q_md_to_html")(lambda s, d: notes(s, d).select("guid", render.md_to_html(F.col("body")).alias("html")))
 query("q_md_highlight", f"{WITH} SELECT guid, replace(replace(replace(body, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS shown FROM note")(lambda s, d: notes(s, d).select("guid", render.strip_tags(render.highlight_md(F.col("body"))).alias("shown")))
 query("q_render_health")(lambda s, d: audit.worst_rendered(notes(s, d)))
 query("q_conversion_stats")(lambda s, d: audit.conversion_stats(table(s, d, "pages").select(F.col("page_id").alias("key"), markdown.html_to_md(F.col("html")).alias("md"))))
-query("q_purity", "SELECT page_id, len(regexp_extract_all(html, 'https://'))::BIGINT AS hosts, len(regexp_extract_all(html, '(?i)<script'))::BIGINT AS scripts, hosts = 0 AND scripts = 0 AS ok FROM pages WHERE html IS NOT NULL")(
-    lambda s, d: table(s, d, "pages").where("html is not null").select("page_id", audit.purity(F.col("html"), "https://").alias("p")).select("page_id", F.col("p.hosts").cast("long").alias("hosts"), F.col("p.scripts").cast("long").alias("scripts"), "p.ok")
+query("q_purity", "SELECT page_id, len(regexp_extract_all(html, 'href='))::BIGINT AS hosts, len(regexp_extract_all(html, '(?i)<script'))::BIGINT AS scripts, hosts = 0 AND scripts = 0 AS ok FROM pages WHERE html IS NOT NULL")(
+    lambda s, d: table(s, d, "pages").where("html is not null").select("page_id", audit.purity(F.col("html"), "href=").alias("p")).select("page_id", F.col("p.hosts").cast("long").alias("hosts"), F.col("p.scripts").cast("long").alias("scripts"), "p.ok")
 )
 @query(
     "q_missing_refs",
@@ -336,7 +340,12 @@ def _render_compare(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "conversations").where("text is not null").select("conv_id", "turn", render.compare_rendered(a, b).alias("verdict"))
 
 
-query("q_action_counts", f"SELECT count(*) FILTER (action = 'skip') AS skip, count(*) FILTER (action = 'get') AS get FROM ({_download_sql('writer', False)})")(lambda s, d: audit.action_counts(lib.download_plan(*_two(s, d)), ["skip", "get"]))
+#: A plan by rule: every third note is put, every third put under a condition, the rest skipped.
+_ACTIONS = "SELECT CASE doc_id % 3 WHEN 0 THEN 'put' WHEN 1 THEN 'put-if' ELSE 'skip' END AS action FROM documents"
+_actions = lambda s, d: table(s, d, "documents").select(F.when(F.col("doc_id") % 3 == 0, "put").when(F.col("doc_id") % 3 == 1, "put-if").otherwise("skip").alias("action"))
+query("q_action_counts", f"SELECT count(*) FILTER (action = 'put') AS put, count(*) FILTER (action = 'put-if') AS put_if, count(*) FILTER (action = 'skip') AS skip, count(*) FILTER (action = 'x') AS x FROM ({_ACTIONS})")(
+    lambda s, d: audit.action_counts(_actions(s, d), ["put", "put-if", "skip", "x"])
+)
 query("q_tree_totals", f"{WITH} SELECT CASE WHEN split_part(location, '/', 2) IN ('en', 'de') THEN split_part(location, '/', 2) ELSE '' END AS top, count(*) AS files, sum(package_size)::BIGINT AS bytes FROM note GROUP BY 1")(
     lambda s, d: audit.tree_totals(notes(s, d).select(F.regexp_replace("location", "^/", "").alias("path"), F.col("package_size").alias("bytes")), ["en", "de"])
 )
