@@ -116,10 +116,14 @@ def learn(docs: DataFrame) -> Markov:
     return train([r[0] for r in got])
 
 
-def _runs(mask: np.ndarray, least: int) -> np.ndarray:
-    """Where runs of at least `least` begin."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
-    begin, end = edge[::2], edge[1::2]
+def _runs(mask: np.ndarray, offsets: np.ndarray, least: int) -> np.ndarray:
+    """Where runs of at least `least` within one text begin; a run that goes on past a text's end is cut there."""
+    border = offsets[(offsets > 0) & (offsets < len(mask))]
+    first, last = mask.copy(), mask.copy()
+    first[1:] &= ~mask[:-1]
+    last[:-1] &= ~mask[1:]
+    first[border], last[border - 1] = mask[border], mask[border - 1]
+    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     return begin[end - begin >= least]
 
 
@@ -149,7 +153,7 @@ def _suspects(texts: pa.Array) -> np.ndarray:
     """Numbers of the texts that can hold a span, found on bytes."""
     data, offsets = text_buffers(texts)
     sign = np.flatnonzero((data == 0x3A) | (data == 0x3D))
-    at = np.concatenate([sign, _runs(_HEX_BYTE[data], HEX_LEAST), _runs(_TOKEN_BYTE[data], ACCESS_LEAST)])
+    at = np.concatenate([sign, _runs(_HEX_BYTE[data], offsets, HEX_LEAST), _runs(_TOKEN_BYTE[data], offsets, ACCESS_LEAST)])
     return np.unique(np.searchsorted(offsets, at, side="right") - 1)
 
 
