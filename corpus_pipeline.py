@@ -10,9 +10,10 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioscope.llm import op4_packing, op5_toxicity, op6_secrets, op8_mixing, op9_dedup
-from folioscope.llm.common import shared_folder
+from folioscope.llm.common import shared_folder, staged
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,12 +25,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, likeness 0.8 or more) stays: the smallest doc_id.
 
-    The ids that go are joined on their own; rows with a null doc_id stay.  Rows that repeat a doc_id whole are
-    copies, of which one stays.
+    The ids that go are joined on their own.  Rows of one doc_id, or of none, whose texts are equal are copies, of
+    which one stays; different texts under one doc_id, or under none, stay side by side.
     """
     answer = op9_dedup.near_duplicates(docs, size=5, part=80, whole=100)
     gone = answer.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without_copies(docs).join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """One row of each (doc_id, text), nulls being equal; only rows that are repeated are shuffled with their texts."""
+    hashed = docs.withColumn("_content", F.sha2("text", 256))
+    again = hashed.groupBy(F.col("doc_id").alias("_id"), F.col("_content").alias("_same")).count().where("count > 1").drop("count")
+    again = staged(again, "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_content").eqNullSafe(F.col("_same"))
+    repeated = hashed.join(again, same, "left_semi").dropDuplicates(["doc_id", "_content"])
+    return hashed.join(again, same, "left_anti").unionByName(repeated).drop("_content")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,16 @@ def test_stages_on_their_own_inputs(spark, docs, small):
     assert stages["packing"](spark, mixed, small).count() >= mixed.count()
 
 
+def test_near_dedup_keeps_one_of_repeated_rows(spark, odd, small):
+    more = [(9, "another text of nine"), (None, "no id here at all"), (None, "no id either"), (None, None), (None, None), *[(20, "said again and again and again")] * 50]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    want = {tuple(r) for r in docs.where("doc_id is null or doc_id not in (4, 6)").collect()}
+    got = [tuple(r) for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, small).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    whole = dict(corpus_pipeline.STAGES)["near_dedup"](spark, odd, small)
+    assert whole.schema == odd.schema and whole.where("doc_id = 9").count() == 1
+
+
 def test_run_is_its_stages(spark, small):
     rows = corpus_pipeline.run(spark, small)
     assert rows.count() > 100 and "sequence_id" in rows.columns
