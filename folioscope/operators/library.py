@@ -115,10 +115,16 @@ def note_attachments(attachments: DataFrame, bridge: DataFrame) -> DataFrame:
 
 
 def latest(changes: DataFrame, key: str = "guid", order: str = "ts") -> DataFrame:
-    """The newest change of each key (ties: the larger row) with the OR of its latches."""
-    rest = [c for c in changes.columns if c != key]
-    top = changes.groupBy(key).agg(F.max(F.struct(order, *[c for c in rest if c != order])).alias("_v"))
-    return top.select(key, "_v.*")
+    """The newest change of each key (ties: the larger row) with the OR of the latches of all its changes.
+
+    Changes are writes, which only set dirty_info and dirty_data (null: not set); commit clears them.
+    """
+    kinds = dict(changes.dtypes)
+    latches = [c for c in ("dirty_info", "dirty_data") if c in kinds]
+    rest = [c for c in changes.columns if c not in (key, order)]
+    either = [(F.bool_or(c) if kinds[c] == "boolean" else F.bit_or(c)).alias(c) for c in latches]
+    top = changes.groupBy(key).agg(F.max(F.struct(order, *[c for c in rest if c not in latches])).alias("_v"), *either)
+    return top.select(key, f"_v.{order}", *[c if c in latches else f"_v.{c}" for c in rest])
 
 
 def upsert(base: DataFrame, delta: DataFrame, key: str = "guid") -> DataFrame:
