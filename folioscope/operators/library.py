@@ -156,9 +156,20 @@ def commit(manifest: DataFrame, done: DataFrame, revision: int) -> DataFrame:
 
 
 def invariants(manifest: DataFrame, disk: DataFrame, deep: bool = True) -> DataFrame:
-    """guid, problem: missing, md5 (if deep) or size of each manifest row whose file(path, md5, size) isn't as it says."""
-    at = disk.select("path", F.col("md5").alias("_md5"))
-    problem = F.when(F.col("_md5").isNull(), "missing").when(F.lit(deep) & (F.col("md5") != F.col("_md5")), "md5")
+    """guid, problem: missing, size or md5 (if deep) of each manifest row whose file(path, md5, size) isn't as it says.
+
+    A manifest row without an md5 has none to compare.  Where either side lacks size, deep goes by md5 alone and
+    light has nothing to go by and is refused.
+    """
+    sized = "size" in manifest.columns and "size" in disk.columns
+    if not (sized or deep):
+        raise ValueError("without deep, both sides need size")
+    at = disk.select("path", F.lit(True).alias("_there"), *([F.col("size").alias("_size")] if sized else []), *([F.col("md5").alias("_md5")] if deep else []))
+    problem = F.when(F.col("_there").isNull(), "missing")
+    if sized:
+        problem = problem.when(~F.col("size").eqNullSafe(F.col("_size")), "size")
+    if deep:
+        problem = problem.when((F.col("md5") != "") & ~F.col("md5").eqNullSafe(F.col("_md5")), "md5")
     return manifest.join(at, "path", "left").select("guid", problem.alias("problem")).where("problem is not null")
 
 

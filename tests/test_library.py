@@ -13,3 +13,13 @@ def test_latest_keeps_latches_of_older_changes(spark, kind):
     got = lib.latest(changes)
     assert sorted(tuple(r) for r in got.collect()) == [("a", 2, False, True, "y"), ("b", 1, True, None, "z"), ("c", 5, False, False, "x")]
     assert sorted(r["guid"] for r in lib.unsynced(got).collect()) == ["a", "b"]
+
+
+def test_invariants_light_and_deep(spark):
+    rows = spark.createDataFrame([("ok", "a", "m", 1), ("cut", "b", "m", 9), ("changed", "c", "m", 1), ("gone", "d", "m", 1), ("unread", "e", "m", 1), ("bare", "f", "", 1)], "guid string, path string, md5 string, size long")
+    disk = spark.createDataFrame([("a", "m", 1), ("b", "n", 2), ("c", "n", 1), ("e", None, 1), ("f", "n", 1)], "path string, md5 string, size long")
+    light = {r["guid"]: r["problem"] for r in lib.invariants(rows, disk, deep=False).collect()}
+    assert light == {"cut": "size", "gone": "missing"}
+    assert {r["guid"]: r["problem"] for r in lib.invariants(rows, disk).collect()} == light | {"changed": "md5", "unread": "md5"}
+    with pytest.raises(ValueError):
+        lib.invariants(rows.drop("size"), disk, deep=False)
