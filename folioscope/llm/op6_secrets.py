@@ -16,8 +16,6 @@ from .common import documents, only, steps, text_buffers
 
 #: Documents whose words teach the model of ordinary identifiers: those of the smallest hashes of doc_id.
 SAMPLE = 500
-#: Distinct words that one sampled document gives at most, the first in order.
-SAMPLE_WORDS = 400
 #: Runs of token characters shorter than this are not judged by the models.
 SHORTEST = 20
 PLACEHOLDER = "[SECRET]"
@@ -111,7 +109,7 @@ def learn(docs: DataFrame) -> Markov:
     ids = [r[0] for r in docs.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()]
     if not ids:
         return train([])
-    words = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9])[A-Za-z][a-z]{2,14}(?![A-Za-z0-9])"), 0))), 1, SAMPLE_WORDS)
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9])[A-Za-z][a-z]{2,14}(?![A-Za-z0-9])"), 0))
     got = docs.where(F.col("doc_id").isin(ids)).select(F.explode(words).alias("w")).select(F.lower("w").alias("w")).distinct().orderBy("w").collect()
     return train([r[0] for r in got])
 

@@ -126,6 +126,13 @@ def test_models_tell_random_strings_from_identifiers():
     assert np.mean([model.score(s) > model.least for s in ordinary]) < 0.02
 
 
+def test_all_words_of_the_sample_teach(spark, monkeypatch):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [f"z{a}{b}" for a in letters for b in letters]
+    monkeypatch.setattr(op6_secrets, "train", list)
+    assert op6_secrets.learn(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")) == words
+
+
 def test_secrets_of_odd_rows(spark, odd, none):
     model = op6_secrets.learn(odd)
     rows = {r["doc_id"]: r["spans"] for r in op6_secrets.scan(odd, model).collect()}
