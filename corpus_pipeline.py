@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import op4_packing, op5_toxicity, op6_secrets, op8_mixing, op9_dedup
-from folioscope.llm.common import shared_folder, staged
+from folioscope.llm.common import delete, hold, scratch, shared_folder, staged
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,11 +26,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, likeness 0.8 or more) stays: the smallest doc_id.
 
     The ids that go are joined on their own.  Rows of one doc_id, or of none, whose texts are equal are copies, of
-    which one stays; different texts under one doc_id, or under none, stay side by side.
+    which one stays; different texts under one doc_id are documents of their own, and those under none stay.
     """
-    answer = op9_dedup.near_duplicates(docs, size=5, part=80, whole=100)
-    gone = answer.where("not kept").select("doc_id").distinct()
-    return without_copies(docs).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    answer = op9_dedup.classified(docs, size=5, part=80, whole=100)
+    gone = staged(answer.where("not kept").select(F.col("doc_id").alias("_gone"), "own_text").distinct(), "gone").withColumnRenamed("own_text", "_gone_text")
+    same = (F.col("doc_id") == F.col("_gone")) & (F.col("_gone_text").isNull() | (F.col("_gone_text") == op9_dedup.text_hash()))
+    return without_copies(docs).join(gone, same, "left_anti").select(*docs.columns)
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
@@ -66,9 +67,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and reread; the last one's rows."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     folder = f"{shared_folder(spark)}/folioscope/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(path)
+        path = f"{folder}-{i}-{name}"
+        with scratch():  # what a stage has staged for itself, and its input, go when it is written
+            stage(spark, docs, sf_dir).write.parquet(path)
+        delete(before)
+        docs, before = spark.read.parquet(hold(spark, path)), path
     return docs

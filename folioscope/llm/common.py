@@ -21,30 +21,82 @@ BATCH_LIMIT = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local master gets a temporary folder; on a cluster it is an error, since executors would not
+    see each other's tables.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='folioscope-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders of staged tables that are still there, with their sessions.
+_held: dict[str, SparkSession] = {}
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends here, and Spark knows the table's true size."""
+    """df written to the shared folder and read back: lineage ends here, and Spark knows the table's true size.
+
+    The table goes with discard(), at the end of scratch(), or when the interpreter ends.  Shuffle files of the plan go as
+    soon as the table is written.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/folioscope/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    cleaned = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, cleaned)
+    _held[path] = spark
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that no later plan reads; frames that aren't staged themselves are left alone."""
+    for table in tables:
+        delete(getattr(table, "_staged_at", None))
+
+
+def delete(path: str | None) -> None:
+    """Delete a folder that staged() or a pipeline wrote."""
+    spark = _held.pop(path, None)
+    if spark is not None:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def _forget(spark: SparkSession, path: str) -> None:
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Everything staged inside is deleted at the end: for work whose result has been written by then."""
+    before = set(_held)
     try:
-        jvm = spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the session may have ended before the interpreter
-        pass
+        yield
+    finally:
+        for path in set(_held) - before:
+            delete(path)
+
+
+def hold(spark: SparkSession, path: str) -> str:
+    """Have a folder deleted like a staged table."""
+    _held[path] = spark
+    return path
+
+
+@atexit.register
+def _end() -> None:
+    for path in list(_held):
+        with contextlib.suppress(Exception):  # the session may have ended before the interpreter
+            delete(path)
 
 
 def partitions(spark: SparkSession) -> int:

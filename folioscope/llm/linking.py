@@ -1,8 +1,15 @@
 """From band keys to verified links to components, for documents that are near copies of each other.
 
-keys: a table of (node, n, key) rows; n is the size of the node's shingle set.  Nodes are integers; equal keys make two
-nodes candidates.  The steps never hold a bucket in one task: counts and smallest members are pre-aggregated, and
-joins are plain equi-joins that Spark splits where a key is hot.
+nodes: one row for each distinct set, (node, n, keys, sketch columns): n is the set's size, keys its band keys.  Nodes
+are integers; equal keys make two nodes candidates.  Everything works on rows of nodes, of star edges, or of
+shingles; a bucket's members are never brought together, and nothing is capped.
+
+1. Stars: each bucket's smallest node is its centre.  Edges to the other members are verified on full sets.
+2. What stars can leave open: two members of a bucket that are linked with each other but with no centre.  Classes are the
+   components of all star edges, verified or not, so a bucket lies within one class.  Of a class with several
+   verified components, only nodes that share enough shingles with other components can have a link to them; the others
+   go, classes are made again from the buckets of those that stay, and so on while that sheds nodes.
+3. Those that stay are compared across components in blocks, by exact intersections.
 """
 
 from __future__ import annotations
@@ -11,19 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import now_and_then, staged, steps
+from .common import discard, now_and_then, staged, steps
 from .shingles import sets
 
-
 #: Ids that are broadcast at most, to pick the texts of candidates; beyond it the texts are shuffled once.
 BROADCAST_IDS = 2_000_000
-#: Rows and shingles of one block of a bucket, about.
-BLOCK_ROWS, BLOCK_SHINGLES = 256, 200_000
-#: Members of a bucket whose pairs are joined one by one at most; larger buckets go by blocks.
-SMALL_BUCKET = 12
+#: Rows and shingles of one block of guests, and of one block of hosts, about (see across).
+GUEST_ROWS, GUEST_SHINGLES = 256, 200_000
+HOST_ROWS, HOST_SHINGLES = 4096, 1_000_000
+#: Another round of step 2 follows one that left at most this share of its nodes.
+SHEDDING = 0.5
 
 
 def bands(threshold: float, values: int, miss: float = 1e-6) -> tuple[int, int]:
@@ -34,11 +41,6 @@ def bands(threshold: float, values: int, miss: float = 1e-6) -> tuple[int, int]:
     return values, 1
 
 
-def alike_in_size(one: str, other: str, part: int, whole: int):
-    """Whether two sets of these sizes can reach the likeness at all."""
-    return F.least(one, other) * F.lit(whole) >= F.greatest(one, other) * F.lit(part)
-
-
 def far_apart(bits: int, threshold: float) -> int:
     """How many of so many one-bit values may differ between sets at the threshold: the mean, and six deviations more.
 
@@ -49,108 +51,21 @@ def far_apart(bits: int, threshold: float) -> int:
     return int(bits * p + 6 * (bits * p * (1 - p)) ** 0.5) + 1
 
 
-def close_sketches(one: list[str], other: list[str], threshold: float):
+def close_sketches(one: list[str], other: list[str], threshold: float) -> Column:
     """Whether two sketches (columns of 64 one-bit values each) are near enough to be worth a check of the whole sets."""
     apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(one, other)), F.lit(0))
     return apart <= far_apart(64 * len(one), threshold)
 
 
-def stars(keys: DataFrame, part: int, whole: int) -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b), a < b, from the smallest node of each bucket to each other member; and the buckets' (key, node, n) rows.
+def stars(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b), a < b, from the smallest node of each bucket to each other member, staged.
 
     The smallest node is the centre in every bucket it is in, so a cluster's members share their edges and
-    a cluster of n costs about n edges.  Edges between sets too unlike in size are left out.
-    """
-    buckets = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("a"), F.max("node").alias("last")).where("a.node < last").select("key", "a")
-    members = staged(keys.join(buckets, "key").select("key", "node", "n", F.col("a.node").alias("a"), F.col("a.n").alias("an")), "buckets")
-    edges = members.where((F.col("node") > F.col("a")) & alike_in_size("n", "an", part, whole)).select("a", F.col("node").alias("b")).distinct()
-    return edges, members
-
-
-def blocks(rows: DataFrame, extra: list[str]) -> DataFrame:
-    """rows(key, node, n, ..) dealt to pairs of blocks (key, p, q), p <= q: every two rows of a bucket meet in one of them.
-
-    Blocks are made by a hash of the node, of about BLOCK_ROWS rows and BLOCK_SHINGLES shingles, so a group of the
-    result is bounded whatever the bucket holds.
-    """
-    sizes = rows.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = rows.join(staged(sizes, "block-counts"), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "n", "component", *extra)
-
-
-def crossings(members: DataFrame, labels: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, part: int, whole: int) -> DataFrame:
-    """Links (a, b) between members of one bucket that the stars left in different components.
-
-    Only buckets that span components matter, and pairs across them.  Small buckets' pairs are joined, their sketches
-    compared in the join.  Blocks of a larger bucket meet twice.  First with
-    sketches: they say which members have any near one across components, one row for each such member, so that
-    documents which share a passage and little else go no further.  Then with texts: full sets decide, and each
-    meeting gives at most the links that join components, never all pairs.  Both are exact up to the sketch's
-    bound (see far_apart).
+    a cluster of n costs about n edges.
     """
-    own = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high").select("key", "members")
-    words = [c for c in sketches.columns if c != "node"]
-    all_open = staged(own.join(mixed, "key").join(sketches, "node"), "open-buckets")
-    few = _within_small(all_open.where(F.col("members") <= SMALL_BUCKET), words, part, whole)
-    few = verified(staged(few, "close-pairs"), texts, size, part, whole)
-    open_ = all_open.where(F.col("members") > SMALL_BUCKET).drop("members")
-    most, threshold = far_apart(64 * len(words), part / whole), part / whole
-
-    def possible(table: pa.Table) -> np.ndarray:
-        """Pairs of rows of two blocks (or one with itself) that may be linked, as a matrix over the rows."""
-        n, component = table["n"].to_numpy(), table["component"].to_numpy()
-        apart = np.zeros((len(n), len(n)), np.int32)
-        for w in words:
-            x = table[w].to_numpy()
-            apart += np.bitwise_count(x[:, None] ^ x[None])
-        ok = (apart <= most) & (component[:, None] != component[None]) & (np.minimum(n[:, None], n[None]) >= threshold * np.maximum(n[:, None], n[None]) - 1e-9)
-        block, (p, q) = table["own"].to_numpy(), (table["p"][0].as_py(), table["q"][0].as_py())
-        return ok & (block[:, None] == p) & (block[None] == q) if p != q else np.triu(ok, 1)
-
-    def promising(table: pa.Table) -> pa.Table:
-        now_and_then()
-        ok = possible(table)
-        return table.select(["key", "node"]).filter(pa.array(ok.any(axis=0) | ok.any(axis=1)))
-
-    some = blocks(open_, words).groupBy("key", "p", "q").applyInArrow(promising, "key long, node long").distinct()
-    some = staged(some, "promising")
-
-    def link(table: pa.Table) -> pa.Table:
-        nodes, column, found, of = table["node"].to_pylist(), table["text"].combine_chunks(), [], {}
-        held: dict[int, np.ndarray] = {}
-        now_and_then()
-
-        def root(x: int) -> int:
-            while of.setdefault(x, x) != x:
-                x = of[x]
-            return x
-
-        component = table["component"].to_pylist()
-        for i, j in zip(*np.nonzero(possible(table))):
-            x, y = root(component[i]), root(component[j])
-            if x == y:
-                continue
-            for k in (i, j):
-                if k not in held:
-                    held[k] = sets(column.slice(k, 1), size)[0]
-            common = len(np.intersect1d(held[i], held[j], assume_unique=True))
-            if common and whole * common >= part * (len(held[i]) + len(held[j]) - common):
-                of[max(x, y)] = min(x, y)
-                found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
-
-    full = open_.join(some, ["key", "node"]).join(texts, "node")
-    return blocks(full, [*words, "text"]).groupBy("key", "p", "q").applyInArrow(link, "a long, b long").where("a <> b").distinct().unionAll(few)
-
-
-def _within_small(open_: DataFrame, words: list[str], part: int, whole: int) -> DataFrame:
-    """Pairs (a, b) across components in buckets of at most SMALL_BUCKET members: so many for each member at most."""
-    one = open_.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), *[F.col(w).alias(f"{w}_a") for w in words])
-    other = open_.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), *[F.col(w).alias(f"{w}_b") for w in words])
-    near = alike_in_size("na", "nb", part, whole) & close_sketches([f"{w}_a" for w in words], [f"{w}_b" for w in words], part / whole)
-    return one.join(other, (one["key"] == other["key"]) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    keys = nodes.select("node", F.explode("keys").alias("key"))
+    buckets = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("key", "a")
+    return staged(keys.join(buckets, "key").where("node > a").select("a", F.col("node").alias("b")).distinct(), "star-edges")
 
 
 def texts_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -164,7 +79,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, part: int, whole: in
     """The (a, b) of pairs whose full shingle sets have whole * intersection >= part * union, by texts(node, text).
 
     Each pair takes its member's text first and the centre's last, so a centre's text isn't copied for each of its
-    members.  A node with several texts links by any of them.
+    members.
     """
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
@@ -197,29 +112,139 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        large = staged(large, "large-stars")
         # small star: every node b with its smaller neighbours a; they and b go to the smallest of them
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select("m", F.explode(F.array("a", "b")).alias("b")).where("m <> b").select(F.col("m").alias("a"), "b").distinct()
-        small = staged(small, "small-stars")
-        if small.join(now, ["a", "b"], "left_anti").isEmpty() and now.join(small, ["a", "b"], "left_anti").isEmpty():
-            return small.groupBy("b").agg(F.min("a").alias("component")).withColumnRenamed("b", "node").unionAll(small.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+        small = staged(large.join(least, "b").select("m", F.explode(F.array("a", "b")).alias("b")).where("m <> b").select(F.col("m").alias("a"), "b").distinct(), "small-stars")
+        discard(now)
+        ends = small.select(F.col("a").alias("node"), F.lit(1).alias("centre"), F.lit(0).alias("member")).unionAll(small.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.max("centre").alias("centre"), F.sum("member").alias("member")).where("member > 1 or member = 1 and centre = 1").isEmpty():
+            return small.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(small.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
         now = small
 
 
-def linked(keys: DataFrame, texts: DataFrame, sketches: DataFrame, size: int, part: int, whole: int) -> tuple[DataFrame, DataFrame]:
-    """Verified edges (a, b) and (node, component) from band keys, texts(node, text) and sketches(node, columns of 64 bits).
+def classes(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, class, component) of the nodes with edges whose class (a component of edges) spans several components of labels, staged."""
+    own = components(edges).withColumnRenamed("component", "class").join(labels, "node", "left").select("node", "class", F.coalesce("component", "node").alias("component"))
+    mixed = own.groupBy("class").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("class")
+    return staged(own.join(mixed, "class", "left_semi"), "open-classes")
+
+
+def hashes_of(texts: DataFrame, size: int) -> DataFrame:
+    """(node, n, hashes) of texts(node, text): the set's size, and its shingles' hashes in ascending order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in steps(batches):
+            own = sets(some["text"], size)
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+            flat = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([some["node"], pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["node", "n", "hashes"])
+
+    return texts.mapInArrow(run, "node long, n long, hashes array<long>")
+
+
+def sharing(open_: DataFrame, hashes: DataFrame, part: int, whole: int) -> DataFrame:
+    """The rows of open_(node, class, component), with n, that can have a link to another component of their class, staged.
+
+    c counts a node's shingles that some other component of its class has too.  A link to a set of n' needs an intersection
+    of at least part / (part + whole) * (n + n'), which is at most c, and n' is at least part / whole * n and at
+    least the smallest n of the class.  So what this drops has no link; a collision of hashes only raises c.
+    """
+    own = open_.join(hashes, "node")
+    each = own.select("node", "component", "class", F.explode("hashes").alias("h")).select("node", "component", F.xxhash64("class", "h").alias("k"))
+    shared = each.groupBy("k").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("k")
+    counts = each.select("node", "k").join(shared, "k").groupBy("node").agg(F.count("*").alias("c"))
+    least = own.groupBy("class").agg(F.min("n").alias("least"))
+    known = open_.join(hashes.select("node", "n"), "node").join(counts, "node").join(least, "class")
+    enough = F.col("c") * F.lit((part + whole) * whole) >= F.lit(part) * (F.col("n") * F.lit(whole) + F.greatest(F.col("n") * F.lit(part), F.col("least") * F.lit(whole)))
+    return staged(known.where(enough).select("node", "class", "component", "n"), "sharing")
+
+
+def across(rows: DataFrame, hashes: DataFrame, part: int, whole: int) -> DataFrame:
+    """Links (a, b) that join the components of each class of rows(node, class, component, n), by exact intersections.
+
+    Of every two nodes of unlike components one at least is outside the class's largest component: a guest.  Guests are dealt
+    to blocks of about GUEST_ROWS, all nodes (as hosts) to blocks of about HOST_ROWS, and each block of guests meets each
+    block of hosts, so a group of the result is bounded whatever the class holds.  A meeting returns the links that
+    join components, never all pairs.
+    """
+    each = rows.groupBy("class", "component").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    total = each.groupBy("class").agg(F.max(F.struct("m", F.col("component").alias("main"), "s")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"))
+    blocks = lambda m, s, most_rows, most_shingles: F.greatest(F.lit(1), F.ceil(m / most_rows), F.ceil(s / most_shingles)).cast("int")
+    total = total.select("class", F.col("top.main").alias("main"), blocks(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s"), GUEST_ROWS, GUEST_SHINGLES).alias("ps"), blocks(F.col("m"), F.col("s"), HOST_ROWS, HOST_SHINGLES).alias("qs"))
+    dealt = staged(rows.join(total, "class").join(hashes.select("node", "hashes"), "node"), "dealt")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    guests = dealt.where("component <> main").withColumn("p", F.pmod(F.xxhash64("node", F.lit(1)), F.col("ps")).cast("int")).withColumn("q", every("qs")).withColumn("guest", F.lit(True))
+    hosts = dealt.withColumn("q", F.pmod(F.xxhash64("node", F.lit(2)), F.col("qs")).cast("int")).withColumn("p", every("ps")).withColumn("guest", F.lit(False))
+
+    def link(table: pa.Table) -> pa.Table:
+        now_and_then()
+        found, of = [], {}
+
+        def root(x: int) -> int:
+            while of.setdefault(x, x) != x:
+                x = of[x]
+            return x
+
+        guest = table["guest"].to_numpy()
+        here, there = (table.filter(pa.array(g)).combine_chunks() for g in (guest, ~guest))
+        if here.num_rows and there.num_rows:
+            flat, ends = (lambda c: (c.flatten().to_numpy(), c.offsets.to_numpy() - c.offsets[0].as_py()))(there["hashes"].combine_chunks())
+            known, number = np.unique(flat, return_inverse=True)
+            n, component, nodes = there["n"].to_numpy(), there["component"].to_numpy(), there["node"].to_numpy()
+            mark = np.zeros(len(known) + 1, np.int32)
+            for own, node, mine in zip(here["hashes"], here["node"].to_pylist(), here["component"].to_pylist()):
+                own = own.values.to_numpy()
+                at = np.searchsorted(known, own)
+                at = at[known[np.minimum(at, len(known) - 1)] == own]
+                mark[at] = 1
+                common = np.add.reduceat(mark[number], ends[:-1])
+                mark[at] = 0
+                for i in np.flatnonzero((component != mine) & (common > 0) & (whole * common >= part * (n + len(own) - common))):
+                    x, y = root(mine), root(int(component[i]))
+                    if x != y:
+                        of[max(x, y)] = min(x, y)
+                        found.append((min(node, int(nodes[i])), max(node, int(nodes[i]))))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return guests.unionByName(hosts).select("class", "p", "q", "guest", "node", "component", "n", "hashes").groupBy("class", "p", "q").applyInArrow(link, "a long, b long").distinct()
+
 
-    Stars first; then what they left open, after which no bucket holds an untested pair across components.
-    The texts of all bucket members are picked once for both.
+def crossings(nodes: DataFrame, edges: DataFrame, labels: DataFrame, texts: DataFrame, size: int, part: int, whole: int) -> DataFrame:
+    """Links (a, b) between members of one bucket that the stars left in different components (steps 2 and 3), staged."""
+    open_ = classes(edges, labels)
+    hashes = staged(hashes_of(texts.join(open_.select("node"), "node", "left_semi"), size), "open-sets")
+    while True:
+        before = open_.count()
+        rows = sharing(open_, hashes, part, whole)
+        discard(open_)
+        again = stars(nodes.join(rows.select("node"), "node", "left_semi"))
+        open_ = classes(again, labels)
+        discard(again)
+        after = open_.count()
+        if after == 0 or after > SHEDDING * before:
+            break
+        discard(rows)
+    rows = open_.join(rows.select("node", "n"), "node")
+    found = staged(across(rows, hashes, part, whole), "crossings")
+    discard(hashes)
+    return found
+
+
+def linked(nodes: DataFrame, texts: DataFrame, size: int, part: int, whole: int) -> tuple[DataFrame, DataFrame]:
+    """Verified edges (a, b) and (node, component) from nodes(node, n, keys, w0, w1, ..: 64 bits of the sketch each) and texts(node, text).
+
+    After steps 1 to 3 no bucket holds an untested pair across components, so components are those of all links; of
+    the links within a component only some are among the edges.
     """
-    edges, members = stars(keys, part, whole)
-    words = [c for c in sketches.columns if c != "node"]
-    side = lambda x: sketches.select(F.col("node").alias(x), *[F.col(w).alias(f"{w}_{x}") for w in words])
+    words = [c for c in nodes.columns if c not in ("node", "n", "keys")]
+    edges = stars(nodes)
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").cast("long").alias(f"n_{x}"), *[F.col(w).alias(f"{w}_{x}") for w in words])
+    fits = F.least("n_a", "n_b") * F.lit(whole) >= F.greatest("n_a", "n_b") * F.lit(part)
     near = close_sketches([f"{w}_a" for w in words], [f"{w}_b" for w in words], part / whole)
-    tested = staged(edges.join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b"), "tested")
-    texts = texts_of(members.select("node"), texts)
+    tested = staged(edges.join(side("b"), "b").join(side("a"), "a").where(fits & near).select("a", "b"), "tested")
+    texts = texts_of(edges.select(F.explode(F.array("a", "b")).alias("node")), texts)
     links = staged(verified(tested, texts, size, part, whole), "links")
-    more = staged(crossings(members, staged(components(links), "labels"), sketches, texts, size, part, whole), "crossings")
+    more = crossings(nodes, edges, staged(components(links), "labels"), texts, size, part, whole)
     links = staged(links.unionByName(more), "links")
+    discard(edges, tested, texts, more)
     return links, staged(components(links), "labels")

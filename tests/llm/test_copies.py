@@ -4,8 +4,11 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from folioscope.llm import op2_fingerprints, op9_dedup
+import pytest
+
+from folioscope.llm import linking, op2_fingerprints, op9_dedup
 from folioscope.llm.linking import components
+from folioscope.llm.shingles import sets
 
 
 def shingle_set(text, size):
@@ -59,6 +62,70 @@ def test_chain_of_near_copies(spark):
     assert {r["doc_id"]: tuple(r)[1:] for r in op9_dedup.near_duplicates(table, 3, 85, 100).collect()} == brute(rows, 3, 85, 100)
 
 
+def near_copies(seed, groups, count, words=150):
+    """Texts with up to a fifth of their words replaced, of few or many edits, in groups around a base that isn't itself among them."""
+    draw = np.random.default_rng(seed)
+    rows = []
+    for g in range(groups):
+        base = [f"b{g}x{i}" for i in range(words)]
+        for i in range(count):
+            own = list(base)
+            for at in draw.integers(words, size=draw.integers(0, 8)):
+                own[at] = f"e{draw.integers(5)}" if draw.random() < 0.3 else f"n{draw.integers(1 << 40)}"
+            rows.append((len(rows), " ".join(own[: words - int(draw.integers(0, 12))])))
+    return rows
+
+
+def dense(rows, size, part, whole):
+    """component of each id, by all intersections at once."""
+    own = sets(pa.array([t for _, t in rows]), size)
+    flat, ids = np.unique(np.concatenate(own), return_inverse=True)
+    x = np.zeros((len(own), len(flat)), np.float32)
+    x[np.repeat(np.arange(len(own)), [len(s) for s in own]), ids] = 1
+    common, n = x @ x.T, np.array([len(s) for s in own])
+    near = whole * common >= part * (n[:, None] + n[None] - common)
+    label = np.arange(len(own))
+    while True:
+        low = np.where(near, label[None], len(own)).min(axis=1)
+        if (low == label).all():
+            return {i: rows[c][0] for (i, _), c in zip(rows, label)}
+        label = low
+
+
+@pytest.mark.parametrize(("size", "part", "blocks"), [(5, 80, None), (3, 85, None), (5, 80, (20, 100))])
+def test_large_groups_of_near_copies(spark, monkeypatch, size, part, blocks):
+    if blocks:  # many blocks of guests and hosts
+        monkeypatch.setattr(linking, "GUEST_ROWS", blocks[0])
+        monkeypatch.setattr(linking, "HOST_ROWS", blocks[1])
+    rows = near_copies(size, 3, 400)
+    want = dense(rows, size, part, 100)
+    assert 30 < len(set(want.values())) < 1100
+    got = op9_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size, part, 100).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_stars_alone_leave_links_open(spark):
+    """Two texts of one bucket linked with each other but not with its smallest node: steps 2 and 3 find the link."""
+    rows = near_copies(11, 1, 600)
+    table = spark.createDataFrame(rows, "node long, text string")
+    count, width = linking.bands(0.8, 512)
+    found = op9_dedup.signatures(table, 5, count, width)
+    nodes = found.selectExpr("node", "n_shingles as n", "keys", *[c for c in found.columns if c.startswith("w")])
+    edges = linking.stars(nodes)
+    links = linking.verified(edges.select("a", "b"), table, 5, 80, 100)
+    more = linking.crossings(nodes, edges, linking.components(links), table, 5, 80, 100).collect()
+    want = dense(rows, 5, 80, 100)
+    assert more and all(want[r["a"]] == want[r["b"]] for r in more)
+
+
+def test_unlike_texts_of_one_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    one, other = " ".join(words), " ".join(reversed(words))
+    rows = [(5, one), (5, other), (5, other), (3, other + " more"), (8, one + " more"), (6, None), (6, "x y z"), (2, "x y z")]
+    got = sorted(tuple(r) for r in op9_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect())
+    assert got == sorted([(5, 58, 5, True), (5, 58, 3, False), (5, 58, 3, False), (3, 59, 3, True), (8, 59, 5, False), (6, 0, 6, True), (6, 1, 2, False), (2, 1, 2, True)])
+
+
 def test_densification_fills_all_bins():
     sig = op9_dedup.one_permutation(np.array([5], np.uint64))
     assert (sig == 5).all()
