@@ -6,6 +6,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from folioscope.llm import op3_search, op5_toxicity, op6_secrets, op8_mixing, op10_language
 
 
@@ -204,6 +206,10 @@ def test_mixing_of_odd_rows(odd, none):
     assert op8_mixing.mixed_documents(odd).columns == odd.columns
     assert op8_mixing.mix(op8_mixing.sized(none)).collect() == []
     assert op8_mixing.mixed_documents(none).collect() == []
+    names = ("copies", "size", "rate", "floor", "s", "whole", "target", "source_size", "total", "bin1", "key", "col", "mean")
+    clash = odd.select(*[c for c in odd.columns if c not in names], *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    taken = op8_mixing.mixed_documents(clash).collect()
+    assert taken and all(tuple(r[n] for n in names) == tuple(range(len(names))) for r in taken)
 
 
 # ---- language
