@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,26 +48,32 @@ def cut(tokens: int, length: int, filler: bool) -> list[int]:
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """Every document's pieces: doc_id, start, length, ids_crc32, doc_tokens.  One pass over the text; the ids stay in the worker."""
+    """Every document's pieces: doc_id, start, length, ids_crc32, doc_tokens, salt.  One pass over the text; the ids stay in the worker.
+
+    salt tells equal documents apart: the input partition, and how many equal ones came before in it.  Tasks that run
+    again give the same rows, in whatever order they read theirs.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(tokenizer)
+        tool, seen, task = encoder(tokenizer), Counter(), TaskContext.get().partitionId()
         for part in steps(batches, limit=BATCH_BYTES):
             ids, bounds = tool.encode(part["text"])
-            doc, start, size, crc, total = [], [], [], [], []
+            doc, start, size, crc, total, salt = [], [], [], [], [], []
             for i, key in enumerate(part["doc_id"].to_pylist()):
                 own = np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end_id)).astype("<u4").tobytes()
                 n, at = len(own) // 4, 0
+                seen[same := (key, n, zlib.crc32(own))] += 1
                 for k in cut(n, length, zlib.crc32(own) % FILLER_EVERY == 0):
+                    salt.append((task << 32) + seen[same])
                     doc.append(key)
                     start.append(at)
                     size.append(k)
                     crc.append(zlib.crc32(own[4 * at : 4 * (at + k)]))
                     total.append(n)
                     at += k
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, start, size, crc, total)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, start, size, crc, total, salt)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
 
-    return only(docs, doc_id="long", text="string").mapInArrow(encode, PIECES)
+    return only(docs, doc_id="long", text="string").mapInArrow(encode, PIECES + ", salt long")
 
 
 def first_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,9 +107,10 @@ def first_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarra
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Pack docs(doc_id, text) into sequences of at most `length` ids: one row for each piece, with its place.
 
-    Full sequences are cut off the front of long documents.  What remains of each document goes, with its whole
-    text's hash as the random number, to one of the groups; each group is packed alone by first-fit decreasing, so
-    no task sees more than a group, whatever one source or one document holds.  Fillers (a random eighth of the
+    Full sequences are cut off the front of long documents.  Each piece goes to one of the groups by a hash of its
+    document's id, the piece's place and ids, and what tells equal documents apart; each group is packed alone by first-fit
+    decreasing, so no task sees more than about a group's share, whatever one source, one document or rows that
+    repeat hold.  Fillers (a random eighth of the
     documents) have their rest cut into powers of two of at most FILLER_MOST, which close the gaps.
     Null and empty texts: the end id alone.  Null doc_ids stay null.  Repeated rows are packed each for itself.
     An empty table gives no rows; other columns are ignored.  Sequence ids: group number * 2^32 + number in group.
@@ -109,8 +118,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
     table = only(docs, doc_id="long", text="string")
     total = table.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
     groups = max(1, -(-int(total) // group_bytes))
-    key = F.pmod(F.xxhash64("doc_id", "start", "doc_tokens"), F.lit(groups)).cast("int")
-    grouped = pieces_of(table, tokenizer, length, end_id).withColumn("group_id", key)
+    key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens", "salt"), F.lit(groups)).cast("int")
+    grouped = pieces_of(table, tokenizer, length, end_id).withColumn("group_id", key).drop("salt")
 
     def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")

@@ -81,6 +81,13 @@ def test_packing_of_odd_rows(odd, none):
     assert [r["length"] for r in rows if r["doc_id"] in (2, 3)] == [1, 1]
     assert any(r["doc_id"] is None for r in rows)
     assert op4_packing.pack(none, PATHS["byte_bpe_50k.json"]).collect() == []
+
+
+def test_packing_splits_rows_that_repeat(spark):
+    same = spark.range(4000, numPartitions=4).selectExpr("cast(null as long) as doc_id", "'one and the same text' as text")
+    rows = op4_packing.pack(same, PATHS["byte_bpe_50k.json"], group_bytes=1 << 14).collect()
+    sizes = np.unique([r["sequence_id"] >> 32 for r in rows], return_counts=True)[1]
+    assert len(rows) == 4000 and len(sizes) > 15 and sizes.max() < 3 * sizes.mean()
     fills = {}
     for r in rows:
         fills.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
