@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, only, steps
+from .common import discard, documents, only, staged, steps
 from .shingles import NOT_LETTERS, Words
 
 #: Labelled documents that the fit uses at most, those of the smallest hashes of doc_id.
@@ -123,7 +123,7 @@ def fit(x: np.ndarray, grade: np.ndarray, times: np.ndarray | None = None, grade
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
-    """A model from docs(doc_id, text) and labels(doc_id, toxic 0/1); at most `sample` labelled documents are used.
+    """A model from docs(doc_id, text) and labels(doc_id, toxic 0/1); at most `sample` labelled documents are used, one text (the first in order) of each.
 
     The labels say toxic or not; grades 1 .. GRADES - 1 of toxic documents come from how many different words and
     prefixes they use that clean documents hardly do (by terciles).  Features are those frequent in toxic documents (counted in
@@ -133,7 +133,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     nothing = Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.array([6.0, 7.0, 8.0]))
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    own = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    own = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    own = staged(own, "labelled")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches):
@@ -204,6 +205,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     grade = np.where(is_toxic, 1 + np.searchsorted(cut, amount), 0)
     # features were screened for odds above 1, so no weight speaks against; the last row stands for all clean documents without any telling feature
     weights, thresholds = fit(x, np.append(grade, 0), np.append(np.ones(len(kept)), zeros), positive=True)
+    discard(own)
     return Ordinal(table[telling], weights, thresholds)
 
 
@@ -229,7 +231,10 @@ def severity(docs: DataFrame, model: Ordinal) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Ordinal) -> DataFrame:
-    """The rows of docs, all its columns, whose text isn't toxic; decided in the pass that reads them, without a join."""
+    """The rows of docs, all its columns, whose text isn't toxic; decided in the pass that reads them, without a join.
+
+    Null and empty texts stay; rows that repeat, and null doc_ids, are judged row by row; an empty table gives none.
+    """
     held = docs.sparkSession.sparkContext.broadcast((model.hashes, model.weights, model.thresholds))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -177,7 +177,10 @@ def scan(docs: DataFrame, model: Markov) -> DataFrame:
 
 
 def redacted(docs: DataFrame, model: Markov) -> DataFrame:
-    """docs, all columns, with every secret in text replaced by PLACEHOLDER (of an assignment its value alone); n_chars, if there, is that of the new text."""
+    """docs, all columns, with every secret in text replaced by PLACEHOLDER (of an assignment its value alone); n_chars, if there, is that of the new text.
+
+    Null and empty texts stay as they are; every row stays, repeats and null doc_ids too; an empty table gives none.
+    """
     held = docs.sparkSession.sparkContext.broadcast((model.ratio.astype(np.float32), model.least))
     names = docs.columns
 
