@@ -76,13 +76,13 @@ def delete(path: str | None) -> None:
 
 
 @contextlib.contextmanager
-def scratch() -> Iterator[None]:
-    """Everything staged inside is deleted at the end: for work whose result has been written by then."""
-    before = set(_held)
+def scratch() -> Iterator[list[DataFrame]]:
+    """Everything staged inside is deleted at the end, but for staged tables that are put on the list."""
+    before, kept = set(_held), []
     try:
-        yield
+        yield kept
     finally:
-        for path in set(_held) - before:
+        for path in set(_held) - before - {table._staged_at for table in kept}:
             delete(path)
 
 

@@ -14,14 +14,14 @@ shingles; a bucket's members are never brought together, and nothing is capped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, now_and_then, staged, steps
+from .common import discard, now_and_then, only, staged, steps
 from .shingles import sets
 
 #: Ids that are broadcast at most, to pick the texts of candidates; beyond it the texts are shuffled once.
@@ -248,3 +248,59 @@ def linked(nodes: DataFrame, texts: DataFrame, size: int, part: int, whole: int)
     links = staged(links.unionByName(more), "links")
     discard(edges, tested, texts, more)
     return links, staged(components(links), "labels")
+
+
+def repeated_ids(docs: DataFrame) -> DataFrame | None:
+    """(id, first): doc_ids that rows of docs(doc_id, text) with unlike texts share, and the smallest text hash of each; None: no doc_id repeats.
+
+    Texts are read for repeated doc_ids alone, and only if there are any.
+    """
+    again = docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows")).where("rows > 1").select("id")
+    again = staged(again, "repeated-ids")
+    if again.isEmpty():
+        return None
+    marked = docs.join(again, docs["doc_id"] == again["id"]).groupBy("id").agg(F.min(text_hash()).alias("first"), F.max(text_hash()).alias("last"))
+    return staged(marked.where("first < last").select("id", "first"), "unlike-texts")
+
+
+def text_hash():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def classified(docs: DataFrame, signatures: Callable[[DataFrame], DataFrame], size: int, part: int, whole: int) -> DataFrame:
+    """doc_id, n_shingles, class_id, own_text of every row of docs(doc_id, text).
+
+    signatures gives of (node, text): node, n_shingles, content (a hash of the whole set; null: empty set), keys, and the
+    sketch's columns w0, w1, ..  Equal sets are one node.  class_id is the smallest doc_id that links reach.  own_text is the
+    text's hash where rows with unlike texts share the doc_id, else null; each such text is a document of its own.
+    """
+    table = only(docs, doc_id="long", text="string")
+    unlike = repeated_ids(table)
+    own_text = F.lit(None).cast("long")
+    if unlike is not None:  # further texts of a doc_id are nodes of their own, by a hash that is no doc_id but for chance
+        table = table.join(unlike, table["doc_id"] == unlike["id"], "left")
+        own_text = F.when(F.col("first").isNotNull(), text_hash())
+        table = table.withColumn("node", F.when(own_text > F.col("first"), F.xxhash64(own_text, "doc_id", F.lit("further text"))).otherwise(F.col("doc_id")))
+    else:
+        table = table.withColumn("node", F.col("doc_id"))
+    ids = table.select("node", "doc_id", own_text.alias("own_text")).where("node <> doc_id or own_text is not null").distinct() if unlike is not None else None
+    table = table.select("node", "text")
+    rows = staged(signatures(table), "signatures")
+    sets_of = rows.where(F.col("content").isNotNull() & F.col("node").isNotNull())
+    firsts = staged(sets_of.groupBy("content").agg(F.min("node").alias("first")), "contents")
+    chosen = sets_of.join(firsts, "content").where("node = first").dropDuplicates(["node"])
+    nodes = staged(chosen.select("node", F.col("n_shingles").alias("n"), "keys", *[c for c in rows.columns if c.startswith("w")]), "sets")
+    _, labels = linked(nodes, table, size, part, whole)
+    discard(nodes)
+    mapped = firsts.join(labels, firsts["first"] == labels["node"], "left").select("content", F.coalesce("component", "first").alias("component"))
+    mapped = staged(mapped, "classes")
+    discard(firsts, labels)
+    own = rows.select("node", "n_shingles", "content").join(mapped, "content", "left").withColumn("component", F.coalesce("component", "node"))
+    if ids is None:
+        own = own.withColumn("doc_id", F.col("node")).withColumn("own_text", F.lit(None).cast("long"))
+    else:  # nodes back to doc_ids; a component's name is its smallest doc_id
+        ids = staged(ids, "further-texts")
+        own = own.join(ids, "node", "left").withColumn("doc_id", F.coalesce("doc_id", "node"))
+        names = own.join(own.join(ids.select("node"), "node", "left_semi").select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("doc_id").alias("name"))
+        own = own.join(staged(names, "names"), "component", "left").withColumn("component", F.coalesce("name", "component"))
+    return own.select("doc_id", "n_shingles", F.col("component").alias("class_id"), "own_text")

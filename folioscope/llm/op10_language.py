@@ -11,21 +11,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, only, steps, text_buffers
+from .common import documents, only, staged, steps, text_buffers
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Training documents of each language at most (those of the smallest hashes), and windows of each, spread over the whole text.
-SAMPLE, SAMPLE_WINDOWS = 300, 6
+#: Training documents of each language at most (those of the smallest hashes), and windows of each, spread over the whole text;
+#: windows that hold fewer bytes than LEAST (the ends of texts, short texts) don't teach.
+SAMPLE, SAMPLE_WINDOWS, LEAST = 300, 6, 32
 STEPS, BATCH, RATE = 400, 64, 0.02
 
-#: Symbols: 0 beyond the text, 1-26 letters of either case, then digits, white space, other ASCII, and 34 for bytes from 0x80.
-SYMBOLS = 64
+#: Symbols: 0 beyond the text, 1-26 ASCII letters of either case, then digits, white space, other ASCII, and each byte from 0x80 its own.
+SYMBOLS = 158
 _SYMBOL = np.zeros(256, np.int64)
 for _b in range(256):
     _c = chr(_b)
-    _SYMBOL[_b] = 30 + (_b & 0x3F) % 34 if _b >= 0x80 else ord(_c.lower()) - 96 if _c.isalpha() else 27 if _c.isdigit() else 28 if _c.isspace() else 29
+    _SYMBOL[_b] = _b - 0x80 + 30 if _b >= 0x80 else ord(_c.lower()) - 96 if _c.isalpha() else 27 if _c.isdigit() else 28 if _c.isspace() else 29
 
 
 @dataclass
@@ -80,8 +81,37 @@ def probabilities(net: Network, rows: np.ndarray, tables=None) -> np.ndarray:
     return out
 
 
+def slopes(state: list[np.ndarray], own: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Mean cross-entropy of windows and its gradients by state = [*filters, bias, out]; they reach the filters through each pool's largest place."""
+    filters, bias, out = state[:-2], state[-2], state[-1]
+    pooled, places = [], []
+    for w, f in zip(WIDTHS, filters):
+        n = WINDOW - w + 1
+        value = sum(f[j][own[:, j : j + n]] for j in range(w))
+        place = value.argmax(axis=1)
+        places.append(place)
+        pooled.append(np.take_along_axis(value, place[:, None], axis=1)[:, 0])
+    raw = np.concatenate(pooled, axis=1) + bias.reshape(-1)
+    x = np.maximum(raw, 0)
+    z = x @ out[:-1] + out[-1]
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    p = z / z.sum(axis=1, keepdims=True)
+    loss = float(-np.log(p[np.arange(len(y)), y]).mean())
+    p[np.arange(len(y)), y] -= 1
+    p /= len(y)
+    dx = (p @ out[:-1].T) * (raw > 0)
+    found = []
+    for i, (w, place) in enumerate(zip(WIDTHS, places)):
+        g = np.zeros_like(filters[i])
+        d = dx[:, i * FILTERS : (i + 1) * FILTERS]
+        for j in range(w):
+            np.add.at(g[j], (np.take_along_axis(own, place + j, axis=1), np.arange(FILTERS)[None]), d)
+        found.append(g)
+    return loss, [*found, dx.sum(axis=0).reshape(bias.shape), np.concatenate([x.T @ p, p.sum(axis=0, keepdims=True)])]
+
+
 def train(rows: np.ndarray, target: np.ndarray, languages: list[str], seed: int = 3) -> Network:
-    """Adam on the cross-entropy of windows; gradients reach the filters through each pool's largest place."""
+    """Adam on the cross-entropy of windows."""
     draw = np.random.Generator(np.random.PCG64(seed))
     k = len(languages)
     filters = [draw.normal(0, 0.3, (w, SYMBOLS, FILTERS)) for w in WIDTHS]
@@ -90,31 +120,8 @@ def train(rows: np.ndarray, target: np.ndarray, languages: list[str], seed: int
     moment, square = [np.zeros_like(p) for p in state], [np.zeros_like(p) for p in state]
     for t in range(1, STEPS + 1):
         pick = draw.integers(len(rows), size=BATCH)
-        own, y = rows[pick], target[pick]
-        pooled, places = [], []
-        for w, f in zip(WIDTHS, filters):
-            n = WINDOW - w + 1
-            value = sum(f[j][own[:, j : j + n]] for j in range(w))
-            place = value.argmax(axis=1)
-            places.append(place)
-            pooled.append(np.take_along_axis(value, place[:, None], axis=1)[:, 0])
-        raw = np.concatenate(pooled, axis=1) + bias.reshape(-1)
-        x = np.maximum(raw, 0)
-        z = x @ out[:-1] + out[-1]
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        p = z / z.sum(axis=1, keepdims=True)
-        p[np.arange(BATCH), y] -= 1
-        p /= BATCH
-        dx = (p @ out[:-1].T) * (raw > 0)
-        slopes = []
-        for i, (w, place) in enumerate(zip(WIDTHS, places)):
-            g = np.zeros_like(filters[i])
-            d = dx[:, i * FILTERS : (i + 1) * FILTERS]
-            for j in range(w):
-                np.add.at(g[j], (np.take_along_axis(own, place + j, axis=1), np.arange(FILTERS)[None]), d)
-            slopes.append(g)
-        slopes += [dx.sum(axis=0).reshape(bias.shape), np.concatenate([x.T @ p, p.sum(axis=0, keepdims=True)])]
-        for q, g, m, s in zip(state, slopes, moment, square):
+        _, steepest = slopes(state, rows[pick], target[pick])
+        for q, g, m, s in zip(state, steepest, moment, square):
             m += 0.1 * (g - m)
             s += 0.001 * (g * g - s)
             q -= RATE * (1 - 0.7 * t / STEPS) * m / (1 - 0.9**t) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
@@ -124,11 +131,16 @@ def train(rows: np.ndarray, target: np.ndarray, languages: list[str], seed: int
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     """A network from docs(doc_id, text, lang): at most `sample` documents of each language, SAMPLE_WINDOWS windows of each.
 
-    Rows with null text or lang don't count.  None where nothing is left to learn from.
+    Rows with null text or lang don't count; of rows that repeat doc_id and lang the first text in order does.  None
+    where nothing is left to learn from.  The driver gets sample * SAMPLE_WINDOWS windows of each language at most.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    ids = usable.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("doc_id", "lang")
+    # about twice as many ids as are wanted pass the threshold of their language's size, so no task ranks a whole language
+    sizes = usable.groupBy(F.col("lang").alias("of")).agg(F.approx_count_distinct("doc_id", 0.02).alias("n"))
+    uniform = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    some = usable.select("doc_id", "lang").join(sizes, F.col("lang") == F.col("of")).where(uniform * F.col("n") < 2 * sample + 20).select("doc_id", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(uniform, "doc_id")
+    ids = staged(some.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("doc_id", "lang"), "language-sample")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches):
@@ -138,13 +150,14 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
                 n = first[i + 1] - first[i]
                 for r in np.unique(np.linspace(0, max(0, n - 2), SAMPLE_WINDOWS).astype(int)) if n else []:
                     row = rows[first[i] + r]
-                    if (row > 0).sum() >= 32:
+                    if (row > 0).sum() >= LEAST:
                         keys.append(part["doc_id"][i].as_py())
                         langs.append(lang)
                         own.append(row.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(langs, pa.string()), pa.array(own, pa.binary())], ["doc_id", "lang", "w"])
 
-    got = usable.join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).select("doc_id", "text", "lang").mapInArrow(cut, "doc_id long, lang string, w binary").orderBy("doc_id", "lang", "w").collect()
+    texts = usable.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    got = texts.select("doc_id", "text", "lang").mapInArrow(cut, "doc_id long, lang string, w binary").orderBy("doc_id", "lang", "w").collect()
     if not got:
         return None
     languages = sorted({r["lang"] for r in got})

@@ -11,14 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dealt, documents, only, partitions, range_bounds, range_of, staged, steps
-from .linking import linked
-from .shingles import mixed, shingles
+from .common import dealt, documents, only, partitions, range_bounds, range_of, scratch, staged, steps
+from .linking import BROADCAST_IDS, bands, classified
+from .shingles import mixed, set_hash, shingles
 
 PERMUTATIONS = 128
 SHINGLE = 5
-#: 25 bands of 5 values, as for pairs of 0.8: missed with a probability of 6e-5.
-BANDS, ROWS = 25, 5
 
 _DRAW = np.random.Generator(np.random.PCG64(2_718_281))
 _A = _DRAW.integers(1 << 31, size=(PERMUTATIONS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -56,40 +54,34 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint, keys (band keys), w0, w1 (a bit of each value) of docs(doc_id, text).  Null texts count as empty; equal texts get equal fingerprints."""
+def signatures(docs: DataFrame, size: int, count: int, rows: int) -> DataFrame:
+    """Of docs(node, text): node, n_shingles, content (hash of the whole set; null: empty set), count band keys of so many values, and a bit of each value in w0, w1."""
     words = [f"w{i}" for i in range(PERMUTATIONS // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = np.random.Generator(np.random.PCG64(5)).integers(1 << 63, size=(BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+        seeds = np.random.Generator(np.random.PCG64(5)).integers(1 << 63, size=(count, rows), dtype=np.uint64) | np.uint64(1)
         for part in steps(batches):
-            rows = prints(part["text"], size)
-            wide = mixed(rows[:, : BANDS * ROWS].astype(np.uint64) + np.uint64(1)).reshape(-1, BANDS, ROWS)
-            keys = mixed((wide * seeds).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-            sketch = np.packbits(rows & 1 > 0, axis=1).view(np.int64).reshape(-1, len(words))
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([as_text(r) for r in rows], pa.string()), pa.array(list(keys), pa.list_(pa.int64())), *[pa.array(c) for c in sketch.T]], ["doc_id", "fingerprint", "keys", *words])
+            h, bounds = shingles(part["text"], size)
+            own = [np.unique(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+            values = np.asarray([minhash(x) for x in own], np.uint32).reshape(-1, PERMUTATIONS)
+            wide = mixed(values[:, : count * rows].astype(np.uint64) + np.uint64(1)).reshape(-1, count, rows)
+            keys = mixed((wide * seeds).sum(axis=2, dtype=np.uint64) + np.arange(count, dtype=np.uint64)).view(np.int64)
+            sketch = np.packbits(values & 1 > 0, axis=1).view(np.int64).reshape(-1, len(words))
+            content = [set_hash(x) if len(x) else None for x in own]
+            lists = [k if len(x) else None for k, x in zip(keys, own)]
+            yield pa.RecordBatch.from_arrays([part["node"], pa.array([len(x) for x in own], pa.int64()), pa.array(content, pa.binary()), pa.array(lists, pa.list_(pa.int64())), *[pa.array(c) for c in sketch.T]], ["node", "n_shingles", "content", "keys", *words])
 
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fingerprint string, keys array<long>" + "".join(f", {w} long" for w in words))
+    return docs.mapInArrow(run, "node long, n_shingles long, content binary, keys array<long>" + "".join(f", {w} long" for w in words))
 
 
-def near_pairs(docs: DataFrame, size: int = SHINGLE, part: int = 80, whole: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Near copies among docs(doc_id, text): verified links (a, b) between texts, and (doc_id, class_id) for each row.
+def near_classes(docs: DataFrame, size: int = SHINGLE, part: int = 80, whole: int = 100) -> DataFrame:
+    """doc_id, n_shingles, class_id of every row of docs(doc_id, text): the smallest doc_id in reach by links of that likeness.
 
-    Signature bands are joined in Spark; the Jaccard likeness of full shingle sets decides.  Documents of equal
-    fingerprints stand behind the smallest doc_id among them only if their texts are equal too.  Rows with a null
-    doc_id, and texts without words, are their own class (class_id = doc_id).  Repeated ids count as one document.
+    Signature bands (as many as miss a pair at the threshold with at most 1e-6, see bands) are joined in Spark; the
+    Jaccard likeness of full shingle sets decides.  Rows with a null doc_id, and texts without words, are their own
+    class.  Rows of one doc_id with unlike texts are documents of their own.  An empty table gives none.
     """
-    table = only(docs, doc_id="long", text="string")
-    worded = table.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    same = worded.groupBy(F.sha2("text", 256).alias("content")).agg(F.min("doc_id").alias("first"))
-    firsts = worded.join(same.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    found = staged(fingerprints(firsts, size), "fingerprints")
-    keys = found.select(F.col("doc_id").alias("node"), F.lit(1).alias("n"), F.explode("keys").alias("key"))
-    sketches = found.groupBy(F.col("doc_id").alias("node")).agg(*[F.min(f"w{i}").alias(f"w{i}") for i in range(PERMUTATIONS // 64)])
-    links, labels = linked(keys, worded.select(F.col("doc_id").alias("node"), "text"), sketches, size, part, whole)
-    classes = same.join(labels, F.col("first") == F.col("node"), "left").select("content", F.coalesce("component", "first").alias("class_id"))
-    rows = table.select("doc_id", F.sha2("text", 256).alias("content")).join(classes, "content", "left")
-    return links, rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return classified(docs, lambda table: signatures(table, size, *bands(part / whole, PERMUTATIONS)), size, part, whole).drop("own_text")
 
 
 def with_edits(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -150,5 +142,16 @@ def with_edits(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def with_classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """with_edits and class_id: the class among near copies of each row's doc_id (of several unlike texts under it, the smallest)."""
+    with scratch() as kept:
+        moved = near_classes(docs, size).where("class_id <> doc_id").groupBy(F.col("doc_id").alias("of")).agg(F.min("class_id").alias("class_id"))
+        moved = staged(moved, "moved")
+        kept.append(moved)
+    few = moved.count() <= BROADCAST_IDS
+    edits = with_edits(docs, size)
+    return edits.join(F.broadcast(moved) if few else moved, F.col("doc_id") == F.col("of"), "left").select(*edits.columns, F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_edits(documents(spark, sf_dir))
+    return with_classes(documents(spark, sf_dir))

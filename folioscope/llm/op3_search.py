@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 SCALE = 256
 K = 5
 EVERY = 50
@@ -118,24 +120,30 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 def top_k(embeddings: DataFrame, is_query, k: int = K, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row its k rows of the highest integer inner product.
 
-    Queries come to the driver in blocks of query_block vectors, one at a time, and each block is broadcast; every task
-    takes all its rows against the block and gives k rows a query, which Spark reduces to k.  All queries meet all
-    rows; nothing is sampled.  Ties go to the smaller vec_id; fewer than k rows give all there are.  Vectors of unlike
+    Queries come to the driver in blocks of query_block vectors; one block at a time is broadcast, answered and staged.
+    Every task takes all its rows against the block and gives k rows a query, which Spark reduces to k.  All queries
+    meet all rows; nothing is sampled.  Ties go to the smaller vec_id; fewer than k rows give all there are.  Vectors of unlike
     length: the shorter counts as zero beyond its end.  Rows that repeat a vec_id all count as candidates, and a
     query's own id never does; a repeated query id is one query (the first in order of its values).  An empty table
-    gives no rows.  Where products can reach 2^53, the sums are done in Python's integers and held to long's range.
+    gives no rows.  Where products can reach 2^53, the sums are done in Python's integers; a component beyond long's range counts as the nearest
+    end of it, and so does a score.
     """
     spark = embeddings.sparkSession
     rows = scaled(embeddings.select("vec_id", "embedding"))
     asked = rows.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("v").alias("v"))
     parts, ids, vectors = [], [], []
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
 
     def flush() -> None:
+        """One block's answer, staged; its broadcast goes before the next one is made."""
         width = max(map(len, vectors))
         q = np.zeros((len(vectors), width))
         for i, v in enumerate(vectors):
             q[i, : len(v)] = v
-        parts.append(_against(rows, spark.sparkContext.broadcast((np.asarray(ids, np.int64), q)), k))
+        block = spark.sparkContext.broadcast((np.asarray(ids, np.int64), q))
+        best = _against(rows, block, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        parts.append(staged(best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "top-k"))
+        block.destroy()
         ids.clear()
         vectors.clear()
 
@@ -148,11 +156,7 @@ def top_k(embeddings: DataFrame, is_query, k: int = K, query_block: int = QUERY_
         flush()
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return spark.read.schema(parts[0].schema).parquet(*[p._staged_at for p in parts])
 
 
 def _against(rows: DataFrame, block, k: int) -> DataFrame:

@@ -85,32 +85,37 @@ class Ordinal:
         return _sigmoid(eta[:, None] - self.thresholds[None])
 
 
+def likelihood(x: np.ndarray, grade: np.ndarray, share: np.ndarray, weights: np.ndarray, free: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+    """The penalised negative log-likelihood of grades, and its gradient by weights and free (first threshold, logs of the gaps)."""
+    k, at = len(free), np.arange(len(x))
+    gaps = np.exp(free[1:])
+    theta = free[0] + np.concatenate([[0], np.cumsum(gaps)])
+    above = _sigmoid((x @ weights)[:, None] - theta[None])
+    full = np.concatenate([np.ones((len(x), 1)), above, np.zeros((len(x), 1))], axis=1)
+    p = np.maximum(full[at, grade] - full[at, grade + 1], 1e-9)
+    slope = full * (1 - full)
+    low, high = slope[at, grade], slope[at, grade + 1]
+    gradient = x.T @ ((high - low) / p * share) + penalty * weights
+    d_theta = np.zeros(k)
+    np.add.at(d_theta, grade[grade > 0] - 1, (low / p * share)[grade > 0])
+    np.add.at(d_theta, grade[grade < k], -(high / p * share)[grade < k])
+    d_free = np.concatenate([[d_theta.sum()], [gaps[j] * d_theta[j + 1 :].sum() for j in range(k - 1)]])
+    return float(-(share * np.log(p)).sum() + penalty / 2 * (weights**2).sum()), np.concatenate([gradient, d_free])
+
+
 def fit(x: np.ndarray, grade: np.ndarray, times: np.ndarray | None = None, grades: int = GRADES, rounds: int = 1500, rate: float = 0.1, penalty: float = 1e-7, positive: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the largest penalised likelihood, by Adam on all rows.
 
     times: how often each row counts; positive: weights are kept at 0 or above.
     """
-    k, at = grades - 1, np.arange(len(x))
+    k = grades - 1
     share = np.ones(len(x)) / len(x) if times is None else times / times.sum()
     weights = np.zeros(x.shape[1])
     # thresholds: the first, then logs of the gaps
     free = np.concatenate([[2.0], np.full(k - 1, 0.0)])
     moment, square = np.zeros(len(weights) + k), np.zeros(len(weights) + k)
     for t in range(1, rounds + 1):
-        gaps = np.exp(free[1:])
-        theta = free[0] + np.concatenate([[0], np.cumsum(gaps)])
-        above = _sigmoid((x @ weights)[:, None] - theta[None])
-        full = np.concatenate([np.ones((len(x), 1)), above, np.zeros((len(x), 1))], axis=1)
-        p = np.maximum(full[at, grade] - full[at, grade + 1], 1e-9)
-        slope = full * (1 - full)
-        low, high = slope[at, grade], slope[at, grade + 1]
-        d_eta = (high - low) / p * share
-        gradient = x.T @ d_eta + penalty * weights
-        d_theta = np.zeros(k)
-        np.add.at(d_theta, grade[grade > 0] - 1, (low / p * share)[grade > 0])
-        np.add.at(d_theta, grade[grade < k], -(high / p * share)[grade < k])
-        d_free = np.concatenate([[d_theta.sum()], [gaps[j] * d_theta[j + 1 :].sum() for j in range(k - 1)]])
-        g = np.concatenate([gradient, d_free])
+        _, g = likelihood(x, grade, share, weights, free, penalty)
         moment = 0.9 * moment + 0.1 * g
         square = 0.999 * square + 0.001 * g * g
         step = rate * moment / (1 - 0.9**t) / (np.sqrt(square / (1 - 0.999**t)) + 1e-9)

@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, only, staged, steps
-from .linking import bands, linked
-from .shingles import mixed, sets
+from . import linking
+from .common import documents, steps
+from .shingles import mixed, set_hash, sets
 
 BINS_LOG2 = 9
 
@@ -76,8 +76,7 @@ def signatures(docs: DataFrame, size: int, count: int, rows: int) -> DataFrame:
                     bits.append(np.zeros(len(words), np.int64))
                     continue
                 bins = one_permutation(own)
-                two = np.array([mixed(own).sum(dtype=np.uint64), mixed(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)])
-                content.append(two.tobytes() + len(own).to_bytes(8, "little"))
+                content.append(set_hash(own))
                 keys.append(band_keys(bins, count, rows).view(np.int64))
                 bits.append(np.packbits(mixed(bins ^ _SEEDS) >> np.uint64(63) > 0).view(np.int64))
             sketch = np.asarray(bits, np.int64).reshape(-1, len(words))
@@ -86,55 +85,10 @@ def signatures(docs: DataFrame, size: int, count: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, n_shingles long, content binary, keys array<long>" + "".join(f", {w} long" for w in words))
 
 
-def repeated_ids(docs: DataFrame) -> DataFrame | None:
-    """(id, first): doc_ids that rows of docs(doc_id, text) with unlike texts share, and the smallest text hash of each; None: no doc_id repeats.
-
-    Texts are read for repeated doc_ids alone, and only if there are any.
-    """
-    again = docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows")).where("rows > 1").select("id")
-    again = staged(again, "repeated-ids")
-    if again.isEmpty():
-        return None
-    marked = docs.join(again, docs["doc_id"] == again["id"]).groupBy("id").agg(F.min(text_hash()).alias("first"), F.max(text_hash()).alias("last"))
-    return staged(marked.where("first < last").select("id", "first"), "unlike-texts")
-
-
-def text_hash():
-    return F.xxhash64(F.coalesce("text", F.lit("")))
-
-
 def classified(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
-    """near_duplicates with one more column, own_text: the text's hash where rows with unlike texts share the doc_id, else null."""
-    table = only(docs, doc_id="long", text="string")
-    unlike = repeated_ids(table)
-    own_text = F.lit(None).cast("long")
-    if unlike is not None:  # further texts of a doc_id are nodes of their own, by a hash that is no doc_id but for chance
-        table = table.join(unlike, table["doc_id"] == unlike["id"], "left")
-        own_text = F.when(F.col("first").isNotNull(), text_hash())
-        table = table.withColumn("node", F.when(own_text > F.col("first"), F.xxhash64(own_text, "doc_id", F.lit("further text"))).otherwise(F.col("doc_id")))
-    else:
-        table = table.withColumn("node", F.col("doc_id"))
-    ids = table.select("node", "doc_id", own_text.alias("own_text")).where("node <> doc_id or own_text is not null").distinct() if unlike is not None else None
-    table = table.select("node", "text")
-    rows = staged(signatures(table, size, *bands(part / whole, 1 << BINS_LOG2)), "signatures")
-    sets_of = rows.where(F.col("content").isNotNull() & F.col("node").isNotNull())
-    firsts = staged(sets_of.groupBy("content").agg(F.min("node").alias("first")), "contents")
-    chosen = sets_of.join(firsts, "content").where("node = first").dropDuplicates(["node"])
-    nodes = staged(chosen.select("node", F.col("n_shingles").alias("n"), "keys", *[c for c in rows.columns if c.startswith("w")]), "sets")
-    _, labels = linked(nodes, table, size, part, whole)
-    discard(nodes)
-    mapped = firsts.join(labels, firsts["first"] == labels["node"], "left").select("content", F.coalesce("component", "first").alias("component"))
-    mapped = staged(mapped, "classes")
-    discard(firsts, labels)
-    own = rows.select("node", "n_shingles", "content").join(mapped, "content", "left").withColumn("component", F.coalesce("component", "node"))
-    if ids is None:
-        own = own.withColumn("doc_id", F.col("node")).withColumn("own_text", F.lit(None).cast("long"))
-    else:  # nodes back to doc_ids; a component's name is its smallest doc_id
-        ids = staged(ids, "further-texts")
-        own = own.join(ids, "node", "left").withColumn("doc_id", F.coalesce("doc_id", "node"))
-        names = own.join(own.join(ids.select("node"), "node", "left_semi").select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("doc_id").alias("name"))
-        own = own.join(staged(names, "names"), "component", "left").withColumn("component", F.coalesce("name", "component"))
-    return own.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"), "own_text")
+    """near_duplicates with one more column, own_text (see linking.classified)."""
+    found = linking.classified(docs, lambda table: signatures(table, size, *linking.bands(part / whole, 1 << BINS_LOG2)), size, part, whole)
+    return found.select("doc_id", "n_shingles", F.col("class_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"), "own_text")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100) -> DataFrame:

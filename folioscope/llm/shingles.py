@@ -111,3 +111,9 @@ def sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     """Each text's distinct shingle hashes, ascending."""
     h, bounds = shingles(texts, size)
     return [np.unique(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def set_hash(own: np.ndarray) -> bytes:
+    """A hash of a whole set: two 64-bit sums and its size."""
+    two = np.array([mixed(own).sum(dtype=np.uint64), mixed(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)])
+    return two.tobytes() + len(own).to_bytes(8, "little")

@@ -152,6 +152,7 @@ def test_components(spark):
 def test_fingerprints(spark, small, plain):
     got = {r["doc_id"]: r for r in op2_fingerprints.query(spark, small).collect()}
     texts = [t for _, t in plain]
+    assert {i: r["class_id"] for i, r in got.items()} == {i: v[1] for i, v in brute(plain, 5, 80, 100).items()}
     near = []
     for n, (i, t) in enumerate(plain):
         following = texts[(n + 1) % len(texts)]
@@ -176,9 +177,11 @@ def test_fingerprints_of_odd_rows(odd, none):
     assert op2_fingerprints.with_edits(none).collect() == []
 
 
-def test_banded_search(docs, odd, plain):
-    links, classes = op2_fingerprints.near_pairs(docs)
-    want = brute(plain, 5, 80, 100)
-    assert {r["doc_id"]: r["class_id"] for r in classes.collect()} == {i: v[1] for i, v in want.items()}
-    assert all(want[r["a"]][1] == want[r["b"]][1] for r in links.collect())
-    assert {r["doc_id"]: r["class_id"] for r in op2_fingerprints.near_pairs(odd)[1].collect()}[4] == 1
+def test_banded_search(spark, docs, odd, plain):
+    want = {i: v[1] for i, v in brute(plain, 5, 80, 100).items()}
+    assert {r["doc_id"]: r["class_id"] for r in op2_fingerprints.near_classes(docs).collect()} == want
+    assert {r["doc_id"]: r["class_id"] for r in op2_fingerprints.near_classes(odd).collect()}[4] == 1
+    rows = near_copies(3, 2, 150)
+    for part in (60, 80):  # bands follow the likeness
+        got = op2_fingerprints.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), part=part).collect()
+        assert {r["doc_id"]: r["class_id"] for r in got} == dense(rows, 5, part, 100)

@@ -4,8 +4,8 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
-
 from pyspark.sql import functions as F
 
 from folioscope.llm import op3_search, op5_toxicity, op6_secrets, op8_mixing, op10_language
@@ -56,6 +56,23 @@ def test_bounds_hold():
         assert (op3_search.statistics(q, n) @ op3_search.statistics(x, n).T >= q @ x.T - 1e-9).all()
 
 
+def test_segment_bounds_prune_where_components_hang_together():
+    """Random walks: neighbouring components are alike, and coarse levels leave out most pairs.  Independent components: hardly any."""
+    draw = np.random.default_rng(4)
+    for kind, most in (("walk", 0.3), ("independent", 1.0)):
+        x = draw.normal(size=(2000, 64))
+        x = np.floor(256 * (np.cumsum(x, axis=1) if kind == "walk" else x))
+        x[:, :] -= np.round(x.mean(axis=1, keepdims=True)) * (kind == "walk")
+        ids = np.arange(len(x), dtype=np.int64)
+        best, exact = op3_search.Best(40, 5), 0
+        for at in range(0, len(x), 500):
+            exact += op3_search.search_block(x[::50], ids[::50], best, x[at : at + 500], ids[at : at + 500])
+        scores = x[::50] @ x.T
+        scores[np.arange(40), ids[::50]] = -np.inf
+        assert (best.scores == -np.sort(-scores, axis=1)[:, :5]).all()
+        assert exact <= most * 40 * len(x)
+
+
 # ---- toxicity
 
 
@@ -236,3 +253,62 @@ def test_language_of_odd_rows(odd, none, docs):
     assert op10_language.learn(none) is None and op10_language.predict(none, net).collect() == []
     big = odd.where("doc_id = 9")
     assert op10_language.predict(big, net).count() == 2
+
+
+def by_differences(loss, values, places, step=1e-5):
+    out = []
+    for at in places:
+        flat = values.reshape(-1)
+        was = flat[at]
+        flat[at] = was + step
+        up = loss()
+        flat[at] = was - step
+        out.append((up - loss()) / (2 * step))
+        flat[at] = was
+    return out
+
+
+def test_gradient_of_the_ordinal_likelihood():
+    draw = np.random.default_rng(2)
+    x, grade = draw.normal(size=(50, 6)), draw.integers(4, size=50)
+    share, weights, free = np.full(50, 0.02), draw.normal(size=6), np.array([-0.3, 0.2, -0.5])
+    _, g = op5_toxicity.likelihood(x, grade, share, weights, free, 0.01)
+    loss = lambda: op5_toxicity.likelihood(x, grade, share, weights, free, 0.01)[0]
+    assert np.allclose(g, by_differences(loss, weights, range(6)) + by_differences(loss, free, range(3)), atol=1e-6)
+
+
+def test_severity_is_the_cumulative_link_by_hand(spark):
+    """Grades and severity of a small model, word by word."""
+    text = ["rotten filth here", "all is well", None, "", "filth filth filth filth"]
+    table = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    _, hashes, _ = op5_toxicity.features(pa.array(["rotten", "filth"]))
+    words = np.sort(hashes[(hashes & np.uint64(1)) == 0])
+    weight = {int(h): w for h, w in zip(words, (1.5, 0.7))}
+    of = {w: weight[int(h)] for w in ("rotten", "filth") for h in op5_toxicity.features(pa.array([w]))[1] if int(h) in weight}
+    model = op5_toxicity.Ordinal(words, np.array([1.5, 0.7]), np.array([4.0, 6.0, 9.0]))
+    for r in op5_toxicity.severity(table, model).collect():
+        own = (text[r["doc_id"]] or "").split()
+        eta = sum(of[w] * (1 + np.log1p(100 * own.count(w) / len(own))) for w in set(own) & set(of))
+        p = [1 / (1 + np.exp(t - eta)) for t in (4.0, 6.0, 9.0)]
+        assert abs(r["severity"] - sum(p)) < 1e-5 and r["grade"] == sum(x >= 0.5 for x in p) and r["toxic"] == (p[0] >= 0.5)
+
+
+def test_network_against_plain_loops():
+    draw = np.random.default_rng(6)
+    k = op10_language.FILTERS
+    filters = [draw.normal(size=(w, op10_language.SYMBOLS, k)) for w in op10_language.WIDTHS]
+    bias, out = draw.normal(size=(3, k)), draw.normal(size=(3 * k + 1, 3))
+    net = op10_language.Network(["a", "b", "c"], filters, bias, out)
+    rows, _ = op10_language.windows(pa.array(["Ünï cödé 日本 text, 12 words", "x" * 300]))
+    got = op10_language.probabilities(net, rows)
+    for row, p in zip(rows, got):
+        pooled = [max(sum(f[j][row[i + j]][c] for j in range(w)) for i in range(op10_language.WINDOW - w + 1)) for w, f in zip(op10_language.WIDTHS, filters) for c in range(k)]
+        z = np.maximum(np.array(pooled) + bias.reshape(-1), 0) @ out[:-1] + out[-1]
+        e = np.exp(z - z.max())
+        assert np.allclose(p, e / e.sum(), atol=1e-4)
+    state, y = [*filters, bias, out], np.array([1, 0, 2])
+    _, g = op10_language.slopes(state, rows, y)
+    loss = lambda: op10_language.slopes(state, rows, y)[0]
+    for values, slope in zip(state, g):
+        busy = np.flatnonzero(slope.reshape(-1))[:: max(1, np.count_nonzero(slope) // 5)]
+        assert np.allclose(slope.reshape(-1)[busy], by_differences(loss, values, busy, 1e-6), atol=1e-5)
