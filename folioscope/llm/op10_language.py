@@ -19,6 +19,8 @@ FILTERS = 16
 #: Training documents of each language at most (those of the smallest hashes), and windows of each, spread over the whole text;
 #: windows that hold fewer bytes than LEAST (the ends of texts, short texts) don't teach.
 SAMPLE, SAMPLE_WINDOWS, LEAST = 300, 6, 32
+#: Rows of (language, number of documents) that are broadcast at most.
+BROADCAST_LANGUAGES = 100_000
 STEPS, BATCH, RATE = 400, 64, 0.02
 
 #: Symbols: 0 beyond the text, 1-26 ASCII letters of either case, then digits, white space, other ASCII, and each byte from 0x80 its own.
@@ -136,7 +138,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     # about twice as many ids as are wanted pass the threshold of their language's size, so no task ranks a whole language
-    sizes = usable.groupBy(F.col("lang").alias("of")).agg(F.approx_count_distinct("doc_id", 0.02).alias("n"))
+    sizes = staged(usable.groupBy(F.col("lang").alias("of")).agg(F.approx_count_distinct("doc_id", 0.02).alias("n")), "language-sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGUAGES else sizes
     uniform = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     some = usable.select("doc_id", "lang").join(sizes, F.col("lang") == F.col("of")).where(uniform * F.col("n") < 2 * sample + 20).select("doc_id", "lang").distinct()
     order = Window.partitionBy("lang").orderBy(uniform, "doc_id")
