@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import op4_packing, op5_toxicity, op6_secrets, op8_mixing, op9_dedup
+from folioscope.llm import linking, op4_packing, op5_toxicity, op6_secrets, op8_mixing, op9_dedup
 from folioscope.llm.common import delete, hold, scratch, shared_folder, staged
 
 
@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     answer = op9_dedup.classified(docs, size=5, part=80, whole=100)
     gone = staged(answer.where("not kept").select(F.col("doc_id").alias("_gone"), "own_text").distinct(), "gone").withColumnRenamed("own_text", "_gone_text")
-    same = (F.col("doc_id") == F.col("_gone")) & (F.col("_gone_text").isNull() | (F.col("_gone_text") == op9_dedup.text_hash()))
+    same = (F.col("doc_id") == F.col("_gone")) & (F.col("_gone_text").isNull() | (F.col("_gone_text") == linking.text_hash()))
     return without_copies(docs).join(gone, same, "left_anti").select(*docs.columns)
 
 
