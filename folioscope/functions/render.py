@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from folioscope.functions import text
 from folioscope.functions.markdown import find_blocks
 from folioscope.functions.text import html_escape, human_size, normalize_code
 
@@ -238,15 +239,8 @@ def document(md: Column, title: Column, css: str = "", language: str = "en") ->
 
 # ---- coloured source: tags go in, no character of the escaped source is lost
 
-#: The forms of lines and the classes that style sheets know.  Indents are looser than when rendering.
-_LINES = (
-    ("fence", re.compile(r"\s*(?:`{3,}|~{3,})")),
-    ("hr", re.compile(r"\s{0,3}([-*_])(?:\s*\1){2,}\s*$")),
-    ("heading", re.compile(r"\s*(#{1,6})\s+")),
-    ("list", re.compile(r"[ \t]*(?:[-*+]|[0-9]{1,9}[.)])[ \t]+(\[[ xX]\][ \t]+)?")),
-    ("quote", re.compile(r"\s*(?:>[ \t]?)+")),
-    ("tbl", re.compile(r"\s{0,3}\|.*\|\s*$")),
-)
+#: The forms of text.LINES.
+_LINES = tuple((name, re.compile(form)) for name, form in text.LINES)
 _EMPHASIS = {"***": "md-strong md-em", "___": "md-strong md-em", "**": "md-strong", "__": "md-strong", "~~": "md-strike", "*": "md-em", "_": "md-em"}
 
 
@@ -293,7 +287,7 @@ def coloured_source(md: str | None) -> str:
             out.append(_coloured(line))
         elif kind == "hr":
             out.append(_span("md-hr", line))
-        elif kind == "tbl":
+        elif kind == "table":
             out.append(f'<span class="md-tbl">{_coloured(line)}</span>')
         else:
             level = f"md-h{len(m[1])}" if kind == "heading" else ""

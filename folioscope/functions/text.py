@@ -107,8 +107,8 @@ def sanitize_title(c: Column) -> Column:
 
 
 def sanitize_location(c: Column) -> Column:
-    """sanitize_title for each segment of a path that isn't empty, joined by /."""
-    return F.array_join(F.transform(F.filter(F.split(c, "/"), lambda s: s != ""), sanitize_title), "/")
+    """sanitize_title for each segment of a path; empty segments stay, so that slashes at the ends do."""
+    return F.array_join(F.transform(F.split(c, "/"), lambda s: F.when(s == "", s).otherwise(sanitize_title(s))), "/")
 
 
 def ancestors(location: Column) -> Column:
@@ -223,13 +223,23 @@ def inject_before_body_end(html: Column, snippet: Column) -> Column:
     return F.when(at > 0, F.concat(F.substring(html, F.lit(1), cut), snippet, F.lit("\n"), F.substring(html, cut + 1, F.length(html)))).otherwise(F.concat(html, F.lit("\n"), snippet))
 
 
+#: The forms of Markdown lines, in the order they are tried.  Indents are looser than when rendering.
+LINES = (
+    ("fence", r"\s*(?:`{3,}|~{3,})"),
+    ("hr", r"\s{0,3}(?:-(?:\s*-){2,}|\*(?:\s*\*){2,}|_(?:\s*_){2,})\s*$"),
+    ("heading", r"\s*(#{1,6})\s+"),
+    ("list", r"[ \t]*(?:[-*+]|[0-9]{1,9}[.)])[ \t]+(\[[ xX]\][ \t]+)?"),
+    ("quote", r"\s*(?:>[ \t]?)+"),
+    ("table", r"\s{0,3}\|.*\|\s*$"),
+)
+
+
 def line_kind(line: Column) -> Column:
-    """heading, rule, quote, list, table, fence, blank or text, of a Markdown line."""
-    return (
-        F.when(line.rlike(r"^\s*$"), "blank").when(line.rlike(r"^ {0,3}(```|~~~)"), "fence").when(line.rlike(r"^ {0,3}#{1,6}( |$)"), "heading")
-        .when(line.rlike(r"^ {0,3}([-*_])( *\1){2,} *$"), "rule").when(line.rlike(r"^ {0,3}>"), "quote").when(line.rlike(r"^\s*([-*+]|[0-9]+[.)]) "), "list")
-        .when(line.rlike(r"^\s*\|.*\|\s*$"), "table").otherwise("text")
-    )
+    """blank, fence, hr, heading, list, quote, table or text, of a Markdown line without its line feed."""
+    kind = F.when(line.rlike(r"(?U)^\s*$"), "blank")
+    for name, form in LINES:
+        kind = kind.when(line.rlike(f"(?U)^{form}"), name)
+    return kind.otherwise("text")
 
 
 def validate_html(html: Column, host_scheme: str) -> Column:

@@ -211,7 +211,7 @@ def export_names(notes: DataFrame) -> DataFrame:
     counting, the names stand as they are; only the others go through the chain, one family at a time.
     """
     bare = F.substring(F.regexp_replace("guid", r"^[{}]+|[{}]+$", ""), 1, 8)
-    own = notes.select("guid", sanitize_location(F.col("location")).alias("directory"), F.coalesce("title", F.lit("")).alias("title"))
+    own = notes.select("guid", F.regexp_replace(F.btrim(sanitize_location(F.col("location")), F.lit("/")), "/+", "/").alias("directory"), F.coalesce("title", F.lit("")).alias("title"))
     own = own.withColumn("base", sanitize_title(F.col("title"))).withColumn("family", F.regexp_extract("base", r"(?s)^[^_.]{0,100}", 0)).withColumn("other", F.concat(F.substring("base", 1, 110), F.lit("_"), bare))
     first = own.groupBy("directory", "base").agg(F.min(F.struct("title", "guid")).alias("first")).select(F.col("first.guid").alias("guid"), "directory", F.lit(True).alias("first")).distinct()
     wanted = own.join(first, ["guid", "directory"], "left").withColumn("name", F.when(F.col("first"), F.col("base")).otherwise(F.col("other")))
@@ -302,27 +302,36 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, "path", "full_outer").select("path", change.alias("change")).where("change is not null")
 
 
+#: Ranges that nearest_rank counts in.
+RANK_RANGES = 256
+
+
 def nearest_rank(values: DataFrame, column: str, quantiles: list[float]) -> DataFrame:
-    """q, value at index round((n - 1) q) of the sorted values.
+    """q, value at index round((n - 1) q) of the sorted values; nulls don't count.
 
-    Values are counted first; the running count goes over distinct values in ranges, one sum for each range from
-    the driver's side, so no single task sorts them all.
+    Values are counted first.  Cuts of about equal ranges come from approxQuantile and are literals of the plan, so
+    a range is the same however often a task runs; the driver gets one sum for each.  Only the ranges that hold a wanted index
+    are counted through.
     """
+    spark = values.sparkSession
+    kind = dict(values.dtypes)[column]
     counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    ranged = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()).persist()
-    sums = sorted(ranged.groupBy("part").agg(F.sum("n").alias("n")).collect())
-    total, before, base = sum(r["n"] for r in sums), 0, []
-    for r in sums:
-        base.append((r["part"], before))
+    cuts = sorted(set(values.select(F.col(column).cast("double").alias("v")).stat.approxQuantile("v", [i / RANK_RANGES for i in range(1, RANK_RANGES)], 1 / (4 * RANK_RANGES))))
+    number = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("v").cast("double"))) if cuts else F.lit(0)
+    ranged = counts.withColumn("part", number)
+    before, base = 0, {}
+    for r in sorted(ranged.groupBy("part").agg(F.sum("n").alias("n")).collect()):
+        base[r["part"]] = (before, before + r["n"])
         before += r["n"]
-    spark = values.sparkSession
-    if not total:
-        return spark.createDataFrame([], f"q double, value {dict(values.dtypes)[column]}")
-    bases = spark.createDataFrame(base, "part int, base long")
+    if not before:
+        return spark.createDataFrame([], f"q double, value {kind}")
+    wanted = [(float(q), int((before - 1) * q + 0.5)) for q in quantiles]
+    rows = [(q, i, part, low) for q, i in wanted for part, (low, high) in base.items() if low <= i < high]
+    asked = spark.createDataFrame(rows, "q double, i long, part int, base long")
     run = Window.partitionBy("part").orderBy("v")
-    last = ranged.join(F.broadcast(bases), "part").withColumn("upto", F.col("base") + F.sum("n").over(run))
-    wanted = spark.createDataFrame([(q, int((total - 1) * q + 0.5)) for q in quantiles], "q double, i long")
-    return last.join(F.broadcast(wanted), (F.col("i") < F.col("upto")) & (F.col("i") >= F.col("upto") - F.col("n"))).select("q", F.col("v").alias("value"))
+    needed = ranged.where(F.col("part").isin(sorted({r[2] for r in rows}))).withColumn("upto", F.sum("n").over(run))
+    at = F.col("i") - F.col("base")
+    return needed.join(F.broadcast(asked), "part").where((at < F.col("upto")) & (at >= F.col("upto") - F.col("n"))).select("q", F.col("v").alias("value"))
 
 
 def inspect(notes: DataFrame) -> DataFrame:

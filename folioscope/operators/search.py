@@ -42,23 +42,45 @@ def collapse(hits: DataFrame, *order) -> DataFrame:
     return ranked.where("_r = 1").drop("_r", "fp")
 
 
+def found(notes: DataFrame, keyword: str, folder: str | None = None, filter_first: bool = False) -> DataFrame:
+    """The notes of search() with score, hit_in, dup_count, and title and body as they are."""
+    keyword = keyword.strip()
+    if not keyword:
+        return notes.where("false").withColumns({"score": F.lit(0.0), "hit_in": F.lit(""), "dup_count": F.lit(0).cast("long")})
+    if len(keyword) < 3:
+        top = notes.where(like_any(FIELDS, keyword)).orderBy("guid").limit(LIMIT)
+        where, order = ascii_lower(F.col("title")).contains(keyword.lower()), ["guid"]
+        top = top.withColumn("score", F.lit(0.0))
+    else:
+        own = notes.where(F.col("location").startswith(folder)) if folder and filter_first else notes
+        top = bm25(own, keyword).orderBy("score", "guid").limit(LIMIT)
+        where, order = F.lower("title").contains(keyword.lower()), ["score", "guid"]
+    if folder:
+        top = top.where(F.col("location").startswith(folder))
+    return collapse(top, *order).withColumns({"score": F.round("score", 6), "hit_in": F.when(where, "title").otherwise("body"), "dup_count": F.col("dup_count").cast("long")})
+
+
 def search(notes: DataFrame, keyword: str, folder: str | None = None, filter_first: bool = False) -> DataFrame:
     """guid, title, location, score, hit_in, dup_count: the best LIMIT by score, then the folder's, then one of each text.
 
-    The folder filter comes after the limit unless filter_first is set.  Keywords of one or two characters go by
-    short_search.  An empty keyword has no hits.
+    The folder filter comes after the limit unless filter_first is set.  Keywords of one or two characters go by LIKE, the
+    first LIMIT by guid, with score 0.  An empty keyword has no hits.
+    """
+    return found(notes, keyword, folder, filter_first).select("guid", "title", "location", "score", "hit_in", "dup_count")
+
+
+def respond(notes: DataFrame, attachments: DataFrame, keyword: str, folder: str | None = None) -> DataFrame:
+    """The whole answer to a search: kind (note, attachment), id, title, place, snippet, hit_in, score, dup_count.
+
+    Notes as search() has them, their titles marked and with a snippet; attachments(file_path, display_name, db_name, tier) whose
+    names match, whatever the folder.  An empty keyword has neither.
     """
     keyword = keyword.strip()
-    if not keyword:
-        return notes.where("false").select("guid", "title", "location", F.lit(0.0).alias("score"), F.lit("").alias("hit_in"), F.lit(0).cast("long").alias("dup_count"))
-    if len(keyword) < 3:
-        return short_search(notes, keyword, folder)
-    own = notes.where(F.col("location").startswith(folder)) if folder and filter_first else notes
-    top = bm25(own, keyword).orderBy("score", "guid").limit(LIMIT)
-    if folder and not filter_first:
-        top = top.where(F.col("location").startswith(folder))
-    where = F.when(F.lower("title").contains(keyword.lower()), "title").otherwise("body")
-    return collapse(top, "score", "guid").select("guid", "title", "location", F.round("score", 6).alias("score"), where.alias("hit_in"), F.col("dup_count").cast("long").alias("dup_count"))
+    shown = snippet(F.col("body"), keyword) if len(keyword) < 3 else window(F.col("body"), keyword)
+    title = F.col("title") if len(keyword) < 3 else highlight(F.col("title"), keyword)
+    hits = found(notes, keyword, folder).select(F.lit("note").alias("kind"), F.col("guid").alias("id"), title.alias("title"), F.col("location").alias("place"), shown.alias("snippet"), "hit_in", "score", "dup_count")
+    files = attachments.where(like_any(("display_name", "db_name"), keyword) if keyword else F.lit(False))
+    return hits.unionByName(files.select(F.lit("attachment").alias("kind"), F.col("file_path").alias("id"), F.col("display_name").alias("title"), F.lit("").alias("place"), F.lit("").alias("snippet"), F.lit("name").alias("hit_in"), F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("dup_count")))
 
 
 def like_any(columns, keyword: str) -> Column:
@@ -70,23 +92,22 @@ def like_any(columns, keyword: str) -> Column:
     return out
 
 
-def short_search(notes: DataFrame, keyword: str, folder: str | None = None) -> DataFrame:
-    """guid, title, location, score (0), hit_in, dup_count for one or two characters: LIKE, the first LIMIT by guid."""
-    top = notes.where(like_any(FIELDS, keyword)).orderBy("guid").limit(LIMIT)
-    if folder:
-        top = top.where(F.col("location").startswith(folder))
-    where = F.when(ascii_lower(F.col("title")).contains(keyword.lower()), "title").otherwise("body")
-    return collapse(top, "guid").select("guid", "title", "location", F.lit(0.0).alias("score"), where.alias("hit_in"), F.col("dup_count").cast("long").alias("dup_count"))
-
-
 def snippet(body: Column, keyword: str, before: int = 40, size: int = 120) -> Column:
     """A stretch of the body from a little before the keyword, every occurrence marked."""
     cut = F.substring(body, F.greatest(F.lit(1), F.instr(body, keyword) - before), F.lit(size))
     return F.replace(cut, F.lit(keyword), F.lit(f"<mark>{keyword}</mark>"))
 
 
+def window(body: Column, keyword: str, size: int = 22) -> Column:
+    """About `size` characters around the first occurrence in any case, all in it marked; the body's beginning where there is none."""
+    size = max(size, len(keyword))
+    at = F.instr(F.lower(body), keyword.lower())
+    cut = F.substring(body, F.greatest(F.lit(1), at - (size - len(keyword)) // 2), F.lit(size))
+    return F.when(at == 0, F.substring(body, 1, size)).otherwise(highlight(cut, keyword))
+
+
 def highlight(title: Column, keyword: str) -> Column:
-    return F.regexp_replace(title, "(?iu)(\\Q" + keyword + "\\E)", "<mark>$1</mark>")
+    return F.regexp_replace(title, "(?iu)(\\Q" + keyword.replace("\\E", "\\E\\\\E\\Q") + "\\E)", "<mark>$1</mark>")
 
 
 def attachment_search(attachments: DataFrame, keyword: str) -> DataFrame:

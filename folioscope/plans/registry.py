@@ -41,10 +41,13 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from folioscope.plans import lifecycle  # noqa: F401  adds its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -125,15 +128,17 @@ def _title_sql(c: str) -> str:
 
 
 query("q_sanitize_title", f"{WITH} SELECT guid, {_title_sql('title')} AS name FROM note")(lambda s, d: notes(s, d).select("guid", text.sanitize_title(F.col("title")).alias("name")))
-query("q_sanitize_location", f"SELECT page_id, array_to_string(list_transform(list_filter(string_split(url, '/'), lambda x: x <> ''), lambda x: {_title_sql('x')}), '/') AS place FROM pages")(
+query("q_sanitize_location", f"SELECT page_id, array_to_string(list_transform(string_split(url, '/'), lambda x: CASE WHEN x = '' THEN '' ELSE {_title_sql('x')} END), '/') AS place FROM pages")(
     lambda s, d: table(s, d, "pages").select("page_id", text.sanitize_location(F.col("url")).alias("place"))
 )
 query("q_html_escape", "SELECT page_id, replace(replace(replace(replace(html,'&','&amp;'),'<','&lt;'),'>','&gt;'),'\"','&quot;') AS escaped FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", text.html_escape(F.col("html")).alias("escaped")))
 query("q_human_size", f"{WITH} SELECT guid, CASE WHEN package_size < 1024 THEN package_size || ' B' WHEN package_size < 1048576 THEN printf('%.1f KB', package_size / 1024.0) ELSE printf('%.1f MB', package_size / 1048576.0) END AS size FROM note")(
     lambda s, d: notes(s, d).select("guid", text.human_size(F.col("package_size")).alias("size"))
 )
-query("q_md_line_kinds", r"""WITH x AS (SELECT doc_id, unnest(string_split(coalesce(text,''), chr(10))) AS line FROM documents), k AS (SELECT doc_id, CASE WHEN regexp_matches(line, '^\s*$') THEN 'blank' WHEN regexp_matches(line, '^ {0,3}(```|~~~)') THEN 'fence' WHEN regexp_matches(line, '^ {0,3}#{1,6}( |$)') THEN 'heading'
- WHEN regexp_matches(line, '^ {0,3}(-( *-){2,}|\*( *\*){2,}|_( *_){2,}) *$') THEN 'rule' WHEN regexp_matches(line, '^ {0,3}>') THEN 'quote' WHEN regexp_matches(line, '^\s*([-*+]|[0-9]+[.)]) ') THEN 'list' WHEN regexp_matches(line, '^\s*\|.*\|\s*$') THEN 'table' ELSE 'text' END AS kind FROM x)
+_W = r"[\s\x0b\x85\pZ]"
+query("q_md_line_kinds", rf"""WITH x AS (SELECT doc_id, unnest(string_split(coalesce(text,''), chr(10))) AS line FROM documents), k AS (SELECT doc_id, CASE WHEN regexp_matches(line, '^{_W}*$') THEN 'blank' WHEN regexp_matches(line, '^{_W}*(```|~~~)') THEN 'fence'
+ WHEN regexp_matches(line, '^{_W}{{0,3}}(-({_W}*-)+{_W}*-|\*({_W}*\*)+{_W}*\*|_({_W}*_)+{_W}*_){_W}*$') THEN 'hr' WHEN regexp_matches(line, '^{_W}*#{{1,6}}{_W}') THEN 'heading' WHEN regexp_matches(line, '^[ \t]*([-*+]|[0-9]{{1,9}}[.)])[ \t]') THEN 'list' WHEN regexp_matches(line, '^{_W}*>') THEN 'quote'
+ WHEN regexp_matches(line, '^{_W}{{0,3}}\|.*\|{_W}*$') THEN 'table' ELSE 'text' END AS kind FROM x)
 SELECT doc_id, kind, count(*) AS n FROM k GROUP BY ALL""")(
     lambda s, d: table(s, d, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).groupBy("doc_id", text.line_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
 )
@@ -165,8 +170,8 @@ SELECT path, count(*) AS total_count, max((doc_id % 9 = 0)::INTEGER) AS has_atta
 _LIST = "guid, title, location, package_size, data_modified"
 _list = lambda df: df.select(*_LIST.split(", "))
 query("q_list_modified", f"{WITH} SELECT {_LIST} FROM note WHERE location = '/en/src1/' ORDER BY data_modified DESC, guid LIMIT 5000")(lambda s, d: _list(lib.listing(notes(s, d), "/en/src1/")))
-query("q_list_title_nocase", f"{WITH} SELECT {_LIST} FROM note ORDER BY {_FOLD.format('title')}, guid LIMIT 100")(lambda s, d: _list(lib.listing(notes(s, d), sort="title", limit=100)))
-query("q_list_size", f"{WITH} SELECT {_LIST} FROM note ORDER BY package_size DESC, guid LIMIT 200")(lambda s, d: _list(lib.listing(notes(s, d), sort="size", limit=200)))
+query("q_list_title_nocase", f"{WITH} SELECT {_LIST} FROM note ORDER BY {_FOLD.format('title')}, guid LIMIT 5000")(lambda s, d: _list(lib.listing(notes(s, d), sort="title")))
+query("q_list_size", f"{WITH} SELECT {_LIST} FROM note ORDER BY package_size DESC, guid LIMIT 5000")(lambda s, d: _list(lib.listing(notes(s, d), sort="size")))
 query("q_list_title_filter", f"{WITH} SELECT {_LIST} FROM note WHERE {_FOLD.format('title')} LIKE '%th_re%' ORDER BY data_modified DESC, guid LIMIT 5000")(lambda s, d: _list(lib.listing(notes(s, d), contains="th_re")))
 query("q_note_flags", f"{WITH} SELECT guid, package_size > 0 AND length(body) < 10 AS is_empty, false AS is_webclip, false AS system FROM note")(lambda s, d: lib.flags(notes(s, d)).select("guid", "is_empty", "is_webclip", "system"))
 
@@ -278,9 +283,9 @@ query("q_url_encode", "SELECT page_id, replace(replace(replace(replace(url_encod
 )
 query(
     "q_path_hash",
-    """WITH x AS (SELECT page_id, hex(encode(url)) AS h FROM pages WHERE url IS NOT NULL), y AS (SELECT page_id, list_prepend(2216829733::BIGINT, list_transform(range(1, (length(h) // 2 + 1)::BIGINT), lambda i: ('0x' || substring(h, (2 * i - 1)::BIGINT, 2))::BIGINT)) AS b FROM x)
+    """WITH x AS (SELECT page_id, hex(encode(url)) AS h FROM pages), y AS (SELECT page_id, list_prepend(2216829733::BIGINT, list_transform(range(1, (length(h) // 2 + 1)::BIGINT), lambda i: ('0x' || substring(h, (2 * i - 1)::BIGINT, 2))::BIGINT)) AS b FROM x)
 SELECT page_id, lpad(printf('%x', list_reduce(b, lambda h, v: (xor(h, v) * 435) & 4294967295)), 8, '0') AS hash8 FROM y""",
-)(lambda s, d: table(s, d, "pages").where("url is not null").select("page_id", keys.path_hash(F.col("url")).alias("hash8")))
+)(lambda s, d: table(s, d, "pages").select("page_id", keys.path_hash(F.col("url")).alias("hash8")))
 query(
     "q_entry_names",
     r"""WITH x AS (SELECT page_id, coalesce(url, '') AS u FROM pages), y AS (SELECT page_id, u, regexp_replace(substring(regexp_replace(regexp_replace(regexp_extract(u, '(?s)([^/\\]*)$', 1), '(?s)\.[^.]*$', ''), '[^\pL\pN_.-]', '_', 'g'), 1, 40), '\.+$', '') AS stem,
@@ -310,8 +315,10 @@ query("q_md_to_html")(lambda s, d: notes(s, d).select("guid", render.md_to_html(
 query("q_md_highlight", f"{WITH} SELECT guid, replace(replace(replace(body, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS shown FROM note")(lambda s, d: notes(s, d).select("guid", render.strip_tags(render.highlight_md(F.col("body"))).alias("shown")))
 query("q_render_health")(lambda s, d: audit.worst_rendered(notes(s, d)))
 query("q_conversion_stats")(lambda s, d: audit.conversion_stats(table(s, d, "pages").select(F.col("page_id").alias("key"), markdown.html_to_md(F.col("html")).alias("md"))))
-query("q_purity", "SELECT page_id, len(regexp_extract_all(html, 'href='))::BIGINT AS hosts, len(regexp_extract_all(html, '(?i)<script'))::BIGINT AS scripts, hosts = 0 AND scripts = 0 AS ok FROM pages WHERE html IS NOT NULL")(
-    lambda s, d: table(s, d, "pages").where("html is not null").select("page_id", audit.purity(F.col("html"), "href=").alias("p")).select("page_id", F.col("p.hosts").cast("long").alias("hosts"), F.col("p.scripts").cast("long").alias("scripts"), "p.ok")
+query("q_purity", "SELECT page_id, (page_id % 3)::BIGINT AS hosts, (page_id % 2 + len(regexp_extract_all(coalesce(html, ''), '(?i)<script')))::BIGINT AS scripts, page_id % 3 = 0 AND page_id % 2 = 0 AND NOT regexp_matches(coalesce(html, ''), '(?i)<script') AS ok FROM pages")(
+    lambda s, d: table(s, d, "pages")
+    .select("page_id", F.concat(F.coalesce("html", F.lit("")), F.repeat(F.lit('<img src="noteapp://x">'), (F.col("page_id") % 3).cast("int")), F.when(F.col("page_id") % 2 == 1, "<SCRIPT>").otherwise("")).alias("html"))
+    .select("page_id", audit.purity(F.col("html"), "noteapp://").alias("p")).select("page_id", F.col("p.hosts").cast("long").alias("hosts"), F.col("p.scripts").cast("long").alias("scripts"), "p.ok")
 )
 @query(
     "q_missing_refs",
@@ -340,11 +347,8 @@ def _render_compare(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "conversations").where("text is not null").select("conv_id", "turn", render.compare_rendered(a, b).alias("verdict"))
 
 
-#: A plan by rule: every third note is put, every third put under a condition, the rest skipped.
-_ACTIONS = "SELECT CASE doc_id % 3 WHEN 0 THEN 'put' WHEN 1 THEN 'put-if' ELSE 'skip' END AS action FROM documents"
-_actions = lambda s, d: table(s, d, "documents").select(F.when(F.col("doc_id") % 3 == 0, "put").when(F.col("doc_id") % 3 == 1, "put-if").otherwise("skip").alias("action"))
-query("q_action_counts", f"SELECT count(*) FILTER (action = 'put') AS put, count(*) FILTER (action = 'put-if') AS put_if, count(*) FILTER (action = 'skip') AS skip, count(*) FILTER (action = 'x') AS x FROM ({_ACTIONS})")(
-    lambda s, d: audit.action_counts(_actions(s, d), ["put", "put-if", "skip", "x"])
+query("q_action_counts", f"""WITH z AS (SELECT action FROM ({_download_sql('writer', False)})) SELECT count(*) FILTER (action = 'download') AS download, count(*) FILTER (action = 'keep_local') AS keep_local, count(*) FILTER (action = 'vanished') AS vanished, count(*) FILTER (action = 'none') AS none, count(*) FILTER (action = 'pending') AS pending FROM z""")(
+    lambda s, d: audit.action_counts(lib.download_plan(*_two(s, d)), ["download", "keep_local", "vanished", "none", "pending"])
 )
 query("q_tree_totals", f"{WITH} SELECT CASE WHEN split_part(location, '/', 2) IN ('en', 'de') THEN split_part(location, '/', 2) ELSE '' END AS top, count(*) AS files, sum(package_size)::BIGINT AS bytes FROM note GROUP BY 1")(
     lambda s, d: audit.tree_totals(notes(s, d).select(F.regexp_replace("location", "^/", "").alias("path"), F.col("package_size").alias("bytes")), ["en", "de"])

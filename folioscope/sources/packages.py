@@ -12,19 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARKDOWN_BODY, HTML_BODY = "note.md", "index.html"
+#: Rounds of percent-decoding of an entry path, and levels of folders that are walked.
+DECODINGS, LEVELS = 3, 16
 
 
 def sanitize_entry(raw: str) -> str | None:
-    """A safe relative entry path, percent-decoded until nothing changes; None where it isn't safe."""
+    """A relative entry path, percent-decoded at most three times and looked at before each; None where it isn't safe.
+
+    It names an entry of a package and is never a path on disk.
+    """
     path = raw
-    for _ in range(16):
+    for _ in range(DECODINGS):
         if not path or "\\" in path or path.startswith("/") or ":" in path or "\0" in path or ".." in path.split("/"):
             return None
         decoded = urllib.parse.unquote(path)
         if decoded == path:
-            return "/".join(p for p in path.split("/") if p not in ("", ".")) or None
+            break
         path = decoded
-    return None
+    return "/".join(p for p in path.split("/") if p not in ("", ".")) or None
 
 
 def decode_body(data: bytes) -> str:
@@ -98,3 +103,67 @@ def folder_positions(meta: DataFrame) -> DataFrame:
     """path, pos from the one JSON row of meta(group, key, value); absent: none; malformed: an error."""
     row = meta.where("`group` = 'SYNC_INFO' and `key` = 'FOLDERS_POS'")
     return row.select(F.explode(F.from_json("value", "map<string, bigint>", {"mode": "FAILFAST"})).alias("path", "pos"))
+
+
+def read_entries(packages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """guid, entry, data of wanted(guid, entry) in packages(guid, content): by the entry's exact name, else by its sanitized one.
+
+    data is null where the path isn't safe, the package has no such entry or can't be opened.  Only the wanted entries of a
+    package are decompressed; packages that nothing is wanted of aren't opened.
+    """
+    asked = wanted.groupBy("guid").agg(F.collect_set("entry").alias("entries"))
+    both = packages.select("guid", "content").join(asked, "guid")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for guid, content, entries in zip(batch["guid"].to_pylist(), batch["content"], batch["entries"].to_pylist()):
+                found = dict.fromkeys(entries)
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content.as_py() or b"")) as z:
+                        names = set(z.namelist())
+                        for entry in entries:
+                            safe = sanitize_entry(entry)
+                            name = entry if safe is not None and entry in names else safe
+                            if name in names:
+                                found[entry] = z.read(name)
+                except zipfile.BadZipFile:
+                    pass
+                yield pa.RecordBatch.from_arrays([pa.array([guid] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.binary())], ["guid", "entry", "data"])
+
+    return both.mapInArrow(read, "guid string, entry string, data binary")
+
+
+def disk_dirs(files: DataFrame) -> DataFrame:
+    """path (/a/b/) of every directory above files(path, relative), LEVELS deep at most, none of whose names begins with _ or a dot."""
+    parts = F.split(F.regexp_replace("path", r"/[^/]*$|^[^/]*$", ""), "/")
+    own = files.select(F.filter(parts, lambda s: s != "").alias("parts")).where(F.size("parts") > 0).distinct()
+    some = F.transform(F.sequence(F.lit(1), F.least(F.size("parts"), F.lit(LEVELS))), lambda i: F.slice("parts", 1, i))
+    seen = own.select(F.explode(some).alias("p")).distinct().where(~F.exists("p", lambda s: s.rlike("^[_.]")))
+    return seen.select(F.concat(F.lit("/"), F.array_join("p", "/"), F.lit("/")).alias("path"))
+
+
+def snapshot(spark: SparkSession, folder: str, whitelist: list[str]) -> DataFrame:
+    """path (relative to folder), bytes, mtime (seconds) of the files whose first segment is in whitelist, from the listing alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "modificationTime")
+    below = folder.split("://")[-1].strip("/") + "/"
+    whole = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    path = F.substring(whole, F.instr(whole, below) + len(below), F.length(whole))
+    return files.select(path.alias("path"), F.col("length").alias("bytes"), F.unix_seconds("modificationTime").alias("mtime")).where(F.split_part("path", F.lit("/"), F.lit(1)).isin(*whitelist))
+
+
+def file_md5(spark: SparkSession, folder: str) -> DataFrame:
+    """path, md5, size of every file below folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", F.md5("content").alias("md5"), F.col("length").alias("size"))
+
+
+def settings(lines: DataFrame, defaults: dict[str, tuple[str, object]], renamed: dict[str, str] | None = None) -> DataFrame:
+    """The settings of lines(value: a JSON object each), a column for each of defaults {name: (type, value)}.
+
+    renamed {old: new}: an older name counts where the present one is missing.  Text that is no JSON gives the defaults.
+    """
+    renamed = renamed or {}
+    shape = ", ".join(f"`{n}` {kind}" for n, kind in {**{old: defaults[new][0] for old, new in renamed.items()}, **{n: d[0] for n, d in defaults.items()}}.items())
+    own = lines.select(F.from_json("value", shape).alias("s"))
+    olds = lambda name: [F.col(f"s.{old}") for old, new in renamed.items() if new == name]
+    return own.select(*[F.coalesce(F.col(f"s.{n}"), *olds(n), F.lit(value).cast(kind)).alias(n) for n, (kind, value) in defaults.items()])

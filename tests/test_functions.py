@@ -21,7 +21,7 @@ def one(spark, f, *values):
         (text.html_escape, '<a href="x">&</a>', "&lt;a href=&quot;x&quot;&gt;&amp;&lt;/a&gt;"),
         (text.sanitize_title, " a/b:c*? ..", "a_b_c__ "),
         (text.sanitize_title, " ... ", "untitled"),
-        (text.sanitize_location, "/a//b?/", "a/b_"),
+        (text.sanitize_location, "/a//b?/", "/a//b_/"),
         (text.normalize_location, " a / b", "/a/b/"),
         (text.normalize_location, "/a/../b", None),
         (text.normalize_guid, "{AB-12}", "ab-12"),
