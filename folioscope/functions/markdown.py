@@ -13,15 +13,52 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, S
 #: Part of export decisions: documents made by another version are made anew.
 CONVERTER_VERSION = "3"
 
+STATS = ("code_blocks", "code_tables", "mirrors", "tables", "layout_tables", "dropped_data_imgs")
 IGNORED = {"script", "style", "noscript", "template", "iframe", "object", "svg", "head"}
 BLOCKS = {"p", "div", "section", "article", "header", "footer", "main", "figure", "address", "form"}
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "col", "area", "base", "embed", "source", "track"}
 
 
+#: Classes of tables that lay out code beside its line numbers, and of tables that lay out one column.
+CODE_TABLES = ("lntable", "crayon-table", "hljs-ln", "syntaxhighlighter", "highlighter", "diff-table", "blob-code", "crayon-code", "code-table", "chroma")
+LAYOUT_TABLE = "d-block"
+#: Parts of class names of line numbers, and of what editors and sites put into code besides.
+GUTTER = ("lineno", "line-number", "linenum", "gutter", "nums", "numbers", "blob-num", "numbering")
+CHROME = re.compile(r"(?i)\b(?:pre-numbering|hljs-button|copy-?btn|copy-?button|toolbar)\b")
+_LANGUAGE = re.compile(r"(?:brush:|language-|lang-|highlight-|source-)(?:source-|highlight-)?([a-z0-9+#]{1,16})")
+_NUMBER = re.compile(r"\s*[0-9]+\s*")
+_BLOCK_START = re.compile(r"[ \t]*(?:[-*+] |[0-9]+[.)] |>|\||```|~~~|#{1,6} )")
+
+
 def escape(text: str) -> str:
-    """Characters that Markdown would read as marks, escaped."""
-    return re.sub(r"([\\`*_\[\]])", r"\\\1", text)
+    """Characters that Markdown would read as marks, escaped; < only where a tag could begin."""
+    return re.sub(r"([\\`*_\[\]]|<(?=[A-Za-z/!?]))", r"\\\1", text)
+
+
+def language_of(cls: str) -> str:
+    """The language that a class names by a prefix, else ''."""
+    found = (_LANGUAGE.fullmatch(t) for t in re.sub(r"brush:\s+", "brush:", cls.lower()).split())
+    return next((m[1] for m in found if m), "")
+
+
+def dedent_layout(text: str) -> str:
+    """Lines of four or more columns of indent without it, unless a list, quote, table, fence or heading begins there; white lines are empty."""
+    out = []
+    for line in text.split("\n"):
+        bare = line.lstrip(" \t")
+        indent = len(line[: len(line) - len(bare)].expandtabs(4))
+        out.append("" if not line.strip() else bare if indent >= 4 and not _BLOCK_START.match(line) else line)
+    return "\n".join(out)
+
+
+def without_numbers(code: str) -> str:
+    """code without the lines of numbers at its end, if there are two or more of them."""
+    lines = code.rstrip("\n").split("\n")
+    n = len(lines)
+    while n and _NUMBER.fullmatch(lines[n - 1]):
+        n -= 1
+    return "\n".join(lines[:n] if len(lines) - n >= 2 else lines).rstrip("\n")
 
 
 class _Writer(HTMLParser):
@@ -33,10 +70,31 @@ class _Writer(HTMLParser):
         self.lists: list[list] = []
         self.quotes = 0
         self.pre: list[str] | None = None
+        self.chrome: tuple[str, int] | None = None  # a part of code that is no code: its tag, and how deep it is nested
         self.language = ""
+        self.container = ""
+        self.hidden: list[str] | None = None
+        self.mirror: tuple[str, int] | None = None
         self.links: list[tuple[str, int]] = []
-        self.tables: list[list] = []
+        self.tables: list[dict] = []
+        self.code_table: dict | None = None
+        self.layout: list[bool] = []
         self.marks: list[int] = []
+        self.stats = dict.fromkeys(STATS, 0)
+
+    def fence(self, code: str, language: str) -> None:
+        if not code.strip():
+            return
+        mark = "```" if "```" not in code else "~~~~"
+        self.flush(True)
+        self.out += [mark + language, *code.split("\n"), mark, ""]
+        self.stats["code_blocks"] += 1
+
+    def inside(self, tag: str, end: bool, at: tuple[str, int]) -> tuple[str, int] | None:
+        """How deep in an element that is left out a tag of its own name leads; None at its end."""
+        if tag != at[0] or tag in VOID:
+            return at
+        return (tag, at[1] + (-1 if end else 1)) if not end or at[1] > 1 else None
 
     # -- output
     def flush(self, blank: bool = False) -> None:
@@ -54,11 +112,51 @@ class _Writer(HTMLParser):
     # -- events
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
+        cls = a.get("class") or ""
+        if tag == "body":  # a head that was never closed ends here
+            self.skip = 0
+        if self.mirror:
+            self.mirror = self.inside(tag, False, self.mirror)
+            return
         if tag in IGNORED:
             self.skip += 1
-        if self.skip or self.pre is not None:
-            if tag == "br" and self.pre is not None:
+        if self.skip:
+            return
+        if "code_mirror" in tag:
+            self.mirror = (tag, 1)
+            self.stats["mirrors"] += 1
+            return
+        if a.get("data-mode") is not None or a.get("data-lang") is not None:
+            self.container = a.get("data-mode") or a.get("data-lang") or ""
+        if tag == "textarea":
+            self.hidden = [] if re.search(r"(?i)display\s*:\s*none", a.get("style") or "") else None
+            return
+        if self.code_table is not None:
+            self.code_start(tag, cls)
+            return
+        if self.pre is not None:
+            if self.chrome:
+                self.chrome = self.inside(tag, False, self.chrome)
+            elif tag == "button" or CHROME.search(cls):
+                self.chrome = (tag, 1)
+            elif tag in ("br", "li") and (tag == "br" or (self.pre and not "".join(self.pre[-1:]).endswith("\n"))):
                 self.pre.append("\n")
+            elif tag == "code":
+                self.language = self.language or language_of(cls)
+            return
+        if tag == "table" and not self.tables and (any(m in cls.lower() for m in CODE_TABLES) or "diff" in cls.lower().split()):
+            tokens = cls.lower().split()
+            after = tokens[tokens.index("syntaxhighlighter") + 1 :][:1] if "syntaxhighlighter" in tokens else []
+            self.code_table = {"depth": 1, "rows": [], "cell": None, "language": "diff" if {"diff", "diff-table"} & set(tokens) else "".join(after)}
+            return
+        if tag == "table" and not self.tables:
+            self.layout.append(LAYOUT_TABLE in cls.split())
+            if self.layout[-1]:
+                self.stats["layout_tables"] += 1
+                self.flush(True)
+                return
+        if self.layout and self.layout[-1] and tag in ("tbody", "thead", "tr", "td", "th"):
+            self.flush(True)
             return
         if tag in HEADINGS:
             self.flush(True)
@@ -78,7 +176,7 @@ class _Writer(HTMLParser):
         elif tag == "pre":
             self.flush(True)
             self.pre = []
-            self.language = (re.search(r"(?:lang|language|brush)[-:]\s*([\w+#]+)", a.get("class") or "") or [None, ""])[1]
+            self.language = language_of(cls)
         elif tag in ("ul", "ol"):
             self.flush(not self.lists)
             self.lists.append([tag, 0])
@@ -95,11 +193,15 @@ class _Writer(HTMLParser):
             self.out += ["---", ""]
         elif tag == "br":
             if self.tables:
-                self.target().append(" ")
+                self.target().append("<br>")
             else:
                 self.flush()
+        elif tag == "input" and (a.get("type") or "").lower() == "checkbox":
+            self.target().append("[x] " if "checked" in a else "[ ] ")
         elif tag == "img":
-            if not (src := a.get("src") or "").startswith("data:") and src:
+            if (src := a.get("src") or "").startswith("data:"):
+                self.stats["dropped_data_imgs"] += 1
+            elif src:
                 self.target().append(f"![{escape(a.get('alt') or '')}]({src})")
         elif tag == "a":
             self.links.append((a.get("href") or "", len(self.target())))
@@ -107,21 +209,36 @@ class _Writer(HTMLParser):
             self.marks.append(len(self.target()))
 
     def handle_endtag(self, tag):
+        if self.mirror:
+            self.mirror = self.inside(tag, True, self.mirror)
+            return
         if tag in IGNORED:
             self.skip = max(0, self.skip - 1)
             return
         if self.skip:
             return
+        if tag == "textarea":
+            if self.hidden is not None:
+                self.fence("".join(self.hidden).strip("\n"), self.container)
+            self.hidden, self.container = None, ""
+            return
+        if self.code_table is not None:
+            self.code_end(tag)
+            return
         if tag == "pre" and self.pre is not None:
-            code = "".join(self.pre).replace("​", "").replace(" ", " ").strip("\n")
-            lines = code.split("\n")
-            while len(lines) > 3 and re.fullmatch(r"\s*[0-9]+\s*", lines[-1]) and re.fullmatch(r"\s*[0-9]+\s*", lines[-2]):
-                lines.pop()
-            fence = "```" if "```" not in code else "~~~~"
-            self.out += [fence + self.language, *lines, fence, ""]
-            self.pre = None
+            code = without_numbers("".join(self.pre).replace("\u200b", "").replace("\u00a0", " ").strip("\n"))
+            self.pre, self.chrome = None, None
+            self.fence(code, self.language)
             return
         if self.pre is not None:
+            if self.chrome:
+                self.chrome = self.inside(tag, True, self.chrome)
+            return
+        if tag == "table" and not self.tables and self.layout and self.layout.pop():
+            self.flush(True)
+            return
+        if self.layout and self.layout[-1] and tag in ("tbody", "thead", "tr", "td", "th"):
+            self.flush(True)
             return
         if tag in HEADINGS or (tag in BLOCKS and not self.tables):
             if not re.fullmatch(r"#+ ", "".join(self.line)):
@@ -135,6 +252,8 @@ class _Writer(HTMLParser):
             t["cell"] = None
         elif tag == "table" and self.tables:
             self.end_table()
+            if not self.tables and self.layout:
+                self.layout.pop()
         elif tag in ("ul", "ol") and self.lists:
             self.flush()
             self.lists.pop()
@@ -161,6 +280,39 @@ class _Writer(HTMLParser):
             if inner.strip():  # an empty mark goes
                 own[at:] = [inner[: len(inner) - len(inner.lstrip())], mark + inner.strip() + mark, inner[len(inner.rstrip()) :]]
 
+    # -- tables of code: line numbers go, each row or each line of a cell is a line
+    def code_start(self, tag: str, cls: str) -> None:
+        t = self.code_table
+        if tag == "table":
+            t["depth"] += 1
+        elif tag == "tr":
+            t["rows"].append([])
+        elif tag in ("td", "th"):
+            gutter = any(g in cls.lower() for g in GUTTER)
+            t["cell"] = {"gutter": gutter, "text": []}
+            (t["rows"] or t["rows"].append([]) or t["rows"])[-1].append(t["cell"])
+        elif t["cell"] is not None and tag in ("br", "div", "li", "p") and t["cell"]["text"] and not t["cell"]["text"][-1].endswith("\n"):
+            t["cell"]["text"].append("\n")
+
+    def code_end(self, tag: str) -> None:
+        t = self.code_table
+        if tag in ("td", "th"):
+            t["cell"] = None
+        elif tag == "table":
+            t["depth"] -= 1
+            if t["depth"]:
+                return
+            self.code_table = None
+            lines = []
+            for row in t["rows"]:
+                cells = ["".join(c["text"]).replace("\u200b", "").replace("\u00a0", " ").rstrip("\n") for c in row if not c["gutter"]]
+                if len(cells) > 1:  # a column of numbers without a class that says so
+                    cells = [c for c in cells if c.strip() and not all(_NUMBER.fullmatch(x) for x in c.strip("\n").split("\n"))] or cells[-1:]
+                lines.append("".join(cells))
+            before = self.stats["code_blocks"]
+            self.fence("\n".join(lines), t["language"])
+            self.stats["code_tables"] += self.stats["code_blocks"] - before
+
     def end_table(self) -> None:
         t = self.tables.pop()
         rows = [r for r in t["rows"] if r]
@@ -174,28 +326,51 @@ class _Writer(HTMLParser):
             self.out += [" ".join(c for c in r if c) for r in rows if any(r)] + [""]
             return
         rows = [r + [""] * (width - len(r)) for r in rows]
+        self.stats["tables"] += 1
         self.out += ["| " + " | ".join(r) + " |" for r in rows[:1]] + ["|" + " --- |" * width] + ["| " + " | ".join(r) + " |" for r in rows[1:]] + [""]
 
     def handle_data(self, data):
-        if self.skip:
+        if self.skip or self.mirror or self.chrome:
             return
-        if self.pre is not None:
+        if self.hidden is not None:
+            self.hidden.append(data)
+        elif self.code_table is not None:
+            if self.code_table["cell"] is not None:
+                self.code_table["cell"]["text"].append(data)
+        elif self.pre is not None:
             self.pre.append(data)
         else:
             self.target().append(escape(re.sub(r"\s+", " ", data)))
 
 
-def convert(html: str | None) -> str:
-    """Markdown of one HTML text; at most one blank line in a row."""
-    if not html:
-        return ""
+def convert_with_stats(html: str | None) -> tuple[str, dict[str, int]]:
+    """Markdown of one HTML text, at most one blank line in a row outside code; and what was made or left out (STATS)."""
     w = _Writer()
-    w.feed(html)
-    w.close()
-    while w.tables:
-        w.end_table()
-    w.flush()
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(w.out)).strip()
+    if html:
+        w.feed(html)
+        w.close()
+        if w.pre is not None:
+            w.handle_endtag("pre")
+        while w.tables:
+            w.end_table()
+        w.flush()
+    parts, code = [], None  # lines of code as they are, others dedented and with single blank lines
+    for line in w.out:
+        if code is None and re.match("```|~~~~", line):
+            code = line[:4] if line.startswith("~~~~") else "```"
+        elif code is not None:
+            code = None if line == code else code
+        else:
+            line = dedent_layout(line)
+            if not line and (not parts or not parts[-1]):
+                continue
+        parts.append(line)
+    return "\n".join(parts).strip(), w.stats
+
+
+def convert(html: str | None) -> str:
+    """Markdown of one HTML text."""
+    return convert_with_stats(html)[0]
 
 
 @F.pandas_udf(StringType())
@@ -203,6 +378,12 @@ def html_to_md(html: pd.Series) -> pd.Series:
     return html.map(convert)
 
 
+@F.pandas_udf(StructType([StructField("md", StringType()), *[StructField(n, IntegerType()) for n in STATS]]))
+def html_to_md_with_stats(html: pd.Series) -> pd.DataFrame:
+    made = [convert_with_stats(h) for h in html]
+    return pd.DataFrame({"md": [m for m, _ in made], **{n: [s[n] for _, s in made] for n in STATS}})
+
+
 _BLOCKS = ArrayType(StructType([StructField("mode", StringType()), StructField("source", StringType()), StructField("rendered", BooleanType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
 #: A code area's hidden source, the editor's container with its language, and the lines that the editor rendered.
 _TEXTAREA = re.compile(r"(?is)<textarea\b([^>]*)>(.*?)</textarea>")

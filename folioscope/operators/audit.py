@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions import render, text
+from folioscope.functions import markdown, render, text
 
 #: Fixed value: how many of the worst notes a report shows.
 WORST = 5
@@ -71,10 +71,7 @@ def trash_files(tombs: DataFrame, disk: DataFrame) -> DataFrame:
 
 
 def conversion_stats(documents: DataFrame) -> DataFrame:
-    """One row: documents, fences, tables, empty, from key and md: what the converter put out."""
-    return documents.agg(
-        F.count("*").alias("documents"),
-        F.coalesce(F.sum(F.floor(F.regexp_count("md", F.lit("(?m)^(?:```|~~~~)")) / 2)), F.lit(0)).cast("long").alias("fences"),
-        F.coalesce(F.sum(F.regexp_count("md", F.lit(r"(?m)^\|(?: --- \|)+$"))), F.lit(0)).cast("long").alias("tables"),
-        F.count_if(F.coalesce("md", F.lit("")) == "").alias("empty"),
-    )
+    """One row: documents, what the converter made or left out over all of documents(key, html) (markdown.STATS), and how many came out empty."""
+    made = documents.select(markdown.html_to_md_with_stats(F.col("html")).alias("m"))
+    counts = [F.coalesce(F.sum(f"m.{n}"), F.lit(0)).cast("long").alias(n) for n in markdown.STATS]
+    return made.agg(F.count("*").alias("documents"), *counts, F.count_if(F.col("m.md") == "").alias("empty"))

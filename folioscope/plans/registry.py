@@ -156,7 +156,23 @@ def _fence_state(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "conversations").select("conv_id", "turn", (F.coalesce(F.sum(F.when(fence, 1).otherwise(0)).over(before), F.lit(0)) % 2 == 1).alias("open_before"))
 
 
-query("q_html_to_md")(lambda s, d: table(s, d, "pages").select("page_id", markdown.html_to_md(F.col("html")).alias("md")))
+_LETTERS = r"[^\pL\pN]"
+
+
+@query(
+    "q_html_to_md",
+    rf"""WITH x AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<head>.*?</head>', '', 'g'), '(?is)<(style|script)[^>]*>.*?</(style|script)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
+ t AS (SELECT *, regexp_replace(h, '(?s)<[^>]*>', '', 'g') AS c FROM x)
+SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(c, '&amp;', chr(57344)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&copy;', ''), '&middot;', ''), chr(57344), '&'), '{_LETTERS}', '', 'g') AS letters,
+ len(regexp_extract_all(h, '(?i)<h1>[^<]'))::BIGINT AS headings, len(regexp_extract_all(h, '(?is)<a href="[^"]+">[^<]+</a>'))::BIGINT AS links, len(regexp_extract_all(h, '(?i)<li>'))::BIGINT AS items FROM t""",
+)
+def _html_to_md(s: SparkSession, d: str) -> DataFrame:
+    """Of each page's Markdown the letters that are read, and how many headings, links and items it has."""
+    md = table(s, d, "pages").select("page_id", markdown.html_to_md(F.col("html")).alias("md"))
+    shown = F.regexp_replace("md", r"\]\([^)\n]*\)", "]")
+    count = lambda form: F.regexp_count("md", F.lit(form)).cast("long")
+    return md.select("page_id", F.regexp_replace(shown, _LETTERS, "").alias("letters"), count(r"(?m)^# \S").alias("headings"), count(r"\]\(").alias("links"), count(r"(?m)^- ").alias("items"))
+
 
 # ---- folders and lists
 
@@ -311,10 +327,32 @@ SELECT page_id, len(regexp_extract_all(h, '{keys.DATA_URI}'))::BIGINT AS n, rege
     .select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat("html", F.lit('<img src="'), keys.as_data_uri(F.lit("x.png"), F.encode("url", "UTF-8")), F.lit('">'))).otherwise(F.col("html")).alias("h"))
     .select("page_id", F.size(keys.data_uris(F.col("h"))).cast("long").alias("n"), F.coalesce(F.get(keys.data_uris(F.col("h")), F.lit(0)), F.lit("")).alias("first"), keys.paste_kind(F.lit(0), F.lit(""), F.col("h")).alias("kind"))
 )
-query("q_md_to_html")(lambda s, d: notes(s, d).select("guid", render.md_to_html(F.col("body")).alias("html")))
+query("q_md_to_html", f"{WITH} SELECT guid, regexp_replace(body, '{_LETTERS}', '', 'g') AS letters FROM note")(
+    lambda s, d: notes(s, d).select("guid", F.regexp_replace(text.decode_entities(F.regexp_replace(render.md_to_html(F.col("body")), "(?s)<[^>]*>", "")), _LETTERS, "").alias("letters"))
+)
 query("q_md_highlight", f"{WITH} SELECT guid, replace(replace(replace(body, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS shown FROM note")(lambda s, d: notes(s, d).select("guid", render.strip_tags(render.highlight_md(F.col("body"))).alias("shown")))
-query("q_render_health")(lambda s, d: audit.worst_rendered(notes(s, d)))
-query("q_conversion_stats")(lambda s, d: audit.conversion_stats(table(s, d, "pages").select(F.col("page_id").alias("key"), markdown.html_to_md(F.col("html")).alias("md"))))
+#: Bodies by rule: some fenced blocks, and in every seventh note doc_id % 4 indented ones, which are too many.
+_rendered = lambda s, d: notes(s, d).select("guid", F.concat(F.repeat(F.lit("```\nx\n```\n\nword\n\n"), (F.col("doc_id") % 3).cast("int")), F.when(F.col("doc_id") % 7 == 0, F.repeat(F.lit("word\n\n    code\n\n"), (F.col("doc_id") % 4).cast("int"))).otherwise("")).alias("body"))
+_RENDERED = f"{WITH}, z AS (SELECT guid, doc_id % 3 AS fences, doc_id % 3 + CASE WHEN doc_id % 7 = 0 THEN doc_id % 4 ELSE 0 END AS rendered, CASE WHEN doc_id % 7 = 0 THEN doc_id % 4 ELSE 0 END AS extra FROM note)"
+query("q_render_counts", f"{_RENDERED} SELECT * FROM z")(lambda s, d: audit.render_counts(_rendered(s, d)))
+query("q_render_health", f"{_RENDERED} SELECT * FROM z WHERE extra > 0 ORDER BY extra DESC, guid LIMIT 5")(lambda s, d: audit.worst_rendered(_rendered(s, d)))
+
+
+@query(
+    "q_conversion_stats",
+    """WITH x AS (SELECT page_id % 2 AS a, page_id % 3 AS b, page_id % 5 = 0 AS c, page_id % 4 AS e, page_id % 6 = 0 AS l FROM pages) SELECT count(*) AS documents, sum(a + b)::BIGINT AS code_blocks, sum(b)::BIGINT AS code_tables, sum(a)::BIGINT AS mirrors, count(*) FILTER (c) AS tables, count(*) FILTER (l) AS layout_tables, sum(e)::BIGINT AS dropped_data_imgs, 0::BIGINT AS empty FROM x""",
+)
+def _conversion(s: SparkSession, d: str) -> DataFrame:
+    """Pages with hidden code, code tables, a table, a layout table and inline images added by rule."""
+    i = F.col("page_id")
+    many = lambda html, n: F.repeat(F.lit(html), n.cast("int"))
+    extra = F.concat(
+        many('<div data-mode="sh"><textarea style="display:none">a b</textarea><x_code_mirror><pre>a b</pre></x_code_mirror></div>', i % 2), many('<table class="lntable"><tr><td class="gutter">1</td><td>a</td></tr></table>', i % 3),
+        F.when(i % 5 == 0, "<table><tr><td>1</td><td>2</td></tr></table>").otherwise(""), many('<img src="data:image/png;base64,AA==">', i % 4), F.when(i % 6 == 0, '<table class="d-block"><tr><td><p>x</p></td></tr></table>').otherwise(""),
+    )
+    return audit.conversion_stats(table(s, d, "pages").select(i.alias("key"), F.concat(F.coalesce("html", F.lit("")), F.lit("<p>end</p>"), extra).alias("html")))
+
+
 query("q_purity", "SELECT page_id, (page_id % 3)::BIGINT AS hosts, (page_id % 2 + len(regexp_extract_all(coalesce(html, ''), '(?i)<script')))::BIGINT AS scripts, page_id % 3 = 0 AND page_id % 2 = 0 AND NOT regexp_matches(coalesce(html, ''), '(?i)<script') AS ok FROM pages")(
     lambda s, d: table(s, d, "pages")
     .select("page_id", F.concat(F.coalesce("html", F.lit("")), F.repeat(F.lit('<img src="noteapp://x">'), (F.col("page_id") % 3).cast("int")), F.when(F.col("page_id") % 2 == 1, "<SCRIPT>").otherwise("")).alias("html"))

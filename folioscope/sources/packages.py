@@ -143,7 +143,10 @@ def disk_dirs(files: DataFrame) -> DataFrame:
 
 
 def snapshot(spark: SparkSession, folder: str, whitelist: list[str]) -> DataFrame:
-    """path (relative to folder), bytes, mtime (seconds) of the files whose first segment is in whitelist, from the listing alone."""
+    """path (relative to folder), bytes, mtime (seconds) of the files whose first segment is in whitelist, from the listing alone.
+
+    Spark lists no folder below the given one whose name begins with _ or a dot.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "modificationTime")
     below = folder.split("://")[-1].strip("/") + "/"
     whole = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))

@@ -68,6 +68,19 @@ def test_more_text(spark):
         ('<a href="u">t</a><img src="data:x"><img src="i.png" alt="p">', "[t](u)![p](i.png)"),
         ("<blockquote>q</blockquote><hr>", "> q\n\n---"),
         ("<script>x</script>a_b", "a\\_b"),
+        ('<div data-mode="shell"><textarea style="display: none;">echo hi\nls -l</textarea><x_code_mirror><pre class="CodeMirror-line">echo hi</pre></x_code_mirror></div><p>z</p>', "```shell\necho hi\nls -l\n```\n\nz"),
+        ('<div data-mode="js"><textarea style="display:none">   </textarea></div>', ""),
+        ('<table class="lntable"><tr><td><pre><span>1\n</span><span>2\n</span></pre></td><td><pre>[m] = 0\ndone</pre></td></tr></table>', "```\n[m] = 0\ndone\n```"),
+        ('<table class="hljs-ln"><tr><td class="hljs-ln-numbers"></td><td>one</td></tr><tr><td class="hljs-ln-numbers"></td><td></td></tr><tr><td class="hljs-ln-numbers"></td><td>two</td></tr></table>', "```\none\n\ntwo\n```"),
+        ('<table class="diff-table"><tr><td class="blob-num"></td><td> kept</td></tr><tr><td class="blob-num"></td><td>-gone</td></tr></table>', "```diff\n kept\n-gone\n```"),
+        ('<table class="d-block"><tr><td><p>c</p><ul><li>i</li></ul></td></tr></table><table><tr><td>a</td><td>b</td></tr></table>z', "c\n\n- i\n\n| a | b |\n| --- | --- |\n\nz"),
+        ("<table><tr><td>V</td><td>B<table><tr><td>in</td></tr></table>tail</td></tr></table>", "| V | Bintail |\n| --- | --- |"),
+        ('<table><tr><td colspan="2">both</td></tr><tr><td>a</td><td>b</td></tr></table>', "both\na b"),
+        ('<pre><code class="language-sh">one<ul class="pre-numbering"><li>1</li></ul><button>copy</button></code></pre>after', "```sh\none\n```\n\nafter"),
+        ("<pre><ol><li>a</li><li>b</li></ol></pre>", "```\na\nb\n```"),
+        ("<p>&lt;name&gt; a &lt; b</p><ul><li><input type=checkbox checked>do<li><input type=checkbox>not</ul>", "\\<name> a < b\n\n- [x] do\n- [ ] not"),
+        ("<table><tr><td>k<br>m</td><td>n</td></tr></table>", "| k<br>m | n |\n| --- | --- |"),
+        ("<head><title>t<body><p>x</p>", "x"),
         (None, ""),
     ],
 )
@@ -75,6 +88,14 @@ def test_markdown(html, want):
     assert markdown.convert(html) == want
 
 
+def test_markdown_layout_and_numbers():
+    assert markdown.dedent_layout("        Home\n\tIssues\n    - keep\n   x\n    \nb") == "Home\nIssues\n    - keep\n   x\n\nb"
+    assert [markdown.without_numbers(x) for x in ("a\n42", "a\n1\n2\n\n", "1\n2")] == ["a\n42", "a", ""]
+    assert markdown.language_of("line-numbers language-python") == "python" and markdown.language_of("highlight-source-shell") == "shell" and markdown.language_of("editor-body") == ""
+    _, stats = markdown.convert_with_stats('<table class="lntable"><tr><td>x</td></tr></table><img src="data:y"><table><tr><td>1</td><td>2</td></tr></table><pre>z</pre>')
+    assert stats == {"code_blocks": 2, "code_tables": 1, "mirrors": 0, "tables": 1, "layout_tables": 0, "dropped_data_imgs": 1}
+
+
 def test_code_blocks(spark):
     df = spark.createDataFrame([('<div data-mode="python"><textarea style="display: none">a &lt; b</textarea></div><textarea>shown</textarea>',)], "h string")
     got = df.select(markdown.code_blocks("h").alias("b")).first()["b"]
