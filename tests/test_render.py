@@ -102,10 +102,10 @@ def test_audits(spark):
     bodies = spark.createDataFrame([(1, "index_files/a.png index_files/d/b.png index_files/a.png"), (2, None)], "key int, html string")
     entries = spark.createDataFrame([(1, "b.png"), (1, "b.png"), (2, "a.png")], "key int, name string")
     assert [tuple(r) for r in audit.missing_refs(bodies, entries).collect()] == [(1, "index_files/a.png".split("/")[1])]
-    none = audit.conversion_stats(spark.createDataFrame([], "key int, md string")).first()
-    assert tuple(none) == (0, 0, 0, 0)
-    made = audit.conversion_stats(spark.createDataFrame([(1, "```\nx\n```\n\n| a |\n| --- |"), (2, None)], "key int, md string")).first()
-    assert tuple(made) == (2, 1, 1, 1)
+    none = audit.conversion_stats(spark.createDataFrame([], "key int, html string")).first()
+    assert tuple(none) == (0,) * 8
+    made = audit.conversion_stats(spark.createDataFrame([(1, "<pre>x</pre><table><tr><td>a</td><td>b</td></tr></table>"), (2, None)], "key int, html string")).first()
+    assert made.asDict() == {"documents": 2, "code_blocks": 1, "code_tables": 0, "mirrors": 0, "tables": 1, "layout_tables": 0, "dropped_data_imgs": 0, "empty": 1}
 
 
 def test_trash_files(spark):
