@@ -1,4 +1,4 @@
-"""The change log as a stream: latest state of each note, kept in a table that each micro-batch rewrites by key."""
+"""The change log as a stream: latest state of each note, in parts by a hash of the key; a micro-batch rewrites those it touches."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+#: Parts of the state.
+PARTS = 256
+
 
 def fold(changes: DataFrame) -> DataFrame:
     """guid, ts, event, writes, dirty, deleted: the newest event of each key, how many there were, and its latch.
@@ -24,30 +27,46 @@ def merge(state: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def run(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Start folding stream(guid, ts, event) into folder/v{batch}; a batch that runs again writes the same version again.
+    """Start folding stream(guid, ts, event) into folder/v{batch}/part=..; a batch that runs again writes the same version again.
 
-    The newest version below the batch's own number is its base, so a lost driver or executor costs a retry and
-    nothing else.
+    A batch reads and writes the parts that its keys are in.  The newest version of a part below the batch's own number is
+    its base, so a lost driver or executor costs a retry and nothing else.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = latest_version(spark, folder, number)
-        out = fold(batch) if before is None else merge(spark.read.parquet(f"{folder}/v{before}"), batch)
-        out.write.mode("overwrite").parquet(f"{folder}/v{number}")
+        part = F.pmod(F.xxhash64("guid"), F.lit(PARTS)).cast("int")
+        touched = [r[0] for r in batch.select(part.alias("part")).distinct().collect()]
+        newest = newest_parts(spark, folder, number)
+        before = [newest[p] for p in touched if p in newest]
+        out = merge(spark.read.parquet(*before), batch) if before else fold(batch)
+        out.withColumn("part", part).write.partitionBy("part").mode("overwrite").parquet(f"{folder}/v{number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_version(spark: SparkSession, folder: str, below: int | None = None) -> int | None:
+def _names(spark: SparkSession, folder: str) -> list[str]:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    found = [int(x.getPath().getName()[1:]) for x in fs.listStatus(path) if x.getPath().getName()[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
-    found = [n for n in found if below is None or n < below]
-    return max(found, default=None)
+    return [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def versions(spark: SparkSession, folder: str, below: int | None = None) -> dict[int, list[str]]:
+    """Names in the folder of each whole version."""
+    numbers = sorted(int(n[1:]) for n in _names(spark, folder) if n[1:].isdigit())
+    found = {n: _names(spark, f"{folder}/v{n}") for n in numbers if below is None or n < below}
+    return {n: names for n, names in found.items() if "_SUCCESS" in names}
+
+
+def newest_parts(spark: SparkSession, folder: str, below: int | None = None) -> dict[int, str]:
+    """Where the newest version of each part is."""
+    return {int(name.partition("=")[2]): f"{folder}/v{n}/{name}" for n, names in versions(spark, folder, below).items() for name in names if name.startswith("part=")}
+
+
+def latest_version(spark: SparkSession, folder: str, below: int | None = None) -> int | None:
+    return max(versions(spark, folder, below), default=None)
 
 
 def state(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/v{latest_version(spark, folder)}")
+    """The whole state; there has to be one."""
+    return spark.read.parquet(*newest_parts(spark, folder).values())
