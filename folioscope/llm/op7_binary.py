@@ -36,7 +36,7 @@ PERCENTILE = 90
 SEGMENT_IDS = 1 << 18
 
 _HEAD, _BLOCK = struct.Struct("<4sIQ"), struct.Struct("<IHBH")
-SEGMENTS = "bucket int, segment long, doc_ids binary, doc_nulls binary, lengths binary, payload binary"
+SEGMENTS = "bucket int, segment long, n long, doc_ids binary, doc_nulls binary, lengths binary, payload binary"
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> bytes:
@@ -79,11 +79,6 @@ def decode_block(payload: bytes, number: int) -> np.ndarray:
     return rest + np.uint32(low)
 
 
-def ids_in(payload: bytes) -> int:
-    """How many ids a payload holds, by its head."""
-    return _HEAD.unpack_from(payload)[2]
-
-
 def decode_blocks(payload: bytes) -> np.ndarray:
     """All ids of a payload."""
     _, count, total = _HEAD.unpack_from(payload)
@@ -125,8 +120,8 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int = END_ID, name:
 
         def close() -> pa.RecordBatch:
             lengths = np.asarray([len(x) for x in held], "<i8")
-            row = [bucket, number, np.asarray([k or 0 for k in keys], "<i8").tobytes(), np.asarray([k is None for k in keys], np.uint8).tobytes(), lengths.tobytes(), encode_blocks(np.concatenate(held))]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), *[pa.binary()] * 4))], ["bucket", "segment", "doc_ids", "doc_nulls", "lengths", "payload"])
+            row = [bucket, number, int(lengths.sum()), np.asarray([k or 0 for k in keys], "<i8").tobytes(), np.asarray([k is None for k in keys], np.uint8).tobytes(), lengths.tobytes(), encode_blocks(np.concatenate(held))]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4))], ["bucket", "segment", "n", "doc_ids", "doc_nulls", "lengths", "payload"])
 
         for batch in batches:
             for key, b, ids, wide in zip(batch["doc_id"].to_pylist(), batch["bucket"].to_pylist(), batch["ids"], batch["wide"].to_pylist()):
@@ -169,16 +164,10 @@ def read_documents(segments: DataFrame) -> DataFrame:
 def digests(segments: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read from the files.
 
-    The driver gets one number for each segment's bucket (as many as partitions), never one for each document.
+    Where a document starts follows from the segments' column n, without their payloads.  The driver gets one number for each segment's bucket (as many as partitions), never one for each document.
     Empty texts have the end id alone; null doc_ids come first; an empty table gives none.
     """
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [ids_in(p) for p in batch["payload"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["bucket"], batch["segment"], pa.array(n, pa.int64())], ["bucket", "segment", "n"])
-
-    counts = segments.select("bucket", "segment", F.substring("payload", 1, 16).alias("payload")).mapInArrow(total, "bucket int, segment long, n long")
-    counts = staged(counts, "segment-sizes")
+    counts = segments.select("bucket", "segment", "n")
     base, before = {}, 0
     for bucket, n in sorted(counts.groupBy("bucket").agg(F.sum("n")).collect()):
         base[bucket] = before
