@@ -79,7 +79,7 @@ class Encoder:
     U+0180, a space before them at most) goes to the library's model at once, as its pre-tokenizer would hand it on.
     """
 
-    def __init__(self, path: str, entries: int = 500_000):
+    def __init__(self, path: str, entries: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

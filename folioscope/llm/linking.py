@@ -101,22 +101,21 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, part: int, whole: in
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node with an edge: the smallest node that it reaches.
+    """(node, component) of every node with an edge, of staged edges (a, b): the smallest node that it reaches.
 
     Alternating star contraction: each round links every larger neighbour to the smallest neighbour, then every
     node's smaller neighbours to its smallest; it ends when the edges are stars around the smallest nodes.
     Rounds grow with the logarithm of the longest chain.
     """
-    now = staged(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    now = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     while True:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # staged, so that the join below is of two plain shuffles and a hub's edges can be split
-        low = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "smallest")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         # small star: every node b with its smaller neighbours a; they and b go to the smallest of them
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = staged(large.join(least, "b").select("m", F.explode(F.array("a", "b")).alias("b")).where("m <> b").select(F.col("m").alias("a"), "b").distinct(), "small-stars")
-        discard(now, low)
+        discard(now)
         ends = small.select(F.col("a").alias("node"), F.lit(1).alias("centre"), F.lit(0).alias("member")).unionAll(small.select("b", F.lit(0), F.lit(1)))
         if ends.groupBy("node").agg(F.max("centre").alias("centre"), F.sum("member").alias("member")).where("member > 1 or member = 1 and centre = 1").isEmpty():
             return small.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(small.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

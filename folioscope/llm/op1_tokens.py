@@ -13,7 +13,7 @@ from .common import documents, only, steps, text_buffers
 from .encoding import encoder
 
 #: Bytes of text encoded at once.
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 2 << 20
 CONTEXT = 1024
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, only, staged, steps
+from .common import discard, documents, only, staged, steps, trim
 from .shingles import NOT_LETTERS, Words
 
 #: Labelled documents that the fit uses at most, those of the smallest hashes of doc_id.
@@ -211,6 +211,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     # features were screened for odds above 1, so no weight speaks against; the last row stands for all clean documents without any telling feature
     weights, thresholds = fit(x, np.append(grade, 0), np.append(np.ones(len(kept)), zeros), positive=True)
     discard(own)
+    del x, there, kept
+    trim()
     return Ordinal(table[telling], weights, thresholds)
 
 

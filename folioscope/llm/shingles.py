@@ -42,7 +42,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """At least n powers of the base and of its inverse."""
     if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
+        size = -(-n // 65536) * 65536
         for i, b in enumerate((_BASE, _INVERSE)):
             steps = np.full(size, np.uint64(b))
             steps[0] = 1
