@@ -33,6 +33,8 @@ _MARK = np.zeros(256, bool)
 _MARK[[*b"!\"#$%&()*+,-./:;=?@[]^_{}~"]] = True
 _FOLDED = np.arange(256, dtype=np.uint8)
 _FOLDED[0x41:0x5B] += 32
+#: Bytes of strings and ids that an encoder remembers, about; characters of the longest stretch it remembers; bytes of an entry besides.
+MEMORY_BYTES, KEPT_CHARS, ENTRY_BYTES = 40 << 20, 64, 160
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -72,14 +74,15 @@ _SYMBOLS = _byte_symbols()
 
 
 class Encoder:
-    """Ids of texts by a tokenizers file, without added special tokens; bounded memory of stretches met before.
+    """Ids of texts by a tokenizers file, without added special tokens; stretches met before are remembered.
 
-    When the memory would hold more than `entries` stretches, those met in one batch only are forgotten, and all
-    if that isn't enough; results don't depend on it.  A stretch that is one plain word (Latin letters below
-    U+0180, a space before them at most) goes to the library's model at once, as its pre-tokenizer would hand it on.
+    The memory holds at most `entries` stretches and about `most` bytes of strings and ids; when it would hold more, those met in
+    one batch only are forgotten, and all if that isn't enough.  Stretches over KEPT_CHARS (text without a cut place) are
+    encoded each time and never remembered.  Results don't depend on any of it.  A stretch that is one plain word (Latin
+    letters below U+0180, a space before them at most) goes to the library's model at once, as its pre-tokenizer would hand it on.
     """
 
-    def __init__(self, path: str, entries: int = 250_000):
+    def __init__(self, path: str, entries: int = 250_000, most: int = MEMORY_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -91,7 +94,7 @@ class Encoder:
         #: The normalizer lower-cases, and white space never reaches the model.
         self.folds = "Lowercase" in [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])] and kinds == ["Split", "ByteLevel"]
         self.plain = self.folds or (kinds == ["ByteLevel"] and rules["normalizer"] is None)
-        self.entries = entries
+        self.entries, self.most = entries, most
         self._forget(np.zeros(0, np.int64))
 
     def _forget(self, kept: np.ndarray) -> None:
@@ -101,10 +104,11 @@ class Encoder:
         ends = np.cumsum(length)
         ids = self.ids[np.repeat(self.bounds[kept] - (ends - length), length) + np.arange(ends[-1])] if len(kept) else np.zeros(0, np.uint32)
         self.known: dict[str, int] = {names[i]: n for n, i in enumerate(kept.tolist())}
-        self.ids = np.concatenate([ids, np.zeros(1 << 18, np.uint32)])
-        self.bounds = np.zeros(self.entries + 1, np.int64)
+        self.ids = np.concatenate([ids, np.zeros(1 << 16, np.uint32)])
+        self.bounds = np.zeros(len(kept) + (1 << 14), np.int64)
         self.bounds[1 : len(kept) + 1] = ends
-        self.met = np.zeros(self.entries, np.uint8)
+        self.met = np.zeros(len(self.bounds), np.uint8)
+        self.weight = sum(map(len, self.known)) + len(kept) * ENTRY_BYTES + 4 * len(ids)
 
     def _ids(self, stretches: list[str]) -> list[list[int]]:
         out: list = [None] * len(stretches)
@@ -130,32 +134,40 @@ class Encoder:
         return out
 
     def _numbers(self, stretches: list[str]) -> np.ndarray:
-        known = self.known
-        found = np.fromiter(map(known.get, stretches, repeat(-1)), np.int64, len(stretches))
+        """For each of unlike stretches its number: good until the next call, for those that are too long to be remembered."""
+        found = self._found(stretches)
         new = np.flatnonzero(found < 0)
-        if len(known) + len(new) > self.entries:
-            self._forget(np.flatnonzero(self.met > 1) if len(new) + (self.met > 1).sum() <= self.entries else np.zeros(0, np.int64))
-            if len(self.known) + len(stretches) > len(self.met):
-                self.bounds = np.concatenate([self.bounds, np.zeros(len(stretches), np.int64)])
-                self.met = np.concatenate([self.met, np.zeros(len(stretches), np.uint8)])
-            known = self.known
-            found = np.fromiter(map(known.get, stretches, repeat(-1)), np.int64, len(stretches))
+        if len(self.known) + len(new) > self.entries or self.weight > self.most:
+            often = np.flatnonzero(self.met[: len(self.known)] > 1)
+            room = len(new) + len(often) <= self.entries and self.weight * len(often) <= self.most // 2 * max(1, len(self.known))
+            self._forget(often if room else np.zeros(0, np.int64))
+            found = self._found(stretches)
             new = np.flatnonzero(found < 0)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        short = np.fromiter((len(stretches[i]) <= KEPT_CHARS for i in new), bool, len(new))
+        n = len(self.known)
+        for part in (*_parts(new[short]), *_parts(new[~short])):
             texts = [stretches[i] for i in part]
             lists = self._ids(texts)
-            n = len(known)
             ends = self.bounds[n] + np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
-            while ends[-1] > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) // 2, np.uint32)])
+            if ends[-1] > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(max(ends[-1] - len(self.ids), len(self.ids) // 2), np.uint32)])
+            if n + len(part) >= len(self.bounds):
+                self.bounds = np.concatenate([self.bounds, np.zeros(len(part) + len(self.bounds) // 2, np.int64)])
+                self.met = np.concatenate([self.met, np.zeros(len(self.bounds) - len(self.met), np.uint8)])
             self.ids[self.bounds[n] : ends[-1]] = np.fromiter(chain.from_iterable(lists), np.uint32, ends[-1] - self.bounds[n])
             self.bounds[n + 1 : n + 1 + len(part)] = ends
             found[part] = np.arange(n, n + len(part))
-            known.update(zip(texts, range(n, n + len(part))))
+            if n == len(self.known) and len(texts[0]) <= KEPT_CHARS:
+                self.known.update(zip(texts, range(n, n + len(part))))
+                self.met[n : n + len(part)] = 0
+                self.weight += sum(map(len, texts)) + len(part) * ENTRY_BYTES + 4 * int(ends[-1] - self.bounds[n])
+            n += len(part)
         self.met[found] = np.minimum(self.met[found], 254) + 1
         return found
 
+    def _found(self, stretches: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, stretches, repeat(-1)), np.int64, len(stretches))
+
     def _stretches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each stretch its number in memory; for each text the first of its stretches, with the end last."""
         data, offsets = text_buffers(texts)
@@ -168,10 +180,17 @@ class Encoder:
         numbers = self._numbers(pieces.dictionary.to_pylist())
         return numbers[pieces.indices.to_numpy()], np.searchsorted(at[:-1], offsets)
 
+    def _shrink(self) -> None:
+        """Give up room that only stretches too long to be remembered have needed."""
+        used = int(self.bounds[len(self.known)])
+        if len(self.ids) > 2 * used + (1 << 20):
+            self.ids = self.ids[: used + (1 << 16)].copy()
+
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Number of ids of each text."""
         number, first = self._stretches(texts)
         total = np.concatenate([[0], np.cumsum(self.bounds[number + 1] - self.bounds[number])])
+        self._shrink()
         return total[first[1:]] - total[first[:-1]]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +199,13 @@ class Encoder:
         begin, length = self.bounds[number], self.bounds[number + 1] - self.bounds[number]
         total = np.concatenate([[0], np.cumsum(length)])
         where = np.repeat(begin - total[:-1], length) + np.arange(total[-1])
-        return self.ids[where], total[first]
+        ids = self.ids[where]
+        self._shrink()
+        return ids, total[first]
+
+
+def _parts(numbers: np.ndarray, size: int = 4096) -> list[np.ndarray]:
+    return [numbers[at : at + size] for at in range(0, len(numbers), size)]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -29,6 +29,8 @@ BROADCAST_IDS = 2_000_000
 #: Rows and shingles of one block of guests, and of one block of hosts, about (see across).
 GUEST_ROWS, GUEST_SHINGLES = 256, 200_000
 HOST_ROWS, HOST_SHINGLES = 4096, 1_000_000
+#: Edges that one task contracts at most (16 bytes each, some copies of them); more go through rounds over all tasks.
+FEW_EDGES = 1_000_000
 #: Another round of step 2 follows one that left at most this share of its nodes.
 SHEDDING = 0.5
 
@@ -103,13 +105,13 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, part: int, whole: in
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge, of staged edges (a, b): the smallest node that it reaches.
 
-    Alternating star contraction: each round links every larger neighbour to the smallest neighbour, then every
-    node's smaller neighbours to its smallest; it ends when the edges are stars around the smallest nodes.
-    Rounds grow with the logarithm of the longest chain.
+    Up to FEW_EDGES edges are contracted in one task.  More: alternating star contraction, each round of which links every
+    larger neighbour to the smallest neighbour, then every node's smaller neighbours to its smallest; it ends when the
+    edges are stars around the smallest nodes, or few enough for one task.  Rounds grow with the logarithm of the longest chain.
     """
-    now = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    while True:
-        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    now = edges.where("a <> b").select("a", "b")
+    while now.count() > FEW_EDGES:
+        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         # small star: every node b with its smaller neighbours a; they and b go to the smallest of them
@@ -120,6 +122,25 @@ def components(edges: DataFrame) -> DataFrame:
         if ends.groupBy("node").agg(F.max("centre").alias("centre"), F.sum("member").alias("member")).where("member > 1 or member = 1 and centre = 1").isEmpty():
             return small.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(small.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
         now = small
+    return now.coalesce(1).mapInArrow(_contract, "node long, component long")
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """components() of few edges: labels go to the smallest of both ends, then each takes its label's label, until nothing changes."""
+    parts = [(batch["a"].to_numpy(), batch["b"].to_numpy()) for batch in batches]
+    a, b = (np.concatenate([np.zeros(0, np.int64), *[p[i] for p in parts]]) for i in (0, 1))
+    nodes, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = number[: len(a)], number[len(a) :]
+    label = np.arange(len(nodes))
+    while (open_ := label[a] != label[b]).any():
+        a, b = a[open_], b[open_]
+        low = np.minimum(label[a], label[b])
+        for end in (a, b):
+            np.minimum.at(label, label[end], low)
+        while (label[label] != label).any():
+            label = label[label]
+    for at in range(0, len(nodes), 65536):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + 65536]), pa.array(nodes[label[at : at + 65536]])], ["node", "component"])
 
 
 def classes(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -212,6 +233,8 @@ def across(rows: DataFrame, hashes: DataFrame, part: int, whole: int) -> DataFra
 def crossings(nodes: DataFrame, edges: DataFrame, labels: DataFrame, texts: DataFrame, size: int, part: int, whole: int) -> DataFrame:
     """Links (a, b) between members of one bucket that the stars left in different components (steps 2 and 3), staged."""
     open_ = classes(edges, labels)
+    if open_.isEmpty():
+        return open_.select(F.col("node").alias("a"), F.col("class").alias("b"))
     hashes = staged(hashes_of(texts.join(open_.select("node"), "node", "left_semi"), size), "open-sets")
     while True:
         before = open_.count()
@@ -224,6 +247,9 @@ def crossings(nodes: DataFrame, edges: DataFrame, labels: DataFrame, texts: Data
         if after == 0 or after > SHEDDING * before:
             break
         discard(rows)
+    if after == 0:
+        discard(hashes)
+        return open_.select(F.col("node").alias("a"), F.col("class").alias("b"))
     rows = open_.join(rows.select("node", "n"), "node")
     found = staged(across(rows, hashes, part, whole), "crossings")
     discard(hashes)
@@ -244,10 +270,17 @@ def linked(nodes: DataFrame, texts: DataFrame, size: int, part: int, whole: int)
     tested = staged(edges.join(side("b"), "b").join(side("a"), "a").where(fits & near).select("a", "b"), "tested")
     texts = texts_of(edges.select(F.explode(F.array("a", "b")).alias("node")), texts)
     links = staged(verified(tested, texts, size, part, whole), "links")
-    more = crossings(nodes, edges, staged(components(links), "labels"), texts, size, part, whole)
-    links = staged(links.unionByName(more), "links")
-    discard(edges, tested, texts, more)
-    return links, staged(components(links), "labels")
+    labels = staged(components(links), "labels")
+    more = crossings(nodes, edges, labels, texts, size, part, whole)
+    if not more.isEmpty():  # what links across components adds: their components, joined
+        joined = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
+        pairs = more.join(joined.select(F.col("node").alias("a"), F.col("c").alias("c_a")), "a").join(joined.select(F.col("node").alias("b"), F.col("c").alias("c_b")), "b")
+        merged = staged(components(staged(pairs.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct(), "joined")), "merged")
+        known = labels.unionByName(merged.select("node", F.col("node").alias("component"))).distinct()
+        labels = staged(known.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+        links = links.unionByName(more)
+    discard(edges, tested, texts)
+    return links, labels
 
 
 def repeated_ids(docs: DataFrame) -> DataFrame | None:
@@ -255,11 +288,11 @@ def repeated_ids(docs: DataFrame) -> DataFrame | None:
 
     Texts are read for repeated doc_ids alone, and only if there are any.
     """
-    again = docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows")).where("rows > 1").select("id")
-    again = staged(again, "repeated-ids")
+    rows = docs.where(F.col("doc_id").isNotNull())
+    again = staged(rows.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows")).where("rows > 1").select("id"), "repeated-ids")
     if again.isEmpty():
         return None
-    marked = docs.join(again, docs["doc_id"] == again["id"]).groupBy("id").agg(F.min(text_hash()).alias("first"), F.max(text_hash()).alias("last"))
+    marked = rows.select("doc_id", text_hash().alias("h")).join(again, F.col("doc_id") == F.col("id")).groupBy("id").agg(F.min("h").alias("first"), F.max("h").alias("last"))
     return staged(marked.where("first < last").select("id", "first"), "unlike-texts")
 
 
@@ -268,11 +301,12 @@ def text_hash():
 
 
 def classified(docs: DataFrame, signatures: Callable[[DataFrame], DataFrame], size: int, part: int, whole: int) -> DataFrame:
-    """doc_id, n_shingles, class_id, own_text of every row of docs(doc_id, text).
+    """doc_id, n_shingles, class_id, own_text, group_id of every row of docs(doc_id, text).
 
     signatures gives of (node, text): node, n_shingles, content (a hash of the whole set; null: empty set), keys, and the
     sketch's columns w0, w1, ..  Equal sets are one node.  class_id is the smallest doc_id that links reach.  own_text is the
     text's hash where rows with unlike texts share the doc_id, else null; each such text is a document of its own.
+    group_id names the class itself: unlike class_id, it differs for two classes whose smallest doc_id is the same.
     """
     table = only(docs, doc_id="long", text="string")
     unlike = repeated_ids(table)
@@ -295,7 +329,7 @@ def classified(docs: DataFrame, signatures: Callable[[DataFrame], DataFrame], si
     mapped = firsts.join(labels, firsts["first"] == labels["node"], "left").select("content", F.coalesce("component", "first").alias("component"))
     mapped = staged(mapped, "classes")
     discard(firsts, labels)
-    own = rows.select("node", "n_shingles", "content").join(mapped, "content", "left").withColumn("component", F.coalesce("component", "node"))
+    own = rows.select("node", "n_shingles", "content").join(mapped, "content", "left").withColumn("component", F.coalesce("component", "node")).withColumn("group_id", F.col("component"))
     if ids is None:
         own = own.withColumn("doc_id", F.col("node")).withColumn("own_text", F.lit(None).cast("long"))
     else:  # nodes back to doc_ids; a component's name is its smallest doc_id
@@ -303,4 +337,4 @@ def classified(docs: DataFrame, signatures: Callable[[DataFrame], DataFrame], si
         own = own.join(ids, "node", "left").withColumn("doc_id", F.coalesce("doc_id", "node"))
         names = own.join(own.join(ids.select("node"), "node", "left_semi").select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("doc_id").alias("name"))
         own = own.join(staged(names, "names"), "component", "left").withColumn("component", F.coalesce("name", "component"))
-    return own.select("doc_id", "n_shingles", F.col("component").alias("class_id"), "own_text")
+    return own.select("doc_id", "n_shingles", F.col("component").alias("class_id"), "own_text", "group_id")

@@ -81,7 +81,7 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, part: int = 80, whole: in
     Jaccard likeness of full shingle sets decides.  Rows with a null doc_id, and texts without words, are their own
     class.  Rows of one doc_id with unlike texts are documents of their own.  An empty table gives none.
     """
-    return classified(docs, lambda table: signatures(table, size, *bands(part / whole, PERMUTATIONS)), size, part, whole).drop("own_text")
+    return classified(docs, lambda table: signatures(table, size, *bands(part / whole, PERMUTATIONS)), size, part, whole).drop("own_text", "group_id")
 
 
 def with_edits(docs: DataFrame, size: int = SHINGLE) -> DataFrame:

@@ -132,9 +132,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
 
     The labels say toxic or not; grades 1 .. GRADES - 1 of toxic documents come from how many different words and
     prefixes they use that clean documents hardly do (by terciles).  Features are those frequent in toxic documents (counted in
-    Spark, so only CONSIDERED of them come to the driver), screened by log odds.  Without both kinds of label, or
+    Spark, so only CONSIDERED of them come to the driver), screened by log odds.  A doc_id that labels repeat is toxic if any of its
+    rows says so; null labels and null doc_ids don't count; other columns are ignored.  Without both kinds of label, or
     any telling feature, the model finds nothing toxic.
     """
+    docs = only(docs, doc_id="long", text="string")
     nothing = Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.array([6.0, 7.0, 8.0]))
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)

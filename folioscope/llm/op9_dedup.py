@@ -86,9 +86,9 @@ def signatures(docs: DataFrame, size: int, count: int, rows: int) -> DataFrame:
 
 
 def classified(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
-    """near_duplicates with one more column, own_text (see linking.classified)."""
+    """near_duplicates with two more columns, own_text and group_id (see linking.classified)."""
     found = linking.classified(docs, lambda table: signatures(table, size, *linking.bands(part / whole, 1 << BINS_LOG2)), size, part, whole)
-    return found.select("doc_id", "n_shingles", F.col("class_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"), "own_text")
+    return found.select("doc_id", "n_shingles", F.col("class_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"), "own_text", "group_id")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
@@ -103,7 +103,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, part: int = 80, whole: int =
     texts are documents of their own, each with its own n_shingles and component.  An empty table gives
     none; other columns are ignored.
     """
-    return classified(docs, size, part, whole).drop("own_text")
+    return classified(docs, size, part, whole).drop("own_text", "group_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
