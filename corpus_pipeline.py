@@ -25,23 +25,26 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, likeness 0.8 or more) stays: the smallest doc_id.
 
-    The ids that go are joined on their own.  Rows of one doc_id, or of none, whose texts are equal are copies, of
-    which one stays; different texts under one doc_id are documents of their own, and those under none stay.
+    Different texts under one doc_id are documents of their own, of which the one with the smallest hash stays if they
+    are in one group.  Rows that repeat doc_id and text are copies, of which one stays.  Texts under a null doc_id are
+    compared for being equal only.  A row is held in a struct on its way, so no column's name can clash.
+    What goes, and what is repeated, is found by ids and hashes; they are joined to the texts once.
     """
-    answer = op9_dedup.classified(docs, size=5, part=80, whole=100)
-    gone = staged(answer.where("not kept").select(F.col("doc_id").alias("_gone"), "own_text").distinct(), "gone").withColumnRenamed("own_text", "_gone_text")
-    same = (F.col("doc_id") == F.col("_gone")) & (F.col("_gone_text").isNull() | (F.col("_gone_text") == linking.text_hash()))
-    return without_copies(docs).join(gone, same, "left_anti").select(*docs.columns)
-
-
-def without_copies(docs: DataFrame) -> DataFrame:
-    """One row of each (doc_id, text), nulls being equal; only rows that are repeated are shuffled with their texts."""
-    hashed = docs.withColumn("_content", F.sha2("text", 256))
-    again = hashed.groupBy(F.col("doc_id").alias("_id"), F.col("_content").alias("_same")).count().where("count > 1").drop("count")
-    again = staged(again, "copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_content").eqNullSafe(F.col("_same"))
-    repeated = hashed.join(again, same, "left_semi").dropDuplicates(["doc_id", "_content"])
-    return hashed.join(again, same, "left_anti").unionByName(repeated).drop("_content")
+    answer = op9_dedup.classified(docs, size=5, part=80, whole=100).where("doc_id is not null")
+    several = answer.where("kept and own_text is not null")
+    first = several.groupBy("group_id").agg(F.min("own_text").alias("stays"))
+    later = several.join(first, "group_id").where("own_text > stays")
+    gone = answer.where("not kept").select("doc_id", "own_text").unionByName(later.select("doc_id", "own_text")).distinct()
+    gone = staged(gone.select(F.col("doc_id").alias("gone_id"), F.col("own_text").alias("gone_text")), "gone")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), linking.text_hash().alias("short"), F.sha2("text", 256).alias("content"))
+    again = staged(rows.groupBy("id", "content").count().where("count > 1").select(F.col("id").alias("same_id"), F.col("content").alias("same_content")), "copies")
+    stay = rows.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("gone_text").isNull() | (F.col("gone_text") == F.col("short"))), "left_anti")
+    if again.isEmpty():
+        return stay.select("row.*")
+    same = F.col("id").eqNullSafe(F.col("same_id")) & F.col("content").eqNullSafe(F.col("same_content"))
+    marked = stay.join(again.withColumn("repeated", F.lit(True)), same, "left")
+    once = marked.where("repeated is null").unionByName(marked.where("repeated").dropDuplicates(["id", "content"]))
+    return once.select("row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
