@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_tokens, op2_fingerprints, op3_search, op4_packing, op5_toxicity, op6_secrets, op7_binary, op8_mixing, op9_dedup, op10_language
+from . import op1_tokens, op2_fingerprints, op3_search, op4_packing, op5_toxicity, op6_secrets, op7_binary, op8_mixing, op9_dedup, op10_language, op11_ranking, op12_runs, op13_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing.query,
         "op9_near_dedup": op9_dedup.query,
         "op10_language": op10_language.query,
+        "op11_ranked_search": op11_ranking.query,
+        "op12_periodic_runs": op12_runs.query,
+        "op13_quality": op13_quality.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_top_k": op3_search.ORACLE, "op9_near_dedup": op9_dedup.ORACLE}
+    return {"op3_exact_top_k": op3_search.ORACLE, "op9_near_dedup": op9_dedup.ORACLE, "op11_ranked_search": op11_ranking.ORACLE}

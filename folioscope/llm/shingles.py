@@ -15,6 +15,7 @@ _RANDOM = np.random.Generator(np.random.PCG64(20_240_817))
 _BASE = int(_RANDOM.integers(1 << 61)) * 8 + 5  # odd, of large order
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUES = _RANDOM.integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_EXACT = _VALUES.copy()
 #: Upper-case ASCII letters count as lower-case ones.
 _VALUES[0x41:0x5B] = _VALUES[0x61:0x7B]
 _PLACES = _RANDOM.integers(1 << 63, size=16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -51,9 +52,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Where the words of a batch of texts are (start, end: byte places; doc: number of text) and, asked for, hashes."""
+    """Where the words of a batch of texts are (start, end: byte places; doc: number of text) and, asked for, hashes (folded: without regard to case)."""
 
-    def __init__(self, texts: pa.Array, separators: np.ndarray = SPACES):
+    def __init__(self, texts: pa.Array, separators: np.ndarray = SPACES, folded: bool = True):
+        self.values = _VALUES if folded else _EXACT
         self.data, self.offsets = text_buffers(texts)
         n = len(self.data)
         word = ~separators[self.data]
@@ -79,7 +81,7 @@ class Words:
         up, down = powers(len(self.data) + 1)
         if self._sum is None:
             self._sum = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_VALUES[self.data] * up[: len(self.data)], out=self._sum[1:])
+            np.cumsum(self.values[self.data] * up[: len(self.data)], out=self._sum[1:])
         return mixed((self._sum[end] - self._sum[start]) * down[start])
 
 
