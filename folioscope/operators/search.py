@@ -12,21 +12,30 @@ FIELDS = ("title", "body", "location")
 
 
 def occurrences(text: Column, keyword: str) -> Column:
-    """How often keyword occurs in text, overlapping ones too, without regard to case."""
-    return F.regexp_count(F.lower(text), F.concat(F.lit("(?=\\Q"), F.lit(keyword.lower().replace("\\E", "\\E\\\\E\\Q")), F.lit("\\E)")))
+    """How often keyword occurs in text, overlapping ones too, without regard to case.
+
+    Occurrences of a keyword that doesn't end as it begins can't overlap, and are counted by what replacing them takes away.
+    """
+    low = keyword.lower()
+    if not any(low.endswith(low[:i]) for i in range(1, len(low))):
+        whole = F.lower(text)
+        return ((F.length(whole) - F.length(F.replace(whole, F.lit(low), F.lit("")))) / len(low)).cast("long")
+    return F.regexp_count(F.lower(text), F.concat(F.lit("(?=\\Q"), F.lit(low.replace("\\E", "\\E\\\\E\\Q")), F.lit("\\E)")))
 
 
-def bm25(notes: DataFrame, keyword: str) -> DataFrame:
+def bm25(notes: DataFrame, keyword: str, totals: tuple[int, float] | None = None) -> DataFrame:
     """Hits of notes(guid, title, body, location, ..) with score (lower is better).
 
-    The corpus statistics are one row, from one aggregation without a shuffle of rows; term counts are only taken
-    of notes that hold the keyword, which a plain contains decides.
+    totals: notes and mean length of the whole corpus, where `notes` are only candidates that an index gave.  What is counted here is
+    one row, from one aggregation without a shuffle of rows; term counts are only taken of notes that hold the keyword,
+    which a plain contains decides.
     """
     length = sum((F.greatest(F.length(c) - 2, F.lit(0)) for c in FIELDS), F.lit(0))
     low = keyword.lower()
     hit = F.lower("title").contains(low) | F.lower("body").contains(low) | F.lower("location").contains(low)
     marked = notes.withColumn("_d", length).withColumn("_hit", hit)
-    stats = marked.agg(F.count("*").alias("_all"), F.avg("_d").alias("_avg"), F.count_if("_hit").alias("_n"))
+    count, mean = (F.count("*"), F.avg("_d")) if totals is None else (F.lit(totals[0]), F.lit(float(totals[1])))
+    stats = marked.agg(count.alias("_all"), mean.alias("_avg"), F.count_if("_hit").alias("_n"))
     hits = marked.where("_hit").withColumn("_tf", sum((occurrences(F.col(c), keyword) for c in FIELDS), F.lit(0)))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("_all") - F.col("_n") + 0.5) / (F.col("_n") + 0.5)))
     score = -idf * F.col("_tf") * 2.2 / (F.col("_tf") + 1.2 * (0.25 + 0.75 * F.col("_d") / F.col("_avg")))
@@ -42,8 +51,8 @@ def collapse(hits: DataFrame, *order) -> DataFrame:
     return ranked.where("_r = 1").drop("_r", "fp")
 
 
-def found(notes: DataFrame, keyword: str, folder: str | None = None, filter_first: bool = False) -> DataFrame:
-    """The notes of search() with score, hit_in, dup_count, and title and body as they are."""
+def found(notes: DataFrame, keyword: str, folder: str | None = None, filter_first: bool = False, totals: tuple[int, float] | None = None) -> DataFrame:
+    """The notes of search() with score, hit_in, dup_count, and title and body as they are; totals as in bm25()."""
     keyword = keyword.strip()
     if not keyword:
         return notes.where("false").withColumns({"score": F.lit(0.0), "hit_in": F.lit(""), "dup_count": F.lit(0).cast("long")})
@@ -53,7 +62,7 @@ def found(notes: DataFrame, keyword: str, folder: str | None = None, filter_firs
         top = top.withColumn("score", F.lit(0.0))
     else:
         own = notes.where(F.col("location").startswith(folder)) if folder and filter_first else notes
-        top = bm25(own, keyword).orderBy("score", "guid").limit(LIMIT)
+        top = bm25(own, keyword, totals).orderBy("score", "guid").limit(LIMIT)
         where, order = F.lower("title").contains(keyword.lower()), ["score", "guid"]
     if folder:
         top = top.where(F.col("location").startswith(folder))
@@ -69,6 +78,20 @@ def search(notes: DataFrame, keyword: str, folder: str | None = None, filter_fir
     return found(notes, keyword, folder, filter_first).select("guid", "title", "location", "score", "hit_in", "dup_count")
 
 
+def search_index(index, keyword: str, folder: str | None = None) -> DataFrame:
+    """search() by a stored index (sources.index.Index): only notes whose trigrams allow the keyword are read.
+
+    It stays with the version that is the newest at the call.  Keywords of one or two characters go through the note table.
+    """
+    version = index.version()
+    keyword = keyword.strip()
+    if len(keyword) < 3:
+        return search(index.table("note", version), keyword, folder)
+    totals = index.describe(version)["totals"]
+    own = index.matching(keyword.lower(), version)
+    return found(own, keyword, folder, totals=(totals["notes"], totals["d"] / max(1, totals["notes"]))).select("guid", "title", "location", "score", "hit_in", "dup_count")
+
+
 def respond(notes: DataFrame, attachments: DataFrame, keyword: str, folder: str | None = None) -> DataFrame:
     """The whole answer to a search: kind (note, attachment), id, title, place, snippet, hit_in, score, dup_count.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from folioscope.operators import library as lib
 from folioscope.operators import lifecycle as life
 from folioscope.operators import search
 from folioscope.plans.registry import _ATT, _EXTRACT, _FOLD, FP, LOCAL, REMOTE, TOMBS, WITH, _bm25_sql, _names, _records, query
+from folioscope.sources.index import Index
 from folioscope.sources.packages import disk_dirs
+from folioscope.sources.store import shared_folder
 from folioscope.sources.views import manifest, notes, table, tombstones
 
 # ---- search response
@@ -94,6 +98,35 @@ def _kept_up(s: SparkSession, d: str) -> DataFrame:
     return life.kept_up(life.index_rows(n.where("doc_id % 5 <> 0")), n, n.where("doc_id = 5").select("guid"))
 
 
+def _own_index(s: SparkSession, name: str) -> Index:
+    return Index(s, f"{shared_folder(s)}/folioscope-index/{name}-{uuid.uuid4().hex}")
+
+
+@query(
+    "q_index_stored",
+    f"{WITH}, {_INDEX} SELECT {_IX} FROM ix WHERE doc_id % 6 <> 0 UNION ALL SELECT 'keyword ' || k, '', '', '', k, '', false FROM (SELECT unnest([1, 2]) AS k)",
+)
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    """A stored index of old titles, made again after a user's history was put, then two merges: some rows made anew, some gone.  Read back with the history."""
+    n, own = _with_bodies(s, d), _own_index(s, "stored")
+    own.build(n.withColumn("title", F.lit("old")))
+    own.put("search_history", s.createDataFrame([("keyword 1", 1), ("keyword 2", 2)], "keyword string, ts long"))
+    own.build(n.withColumn("title", F.when(F.col("doc_id") % 4 < 2, F.lit("old")).otherwise(F.col("title"))))
+    own.merge(n.where("doc_id % 6 = 0").select("guid"), n.where("doc_id % 6 <> 0"))
+    own.merge(n.where("doc_id % 4 < 2").select("guid"), n.where("doc_id % 6 <> 0"))
+    users = own.table("search_history").select(F.col("keyword").alias("guid"), F.lit("").alias("title"), F.lit("").alias("location"), F.lit("").alias("body"), F.col("ts").alias("body_len"), F.lit("").alias("fingerprint"), F.lit(False).alias("downloaded"))
+    return own.table("note").select(*users.columns).unionByName(users)
+
+
+@query("q_search_merged", _bm25_sql("ent").replace("doc_id FROM documents)", "doc_id FROM documents WHERE doc_id % 6 <> 1)"))
+def _search_merged(s: SparkSession, d: str) -> DataFrame:
+    """A stored index that a merge has brought up to date (rows added, rows made anew, rows gone), searched by its postings."""
+    n, own = notes(s, d), _own_index(s, "merged")
+    own.build(n.where("doc_id % 5 <> 0").withColumn("body", F.when(F.col("doc_id") % 7 == 0, F.concat("body", F.lit(" ent ent ent"))).otherwise(F.col("body"))))
+    own.merge(n.where("doc_id % 5 = 0 or doc_id % 7 = 0 or doc_id % 6 = 1").select("guid"), n.where("doc_id % 6 <> 1"))
+    return search.search_index(own, "ent")
+
+
 _FOLDERS = """f AS (SELECT DISTINCT unnest(list_transform(range(1, len(p) + 1), lambda i: '/' || array_to_string(p[1:i], '/') || '/')) AS path FROM (SELECT string_split(trim(location, '/'), '/') AS p FROM note WHERE location <> '//')
  UNION SELECT '/old/' || (doc_id % 40) || '/' FROM note)"""
 _folders = lambda s, d: lib.folder_rows(notes(s, d)).select("path").unionByName(notes(s, d).select(F.concat(F.lit("/old/"), (F.col("doc_id") % 40).cast("string"), F.lit("/")).alias("path")).distinct())
