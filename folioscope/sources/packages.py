@@ -95,7 +95,7 @@ def make_package(entries: dict[str, bytes], base: bytes | None = None, must_exis
         if must_exist and (missing := set(entries) - names):
             raise KeyError(f"not in the package: {sorted(missing)}")
         for name, data in entries.items():
-            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data)
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED)
     return out.getvalue()
 
 
