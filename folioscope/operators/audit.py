@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import markdown, render, text
+from folioscope.operators.library import smallest
 
 #: Fixed value: how many of the worst notes a report shows.
 WORST = 5
@@ -70,8 +71,20 @@ def trash_files(tombs: DataFrame, disk: DataFrame) -> DataFrame:
     return own.join(exact, "trash_path", "left").join(last, "name", "left").select("guid", F.coalesce("there", "fallback").alias("file"))
 
 
+#: Fixed value: documents that conversion statistics name for each kind.
+NAMED = 5
+
+
 def conversion_stats(documents: DataFrame) -> DataFrame:
     """One row: documents, what the converter made or left out over all of documents(key, html) (markdown.STATS), and how many came out empty."""
     made = documents.select(markdown.html_to_md_with_stats(F.col("html")).alias("m"))
     counts = [F.coalesce(F.sum(f"m.{n}"), F.lit(0)).cast("long").alias(n) for n in markdown.STATS]
     return made.agg(F.count("*").alias("documents"), *counts, F.count_if(F.col("m.md") == "").alias("empty"))
+
+
+def conversion_samples(documents: DataFrame) -> DataFrame:
+    """kind, documents, samples: for each of markdown.STATS, and for empty, how many of documents(key, html) have it, and the first NAMED keys."""
+    made = documents.select("key", markdown.html_to_md_with_stats(F.col("html")).alias("m"))
+    kinds = [F.when(F.col(f"m.{n}") > 0, F.lit(n)) for n in markdown.STATS] + [F.when(F.col("m.md") == "", F.lit("empty"))]
+    rows = made.select("key", F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
+    return rows.groupBy("kind").agg(F.count("*").alias("documents")).join(smallest(rows, "key", NAMED, ("kind",)), "kind")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import render, text
+from folioscope.functions.keys import as_data_uri
 from folioscope.operators.library import export_names
 from folioscope.operators.lifecycle import unique_names
 from folioscope.sources.packages import HTML_BODY, MARKDOWN_BODY
@@ -101,10 +102,6 @@ def parts(pages: DataFrame, key: str = "guid", body: str = "html", patterns: tup
     )
 
 
-def _data_uri(name: Column, data: Column) -> Column:
-    return F.concat(F.lit("data:"), F.split_part(text.content_type(name), F.lit(";"), F.lit(1)), F.lit(";base64,"), F.translate(F.base64(data), "\r\n", ""))
-
-
 def _with_entry(refs: DataFrame, entries: DataFrame, name: Column) -> DataFrame:
     """refs with `data` of entries(guid, name, data): by the exact name, else by the percent-decoded one."""
     plain = F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
@@ -134,11 +131,11 @@ def self_contained(pages: DataFrame, entries: DataFrame) -> DataFrame:
     folder = F.regexp_extract("sheet", r"^(.*/)[^/]*$", 1)
     stays = F.col("name").startswith("data:") | F.col("name").startswith("http")
     inner = _with_entry(inner, entries, F.when(~stays, F.concat(folder, "name")))
-    shown = F.when(F.col("data").isNotNull(), F.concat(F.lit("url("), _data_uri(F.col("name"), F.col("data")), F.lit(")"))).otherwise(F.concat("before", "name", "after"))
+    shown = F.when(F.col("data").isNotNull(), F.concat(F.lit("url("), as_data_uri(F.col("name"), F.col("data")), F.lit(")"))).otherwise(F.concat("before", "name", "after"))
     styled = _together(inner, ["guid", "of"], F.concat(F.coalesce(shown, F.lit("")), "literal")).withColumnRenamed("whole", "css").withColumnRenamed("of", "at")
     both = rows.join(styled, ["guid", "at"], "left")
     plain = F.concat("before", "name", "after")
-    shown = F.when((F.col("kind") == "img") & F.col("data").isNotNull(), F.concat("before", _data_uri(F.col("name"), F.col("data")), "after")).when(F.col("css").isNotNull(), F.concat(F.lit("<style>"), "css", F.lit("</style>"))).otherwise(plain)
+    shown = F.when((F.col("kind") == "img") & F.col("data").isNotNull(), F.concat("before", as_data_uri(F.col("name"), F.col("data")), "after")).when(F.col("css").isNotNull(), F.concat(F.lit("<style>"), "css", F.lit("</style>"))).otherwise(plain)
     whole = _together(both, ["guid"], F.concat(F.coalesce(shown, F.lit("")), "literal"))
     counts = rows.groupBy("guid").agg(F.count_if(F.col("kind").isNotNull() & F.col("data").isNotNull()).alias("inlined"), F.count_if(F.col("kind").isNotNull() & F.col("data").isNull()).alias("left"))
     return whole.join(counts, "guid").select("guid", F.col("whole").alias("html"), "inlined", "left")

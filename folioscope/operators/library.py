@@ -302,36 +302,50 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, "path", "full_outer").select("path", change.alias("change")).where("change is not null")
 
 
-#: Ranges that nearest_rank counts in.
-RANK_RANGES = 256
+#: Bins of one round of nearest_rank, and rows of a bin that need no further round.
+RANK_BINS, RANK_ROWS = 4096, 200_000
 
 
 def nearest_rank(values: DataFrame, column: str, quantiles: list[float]) -> DataFrame:
-    """q, value at index round((n - 1) q) of the sorted values; nulls don't count.
+    """q, value at index round((n - 1) q) of the sorted values; nulls don't count, NaN is the largest.
 
-    Values are counted first.  Cuts of about equal ranges come from approxQuantile and are literals of the plan, so
-    a range is the same however often a task runs; the driver gets one sum for each.  Only the ranges that hold a wanted index
-    are counted through.
+    A round counts values in equal bins between known ends and keeps, for each quantile, the bin that its index falls in with
+    that bin's own ends, until those bins hold few rows or one value; the driver gets one row for each bin.  Ends are literals
+    of the plan, so a value's bin is the same however often a task runs.  What is left is sorted by a window for each bin.
     """
     spark = values.sparkSession
     kind = dict(values.dtypes)[column]
-    counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    cuts = sorted(set(values.select(F.col(column).cast("double").alias("v")).stat.approxQuantile("v", [i / RANK_RANGES for i in range(1, RANK_RANGES)], 1 / (4 * RANK_RANGES))))
-    number = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("v").cast("double"))) if cuts else F.lit(0)
-    ranged = counts.withColumn("part", number)
-    before, base = 0, {}
-    for r in sorted(ranged.groupBy("part").agg(F.sum("n").alias("n")).collect()):
-        base[r["part"]] = (before, before + r["n"])
-        before += r["n"]
-    if not before:
+    # halves, so that no difference of two is beyond a double's range
+    place = F.least(F.greatest(F.when(F.isnan(F.col("v").cast("double")), F.lit(float("inf"))).otherwise(F.col("v").cast("double")), F.lit(-1.7e308)), F.lit(1.7e308)) / 2
+    own = values.where(F.col(column).isNotNull()).select(F.col(column).alias("v")).withColumn("p", place)
+    total, low, high = own.agg(F.count("*"), F.min("p"), F.max("p")).first()
+    if not total:
         return spark.createDataFrame([], f"q double, value {kind}")
-    wanted = [(float(q), int((before - 1) * q + 0.5)) for q in quantiles]
-    rows = [(q, i, part, low) for q, i in wanted for part, (low, high) in base.items() if low <= i < high]
-    asked = spark.createDataFrame(rows, "q double, i long, part int, base long")
-    run = Window.partitionBy("part").orderBy("v")
-    needed = ranged.where(F.col("part").isin(sorted({r[2] for r in rows}))).withColumn("upto", F.sum("n").over(run))
+    wanted = {float(q): int((total - 1) * q + 0.5) for q in quantiles}
+    cells = {(low, high, 0, total)}  # ends, rows before, rows
+    inside = lambda c: (F.col("p") >= F.lit(c[0])) & (F.col("p") <= F.lit(c[1]))
+    while large := sorted(c for c in cells if c[3] > RANK_ROWS and c[0] < c[1]):
+        number, at = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for i, c in reversed(list(enumerate(large))):
+            number = F.when(inside(c), i).otherwise(number)
+            at = F.when(inside(c), F.least(F.floor((F.col("p") - F.lit(c[0])) / F.lit((c[1] - c[0]) or 1.0) * RANK_BINS), F.lit(RANK_BINS - 1)).cast("int")).otherwise(at)
+        rows = own.withColumn("cell", number).where("cell is not null").groupBy("cell", at.alias("bin")).agg(F.count("*").alias("n"), F.min("p").alias("low"), F.max("p").alias("high")).collect()
+        cells -= set(large)
+        for i, c in enumerate(large):
+            before = c[2]
+            for r in sorted((r for r in rows if r["cell"] == i), key=lambda r: r["bin"]):
+                if any(before <= k < before + r["n"] for k in wanted.values()):
+                    cells.add((r["low"], r["high"], before, r["n"]))
+                before += r["n"]
+    rows = [(q, k, c[0], c[2]) for q, k in wanted.items() for c in cells if c[2] <= k < c[2] + c[3]]
+    asked = spark.createDataFrame(rows, "q double, i long, cell double, base long")
+    cell = F.lit(None).cast("double")
+    for c in cells:
+        cell = F.when(inside(c), F.lit(c[0])).otherwise(cell)
+    counts = own.withColumn("cell", cell).where("cell is not null").groupBy("cell", "v").agg(F.count("*").alias("n"))
+    needed = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("cell").orderBy("v")))
     at = F.col("i") - F.col("base")
-    return needed.join(F.broadcast(asked), "part").where((at < F.col("upto")) & (at >= F.col("upto") - F.col("n"))).select("q", F.col("v").alias("value"))
+    return needed.join(F.broadcast(asked), "cell").where((at < F.col("upto")) & (at >= F.col("upto") - F.col("n"))).select("q", F.col("v").alias("value"))
 
 
 def inspect(notes: DataFrame) -> DataFrame:
@@ -344,7 +358,24 @@ def inspect(notes: DataFrame) -> DataFrame:
     )
 
 
+#: Failed ids that a report shows.
+SHOWN = 8
+
+
+def smallest(rows: DataFrame, value: str, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, samples: the k smallest different values of each group in order; nulls don't count.
+
+    Ranks are cut to k in every task before rows are shuffled, so no group is brought together whole.
+    """
+    own = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v")).distinct()
+    if not by:
+        own = own.orderBy("_v").limit(k)
+    ranked = own.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_v"))).where(F.col("_r") <= k)
+    return ranked.groupBy(*by).agg(F.array_compact(F.array(*[F.max(F.when(F.col("_r") == i + 1, F.col("_v"))) for i in range(k)])).alias("samples"))
+
+
 def report(checks: DataFrame) -> DataFrame:
-    """ok, failed, samples (the first eight failed ids) of checks(id, passed, skipped)."""
+    """ok, failed, samples (the first SHOWN failed ids) of checks(id, passed, skipped)."""
     bad = ~F.col("passed") & ~F.col("skipped")
-    return checks.agg(F.coalesce(F.bool_and(~bad), F.lit(True)).alias("ok"), F.count_if(bad).alias("failed"), F.slice(F.array_sort(F.collect_list(F.when(bad, F.col("id")))), 1, 8).alias("samples"))
+    counts = checks.agg(F.coalesce(F.bool_and(~bad), F.lit(True)).alias("ok"), F.count_if(bad).alias("failed"))
+    return counts.join(F.broadcast(smallest(checks.where(bad), "id", SHOWN)))

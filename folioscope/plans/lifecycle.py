@@ -16,6 +16,7 @@ from folioscope.sources.index import Index
 from folioscope.sources.packages import disk_dirs
 from folioscope.sources.store import shared_folder
 from folioscope.sources.views import manifest, notes, table, tombstones
+from folioscope.streaming import keyed
 
 # ---- search response
 
@@ -258,3 +259,21 @@ def _rebuilt(s: SparkSession, d: str) -> DataFrame:
     rows, missing = life.rebuilt_manifest(n, lib.export_names(n), files)
     gone = missing.select("guid", F.lit("").alias("path"), F.lit("").alias("md5"), F.lit(False).alias("found"), F.lit(-1).cast("long").alias("synced_revision"), F.lit(False).alias("dirty"))
     return rows.select("guid", "path", "md5", F.lit(True).alias("found"), "synced_revision", (F.col("dirty_info") & F.col("dirty_data")).alias("dirty")).unionByName(gone)
+
+
+@query(
+    "q_keyed_state",
+    """WITH e AS (SELECT user_id::VARCHAR AS guid, epoch_us(ts) AS ts, CASE event_type WHEN 'signup' THEN 'sync' WHEN 'error' THEN 'delete' ELSE event_type END AS event FROM events WHERE user_id IS NOT NULL)
+SELECT guid, max(ts) AS ts, arg_max(event, printf('%020d', ts) || event) AS event, count(*) AS writes, coalesce(max(ts) FILTER (event = 'click') > coalesce(max(ts) FILTER (event = 'sync'), -1), false) AS dirty_info,
+ coalesce(max(ts) FILTER (event IN ('view', 'delete')) > coalesce(max(ts) FILTER (event = 'sync'), -1), false) AS dirty_data, arg_max(event, printf('%020d', ts) || event) = 'delete' AS deleted FROM e GROUP BY 1""",
+)
+def _keyed_state(s: SparkSession, d: str) -> DataFrame:
+    """All events as a stream in two runs over one checkpoint: the second goes on from the state that the first has left."""
+    base = f"{shared_folder(s)}/folioscope-state/{uuid.uuid4().hex}"
+    event = F.when(F.col("event_type") == "signup", "sync").when(F.col("event_type") == "error", "delete").otherwise(F.col("event_type"))
+    rows = table(s, d, "events").select(F.col("user_id").cast("string").alias("guid"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), event.alias("event"), (event == "click").alias("dirty_info"), event.isin("view", "delete").alias("dirty_data"), "event_id")
+    for turn in (0, 1):
+        rows.where(F.pmod("event_id", F.lit(2)) == turn).drop("event_id").write.mode("append").parquet(f"{base}/changes")
+        done = keyed.run(s.readStream.schema(rows.drop("event_id").schema).parquet(f"{base}/changes"), f"{base}/out", f"{base}/check")
+        done.awaitTermination()
+    return keyed.state(s, f"{base}/out")

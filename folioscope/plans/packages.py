@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators import export
+from folioscope.operators.library import snapshot_diff
 from folioscope.plans.registry import WITH, _title_sql, query
-from folioscope.sources import package_files
+from folioscope.sources import package_files, walk
 from folioscope.sources.store import shared_folder
 from folioscope.sources.views import notes, table
 
@@ -83,3 +84,26 @@ def _self_contained(s: SparkSession, d: str) -> DataFrame:
     sheets = p.where("page_id % 3 = 0").select(number.alias("guid"), F.explode(F.array(F.struct(F.lit("index_files/s/m.css").alias("name"), css.alias("data")), F.struct(F.lit("index_files/s/n.png").alias("name"), F.lit("n").alias("data")))).alias("e")).select("guid", "e.name", F.encode("e.data", "utf-8").alias("data"))
     made = export.self_contained(page, entries.unionByName(sheets))
     return made.select("guid", F.md5("html").alias("html_md5"), F.col("inlined").cast("long").alias("inlined"), F.col("left").cast("long").alias("left_out"))
+
+
+_TREE = """t AS (SELECT ltrim(location, '/') || guid || '.zip' AS path, location, doc_id FROM note),
+ b AS (SELECT path, location, doc_id FROM t WHERE doc_id % 9 <> 0), a AS (SELECT path, location, doc_id FROM t WHERE doc_id % 12 <> 0),
+ d AS (SELECT 'b' AS side, location FROM b UNION SELECT 'a', location FROM a),
+ f AS (SELECT DISTINCT side, unnest([split_part(location, '/', 2), split_part(location, '/', 2) || '/' || split_part(location, '/', 3)]) AS path FROM d)"""
+
+
+@query(
+    "q_walk_diff",
+    f"""{WITH}, {_TREE}, l AS (SELECT path, doc_id % 15 = 1 AS changed FROM b UNION ALL SELECT path, false FROM f WHERE side = 'b'), r AS (SELECT path FROM a UNION ALL SELECT path FROM f WHERE side = 'a')
+SELECT coalesce(l.path, r.path) AS path, CASE WHEN r.path IS NULL THEN 'removed' WHEN l.path IS NULL THEN 'added' ELSE 'modified' END AS change FROM l FULL JOIN r ON l.path = r.path WHERE l.path IS NULL OR r.path IS NULL OR changed""",
+)
+def _walk_diff(s: SparkSession, d: str) -> DataFrame:
+    """Two folder trees of packages, walked in parallel, and what changed from one to the other; times are left out."""
+    shape = lambda side: notes(s, d).where(f"doc_id % {9 if side == 'before' else 12} <> 0").select(F.ltrim(F.concat("location", "guid", F.lit(".zip")), F.lit("/")).alias("path"), "guid", F.array(F.struct(F.lit("note.md").alias("name"), F.encode(F.when((F.col("doc_id") % 15 == 1) & F.lit(side == "after"), "other").otherwise("") if side == "after" else F.lit(""), "utf-8").alias("data"))).alias("entries"))
+    snaps = []
+    for side in ("before", "after"):
+        folder = _folder(s, side)
+        package_files.write_packages(shape(side), folder)
+        langs = [r[0] for r in notes(s, d).select(F.split_part("location", F.lit("/"), F.lit(2))).distinct().collect()]
+        snaps.append(walk.snapshot(s, folder, langs).withColumn("mtime", F.lit(0)))
+    return snapshot_diff(*snaps)

@@ -346,7 +346,7 @@ query("q_md_to_html", f"{WITH} SELECT guid, regexp_replace(body, '{_LETTERS}', '
 )
 query("q_md_highlight", f"{WITH} SELECT guid, replace(replace(replace(body, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS shown FROM note")(lambda s, d: notes(s, d).select("guid", render.strip_tags(render.highlight_md(F.col("body"))).alias("shown")))
 #: Bodies by rule: some fenced blocks, and in every seventh note doc_id % 4 indented ones, which are too many.
-_rendered = lambda s, d: notes(s, d).select("guid", F.concat(F.repeat(F.lit("```\nx\n```\n\nword\n\n"), (F.col("doc_id") % 3).cast("int")), F.when(F.col("doc_id") % 7 == 0, F.repeat(F.lit("word\n\n    code\n\n"), (F.col("doc_id") % 4).cast("int"))).otherwise("")).alias("body"))
+_rendered = lambda s, d: notes(s, d).select("guid", F.concat("body", F.lit("\n\n"), F.repeat(F.lit("```\nx\n```\n\nword\n\n"), (F.col("doc_id") % 3).cast("int")), F.when(F.col("doc_id") % 7 == 0, F.repeat(F.lit("word\n\n    code\n\n"), (F.col("doc_id") % 4).cast("int"))).otherwise("")).alias("body"))
 _RENDERED = f"{WITH}, z AS (SELECT guid, doc_id % 3 AS fences, doc_id % 3 + CASE WHEN doc_id % 7 = 0 THEN doc_id % 4 ELSE 0 END AS rendered, CASE WHEN doc_id % 7 = 0 THEN doc_id % 4 ELSE 0 END AS extra FROM note)"
 query("q_render_counts", f"{_RENDERED} SELECT * FROM z")(lambda s, d: audit.render_counts(_rendered(s, d)))
 query("q_render_health", f"{_RENDERED} SELECT * FROM z WHERE extra > 0 ORDER BY extra DESC, guid LIMIT 5")(lambda s, d: audit.worst_rendered(_rendered(s, d)))
@@ -357,6 +357,19 @@ query("q_render_health", f"{_RENDERED} SELECT * FROM z WHERE extra > 0 ORDER BY
     """WITH x AS (SELECT page_id % 2 AS a, page_id % 3 AS b, page_id % 5 = 0 AS c, page_id % 4 AS e, page_id % 6 = 0 AS l FROM pages) SELECT count(*) AS documents, sum(a + b)::BIGINT AS code_blocks, sum(b)::BIGINT AS code_tables, sum(a)::BIGINT AS mirrors, count(*) FILTER (c) AS tables, count(*) FILTER (l) AS layout_tables, sum(e)::BIGINT AS dropped_data_imgs, 0::BIGINT AS empty FROM x""",
 )
 def _conversion(s: SparkSession, d: str) -> DataFrame:
+    return audit.conversion_stats(_converted(s, d))
+
+
+@query(
+    "q_conversion_samples",
+    """WITH x AS (SELECT page_id, unnest([CASE WHEN page_id % 2 + page_id % 3 > 0 THEN 'code_blocks' END, CASE WHEN page_id % 3 > 0 THEN 'code_tables' END, CASE WHEN page_id % 2 > 0 THEN 'mirrors' END, CASE WHEN page_id % 5 = 0 THEN 'tables' END, CASE WHEN page_id % 6 = 0 THEN 'layout_tables' END, CASE WHEN page_id % 4 > 0 THEN 'dropped_data_imgs' END]) AS kind FROM pages)
+SELECT kind, count(*) AS documents, array_to_string((list_sort(list(page_id)))[1:5], ',') AS samples FROM x WHERE kind IS NOT NULL GROUP BY kind""",
+)
+def _conversion_samples(s: SparkSession, d: str) -> DataFrame:
+    return audit.conversion_samples(_converted(s, d)).withColumn("samples", F.array_join(F.col("samples").cast("array<string>"), ","))
+
+
+def _converted(s: SparkSession, d: str) -> DataFrame:
     """Pages with hidden code, code tables, a table, a layout table and inline images added by rule."""
     i = F.col("page_id")
     many = lambda html, n: F.repeat(F.lit(html), n.cast("int"))
@@ -364,7 +377,7 @@ def _conversion(s: SparkSession, d: str) -> DataFrame:
         many('<div data-mode="sh"><textarea style="display:none">a b</textarea><x_code_mirror><pre>a b</pre></x_code_mirror></div>', i % 2), many('<table class="lntable"><tr><td class="gutter">1</td><td>a</td></tr></table>', i % 3),
         F.when(i % 5 == 0, "<table><tr><td>1</td><td>2</td></tr></table>").otherwise(""), many('<img src="data:image/png;base64,AA==">', i % 4), F.when(i % 6 == 0, '<table class="d-block"><tr><td><p>x</p></td></tr></table>').otherwise(""),
     )
-    return audit.conversion_stats(table(s, d, "pages").select(i.alias("key"), F.concat(F.coalesce("html", F.lit("")), F.lit("<p>end</p>"), extra).alias("html")))
+    return table(s, d, "pages").select(i.alias("key"), F.concat(F.coalesce("html", F.lit("")), F.lit("<p>end</p>"), extra).alias("html"))
 
 
 query("q_purity", "SELECT page_id, (page_id % 3)::BIGINT AS hosts, (page_id % 2 + len(regexp_extract_all(coalesce(html, ''), '(?i)<script')))::BIGINT AS scripts, page_id % 3 = 0 AND page_id % 2 = 0 AND NOT regexp_matches(coalesce(html, ''), '(?i)<script') AS ok FROM pages")(
