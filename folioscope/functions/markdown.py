@@ -14,21 +14,25 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, S
 CONVERTER_VERSION = "3"
 
 STATS = ("code_blocks", "code_tables", "mirrors", "tables", "layout_tables", "dropped_data_imgs")
-IGNORED = {"script", "style", "noscript", "template", "iframe", "object", "svg", "head"}
+#: Elements that are left out with all they hold, and elements without an end that are left out alone.
+IGNORED = ("style", "script", "title", "noscript", "iframe", "svg", "canvas", "object", "template")
+IGNORED_VOID = ("meta", "link", "base", "embed", "input", "param", "source", "track", "col", "area", "wbr")
 BLOCKS = {"p", "div", "section", "article", "header", "footer", "main", "figure", "address", "form"}
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
-VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "col", "area", "base", "embed", "source", "track"}
+#: All elements without an end.
+VOID = {"br", "hr", "img", *IGNORED_VOID}
 
 
 #: Classes of tables that lay out code beside its line numbers, and of tables that lay out one column.
 CODE_TABLES = ("lntable", "crayon-table", "hljs-ln", "syntaxhighlighter", "highlighter", "diff-table", "blob-code", "crayon-code", "code-table", "chroma")
 LAYOUT_TABLE = "d-block"
-#: Parts of class names of line numbers, and of what editors and sites put into code besides.
-GUTTER = ("lineno", "line-number", "linenum", "gutter", "nums", "numbers", "blob-num", "numbering")
-CHROME = re.compile(r"(?i)\b(?:pre-numbering|hljs-button|copy-?btn|copy-?button|toolbar)\b")
+#: Parts of class names (in any case) of the cells of a code table that hold line numbers, and of elements in
+#: code that are no code; a button in code is none either.
+GUTTER = ("nums", "number", "gutter", "blob-num", "lineno")
+CHROME = ("pre-numbering", "hljs-button", "hljs-ln-numbers", "crayon-nums", "copy-code", "code-copy", "copy-button", "btn-copy")
 _LANGUAGE = re.compile(r"(?:brush:|language-|lang-|highlight-|source-)(?:source-|highlight-)?([a-z0-9+#]{1,16})")
 _NUMBER = re.compile(r"\s*[0-9]+\s*")
-_BLOCK_START = re.compile(r"[ \t]*(?:[-*+] |[0-9]+[.)] |>|\||```|~~~|#{1,6} )")
+_BLOCK_START = re.compile(r"[ \t]*(?:[-*+](?:[ \t]|$)|[0-9]+[.)] |>|\||```|#+ )")
 
 
 def escape(text: str) -> str:
@@ -52,6 +56,13 @@ def dedent_layout(text: str) -> str:
     return "\n".join(out)
 
 
+def edges_off(code: str) -> str:
+    """code without carriage returns, white space at line ends and empty lines at both ends."""
+    lines = [x.rstrip() for x in code.replace("\r", "").split("\n")]
+    some = [i for i, x in enumerate(lines) if x]
+    return "\n".join(lines[some[0] : some[-1] + 1]) if some else ""
+
+
 def without_numbers(code: str) -> str:
     """code without the lines of numbers at its end, if there are two or more of them."""
     lines = code.rstrip("\n").split("\n")
@@ -67,6 +78,7 @@ class _Writer(HTMLParser):
         self.out: list[str] = []
         self.line: list[str] = []
         self.skip = 0
+        self.head = False
         self.lists: list[list] = []
         self.quotes = 0
         self.pre: list[str] | None = None
@@ -113,8 +125,10 @@ class _Writer(HTMLParser):
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         cls = a.get("class") or ""
-        if tag == "body":  # a head that was never closed ends here
-            self.skip = 0
+        if tag in ("head", "body"):  # a head that was never closed ends with the body's begin
+            self.head = tag == "head"
+        if self.head:
+            return
         if self.mirror:
             self.mirror = self.inside(tag, False, self.mirror)
             return
@@ -137,7 +151,7 @@ class _Writer(HTMLParser):
         if self.pre is not None:
             if self.chrome:
                 self.chrome = self.inside(tag, False, self.chrome)
-            elif tag == "button" or CHROME.search(cls):
+            elif tag == "button" or any(m in cls.lower() for m in CHROME):
                 self.chrome = (tag, 1)
             elif tag in ("br", "li") and (tag == "br" or (self.pre and not "".join(self.pre[-1:]).endswith("\n"))):
                 self.pre.append("\n")
@@ -173,6 +187,8 @@ class _Writer(HTMLParser):
         elif tag in BLOCKS:
             if not self.tables:
                 self.flush(True)
+            elif tag == "div":
+                self.target().append("\n")
         elif tag == "pre":
             self.flush(True)
             self.pre = []
@@ -193,7 +209,7 @@ class _Writer(HTMLParser):
             self.out += ["---", ""]
         elif tag == "br":
             if self.tables:
-                self.target().append("<br>")
+                self.target().append("\n")
             else:
                 self.flush()
         elif tag == "input" and (a.get("type") or "").lower() == "checkbox":
@@ -209,6 +225,9 @@ class _Writer(HTMLParser):
             self.marks.append(len(self.target()))
 
     def handle_endtag(self, tag):
+        if self.head:
+            self.head = tag != "head"
+            return
         if self.mirror:
             self.mirror = self.inside(tag, True, self.mirror)
             return
@@ -248,7 +267,7 @@ class _Writer(HTMLParser):
             t = self.tables[-1]
             if not t["rows"]:
                 t["rows"].append([])
-            t["rows"][-1].append(re.sub(r"\s+", " ", "".join(t["cell"])).strip().replace("|", "\\|"))
+            t["rows"][-1].append("<br>".join(x for x in (re.sub(r"\s+", " ", y).strip() for y in "".join(t["cell"]).split("\n")) if x).replace("|", "\\|"))
             t["cell"] = None
         elif tag == "table" and self.tables:
             self.end_table()
@@ -288,8 +307,7 @@ class _Writer(HTMLParser):
         elif tag == "tr":
             t["rows"].append([])
         elif tag in ("td", "th"):
-            gutter = any(g in cls.lower() for g in GUTTER)
-            t["cell"] = {"gutter": gutter, "text": []}
+            t["cell"] = {"gutter": any(g in cls.lower() for g in GUTTER), "text": []}
             (t["rows"] or t["rows"].append([]) or t["rows"])[-1].append(t["cell"])
         elif t["cell"] is not None and tag in ("br", "div", "li", "p") and t["cell"]["text"] and not t["cell"]["text"][-1].endswith("\n"):
             t["cell"]["text"].append("\n")
@@ -305,10 +323,11 @@ class _Writer(HTMLParser):
             self.code_table = None
             lines = []
             for row in t["rows"]:
-                cells = ["".join(c["text"]).replace("\u200b", "").replace("\u00a0", " ").rstrip("\n") for c in row if not c["gutter"]]
-                if len(cells) > 1:  # a column of numbers without a class that says so
-                    cells = [c for c in cells if c.strip() and not all(_NUMBER.fullmatch(x) for x in c.strip("\n").split("\n"))] or cells[-1:]
-                lines.append("".join(cells))
+                cells = [(c["gutter"], edges_off("".join(c["text"]).replace("\u200b", "").replace("\u00a0", " "))) for c in row]
+                if any(marked for marked, _ in cells):  # a class says which cells are numbers: the others stay, empty ones as empty lines
+                    lines += [x for marked, x in cells if not marked]
+                else:
+                    lines += [x for _, x in cells if x and not re.fullmatch(r"[0-9\s]*", x)]
             before = self.stats["code_blocks"]
             self.fence("\n".join(lines), t["language"])
             self.stats["code_tables"] += self.stats["code_blocks"] - before
@@ -317,20 +336,21 @@ class _Writer(HTMLParser):
         t = self.tables.pop()
         rows = [r for r in t["rows"] if r]
         if self.tables and self.tables[-1]["cell"] is not None:
-            self.tables[-1]["cell"].append(" ".join(c for r in rows for c in r))
+            self.tables[-1]["cell"].append("\n" + "\n".join(c.replace("<br>", "\n").replace("\\|", "|") for r in rows for c in r))
             return
         if not rows:
             return
         width = max(map(len, rows))
-        if t["complex"] or width == 1:
-            self.out += [" ".join(c for c in r if c) for r in rows if any(r)] + [""]
+        if t["complex"]:  # merged cells: a line for each row
+            self.out += [x for x in (" | ".join(r).strip() for r in rows) if x] + [""]
+            self.stats["tables"] += 1
             return
         rows = [r + [""] * (width - len(r)) for r in rows]
         self.stats["tables"] += 1
         self.out += ["| " + " | ".join(r) + " |" for r in rows[:1]] + ["|" + " --- |" * width] + ["| " + " | ".join(r) + " |" for r in rows[1:]] + [""]
 
     def handle_data(self, data):
-        if self.skip or self.mirror or self.chrome:
+        if self.skip or self.head or self.mirror or self.chrome:
             return
         if self.hidden is not None:
             self.hidden.append(data)

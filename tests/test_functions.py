@@ -74,8 +74,8 @@ def test_more_text(spark):
         ('<table class="hljs-ln"><tr><td class="hljs-ln-numbers"></td><td>one</td></tr><tr><td class="hljs-ln-numbers"></td><td></td></tr><tr><td class="hljs-ln-numbers"></td><td>two</td></tr></table>', "```\none\n\ntwo\n```"),
         ('<table class="diff-table"><tr><td class="blob-num"></td><td> kept</td></tr><tr><td class="blob-num"></td><td>-gone</td></tr></table>', "```diff\n kept\n-gone\n```"),
         ('<table class="d-block"><tr><td><p>c</p><ul><li>i</li></ul></td></tr></table><table><tr><td>a</td><td>b</td></tr></table>z', "c\n\n- i\n\n| a | b |\n| --- | --- |\n\nz"),
-        ("<table><tr><td>V</td><td>B<table><tr><td>in</td></tr></table>tail</td></tr></table>", "| V | Bintail |\n| --- | --- |"),
-        ('<table><tr><td colspan="2">both</td></tr><tr><td>a</td><td>b</td></tr></table>', "both\na b"),
+        ("<table><tr><td>V</td><td>B<table><tr><td>in</td></tr></table>tail</td></tr></table>", "| V | B<br>intail |\n| --- | --- |"),
+        ('<table><tr><td colspan="2">both</td></tr><tr><td>a</td><td>b</td></tr></table>', "both\na | b"),
         ('<pre><code class="language-sh">one<ul class="pre-numbering"><li>1</li></ul><button>copy</button></code></pre>after', "```sh\none\n```\n\nafter"),
         ("<pre><ol><li>a</li><li>b</li></ol></pre>", "```\na\nb\n```"),
         ("<p>&lt;name&gt; a &lt; b</p><ul><li><input type=checkbox checked>do<li><input type=checkbox>not</ul>", "\\<name> a < b\n\n- [x] do\n- [ ] not"),
