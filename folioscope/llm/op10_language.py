@@ -19,8 +19,9 @@ FILTERS = 16
 #: Training documents of each language at most (those of the smallest hashes), and windows of each, spread over the whole text;
 #: windows that hold fewer bytes than LEAST (the ends of texts, short texts) don't teach.
 SAMPLE, SAMPLE_WINDOWS, LEAST = 300, 6, 32
-#: Rows of (language, number of documents) that are broadcast at most.
-BROADCAST_LANGUAGES = 100_000
+#: Languages that are learned at most, those of the most documents (ties: by name), and training documents of all together; with
+#: more languages than TRAINING / SAMPLE each has a smaller share of them.
+LANGUAGES, TRAINING = 256, 20_000
 STEPS, BATCH, RATE = 400, 64, 0.02
 
 #: Symbols: 0 beyond the text, 1-26 ASCII letters of either case, then digits, white space, other ASCII, and each byte from 0x80 its own.
@@ -134,12 +135,16 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     """A network from docs(doc_id, text, lang): at most `sample` documents of each language, SAMPLE_WINDOWS windows of each.
 
     Rows with null text or lang don't count; of rows that repeat doc_id and lang the first text in order does.  None
-    where nothing is left to learn from.  The driver gets sample * SAMPLE_WINDOWS windows of each language at most.
+    where nothing is left to learn from.  The LANGUAGES of the most documents are learned, of TRAINING documents at most in
+    all, so what is broadcast and what the driver gets doesn't grow with the number of languages or documents; rarer
+    languages are never predicted, nor is one whose texts all are under LEAST bytes.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     # about twice as many ids as are wanted pass the threshold of their language's size, so no task ranks a whole language
-    sizes = staged(usable.groupBy(F.col("lang").alias("of")).agg(F.approx_count_distinct("doc_id", 0.02).alias("n")), "language-sizes")
-    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGUAGES else sizes
+    sizes = usable.groupBy(F.col("lang").alias("of")).agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).orderBy(F.desc("n"), "of").limit(LANGUAGES)
+    sizes = staged(sizes, "language-sizes")
+    sample = min(sample, max(1, TRAINING // max(1, sizes.count())))
+    sizes = F.broadcast(sizes)
     uniform = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     some = usable.select("doc_id", "lang").join(sizes, F.col("lang") == F.col("of")).where(uniform * F.col("n") < 2 * sample + 20).select("doc_id", "lang").distinct()
     order = Window.partitionBy("lang").orderBy(uniform, "doc_id")

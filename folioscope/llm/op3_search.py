@@ -58,18 +58,19 @@ class Best:
         self.scores[touched], self.ids[touched] = s[take], i[take]
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, best: Best, x: np.ndarray, ids: np.ndarray, levels=LEVELS) -> int:
+def search_block(queries: np.ndarray, query_ids: np.ndarray, best: Best, x: np.ndarray, ids: np.ndarray, levels=LEVELS, known: list[np.ndarray] | None = None) -> int:
     """Score a block of candidates against all queries; pairs whose bound is below the query's k-th best are left out.
 
+    known: the queries' statistics at each level, if they have been made already.
     Returns the number of pairs whose exact product was needed.  Values are integers below 2^24 in size, so float64
     products are exact for up to 32 components of the largest size, and checked by the caller.
     """
     kth = best.scores[:, -1]
     alive: tuple[np.ndarray, np.ndarray] | None = None
-    for n in levels:
+    for level, n in enumerate(levels):
         if n > max(1, x.shape[1]):
             break
-        fq, fx = statistics(queries, n), statistics(x, n)
+        fq, fx = statistics(queries, n) if known is None else known[level], statistics(x, n)
         slack = 1e-9 * np.sqrt((fq**2).sum(1).max(initial=0) * (fx**2).sum(1).max(initial=0)) + 1e-6
         if alive is None:
             alive = np.nonzero(fq @ fx.T + slack >= kth[:, None])
@@ -164,6 +165,7 @@ def _against(rows: DataFrame, block, k: int) -> DataFrame:
         query_ids, queries = block.value
         best, large = Best(len(queries), k), float(np.abs(queries).max(initial=0))
         exact: dict[int, list] = {}
+        known = [statistics(queries, n) for n in LEVELS if n <= max(1, queries.shape[1])]
         for batch in batches:
             for at in range(0, batch.num_rows, CANDIDATE_BLOCK):
                 part = batch.slice(at, CANDIDATE_BLOCK)
@@ -171,7 +173,7 @@ def _against(rows: DataFrame, block, k: int) -> DataFrame:
                 ids = part["vec_id"].to_numpy()
                 top = float(np.abs(x).max(initial=0))
                 if large * top * queries.shape[1] < 2**53:
-                    search_block(queries, query_ids, best, x, ids)
+                    search_block(queries, query_ids, best, x, ids, known=known)
                 else:
                     whole = np.array([[int(c) for c in r] for r in x], object).reshape(x.shape)
                     for i, q in enumerate(queries):
