@@ -7,11 +7,12 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer single text is a step of its own.
@@ -107,30 +108,65 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def range_bounds(ids: DataFrame, column: str, pieces: int) -> list[int]:
-    """Up to pieces - 1 cut points of an integer column, from one narrow scan; the driver gets only these.
+class Ranges:
+    """Ranges of about equally many rows by an integer column, nulls first; a value that holds many rows is split by a second key.
 
-    Cuts are quantiles within a tenth of a piece (of up to 10,000 pieces); equal cuts fold into one.
+    bounds: ascending cuts; a value is in range r if r cuts are below it.  subs: into how many parts range r is split (a range with
+    more than one holds a single value), nulls: the null rows.  Numbers of parts follow the order of (value, tie).
     """
-    if pieces < 2:
-        return []
-    at = [i / pieces for i in range(1, pieces)]
-    got = ids.where(F.col(column).isNotNull()).stat.approxQuantile(column, at, min(0.002, max(1e-5, 0.1 / pieces)))
-    return sorted({int(x) for x in got or []})
 
-
-def range_of(column, bounds: list[int]):
-    """Number of the range that a value falls in: how many cuts are below it; null: 0.  Many cuts are looked through in two levels."""
+    def __init__(self, ids: DataFrame, column: str, pieces: int):
+        """From two narrow scans; the driver gets the cuts, which are quantiles within a tenth of a piece (of up to 10,000 pieces)."""
+        total, nulls = ids.agg(F.count("*"), F.count_if(F.col(column).isNull())).first()
+        self.nulls = max(1, -(-pieces * nulls // max(1, total)))
+        cuts: list[int] = []
+        if pieces > 1 and total > nulls:
+            at = [i / pieces for i in range(1, pieces)]
+            cuts = [int(x) for x in ids.where(F.col(column).isNotNull()).stat.approxQuantile(column, at, min(0.002, max(1e-5, 0.1 / pieces))) or []]
+        times = Counter(cuts)
+        self.bounds = sorted({*cuts, *(b - 1 for b, n in times.items() if n > 1)})
+        self.subs = [max(1, times[b]) for b in self.bounds] + [1]
+
+    def __len__(self) -> int:
+        return self.nulls + sum(self.subs)
+
+    def number(self, column: Column, tie: Column) -> Column:
+        """Number of a row's part; tie: 0 to 2^31 - 1, about uniform, equal for rows that are equal."""
+        part = lambda k: F.shiftright(tie.cast("long") * k, 31)
+        number = range_of(column, self.bounds)
+        if max(self.subs) > 1:
+            first = np.cumsum([0, *self.subs[:-1]]).tolist()
+            number = F.element_at(longs(first), number + 1) + part(F.element_at(longs(self.subs), number + 1))
+        null = part(F.lit(self.nulls)) if self.nulls > 1 else F.lit(0)
+        return F.when(column.isNull(), null).otherwise(number + self.nulls).cast("int")
+
+    @property
+    def split(self) -> bool:
+        """Whether numbers depend on the second key."""
+        return self.nulls > 1 or max(self.subs) > 1
+
+
+def tie_of(text: Column) -> Column:
+    """31 bits of a hash of a text, null as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit((1 << 31) - 1))
+
+
+def longs(values: list[int]) -> Column:
+    """An array as one literal, however long."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def range_of(column: Column, bounds: list[int]) -> Column:
+    """How many cuts are below a value; null: 0.  Many cuts are looked through in two levels."""
     if not bounds:
         return F.lit(0)
     if len(bounds) <= 64:
         number = sum((F.when(column > F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
     else:
         step = int(len(bounds) ** 0.5) + 1
-        array = lambda some: F.array(*[F.lit(b).cast("long") for b in some])
         below = lambda cuts: F.size(F.filter(cuts, lambda b: b < column))
-        whole = below(array(bounds[step - 1 :: step])) * step
-        number = whole + below(F.slice(array(bounds), whole + 1, F.lit(step)))
+        whole = below(longs(bounds[step - 1 :: step])) * step
+        number = whole + below(F.slice(longs(bounds), whole + 1, F.lit(step)))
     return F.when(column.isNull(), 0).otherwise(number).cast("int")
 
 

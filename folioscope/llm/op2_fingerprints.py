@@ -8,10 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dealt, documents, only, partitions, range_bounds, range_of, scratch, staged, steps
+from .common import Ranges, dealt, documents, only, partitions, scratch, staged, steps, tie_of
 from .linking import BROADCAST_IDS, bands, classified
 from .shingles import mixed, set_hash, shingles
 
@@ -87,26 +87,26 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, part: int = 80, whole: in
 def with_edits(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Fingerprints of every text and of its edited text, which ends with the beginning of the next document's.
 
-    One shuffle: rows go to ranges of doc_id (null first, equal ids by text), and the first row of each range
-    goes to the range before it as well, as what comes next there; the first of all follows the last of all.  A task
-    holds two texts and one step of them.  Null texts count as empty.  A table of one row follows itself; an
-    empty one gives none; other columns are ignored.
+    One shuffle: rows go to ranges of doc_id (null first, equal ids by a hash of their texts, then the text), and the first row of
+    each range goes to the range before it as well, as what comes next there; the first of all follows the last of all.
+    Many rows of one id, or of none, are split into several ranges by that hash.  What is first in each range is a small
+    table (a row for each range) that Spark makes and joins.  A task holds two texts and one step of them.
+    Null texts count as empty.  A table of one row follows itself; an empty one gives none; other columns are ignored.
     Two empty fingerprints are alike (1.0).
     """
     table = only(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
-    spark = docs.sparkSession
-    bounds = range_bounds(table, "doc_id", partitions(spark))
-    number = range_of(F.col("doc_id"), bounds)
-    heads = sorted((r["n"], r["head"], r["nulls"]) for r in table.groupBy(number.alias("n")).agg(F.min("doc_id").alias("head"), F.max(F.col("doc_id").isNull()).alias("nulls")).collect())
-    placed = table.withColumn("bucket", number).withColumn("next", F.lit(False))
-    if heads:
-        # the head of a range as seen by the range before it; a range that begins with nulls sends its null rows
-        before = {n: heads[i - 1][0] for i, (n, _, _) in enumerate(heads)}
-        to = F.create_map(*[F.lit(x) for n, b in before.items() for x in (n, b)])[F.col("bucket")]
-        tops = F.array(*[F.lit(None if nulls else head).cast("long") for _, head, nulls in heads])[F.array_position(F.array(*[F.lit(n) for n, _, _ in heads]), F.col("bucket")).cast("int") - 1]
-        firsts = placed.where(F.col("doc_id").eqNullSafe(tops)).groupBy("bucket", "doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", to.alias("bucket"), F.lit(True).alias("next"))
-        placed = placed.unionByName(firsts)
-    ordered = dealt(placed, "bucket", len(bounds) + 1).sortWithinPartitions("bucket", "next", F.col("doc_id").asc_nulls_first(), "text")
+    ranges = Ranges(table, "doc_id", partitions(docs.sparkSession))
+    tie = tie_of(F.col("text"))
+    number = ranges.number(F.col("doc_id"), tie)
+    key = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", (tie if ranges.split else F.lit(0).cast("long")).alias("tie"))
+    whole = Window.orderBy("bucket")
+    heads = table.groupBy(number.alias("bucket")).agg(F.min(key).alias("head"))
+    heads = heads.withColumn("before", F.coalesce(F.lag("bucket").over(whole), F.max("bucket").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    placed = table.select("doc_id", "text", number.alias("bucket"), tie.alias("tie"), key.alias("key"))
+    firsts = placed.join(F.broadcast(staged(heads, "range-heads").select(F.col("bucket").alias("of"), "head", "before")), (F.col("bucket") == F.col("of")) & F.col("key").eqNullSafe(F.col("head")))
+    firsts = firsts.groupBy("before", "doc_id").agg(F.min(F.struct("tie", "text")).alias("first")).select("doc_id", "first.text", F.col("before").alias("bucket"), "first.tie", F.lit(True).alias("next"))
+    placed = placed.select("doc_id", "text", "bucket", "tie", F.lit(False).alias("next")).unionByName(firsts)
+    ordered = dealt(placed, "bucket", len(ranges)).sortWithinPartitions("bucket", "next", F.col("doc_id").asc_nulls_first(), "tie", "text").select("doc_id", "text", "next")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, own, known, carried = [], [], None, 0

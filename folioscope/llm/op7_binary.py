@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dealt, documents, only, partitions, range_bounds, range_of, staged, steps, trim
+from .common import Ranges, dealt, documents, only, partitions, staged, steps, tie_of, trim
 from .encoding import encoder
 from .op1_tokens import BATCH_BYTES
 
@@ -89,7 +89,7 @@ def decode_blocks(payload: bytes) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids: each document's ids with the end id, as little-endian bytes of two or four bytes an id (`wide`)."""
+    """doc_id, bucket, tie as given, ids: each document's ids with the end id, as little-endian bytes of two or four bytes an id (`wide`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer)
@@ -97,23 +97,22 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
         for part in steps(batches, limit=BATCH_BYTES):
             ids, bounds = tool.encode(part["text"])
             own = [np.append(ids[a:b], np.uint32(end_id)).astype("<u4" if wide else "<u2").tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([part["doc_id"], part["bucket"], pa.array(own, pa.binary()), pa.array([wide] * len(own))], ["doc_id", "bucket", "ids", "wide"])
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["bucket"], part["tie"], pa.array(own, pa.binary()), pa.array([wide] * len(own))], ["doc_id", "bucket", "tie", "ids", "wide"])
 
-    return docs.mapInArrow(run, "doc_id long, bucket int, ids binary, wide boolean")
+    return docs.mapInArrow(run, "doc_id long, bucket int, tie long, ids binary, wide boolean")
 
 
 def write_segments(docs: DataFrame, tokenizer: str, end_id: int = END_ID, name: str = "token-segments") -> DataFrame:
-    """Write docs(doc_id, text) as segments in ascending doc_id order (nulls first, equal ids by their token ids); the table of them.
+    """Write docs(doc_id, text) as segments in ascending doc_id order (nulls first, equal ids by a hash of their texts, then their token ids); the table of them.
 
-    Range buckets of doc_id, cut at quantiles from a narrow scan, give the order without a global sort; only token
-    ids are shuffled, two bytes an id where the vocabulary allows.  A bucket's task writes whole documents into
+    Range buckets of doc_id, cut at quantiles from a narrow scan, give the order without a global sort; many rows of one id, or of
+    none, are split into several buckets by that hash.  Only token ids are shuffled, two bytes an id where the vocabulary allows.  A bucket's task writes whole documents into
     one segment after another; a table commit makes retried tasks harmless.
     """
     table = only(docs, doc_id="long", text="string")
-    pieces = partitions(docs.sparkSession)
-    bounds = range_bounds(table, "doc_id", pieces)
-    ids = encoded(table.withColumn("bucket", range_of(F.col("doc_id"), bounds)), tokenizer, end_id)
-    ordered = dealt(ids, "bucket", len(bounds) + 1).sortWithinPartitions("bucket", "doc_id", "ids")
+    ranges, tie = Ranges(table, "doc_id", partitions(docs.sparkSession)), tie_of(F.col("text"))
+    ids = encoded(table.select("doc_id", "text", ranges.number(F.col("doc_id"), tie).alias("bucket"), tie.alias("tie")), tokenizer, end_id)
+    ordered = dealt(ids, "bucket", len(ranges)).sortWithinPartitions("bucket", "doc_id", "tie", "ids").drop("tie")
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, held, size, number, bucket = [], [], 0, 0, None

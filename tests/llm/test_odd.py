@@ -1,6 +1,8 @@
 """Names that operators use inside, near copies under one doc_id, memory that is bounded in bytes, very many languages."""
 
+import hashlib
 import re
+import zlib
 from pathlib import Path
 
 import corpus_pipeline
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folioscope.llm import op2_fingerprints, op3_search, op5_toxicity, op9_dedup, op10_language, registry
+from folioscope.llm import common, op2_fingerprints, op3_search, op5_toxicity, op7_binary, op9_dedup, op10_language, registry
 from folioscope.llm.encoding import Encoder
 
 ROOT = Path(corpus_pipeline.__file__).parent
@@ -100,3 +102,32 @@ def test_statistics_of_queries_are_made_once(monkeypatch):
         op3_search.search_block(queries, np.arange(6), best, x, np.arange(50), known=known)
         answers.append((best.scores.tolist(), best.ids.tolist()))
     assert answers[0] == answers[1]
+
+
+def test_hot_ids_are_split(spark):
+    """A third of the rows have no id and a third one id: several ranges hold them, and what comes next and what came before is as in one order."""
+    words = np.random.default_rng(5)
+    text = lambda i: " ".join(f"w{words.integers(50)}" for _ in range(5 + i % 40)) if i % 11 else None
+    rows = [(None if i % 3 == 0 else 500 if i % 3 == 1 else i, text(i)) for i in range(900)] + [(500, "same text")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    ranges = common.Ranges(docs, "doc_id", 8)
+    number = ranges.number(F.col("doc_id"), common.tie_of(F.col("text")))
+    parts = docs.groupBy(number.alias("part")).count().collect()
+    assert max(r["count"] for r in parts) < 300 and max(r["part"] for r in parts) < len(ranges) and ranges.split
+    tied = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), common.tie_of(F.col("text")).alias("tie"), number.alias("part")).collect()
+    order = sorted(tied, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["tie"], r["text"]))
+    assert [r["part"] for r in order] == sorted(r["part"] for r in order)
+    got = sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in op2_fingerprints.with_edits(docs).collect())
+    follow = [r["text"] for r in order[1:]] + [order[0]["text"]]
+    assert got == sorted((str(r["doc_id"]), len(r["text"]), hashlib.sha256(op2_fingerprints.edited(r["text"], n).encode()).hexdigest()) for r, n in zip(order, follow))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, start, want = Tokenizer.from_file(path), 0, []
+    for r in order:
+        ids = [*library.encode(r["text"], add_special_tokens=False).ids, 1]
+        want.append((start, str(r["doc_id"]), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted((r["start"], str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in op7_binary.digests(op7_binary.write_segments(docs, path)).collect()) == want
+    many = common.Ranges(spark.range(100_000), "id", 300)
+    assert len(many) == 301 and many.number(F.col("id"), F.lit(0)) is not None
+    sizes = [r["count"] for r in spark.range(100_000).groupBy(many.number(F.col("id"), F.lit(0)).alias("n")).count().collect()]
+    assert len(sizes) == 300 and max(sizes) < 500
