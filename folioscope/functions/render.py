@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html as entities
 import re
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from folioscope.functions import text
+from folioscope.functions import inlines, text
 from folioscope.functions.markdown import find_blocks
 from folioscope.functions.text import html_escape, human_size, normalize_code
 
@@ -25,63 +24,22 @@ _DELIMITER = re.compile(r"[ ]{0,3}\|?[ ]*:?-+:?[ ]*(\|[ ]*:?-+:?[ ]*)*\|?[ ]*$")
 _HTML = re.compile(r" {0,3}<(?:!--|\?|![A-Z]|/?(?:address|article|aside|blockquote|body|center|details|div|dl|dt|dd|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|iframe|li|link|main|menu|meta|nav|ol|p|pre|script|section|style|summary|table|tbody|td|tfoot|th|thead|title|tr|ul)(?:[\s/>]|$))", re.I)
 
 
+#: Blocks within blocks that are followed; deeper ones stay text.
+DEPTH = 100
+#: Addresses of the text's references; a text is read for them first if it can have any.
+_references: inlines.References = {}
+
+
 def _safe(text: str) -> str:
-    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    return inlines.safe(text)
 
 
 def _quoted(text: str) -> str:
-    return _safe(entities.unescape(text)).replace('"', "&quot;")
-
-
-_INLINE = re.compile(
-    r"(?P<esc>\\[!-/:-@\[-`{-~])|(?P<tick>(?<!`)`+(?!`))(?P<code>.+?)(?<!`)(?P=tick)(?!`)"
-    r"|(?P<image>!?)\[(?P<label>(?:[^\[\]\\]|\\.|\[[^\[\]]*\])*+)\]\([ ]*<?(?P<url>[^\s<>()]*(?:\([^\s()]*\)[^\s<>()]*)*)>?(?:\s+[\"'(](?P<title>[^\"\n]*?)[\"')])?[ ]*\)"
-    r"|<(?P<auto>[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*)>|(?P<tag></?[A-Za-z][\w-]*(?:\s[^<>]*)?/?>|<!--.*?-->)"
-    r"|(?P<both>\*{3}|(?<!\w)___)(?=\S)(?P<all>(?:(?!(?P=both)).)++)(?<=\S)(?P=both)"
-    r"|(?P<strong>\*\*|(?<!\w)__)(?=\S)(?P<bold>(?:(?!(?P=strong)).)++)(?<=\S)(?P=strong)"
-    r"|(?P<strike>~~)(?=\S)(?P<gone>(?:(?!~~).)++)(?<=\S)~~"
-    r"|(?P<em>\*|(?<!\w)_)(?=[^\s*_])(?P<slant>(?:[^*_]|\*\*[^*]+\*\*|__[^_]+__|(?<=[^\W_])_(?=[^\W_]))++)(?<=\S)(?P=em)(?![\w*])"
-    r"|(?P<entity>&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)|(?P<hard>(?: {2,}|\\)\n)",
-    re.S,
-)
-
-
-def _inline(text: str, depth: int = 0) -> str:
-    """Marks within a paragraph; beyond eight levels, text as it is."""
-    if depth > 8:
-        return _safe(text)
-    out, at = [], 0
-    for m in _INLINE.finditer(text):
-        out.append(_safe(text[at : m.start()]))
-        at, g = m.end(), m.groupdict()
-        if g["esc"]:
-            out.append(_safe(g["esc"][1]))
-        elif g["tick"]:
-            code = g["code"].replace("\n", " ")
-            out.append(f"<code>{_safe(code[1:-1] if len(code) > 2 and code[0] == code[-1] == ' ' and code.strip() else code)}</code>")
-        elif g["label"] is not None:
-            title = f' title="{_quoted(g["title"])}"' if g["title"] else ""
-            if g["image"]:
-                out.append(f'<img src="{_quoted(g["url"])}" alt="{_quoted(re.sub(r"[*_`]", "", g["label"]))}"{title} />')
-            else:
-                out.append(f'<a href="{_quoted(g["url"])}"{title}>{_inline(g["label"], depth + 1)}</a>')
-        elif g["auto"]:
-            out.append(f'<a href="{_quoted(g["auto"])}">{_safe(g["auto"])}</a>')
-        elif g["tag"]:
-            out.append(g["tag"])
-        elif g["both"]:
-            out.append(f"<em><strong>{_inline(g['all'], depth + 1)}</strong></em>")
-        elif g["strong"]:
-            out.append(f"<strong>{_inline(g['bold'], depth + 1)}</strong>")
-        elif g["strike"]:
-            out.append(f"<del>{_inline(g['gone'], depth + 1)}</del>")
-        elif g["em"]:
-            out.append(f"<em>{_inline(g['slant'], depth + 1)}</em>")
-        elif g["entity"]:
-            out.append(_safe(entities.unescape(g["entity"])))
-        else:
-            out.append("<br />\n")
-    return "".join(out) + _safe(text[at:])
+    return inlines.quoted(inlines.plain(text))
+
+
+def _inline(text: str) -> str:
+    return inlines.inline(text, _references)
 
 
 def _cells(line: str) -> list[str]:
@@ -102,8 +60,10 @@ def _table(head: str, delimiter: str, body: list[str]) -> str:
 
 
 def _paragraph(lines: list[str], tight: bool) -> str:
-    text = _inline("\n".join(x.lstrip() for x in lines).rstrip())
-    return text if tight else f"<p>{text}</p>\n"
+    text = inlines.definitions("\n".join(x.lstrip() for x in lines).rstrip(), _references)
+    if not text:
+        return ""
+    return _inline(text) if tight else f"<p>{_inline(text)}</p>\n"
 
 
 def _starts_block(line: str) -> bool:
@@ -154,7 +114,7 @@ def _list(lines: list[str], i: int, depth: int) -> tuple[str, int]:
 
 def _blocks(lines: list[str], depth: int = 0, tight: bool = False) -> str:
     """HTML of lines; tight: paragraphs without their tags, as in a list whose items have no blank lines between."""
-    if depth > 40:
+    if depth > DEPTH:
         return _paragraph(lines, tight)
     out, i, n = [], 0, len(lines)
     while i < n:
@@ -209,8 +169,11 @@ def _blocks(lines: list[str], depth: int = 0, tight: bool = False) -> str:
             while j < n and lines[j].strip() and not _UNDERLINE.match(lines[j]) and not _starts_block(lines[j]):
                 j += 1
             if j < n and (m := _UNDERLINE.match(lines[j])):
-                level = 1 if m[1][0] == "=" else 2
-                out.append(f"<h{level}>{_inline(chr(10).join(x.strip() for x in lines[i:j]))}</h{level}>\n")
+                level, own = 1 if m[1][0] == "=" else 2, inlines.definitions("\n".join(x.strip() for x in lines[i:j]), _references)
+                if not own:  # definitions alone: the underline is no underline
+                    i = j
+                    continue
+                out.append(f"<h{level}>{_inline(own)}</h{level}>\n")
                 j += 1
             else:
                 out.append(_paragraph(lines[i:j], tight))
@@ -222,8 +185,12 @@ def to_html(md: str | None) -> str:
     """HTML of one Markdown text; null gives empty."""
     if not md:
         return ""
-    text = md.replace("\r\n", "\n").replace("\r", "\n")
-    return _blocks([re.sub(r"^([ ]{0,3})\t", r"\1    ", x) for x in text.split("\n")])
+    text = md.replace("\r\n", "\n").replace("\r", "\n").replace("\0", "\ufffd")
+    lines = [re.sub(r"^([ ]{0,3})\t", r"\1    ", x) for x in text.split("\n")]
+    _references.clear()
+    if "]:" in text:
+        _blocks(lines)
+    return _blocks(lines)
 
 
 @F.pandas_udf(StringType())
