@@ -195,7 +195,7 @@ def content_type(name: Column) -> Column:
 def image_kind(data: Column) -> Column:
     """png, jpg, gif, webp, bmp or svg by the first bytes; null for others."""
     head = F.hex(F.substring(data, 1, 12))
-    text = F.lower(F.decode(F.substring(data, 1, 256), "UTF-8"))
+    text = F.lower(F.make_valid_utf8(F.substring(data, 1, 256).cast("string")))
     return (
         F.when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("FFD8FF"), "jpg").when(head.startswith("47494638"), "gif")
         .when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "webp").when(head.startswith("424D"), "bmp").when(text.contains("<svg"), "svg")

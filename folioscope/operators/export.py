@@ -126,7 +126,7 @@ def self_contained(pages: DataFrame, entries: DataFrame) -> DataFrame:
     A page is put together from its own parts only; entries are joined by (guid, name), so no package is read whole.
     """
     rows = _with_entry(parts(pages), entries, F.col("name"))
-    sheets = rows.where("kind = 'css' and data is not null").select("guid", F.col("at").alias("of"), "name", F.regexp_replace(F.decode("data", "utf-8"), "^\ufeff", "").alias("css"))
+    sheets = rows.where("kind = 'css' and data is not null").select("guid", F.col("at").alias("of"), "name", F.regexp_replace(F.make_valid_utf8(F.col("data").cast("string")), "^\ufeff", "").alias("css"))
     inner = parts(sheets.withColumn("id", F.struct("guid", "of", "name")), "id", "css", (("url", STYLE_URL),)).select(F.col("id.guid").alias("guid"), F.col("id.of").alias("of"), F.col("id.name").alias("sheet"), "at", F.concat(F.lit("url("), "before").alias("before"), "name", F.concat("after", F.lit(")")).alias("after"), "literal")
     folder = F.regexp_extract("sheet", r"^(.*/)[^/]*$", 1)
     stays = F.col("name").startswith("data:") | F.col("name").startswith("http")

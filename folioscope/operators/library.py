@@ -47,6 +47,11 @@ def listing(notes: DataFrame, folder: str | None = None, contains: str | None =
     return notes.orderBy(order[sort], "guid").limit(limit)
 
 
+def load_attachments(attachments: DataFrame) -> DataFrame:
+    """The manifest's attachment rows by path; null sizes and tiers are 0, a null source is empty."""
+    return attachments.fillna({"size": 0, "tier": 0, "source": ""}).orderBy("file_path")
+
+
 def flags(notes: DataFrame) -> DataFrame:
     """is_webclip, is_empty, system of each note."""
     return notes.withColumn("is_webclip", F.coalesce(F.length("url") > 0, F.lit(False)) if "url" in notes.columns else F.lit(False)).withColumn("is_empty", (F.col("package_size") > 0) & (F.length("body") < 10)).withColumn("system", system_folder(F.col("location")))
@@ -186,6 +191,12 @@ def reconcile(manifest: DataFrame, source: DataFrame) -> DataFrame:
 # ---- export
 
 
+def converter_stale(meta: DataFrame, form: str, version: str) -> bool:
+    """Whether packages of Markdown on disk come from another converter than this one, by meta(key, value): then none of them is reused."""
+    known = meta.where("key = 'md_converter'").first() if form == "md" else None
+    return form == "md" and (known is None or known["value"] != version)
+
+
 def export_plan(source: DataFrame, previous: DataFrame, edited: DataFrame | None = None, stale: bool = False) -> DataFrame:
     """guid, status, dirty_info, dirty_data: added, reused, reexported, kept or tombstoned.
 

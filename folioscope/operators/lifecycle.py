@@ -28,7 +28,8 @@ def admission(manifest: DataFrame, files: DataFrame, meta: DataFrame | None = No
 
     rejected: no directory, a schema_version in meta(key, value) that is newer or no number, or an export_mode that isn't
     MODES; without a manifest no_manifest if a zip lies at most four levels deep, else empty; otherwise ready, however many
-    of manifest(guid, path) are unsafe or missing among files(path).  Warnings: the first WARNINGS by guid.
+    of manifest(guid, path) are unsafe or missing among files(path).  Warnings: the first WARNINGS by guid, and
+    how many there are in all, if that is still within WARNINGS.
     """
     spark = manifest.sparkSession
     shape = "status string, reason string, note_count long, missing_files long, warnings array<string>"
@@ -48,7 +49,9 @@ def admission(manifest: DataFrame, files: DataFrame, meta: DataFrame | None = No
     found = manifest.select("guid", "path").join(there, "path", "left").select("guid", problem.alias("problem"))
     counts = found.agg(F.count("*").alias("note_count"), F.count("problem").alias("missing_files"))
     first = found.where("problem is not null").orderBy("guid").limit(WARNINGS).agg(F.transform(F.array_sort(F.collect_list(F.struct("guid", "problem"))), lambda x: x["problem"]).alias("warnings"))
-    return counts.crossJoin(first).select(F.lit("ready").alias("status"), F.lit("").alias("reason"), "note_count", "missing_files", "warnings")
+    closing = F.concat(F.lit("in all: "), F.col("missing_files").cast("string"))
+    told = F.when((F.col("missing_files") > 0) & (F.size("warnings") < WARNINGS), F.concat("warnings", F.array(closing))).otherwise(F.col("warnings"))
+    return counts.crossJoin(first).select(F.lit("ready").alias("status"), F.lit("").alias("reason"), "note_count", "missing_files", told.alias("warnings"))
 
 
 def resolved(guids: DataFrame, manifest: DataFrame | None, root: str = "") -> DataFrame:

@@ -141,3 +141,8 @@ def record(history: DataFrame, keywords: DataFrame) -> DataFrame:
     """History (keyword, ts) with new ones merged in, the newest of each, HISTORY newest in all."""
     merged = history.unionByName(keywords).groupBy("keyword").agg(F.max("ts").alias("ts"))
     return merged.orderBy(F.desc("ts"), "keyword").limit(HISTORY)
+
+
+def cleared(history: DataFrame) -> DataFrame:
+    """History with nothing in it."""
+    return history.where("false")

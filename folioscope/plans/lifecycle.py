@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text
+from folioscope.operators import checks
 from folioscope.operators import library as lib
 from folioscope.operators import lifecycle as life
 from folioscope.operators import search
@@ -34,6 +35,12 @@ _files = lambda s, d: table(s, d, "benchmark").select(F.col("item_id").cast("str
 query("q_search_response", _response_sql("wher"))(lambda s, d: search.respond(notes(s, d), _files(s, d), " wher "))
 query("q_search_response_folder", _response_sql("thin", "/en/src1"))(lambda s, d: search.respond(notes(s, d), _files(s, d), "thin", "/en/src1"))
 
+query("q_search_response_short", f"""SELECT 'note' AS kind, guid AS id, title, location AS place, replace(substring(body, greatest(1, instr(body, 'zt') - 40)::BIGINT, 120), 'zt', '<mark>zt</mark>') AS snippet,
+ CASE WHEN contains({_FOLD.format('title')}, 'zt') THEN 'title' ELSE 'body' END AS hit_in, 0.0::DOUBLE AS score, dup_count FROM (
+ {WITH}, t AS (SELECT * FROM note WHERE {' OR '.join(_FOLD.format(c) + " LIKE '%zt%'" for c in ('title', 'body', 'location'))} ORDER BY guid LIMIT 200),
+ f AS (SELECT *, CASE WHEN body = '' THEN guid ELSE {FP} END AS fp FROM t), w AS (SELECT *, CASE WHEN body = '' THEN 1 ELSE count(*) OVER (PARTITION BY fp) END AS dup_count, row_number() OVER (PARTITION BY fp ORDER BY guid) AS n FROM f) SELECT * FROM w WHERE n = 1)
+UNION ALL SELECT 'attachment', item_id::VARCHAR, text, '', '', 'name', 0.0, 1 FROM benchmark WHERE {_FOLD.format('text')} LIKE '%zt%'""")(lambda s, d: search.respond(notes(s, d), _files(s, d), "zt"))
+
 # ---- admission
 
 _PATH = "location || guid || '.zip'"
@@ -46,7 +53,7 @@ _ROWS = "r AS (SELECT guid, doc_id, CASE WHEN doc_id % 31 = 0 THEN '../' ELSE ''
 @query(
     "q_admission",
     f"""{WITH}, {_ROWS}, p AS (SELECT guid, CASE WHEN doc_id % 31 = 0 THEN 'unsafe: ' || path WHEN doc_id % 23 = 0 THEN 'missing: ' || guid || ' ' || path END AS problem FROM r)
-SELECT 'ready' AS status, '' AS reason, count(*) AS note_count, count(problem) AS missing_files, array_to_string(list(problem ORDER BY guid) FILTER (problem IS NOT NULL)[1:10], chr(10)) AS warnings FROM p
+SELECT 'ready' AS status, '' AS reason, count(*) AS note_count, count(problem) AS missing_files, array_to_string(list_concat(list(problem ORDER BY guid) FILTER (problem IS NOT NULL)[1:10], CASE WHEN count(problem) BETWEEN 1 AND 9 THEN ['in all: ' || count(problem)] ELSE [] END), chr(10)) AS warnings FROM p
 UNION ALL SELECT 'rejected', 'export_mode', 0, 0, '' UNION ALL SELECT 'rejected', 'schema_version', 0, 0, '' UNION ALL SELECT 'rejected', 'directory', 0, 0, '' UNION ALL SELECT 'no_manifest', '', 0, 0, '' UNION ALL SELECT 'empty', '', 0, 0, ''""",
 )
 def _admission(s: SparkSession, d: str) -> DataFrame:
@@ -277,3 +284,65 @@ def _keyed_state(s: SparkSession, d: str) -> DataFrame:
         done = keyed.run(s.readStream.schema(rows.drop("event_id").schema).parquet(f"{base}/changes"), f"{base}/out", f"{base}/check")
         done.awaitTermination()
     return keyed.state(s, f"{base}/out")
+
+
+# ---- audits of exports and corpora, imports
+
+_LINKED = f"""{WITH}, e AS (SELECT guid, doc_id, doc_id % 9 <> 0 AS there, doc_id % 6 = 0 AS linked, doc_id % 12 <> 0 AS held, doc_id % 10 = 0 AS scripted, doc_id % 15 = 0 AS leaks, doc_id % 21 = 0 AS odd FROM note)"""
+
+
+def _checks_sql(id_: str, total: str, bad: str, sample: str = "guid") -> str:
+    return f"""SELECT '{id_}' AS id, count(*) FILTER ({total}) AS total, count(*) FILTER ({total} AND {bad}) AS failed, count(*) FILTER ({total} AND {bad}) = 0 AS passed, array_to_string((list_sort(list({sample}) FILTER ({total} AND {bad})))[1:8], ',') AS samples FROM e"""
+
+
+@query("q_export_checks", f"""{_LINKED} {' UNION ALL '.join([
+    _checks_sql('E1', 'there', 'linked AND NOT held'), _checks_sql('E2', 'there', 'scripted'), _checks_sql('E3', 'true', 'leaks'), _checks_sql('E4', 'true', 'NOT there'),
+    _checks_sql('E6', 'there AND linked', 'NOT held', "'attachments/a' || guid || ' & b.txt'")])}
+ UNION ALL SELECT 'E5', 2 * count(*) FILTER (there), count(*) FILTER (there AND odd), count(*) FILTER (there AND odd) = 0, array_to_string((list_sort(list('d/' || guid || '?.zip') FILTER (there AND odd)))[1:8], ',') FROM e""")
+def _export_checks(s: SparkSession, d: str) -> DataFrame:
+    """Exports with faults by rule: packages and attachments that lack, scripts, references left in pages, names with a question mark."""
+    i = F.col("doc_id")
+    n = notes(s, d).select("guid", "doc_id", "body")
+    name = F.concat(F.lit("a"), "guid", F.lit(" & b.txt"))
+    path = F.concat(F.lit("d/"), "guid", F.when(i % 21 == 0, "?").otherwise(""), F.lit(".zip"))
+    link = F.when(i % 6 == 0, F.concat(F.lit('<a href="attachments/'), text.html_escape(name), F.lit('">x</a>'))).otherwise("")
+    html = F.concat(F.lit("<body>"), text.html_escape(F.col("body")), F.when(i % 10 == 0, "<script></script>").otherwise(""), link, F.lit("</body>"))
+    there = n.where("doc_id % 9 <> 0")
+    entries = there.select(path.alias("path"), "guid", F.lit("index.html").alias("name"), F.encode(html, "utf-8").alias("data")).unionByName(there.where("doc_id % 6 = 0 and doc_id % 12 <> 0").select(path.alias("path"), "guid", F.concat(F.lit("attachments/"), name).alias("name"), F.lit(None).cast("binary").alias("data")))
+    pages = n.select("guid", F.concat(html, F.when(i % 15 == 0, '<img src="index_files/x.png">').otherwise("")).alias("html"))
+    made = checks.export_checks(n, entries, there.where("doc_id % 6 = 0").select("guid", name.alias("name")), pages, "noteapp://")
+    return made.withColumn("samples", F.array_join("samples", ","))
+
+
+@query(
+    "q_import_report",
+    f"""{WITH}, p AS (SELECT 'attachments/' || guid AS path, CASE WHEN doc_id % 41 = 0 THEN 'unsafe' WHEN doc_id % 3 = 0 AND doc_id % 4 <> 1 THEN 'skipped' WHEN doc_id % 7 = 0 THEN 'missing' ELSE 'copied' END AS action FROM note WHERE doc_id % 5 <> 0)
+SELECT count(*) FILTER (action = 'copied') AS copied, count(*) FILTER (action = 'skipped') AS skipped, count(*) FILTER (action = 'missing') AS missing, count(*) FILTER (action = 'unsafe') AS unsafe,
+ array_to_string((list_sort(list(action || ': ' || CASE WHEN action = 'unsafe' THEN '../' ELSE '' END || path) FILTER (action IN ('missing', 'unsafe'))))[1:10], ',') AS warnings FROM p""",
+)
+def _import_report(s: SparkSession, d: str) -> DataFrame:
+    """Attachments of notes by rule: some in the library already, some there in another size, some gone from the source, some with paths that leave it."""
+    i = F.col("doc_id")
+    n = notes(s, d).select("doc_id", F.concat(F.when(i % 41 == 0, "../").otherwise(""), F.lit("attachments/"), "guid").alias("file_path"), F.col("package_size").alias("size"), F.when(i % 5 == 0, 0).otherwise(2).alias("tier"))
+    source = n.where("doc_id % 7 <> 0").select(F.col("file_path").alias("path"), F.col("size").alias("bytes"))
+    held = n.where("doc_id % 3 = 0").select(text.disk_path(F.col("file_path")).alias("path"), (F.col("size") + F.when(i % 4 == 1, 1).otherwise(0)).alias("bytes"))
+    plan = checks.import_plan(n.withColumn("size", F.when(i % 2 == 0, F.col("size")).otherwise(F.when(i % 4 == 3, F.lit(None)).otherwise(F.col("size")))), source, held)
+    return checks.import_report(plan).withColumn("warnings", F.array_join("warnings", ","))
+
+
+@query(
+    "q_inspection",
+    rf"""WITH p AS (SELECT page_id, html, page_id % 2 AS a, page_id % 3 AS b, page_id % 5 = 0 AS m FROM pages WHERE html IS NOT NULL)
+SELECT count(*) AS notes, count(*) FILTER (page_id % 17 = 0) AS open_fail, count(*) FILTER (page_id % 17 <> 0 AND page_id % 19 = 0) AS decode_fail, sum((page_id % 17 <> 0)::BIGINT * (a + b))::BIGINT AS code_blocks, sum((page_id % 17 <> 0)::BIGINT * b)::BIGINT AS code_blank, sum((page_id % 17 <> 0)::BIGINT * a)::BIGINT AS code_same,
+ count(*) FILTER (page_id % 17 <> 0 AND m) AS refs_missing, count(*) FILTER (page_id % 17 <> 0 AND m) AS refs_missing_notes, count(*) FILTER (page_id % 17 <> 0 AND regexp_matches(html, '(?i)<script')) AS script_notes FROM p""",
+)
+def _inspection(s: SparkSession, d: str) -> DataFrame:
+    """Pages with hidden code (rendered and not), references with and without an entry, bytes that are no UTF-8, and packages that don't open."""
+    i = F.col("page_id")
+    many = lambda html, n: F.repeat(F.lit(html), n.cast("int"))
+    shown = '<textarea style="display:none">a &lt; b</textarea><code-mirror><pre class="CodeMirror-line">a &lt; b</pre></code-mirror>'
+    html = F.concat("html", many(shown, i % 2), many('<textarea style="display:none">x</textarea><p>y</p>', i % 3), F.lit('<img src="index_files/there.png">'), F.when(i % 5 == 0, '<img src="index_files/gone.png">').otherwise(""))
+    data = F.when(i % 17 != 0, F.concat(F.encode(html, "utf-8"), F.when(i % 19 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))))
+    rows = table(s, d, "pages").where("html is not null").select(i.cast("string").alias("guid"), data.alias("data"), F.lit(50).alias("body_len"))
+    found = checks.inspection(rows, rows.select("guid", F.lit("index_files/there.png").alias("name")))
+    return found.select("notes", "open_fail", "decode_fail", "code_blocks", "code_blank", "code_same", "refs_missing", "refs_missing_notes", "script_notes")

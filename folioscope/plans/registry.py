@@ -69,6 +69,21 @@ w AS (SELECT *, CASE WHEN body = '' THEN 1 ELSE count(*) OVER (PARTITION BY fp)
 SELECT guid, title, location, round(score, 6) AS score, CASE WHEN contains(lower(title), '{kw}') THEN 'title' ELSE 'body' END AS hit_in, dup_count::BIGINT AS dup_count FROM w WHERE n = 1"""
 
 
+def _overlapping(c: str) -> str:
+    """Occurrences of ere, overlapping ones too: with every e doubled none overlap."""
+    doubled = f"replace(lower({c}), 'e', 'ee')"
+    return f"(length({doubled}) - length(replace({doubled}, 'ere', ''))) / 3"
+
+
+def _overlapping_sql() -> str:
+    sql = _bm25_sql("ere")
+    for c in ("title", "body", "location"):
+        plain = f"(length(lower({c})) - length(replace(lower({c}), 'ere', ''))) / 3"
+        assert plain in sql
+        sql = sql.replace(plain, _overlapping(c))
+    return sql
+
+
 def library_index(s: SparkSession, d: str) -> Index:
     """The stored index of a folder's notes, made when there is none of its files as they are now."""
     own = Index(s, f"{shared_folder(s)}/folioscope-index/{source_key(s, f'{d}/documents.parquet')}")
@@ -83,6 +98,7 @@ def library_index(s: SparkSession, d: str) -> Index:
 query("q_search_bm25", _bm25_sql("wher"))(lambda s, d: search.search_index(library_index(s, d), "wher"))
 query("q_search_title_hit", _bm25_sql("the"))(lambda s, d: search.search_index(library_index(s, d), "the"))
 query("q_search_folder_after_limit", _bm25_sql("thin", "/en/src1"))(lambda s, d: search.search_index(library_index(s, d), "thin", "/en/src1"))
+query("q_search_overlapping", _overlapping_sql())(lambda s, d: search.search_index(library_index(s, d), "ere"))
 query("q_search_scanned", _bm25_sql("hea"))(lambda s, d: search.search(notes(s, d), "hea"))
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -203,7 +219,7 @@ query("q_list_modified", f"{WITH} SELECT {_LIST} FROM note WHERE location = '/en
 query("q_list_title_nocase", f"{WITH} SELECT {_LIST} FROM note ORDER BY {_FOLD.format('title')}, guid LIMIT 5000")(lambda s, d: _list(lib.listing(notes(s, d), sort="title")))
 query("q_list_size", f"{WITH} SELECT {_LIST} FROM note ORDER BY package_size DESC, guid LIMIT 5000")(lambda s, d: _list(lib.listing(notes(s, d), sort="size")))
 query("q_list_title_filter", f"{WITH} SELECT {_LIST} FROM note WHERE {_FOLD.format('title')} LIKE '%th_re%' ORDER BY data_modified DESC, guid LIMIT 5000")(lambda s, d: _list(lib.listing(notes(s, d), contains="th_re")))
-query("q_note_flags", f"{WITH} SELECT guid, package_size > 0 AND length(body) < 10 AS is_empty, false AS is_webclip, false AS system FROM note")(lambda s, d: lib.flags(notes(s, d)).select("guid", "is_empty", "is_webclip", "system"))
+query("q_note_flags", f"{WITH} SELECT guid, package_size > 0 AND length(body) < 10 AS is_empty, doc_id % 4 = 1 AS is_webclip, false AS system FROM note")(lambda s, d: lib.flags(notes(s, d).withColumn("url", F.when(F.col("doc_id") % 4 == 1, "https://x").when(F.col("doc_id") % 4 == 2, ""))).select("guid", "is_empty", "is_webclip", "system"))
 
 # ---- attachments
 
@@ -305,6 +321,15 @@ query("q_report", f"{WITH} SELECT bool_and(NOT (length(body) < 40 AND doc_id % 2
 query("q_latest_state", "SELECT user_id::VARCHAR AS guid, max(epoch_us(ts)) AS ts, arg_max(event_type, epoch_us(ts) || '-' || event_type) AS event_type FROM events GROUP BY 1")(
     lambda s, d: lib.latest(table(s, d, "events").select(F.col("user_id").cast("string").alias("guid"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "event_type"))
 )
+query("q_latest_latches", "SELECT user_id::VARCHAR AS guid, max(epoch_us(ts)) AS ts, bool_or(event_id % 40 = 3) AS dirty_info, bool_or(event_id % 90 = 7) AS dirty_data, arg_max(event_type, printf('%020d', epoch_us(ts)) || event_type) AS event_type FROM events GROUP BY 1")(
+    lambda s, d: lib.latest(table(s, d, "events").select(F.col("user_id").cast("string").alias("guid"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), (F.col("event_id") % 40 == 3).alias("dirty_info"), (F.col("event_id") % 90 == 7).alias("dirty_data"), "event_type"))
+)
+query("q_manifest_sizes", f"{WITH} SELECT guid, CASE WHEN doc_id % 23 = 0 THEN 'missing' ELSE 'size' END AS problem FROM note WHERE doc_id % 23 = 0 OR doc_id % 29 = 0")(
+    lambda s, d: lib.invariants(
+        n := notes(s, d).select("guid", "doc_id", F.concat("location", "guid").alias("path"), F.md5("body").alias("md5"), F.col("package_size").alias("size")),
+        n.where("doc_id % 23 <> 0").select("path", "md5", (F.col("size") + F.when(F.col("doc_id") % 29 == 0, 1).otherwise(0)).alias("size")), deep=False,
+    ).select("guid", "problem")
+)
 
 # ---- names, keys, rendering and audits
 
