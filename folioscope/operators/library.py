@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,13 +68,71 @@ def _grams(c: Column, n: int) -> Column:
     return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
+#: Different names that automata look for at most; more are found by joins.  Names, and characters, of one automaton.
+AUTOMATON_NAMES, CHUNK_NAMES, CHUNK_CHARACTERS = 200_000, 20_000, 1 << 20
+
+
 def containment(names: DataFrame, notes: DataFrame) -> DataFrame:
     """(file_path, guid) for every name(file_path, display_name) that a note's body contains.
 
+    Up to AUTOMATON_NAMES different names are looked for by automata over many names at once, in one scan of the bodies for each chunk of names;
+    more of them, or without the ahocorasick package, by joins.  Names that are null, empty or white space are in no body.
+    """
+    own = names.select("file_path", "display_name").where(F.col("display_name").rlike(r"\S"))
+    chunks, size, count = [[]], 0, 0
+    if AUTOMATON_NAMES and _automata():
+        for row in own.select("display_name").distinct().limit(AUTOMATON_NAMES + 1).toLocalIterator():
+            if len(chunks[-1]) == CHUNK_NAMES or size > CHUNK_CHARACTERS:
+                chunks.append([])
+                size = 0
+            chunks[-1].append(row["display_name"])
+            size += len(row["display_name"])
+            count += 1
+    if not count or count > AUTOMATON_NAMES:
+        return _contained_by_joins(own, notes)
+    found = None
+    for chunk in chunks:
+        part = _scanned(notes, names.sparkSession.sparkContext.broadcast(chunk))
+        found = part if found is None else found.unionByName(part)
+    return own.join(found, "display_name").select("file_path", "guid").distinct()
+
+
+def _automata() -> bool:
+    try:
+        import ahocorasick  # noqa: F401
+    except ImportError:
+        return False
+    return True
+
+
+def _scanned(notes: DataFrame, chunk) -> DataFrame:
+    """(guid, display_name) of the names of a broadcast chunk that bodies contain; a task makes the automaton once."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for i, name in enumerate(chunk.value):
+            machine.add_word(name, i)
+        machine.make_automaton()
+        for batch in batches:
+            guids, found = [], []
+            for guid, body in zip(batch["guid"].to_pylist(), batch["body"].to_pylist()):
+                for i in {i for _, i in machine.iter(body)} if body else ():
+                    guids.append(guid)
+                    found.append(chunk.value[i])
+            yield pa.RecordBatch.from_arrays([pa.array(guids, pa.string()), pa.array(found, pa.string())], ["guid", "display_name"])
+
+    return notes.select(F.col("guid").cast("string").alias("guid"), "body").mapInArrow(scan, "guid string, display_name string")
+
+
+def _contained_by_joins(names: DataFrame, notes: DataFrame) -> DataFrame:
+    """containment() without automata.
+
     A name's inner word (neither first nor last) must stand whole in any text that contains the name, so the pairs to
     test come from an equi-join on the longest of these.  A name of one or two words needs a body's word that contains
     the name's longest word: such words are found among the distinct words of all bodies, by the first three
-    characters (all, if fewer) of the name's word.  Names that are null, empty or white space are in no body.
+    characters (all, if fewer) of the name's word.
     """
     words = F.filter(F.split("display_name", r"\s+"), lambda w: w != "")
     longest = lambda ws: F.array_sort(ws, lambda a, b: F.length(b) - F.length(a))[0]

@@ -94,3 +94,15 @@ def test_conversion_samples(spark):
     docs = spark.createDataFrame([(i, "<table><tr><td>1</td><td>2</td></tr></table>" if i % 2 else "") for i in range(20)], "key int, html string")
     got = {r["kind"]: (r["documents"], r["samples"]) for r in audit.conversion_samples(docs).collect()}
     assert got == {"tables": (10, [1, 3, 5, 7, 9]), "empty": (10, [0, 2, 4, 6, 8])}
+
+
+@pytest.mark.parametrize("limits", [(200_000, 20_000), (200_000, 2), (3, 2), (0, 2)])
+def test_names_in_bodies_by_automata_and_by_joins(spark, monkeypatch, limits):
+    """One automaton, several, and joins find the same names; a name in another, repeated ones, and ones that are nothing."""
+    monkeypatch.setattr(lib, "AUTOMATON_NAMES", limits[0])
+    monkeypatch.setattr(lib, "CHUNK_NAMES", limits[1])
+    names = [("a", "report.pdf"), ("b", "port.p"), ("c", "report.pdf"), ("d", "x y z.txt"), ("e", " "), ("f", None), ("g", ""), ("h", "é全"), ("i", "absent"), ("j", "a  b")]
+    bodies = [("1", "the report.pdf and report.pdf"), ("2", "sport.px y z.txt"), ("3", None), ("4", ""), ("5", "caféé全文"), ("6", "a  b a b")]
+    got = lib.containment(spark.createDataFrame(names, "file_path string, display_name string"), spark.createDataFrame(bodies, "guid string, body string"))
+    want = {(f, g) for f, n in names for g, b in bodies if n and n.strip() and b and n in b}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
