@@ -43,7 +43,7 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from folioscope.plans import lifecycle, packages  # noqa: F401  add their own
+    from folioscope.plans import lifecycle, packages, rules  # noqa: F401  add their own
 
     return dict(_QUERIES)
 
