@@ -50,9 +50,13 @@ def _all(c: Column, *steps: tuple[str, str]) -> Column:
     return c
 
 
+#: Characters with Unicode's property White_Space.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def trim(c: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def ascii_lower(c: Column) -> Column:

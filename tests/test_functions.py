@@ -190,3 +190,10 @@ def test_upsert_and_conform(spark):
     assert conform(spark.createDataFrame([("a",)], "guid string"), origin="elsewhere").first()["origin"] == "elsewhere"
     with pytest.raises(ValueError, match="newer"):
         conform(base, 7)
+
+
+def test_trim_is_unicode_white_space(spark):
+    marks = [chr(i) for i in [*range(0x00, 0x21), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]]
+    rows = [(m + "é a" + m + "b" + m + " " + m,) for m in marks] + [("",), (" \u3000\n",), (None,), ("x",)]
+    own = spark.createDataFrame(rows, "t string")
+    assert own.where(~text.trim(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
