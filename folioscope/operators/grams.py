@@ -11,15 +11,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.sources.store import listed
+from folioscope.sources.store import bounded_batches, listed
 
 BUCKETS = 31
-#: Characters of folded text whose grams are gathered in a task before they are given on.
-SEGMENT_CHARACTERS = 8 << 20
+#: Pairs of gram and note that are gathered in a task, about, before they are given on.
+SEGMENT_CHARACTERS = 2 << 20
+#: Characters whose grams are made at once, a longer text apart.
+STEP_CHARACTERS = 1 << 19
 #: Lists that are intersected: the rarest of a keyword's.
 INTERSECTED = 4
 SHAPE = "gram long, segment long, n long, notes array<long>"
@@ -47,6 +50,19 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (c[:-2] << 42 | c[1:-1] << 21 | c[2:])[whole], doc[:-2][whole]
 
 
+def _steps(batch: pa.RecordBatch, fields: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about STEP_CHARACTERS, whole rows always."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for field in fields:
+        sizes += pc.fill_null(pc.utf8_length(batch[field]), 0).to_numpy(zero_copy_only=False)
+    ends, begin = np.cumsum(sizes), 0
+    while begin < batch.num_rows:
+        end = int(np.searchsorted(ends, ends[begin] + STEP_CHARACTERS))
+        end = min(max(end, begin + 1), batch.num_rows)
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def postings(notes: DataFrame, fields: tuple[str, ...], number: str = "n") -> DataFrame:
     """gram, segment, n (length of the list), notes (ascending numbers) of notes(number, *fields), folded with lower()."""
 
@@ -67,20 +83,21 @@ def postings(notes: DataFrame, fields: tuple[str, ...], number: str = "n") -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(gram[first[a:b]]), pa.array(np.full(b - a, (task << 24) + count)), pa.array(np.diff(ends[a : b + 1])), lists], ["gram", "segment", "n", "notes"])
 
         for batch in batches:
-            numbers = batch[number].to_numpy()
-            for field in fields:
-                gram, doc = _grams(batch[field])
-                pair = np.unique(gram)
-                at = np.searchsorted(pair, gram) * np.int64(max(1, len(numbers))) + doc
-                at = np.unique(at)
-                held.append((pair[at // max(1, len(numbers))], numbers[at % max(1, len(numbers))]))
-                size += len(gram)
-            if size >= SEGMENT_CHARACTERS:
-                yield from close()
-                held, size, count = [], 0, count + 1
+            for rows in _steps(batch, fields):
+                numbers = rows[number].to_numpy()
+                for field in fields:
+                    gram, doc = _grams(rows[field])
+                    pair, place = np.unique(gram, return_inverse=True)
+                    at = np.unique(place * np.int64(len(numbers)) + doc)
+                    held.append((pair[at // len(numbers)], numbers[at % len(numbers)]))
+                    size += len(at)
+                if size >= SEGMENT_CHARACTERS:
+                    yield from close()
+                    held, size, count = [], 0, count + 1
         if held:
             yield from close()
 
+    bounded_batches(notes.sparkSession)
     folded = notes.select(F.col(number).cast("long").alias(number), *[F.lower(f).alias(f) for f in fields])
     return folded.mapInArrow(run, SHAPE)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import ancestors, ascii_lower, name_of, parent_of, sanitize_location, sanitize_title, system_folder
+from folioscope.sources.store import bounded_batches
 
 LIST_LIMIT = 5000
 KEEP_DAYS = 30
@@ -123,6 +124,7 @@ def _scanned(notes: DataFrame, chunk) -> DataFrame:
                     found.append(chunk.value[i])
             yield pa.RecordBatch.from_arrays([pa.array(guids, pa.string()), pa.array(found, pa.string())], ["guid", "display_name"])
 
+    bounded_batches(notes.sparkSession)
     return notes.select(F.col("guid").cast("string").alias("guid"), "body").mapInArrow(scan, "guid string, display_name string")
 
 

@@ -72,3 +72,15 @@ def delete(spark: SparkSession, path: str) -> None:
 def source_key(spark: SparkSession, *paths: str) -> str:
     """A name for the state that these files are in: their paths, sizes and times."""
     return hashlib.sha256(repr([(p, listed(spark, p)) for p in paths]).encode()).hexdigest()[:24]
+
+
+#: Bytes of an Arrow batch between Spark and Python at most, a single row apart.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to BATCH_BYTES, where no smaller limit is set; without it ten thousand bodies are one batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int("".join(c for c in spark.conf.get(key) if c.isdigit() or c == "-") or 0)
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
