@@ -120,6 +120,7 @@ def _stored(s: SparkSession, d: str) -> DataFrame:
     own.build(n.withColumn("title", F.lit("old")))
     own.put("search_history", s.createDataFrame([("keyword 1", 1), ("keyword 2", 2)], "keyword string, ts long"))
     own.build(n.withColumn("title", F.when(F.col("doc_id") % 4 < 2, F.lit("old")).otherwise(F.col("title"))))
+    own.sweep(keep=1)
     own.merge(n.where("doc_id % 6 = 0").select("guid"), n.where("doc_id % 6 <> 0"))
     own.merge(n.where("doc_id % 4 < 2").select("guid"), n.where("doc_id % 6 <> 0"))
     users = own.table("search_history").select(F.col("keyword").alias("guid"), F.lit("").alias("title"), F.lit("").alias("location"), F.lit("").alias("body"), F.col("ts").alias("body_len"), F.lit("").alias("fingerprint"), F.lit(False).alias("downloaded"))

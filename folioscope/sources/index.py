@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from folioscope.operators import grams
 from folioscope.operators.lifecycle import index_rows
-from folioscope.sources.store import delete, listed, read_text, write_new
+from folioscope.sources.store import delete, listed, read_text, shuffles_removed, write_new
 
 FIELDS = ("title", "body", "location")
 #: Tables that users fill; a rebuild leaves them as they are.
@@ -92,7 +92,8 @@ class Index:
         return uuid.uuid4().hex
 
     def _write(self, df: DataFrame, folder: str, name: str, as_: str = "rows") -> dict:
-        df.write.parquet(f"{self.root}/data/{folder}/{name}")
+        with shuffles_removed(self.spark):
+            df.write.parquet(f"{self.root}/data/{folder}/{name}")
         return {as_: f"{folder}/{name}", f"{as_}_schema": df.schema.json()}
 
     def _read(self, layer: dict, what: str = "rows") -> DataFrame:
@@ -107,7 +108,8 @@ class Index:
         spread = own.repartition(parts, "guid").withColumn("n", F.monotonically_increasing_id() + F.lit(base))
         d = sum((F.greatest(F.length(c) - 2, F.lit(0)) for c in FIELDS), F.lit(0)).cast("long")
         layer = self._write(spread.withColumn("d", d), folder, "note")
-        grams.write(grams.postings(self._read(layer).select("n", *FIELDS), FIELDS), f"{self.root}/data/{folder}/grams")
+        with shuffles_removed(self.spark):
+            grams.write(grams.postings(self._read(layer).select("n", *FIELDS), FIELDS), f"{self.root}/data/{folder}/grams")
         return {**layer, "grams": f"{folder}/grams"}
 
     def build(self, notes: DataFrame, html: str | None = None, **tables: DataFrame) -> int:

@@ -28,6 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from folioscope.sources.packages import make_package, sanitize_entry
+from folioscope.sources.store import shuffles_removed
 
 WRITTEN = "path string, guid string, md5 string, size long, entries array<string>, number long"
 ENTRIES = "path string, guid string, name string, bytes long, packed long, crc long, file_bytes long, read_bytes long, data binary, number long"
@@ -206,7 +207,8 @@ def register(spark: SparkSession) -> None:
 def write_packages(packages: DataFrame, folder: str) -> None:
     """packages(path, guid, entries: array of name, data) as files below a folder that all executors share, and the commit that lists them."""
     register(packages.sparkSession)
-    packages.select("path", "guid", "entries").write.format("packages").mode("append").save(folder)
+    with shuffles_removed(packages.sparkSession):
+        packages.select("path", "guid", "entries").write.format("packages").mode("append").save(folder)
 
 
 def written(spark: SparkSession, folder: str) -> DataFrame:
