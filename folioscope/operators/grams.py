@@ -103,8 +103,11 @@ def postings(notes: DataFrame, fields: tuple[str, ...], number: str = "n") -> Da
 
 
 def write(lists: DataFrame, path: str) -> None:
-    """Postings as a table: a folder for each bucket, sorted by gram, numbers as deltas."""
-    own = lists.withColumn("bucket", bucket(F.col("gram"))).repartition("bucket").sortWithinPartitions("bucket", "gram", "segment")
+    """Postings as a table: a folder for each bucket, sorted by gram, numbers as deltas.
+
+    Lists are dealt by gram to as many tasks as their size asks for; a gram that very many notes have is split (rebalance).
+    """
+    own = lists.withColumn("bucket", bucket(F.col("gram"))).hint("rebalance", "gram").sortWithinPartitions("bucket", "gram", "segment")
     own.write.option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false").option("parquet.block.size", str(8 << 20)).partitionBy("bucket").parquet(path)
 
 
