@@ -23,6 +23,8 @@ BUCKETS = 31
 SEGMENT_CHARACTERS = 2 << 20
 #: Characters whose grams are made at once, a longer text apart.
 STEP_CHARACTERS = 1 << 19
+#: Bytes of bodies whose lists one task writes, about.
+TASK_BYTES = 256 << 20
 #: Lists that are intersected: the rarest of a keyword's.
 INTERSECTED = 4
 SHAPE = "gram long, segment long, n long, notes array<long>"
@@ -102,12 +104,14 @@ def postings(notes: DataFrame, fields: tuple[str, ...], number: str = "n") -> Da
     return folded.mapInArrow(run, SHAPE)
 
 
-def write(lists: DataFrame, path: str) -> None:
+def write(lists: DataFrame, path: str, spread: int = 1) -> None:
     """Postings as a table: a folder for each bucket, sorted by gram, numbers as deltas.
 
-    Lists are dealt by gram to as many tasks as their size asks for; a gram that very many notes have is split (rebalance).
+    Each bucket is written by `spread` tasks, which share its segments; so no gram, however frequent, is one task's alone.
     """
-    own = lists.withColumn("bucket", bucket(F.col("gram"))).hint("rebalance", "gram").sortWithinPartitions("bucket", "gram", "segment")
+    own = lists.withColumn("bucket", bucket(F.col("gram")))
+    dealt = own.repartition("bucket") if spread == 1 else own.repartition(BUCKETS * spread, "bucket", F.pmod(F.xxhash64("segment"), F.lit(spread)))
+    own = dealt.sortWithinPartitions("bucket", "gram", "segment")
     own.write.option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false").option("parquet.block.size", str(8 << 20)).partitionBy("bucket").parquet(path)
 
 

@@ -109,7 +109,7 @@ class Index:
         d = sum((F.greatest(F.length(c) - 2, F.lit(0)) for c in FIELDS), F.lit(0)).cast("long")
         layer = self._write(spread.withColumn("d", d), folder, "note")
         with shuffles_removed(self.spark):
-            grams.write(grams.postings(self._read(layer).select("n", *FIELDS), FIELDS), f"{self.root}/data/{folder}/grams")
+            grams.write(grams.postings(self._read(layer).select("n", *FIELDS), FIELDS), f"{self.root}/data/{folder}/grams", max(1, -(-int(size) // (grams.BUCKETS * grams.TASK_BYTES))))
         return {**layer, "grams": f"{folder}/grams"}
 
     def build(self, notes: DataFrame, html: str | None = None, **tables: DataFrame) -> int:

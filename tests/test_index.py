@@ -98,6 +98,7 @@ def test_an_empty_library_and_repeated_segments(notes, own, monkeypatch):
     own.build(notes.where("false"))
     assert search.search_index(own, "where").collect() == [] and own.describe()["totals"] == {"notes": 0, "d": 0}
     monkeypatch.setattr(grams, "SEGMENT_CHARACTERS", 1)
+    monkeypatch.setattr(grams, "TASK_BYTES", 1)
     own.build(notes.coalesce(1))
     assert {r["guid"] for r in search.search_index(own, "aaa").collect()} == {"1", "4"}
 
