@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import ancestors, ascii_lower, name_of, parent_of, sanitize_location, sanitize_title, system_folder
+from folioscope.operators.chains import chained
 from folioscope.sources.store import bounded_batches
 
 LIST_LIMIT = 5000
@@ -293,10 +293,10 @@ def export_names(notes: DataFrame) -> DataFrame:
     contested = taken.groupBy("directory", "family", "name").count().where("count > 1").select("directory", "family", F.lit(True).alias("contested")).distinct()
     told = wanted.join(contested, ["directory", "family"], "left")
 
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        used, names, tried = set(), [], {}
-        rows = rows.sort_values(["title", "guid"])
-        for base, other in zip(rows["base"], rows["other"]):
+    def start() -> Callable[[str, str], str]:
+        used, tried = set(), {}
+
+        def say(base: str, other: str) -> str:
             got, n = base, 1
             if got in used:
                 got, head = other, base[:110]
@@ -305,12 +305,13 @@ def export_names(notes: DataFrame) -> DataFrame:
                     n += 1
                     got = f"{head}_{n}"
                 tried[head] = n
-            used |= {got, f"{got}.zip"}
-            names.append(got)
-        return pd.DataFrame({"guid": rows["guid"], "directory": rows["directory"], "name": names})
+            used.update((got, f"{got}.zip"))
+            return got
+
+        return say
 
-    chained = told.where("contested").groupBy("directory", "family").applyInPandas(chain, "guid string, directory string, name string")
-    return told.where("contested is null").select("guid", "directory", "name").unionByName(chained)
+    made = chained(told.where("contested"), ["directory", "family"], ["title", "guid"], ["base", "other"], ["guid", "directory"], "name", start)
+    return told.where("contested is null").select("guid", "directory", "name").unionByName(made)
 
 
 # ---- replication

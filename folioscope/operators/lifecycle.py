@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text
+from folioscope.operators.chains import chained
 from folioscope.operators.library import folder_rows, unsynced
 from folioscope.sources.views import SCHEMA_VERSION
 
@@ -244,9 +244,10 @@ def unique_names(files: DataFrame) -> DataFrame:
     contested = files.groupBy("scope", "name").count().where("count > 1").select("scope", F.lit(True).alias("contested")).distinct()
     told = files.select("scope", "at", "name").join(contested, "scope", "left")
 
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, used, tried, out = rows.sort_values(["at", "name"]), set(), {}, []
-        for name in rows["name"]:
+    def start() -> Callable[[str], str]:
+        used, tried = set(), {}
+
+        def say(name: str) -> str:
             got, (stem, dot, ext) = name, name.rpartition(".")
             if not dot or name.startswith("."):
                 stem, dot, ext = name, "", ""
@@ -256,12 +257,12 @@ def unique_names(files: DataFrame) -> DataFrame:
                 got = f"{stem}_{n}{dot}{ext}"
             tried[name] = n
             used.add(got)
-            out.append(got)
-        return rows.assign(unique=out)[["scope", "at", "name", "unique"]]
+            return got
+
+        return say
 
-    kinds = dict(files.dtypes)
-    chained = told.where("contested").drop("contested").groupBy("scope").applyInPandas(chain, f"scope {kinds['scope']}, at {kinds['at']}, name string, unique string")
-    return told.where("contested is null").select("scope", "at", "name", F.col("name").alias("unique")).unionByName(chained)
+    made = chained(told.where("contested"), ["scope"], ["at", "name"], ["name"], ["scope", "at", "name"], "unique", start)
+    return told.where("contested is null").select("scope", "at", "name", F.col("name").alias("unique")).unionByName(made)
 
 
 # ---- replicas

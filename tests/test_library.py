@@ -70,3 +70,16 @@ def test_files_on_disk(spark, tmp_path):
     lines = spark.createDataFrame([('{"old": 7, "role": "reader"}',), ("{}",), ("no json",)], "value string")
     got = packages.settings(lines, {"role": ("string", "writer"), "new": ("int", 4)}, {"old": "new"})
     assert [tuple(r) for r in got.collect()] == [("reader", 7), ("writer", 4), ("writer", 4)]
+
+
+def test_names_of_many_scopes_without_a_call_for_each(spark):
+    """Two files of one name in each of many notes: tasks go through all their scopes, in batches, in order of `at`."""
+    rows = spark.range(3000).select(F.concat(F.lit("s"), F.col("id") % 1000).alias("scope"), (-F.col("id")).alias("at"), F.lit("a.txt").alias("name"))
+    named = life.unique_names(rows)
+    assert "FlatMapGroups" not in named._jdf.queryExecution().toString()
+    got = {(r["scope"], r["at"]): r["unique"] for r in named.collect()}
+    assert got == {(f"s{i % 1000}", -i): ["a_3.txt", "a_2.txt", "a.txt"][i // 1000] for i in range(3000)}
+    notes = spark.range(2000).select(F.col("id").cast("string").alias("guid"), F.concat(F.lit("t"), F.col("id") % 1000).alias("title"), F.lit("/x/").alias("location"))
+    export = lib.export_names(notes)
+    assert "FlatMapGroups" not in export._jdf.queryExecution().toString()
+    assert {r["guid"]: r["name"] for r in export.collect()} == {str(i): f"t{i % 1000}" if (str(i) == min(str(i % 1000), str(i % 1000 + 1000))) else f"t{i % 1000}_{i}" for i in range(2000)}
