@@ -16,6 +16,7 @@ from folioscope.operators.library import SHOWN, smallest
 from folioscope.operators.lifecycle import NEAR_EMPTY, WARNINGS, probe_length
 from folioscope.sources.package_files import _open, _replace, below
 from folioscope.sources.packages import HTML_BODY
+from folioscope.sources.store import in_bounded_batches
 
 # ---- checks
 
@@ -91,6 +92,7 @@ def _code(mirror: str):
                 kinds[_compared(b["source"], shown)] += 1
         return len(blocks), len(blank), *kinds, len(blank), 0
 
+    @in_bounded_batches
     @F.pandas_udf(_CODE)
     def features(html):
         import pandas as pd

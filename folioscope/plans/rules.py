@@ -10,6 +10,7 @@ from folioscope.operators import checks, writes
 from folioscope.operators import library as lib
 from folioscope.plans.registry import WITH, query
 from folioscope.sources.packages import folder_positions, settings
+from folioscope.sources.store import in_bounded_batches
 from folioscope.sources.views import notes, table
 
 # ---- names and paths
@@ -86,6 +87,7 @@ def _code_blocks(s: SparkSession, d: str) -> DataFrame:
 def code_blocks_of(mirror: str):
     """markdown.find_blocks of a column, with the tag that rendered lines are in."""
 
+    @in_bounded_batches
     @F.pandas_udf(markdown._BLOCKS)
     def blocks(html):
         return html.map(lambda t: markdown.find_blocks(t or "", mirror))

@@ -6,9 +6,9 @@ import contextlib
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -88,6 +88,16 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def in_bounded_batches(udf: Callable[..., Column]) -> Callable[..., Column]:
+    """A UDF over whole texts that gets them in batches of BATCH_BYTES, whichever query uses it."""
+
+    def call(*columns: str | Column) -> Column:
+        bounded_batches(SparkSession.active())
+        return udf(*columns)
+
+    return call
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -113,3 +113,22 @@ def test_trash_files(spark):
     tombs = spark.createDataFrame([("x", "/n/x.zip", None), ("e", "/n/x.zip", "t/1/x.zip"), ("y", "/n/y.zip", "gone"), ("ya", "/n/y_a.zip", None), ("z", "/z.zip", None), ("n", None, None)], "guid string, last_path string, trash_path string")
     got = dict(tuple(r) for r in audit.trash_files(tombs, disk).collect())
     assert got == {"x": "t/2/x_3.zip", "e": "t/1/x.zip", "y": "t/1/y_a_b.zip", "ya": "t/1/y_a_b.zip", "z": None, "n": None}
+
+
+def test_whole_texts_come_in_bounded_batches(spark, monkeypatch):
+    """However many texts a task has, Python holds a batch of few bytes of them."""
+    from folioscope.sources import store
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    texts = spark.createDataFrame([(f"# t\n\n{'x' * 50_000}",)] * 40, "t string").coalesce(1)
+    try:
+        for made in (render.md_to_html, render.highlight_md, markdown.html_to_md, markdown.html_to_md_with_stats, markdown.code_blocks, lambda c: render.materialize_code(c, "m")):
+            spark.conf.set(key, str(64 << 20))
+            texts.select(made(F.col("t")))
+            assert int(spark.conf.get(key)) == store.BATCH_BYTES
+        spark.conf.set(key, str(1 << 18))
+        assert texts.agg(F.sum(F.length(render.md_to_html(F.col("t"))))).first()[0] == 40 * (50_000 + len("<h1>t</h1>\n<p></p>\n"))
+        assert int(spark.conf.get(key)) == 1 << 18
+    finally:
+        spark.conf.set(key, before)
