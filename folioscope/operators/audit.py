@@ -38,8 +38,11 @@ def render_counts(notes: DataFrame) -> DataFrame:
 
 
 def worst_rendered(notes: DataFrame) -> DataFrame:
-    """The five notes with the most code blocks beyond their fences; ties by guid."""
-    return render_counts(notes).where("extra > 0").orderBy(F.desc("extra"), "guid").limit(WORST)
+    """The five notes with the most code blocks beyond their fences; ties by guid.
+
+    Those without any come last, so they go after the limit: a filter before it would render every body twice.
+    """
+    return render_counts(notes).orderBy(F.desc("extra"), "guid").limit(WORST).where("extra > 0")
 
 
 def action_counts(plan: DataFrame, actions: list[str]) -> DataFrame:

@@ -132,3 +132,18 @@ def test_whole_texts_come_in_bounded_batches(spark, monkeypatch):
         assert int(spark.conf.get(key)) == 1 << 18
     finally:
         spark.conf.set(key, before)
+
+
+def test_render_counts_in_bounded_batches(spark):
+    from folioscope.sources import store
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(64 << 20))
+        rows = audit.worst_rendered(spark.createDataFrame([("a", "```\nx\n```\n\nw\n\n    y"), ("b", "z")], "guid string, body string"))
+        assert int(spark.conf.get(key)) == store.BATCH_BYTES
+        assert [tuple(r) for r in rows.collect()] == [("a", 1, 2, 1)]
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1  # bodies are rendered once
+    finally:
+        spark.conf.set(key, before)
