@@ -2,42 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = "ts long, event string, writes long, info_ts long, data_ts long, sync_ts long"
-OUT = f"guid string, {STATE}"
 #: Before any time.
 NEVER = -(1 << 62)
 
 
-class Latest(StatefulProcessor):
+def _folded(changes: DataFrame) -> DataFrame:
     """Of each note the newest change (ties: the larger event name), how many there were, and when info and data were last written and last synced.
 
-    Each is a maximum or a sum, so neither the order of arrival nor where batches end matters.
+    Each is a maximum or a sum, so neither the order of arrival nor where batches end matters, and tasks fold their own rows before the shuffle.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("latest", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        ts, event, writes, info, data, synced = self.state.get() if self.state.exists() else (NEVER, "", 0, NEVER, NEVER, NEVER)
-        for part in rows:
-            ts, event = max((ts, event), *zip(part["ts"].tolist(), part["event"].tolist()))
-            writes += len(part)
-            sync = part["event"] == "sync"
-            info, data, synced = (max([held, *part["ts"][which].tolist()]) for held, which in ((info, part["dirty_info"] & ~sync), (data, part["dirty_data"] & ~sync), (synced, sync)))
-        self.state.update((ts, event, writes, info, data, synced))
-        yield pd.DataFrame([(key[0], ts, event, writes, info, data, synced)], columns=["guid", *[c.split()[0] for c in STATE.split(", ")]])
-
-    def close(self) -> None:
-        pass
+    sync = F.coalesce(F.col("event") == "sync", F.lit(False))
+    last = lambda which: F.coalesce(F.max(F.when(which, F.col("ts"))), F.lit(NEVER))
+    return changes.groupBy("guid").agg(
+        F.max(F.struct("ts", "event")).alias("v"), F.count("*").alias("writes"), last(F.col("dirty_info") & ~sync).alias("info_ts"), last(F.col("dirty_data") & ~sync).alias("data_ts"), last(sync).alias("sync_ts")
+    ).select("guid", "v.ts", "v.event", "writes", "info_ts", "data_ts", "sync_ts")
 
 
 def run(stream: DataFrame, folder: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -49,7 +34,7 @@ def run(stream: DataFrame, folder: str, checkpoint: str, once: bool = True) -> S
     spark = stream.sparkSession
     spark.conf.set(STORE, ROCKS)
     own = stream.where("guid is not null").select("guid", F.col("ts").cast("long").alias("ts"), "event", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("dirty_info", "dirty_data")])
-    changed = own.groupBy("guid").transformWithStateInPandas(statefulProcessor=Latest(), outputStructType=OUT, outputMode="Update", timeMode="None")
+    changed = _folded(own)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/batch={number}")

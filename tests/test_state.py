@@ -26,6 +26,14 @@ def test_keyed_state_goes_on_after_a_restart(spark, tmp_path):
     assert got == {"a": (4, "edit", 4, True, True, False), "b": (6, "sync", 3, False, False, False), "c": (1, "edit", 2, True, True, False), "d": (9, "sync", 3, False, False, False)}
 
 
+def test_keyed_state_folds_without_a_call_for_each_key(spark):
+    rows = [("a", 2, "edit", True, False), ("a", 2, "sync", True, True), ("a", None, "delete", True, False), ("b", 1, None, True, False)]
+    folded = keyed._folded(spark.createDataFrame(rows, SHAPE))
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max" in plan and "Python" not in plan
+    assert {r["guid"]: tuple(r)[1:] for r in folded.collect()} == {"a": (2, "sync", 3, 2, keyed.NEVER, 2), "b": (1, None, 1, 1, keyed.NEVER, keyed.NEVER)}
+
+
 def test_fold_prunes_versions_that_no_index_names(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(fold, "KEPT_BATCHES", 2)
     shape = "guid string, ts long, event string"
