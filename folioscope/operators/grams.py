@@ -1,7 +1,7 @@
 """Postings of character trigrams: which notes could hold a keyword, without looking at their bodies.
 
 Every trigram of the folded title, body and location points to the numbers of the notes that hold it.  Numbers ascend
-in a list and Parquet writes them as packed deltas; lists are cut by segment (what one task has read), spread over BUCKETS
+in a list and are packed as deltas in the task that makes it, so no shuffle or sort holds them as longs; lists are cut by segment (what one task has read), spread over BUCKETS
 folders by gram and sorted by gram in each, so a keyword reads a few row groups of a few folders.
 """
 
@@ -27,7 +27,9 @@ STEP_CHARACTERS = 1 << 19
 TASK_BYTES = 256 << 20
 #: Lists that are intersected: the rarest of a keyword's.
 INTERSECTED = 4
-SHAPE = "gram long, segment long, n long, notes array<long>"
+SHAPE = "gram long, segment long, n long, notes binary"
+#: Changes with SHAPE and with how notes are packed.
+FORMAT = 2
 
 
 def bucket(gram: Column | int) -> Column | int:
@@ -65,8 +67,37 @@ def _steps(batch: pa.RecordBatch, fields: tuple[str, ...]) -> Iterator[pa.Record
         begin = end
 
 
+def pack(numbers: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Lists of ascending numbers from 0 on, list i from ends[i] to ends[i + 1], each as bytes: differences in groups of seven bits, low ones first, the top bit where more follow."""
+    step = np.diff(numbers, prepend=0)
+    step[ends[:-1]] = numbers[ends[:-1]]
+    size = np.ones(len(step), np.int64)
+    for bits in range(7, 63, 7):
+        size += step >> bits > 0
+    at = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(at[-1], np.uint8)
+    for k in range(int(size.max(initial=0))):
+        some = size > k
+        out[at[:-1][some] + k] = step[some] >> 7 * k & 127 | np.where(size[some] > k + 1, 128, 0)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(at[ends].astype(np.int32)), pa.py_buffer(out)])
+
+
+def unpack(lists: pa.Array) -> pa.Array:
+    """The lists of numbers that pack() was given."""
+    whole = [x.as_buffer() for x in lists]
+    data = np.frombuffer(b"".join(whole), np.uint8)
+    last = np.flatnonzero(data < 128)
+    begin = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    place = np.arange(len(data)) - np.repeat(begin, last - begin + 1)
+    step = np.add.reduceat((data & 127).astype(np.int64) << 7 * place, begin) if len(begin) else np.zeros(0, np.int64)
+    ends = np.searchsorted(begin, np.cumsum([0, *(len(x) for x in whole)]))
+    total = np.concatenate([[0], np.cumsum(step)])
+    numbers = total[1:] - np.repeat(total[ends[:-1]], np.diff(ends))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(numbers))
+
+
 def postings(notes: DataFrame, fields: tuple[str, ...], number: str = "n") -> DataFrame:
-    """gram, segment, n (length of the list), notes (ascending numbers) of notes(number, *fields), folded with lower()."""
+    """gram, segment, n (length of the list), notes (ascending numbers, packed) of notes(number, *fields), folded with lower()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, count, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -81,7 +112,7 @@ def postings(notes: DataFrame, fields: tuple[str, ...], number: str = "n") -> Da
             ends = np.append(first, len(gram))
             for a in range(0, len(first), 8192):
                 b = min(a + 8192, len(first))
-                lists = pa.ListArray.from_arrays(pa.array((ends[a : b + 1] - ends[a]).astype(np.int32)), pa.array(note[ends[a] : ends[b]]))
+                lists = pack(note[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
                 yield pa.RecordBatch.from_arrays([pa.array(gram[first[a:b]]), pa.array(np.full(b - a, (task << 24) + count)), pa.array(np.diff(ends[a : b + 1])), lists], ["gram", "segment", "n", "notes"])
 
         for batch in batches:
@@ -105,7 +136,7 @@ def postings(notes: DataFrame, fields: tuple[str, ...], number: str = "n") -> Da
 
 
 def write(lists: DataFrame, path: str, spread: int = 1) -> None:
-    """Postings as a table: a folder for each bucket, sorted by gram, numbers as deltas.
+    """Postings as a table: a folder for each bucket, sorted by gram.
 
     Each bucket is written by `spread` tasks, which share its segments; so no gram, however frequent, is one task's alone.
     """
@@ -136,6 +167,12 @@ def candidates(spark: SparkSession, path: str, keyword: str) -> tuple[DataFrame,
     if len(sizes) < len(of_keyword(keyword)):
         return None
     rarest = [g for _, g in sizes[:INTERSECTED]]
-    together = own.where(F.col("gram").isin(rarest)).groupBy("segment").agg(F.collect_list("notes").alias("all")).where(F.size("all") == len(rarest))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["segment"], unpack(batch["notes"])], ["segment", "notes"])
+
+    lists = own.where(F.col("gram").isin(rarest)).select("segment", "notes").mapInArrow(run, "segment long, notes array<long>")
+    together = lists.groupBy("segment").agg(F.collect_list("notes").alias("all")).where(F.size("all") == len(rarest))
     both = F.aggregate(F.slice("all", 2, len(rarest)), F.element_at("all", 1), lambda x, y: F.array_intersect(x, y))
     return together.select(F.explode(both).alias("n")), sizes[0][0]

@@ -108,3 +108,16 @@ def test_files_appear_whole_or_not(spark, tmp_path):
     assert write_new(spark, path, "één") and not write_new(spark, path, "two")
     assert read_text(spark, path) == "één" and [n for n, _, _ in listed(spark, f"file://{tmp_path}/a")] == ["b.txt"]
     assert listed(spark, f"file://{tmp_path}/none") == []
+
+
+def test_postings_are_packed(spark):
+    """Lists leave the task that makes them as packed differences, large numbers too, and are the same when unpacked."""
+    import numpy as np
+
+    lists = [[0], [5], [0, 1, 2], [127, 128, 16_512, 1 << 33, (1 << 33) + 1], list(range(1 << 40, (1 << 40) + 3000, 3)), [(1 << 62) - 1]]
+    packed = grams.pack(np.array([x for own in lists for x in own]), np.cumsum([0, *map(len, lists)]))
+    assert grams.unpack(packed).to_pylist() == lists and len(packed[4].as_py()) == 6 + 999
+    assert grams.unpack(packed.slice(2, 2)).to_pylist() == lists[2:4] and grams.unpack(packed.slice(0, 0)).to_pylist() == []
+    rows = spark.range(500).select(F.col("id").alias("n"), F.lit("abc").alias("t")).coalesce(1)
+    made = grams.postings(rows, ("t",)).collect()
+    assert [r["n"] for r in made] == [500] and len(made[0]["notes"]) < 600
