@@ -80,8 +80,11 @@ _IX = "guid, title, location, body, body_len, fingerprint, downloaded"
 
 
 def _with_bodies(s: SparkSession, d: str) -> DataFrame:
-    """Notes whose bodies are null where the documents' texts are."""
-    return notes(s, d).drop("body").join(table(s, d, "documents").select("doc_id", F.col("text").alias("body")), "doc_id")
+    """Notes whose bodies are null where the documents' texts are; where doc_id is a key, each row has its text at hand and none is shuffled."""
+    own = notes(s, d, nulls=True).where("doc_id is not null")
+    if own.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return own
+    return own.drop("body").join(own.select("doc_id", "body"), "doc_id")
 
 
 query("q_index_rows", f"{WITH}, {_INDEX} SELECT {_IX} FROM ix")(lambda s, d: life.index_rows(_with_bodies(s, d)))

@@ -26,7 +26,9 @@ KEPT = ("search_history", "folder_state")
 LAYERS = 8
 #: Numbers of candidates that are broadcast at most.
 BROADCAST_NUMBERS = 1_000_000
-#: Bytes of a note table's files, about.
+#: Touched keys of a layer that are broadcast at most; of more, Spark decides.
+BROADCAST_KEYS = 2_000_000
+#: Bytes of a note table's row groups, about; a table of no more for each core is dealt out to all cores.
 FILE_BYTES = 16 << 20
 
 
@@ -61,7 +63,7 @@ class Index:
         old = [v for v in (int(n[:-5]) for n, _, _ in listed(self.spark, f"{self.root}/versions") if n.endswith(".json")) if v <= newest - keep]
         for v in old:
             delete(self.spark, f"{self.root}/versions/{v:010d}.json")
-        named = {layer[k] for v in range(max(1, newest - keep + 1), newest + 1) for t in self.describe(v)["tables"].values() for layer in t for k in layer if not k.endswith("_schema")}
+        named = {layer[k] for v in range(max(1, newest - keep + 1), newest + 1) for t in self.describe(v)["tables"].values() for layer in t for k in layer if not k.endswith(("_schema", "_count"))}
         gone = [n for n, _, _ in listed(self.spark, f"{self.root}/data") if n not in {x.partition("/")[0] for x in named}]
         for n in gone:
             delete(self.spark, f"{self.root}/data/{n}")
@@ -78,7 +80,7 @@ class Index:
         for i, layer in enumerate(layers):
             own = self._read(layer, "rows")
             for later in layers[i + 1 :]:
-                own = own.join(self._read(later, "keys"), self._key(name), "left_anti").select(*own.columns)
+                own = own.join(self._touched(later), self._key(name), "left_anti").select(*own.columns)
             rows = own if rows is None else rows.unionByName(own)
         return rows
 
@@ -93,21 +95,29 @@ class Index:
 
     def _write(self, df: DataFrame, folder: str, name: str, as_: str = "rows") -> dict:
         with shuffles_removed(self.spark):
-            df.write.parquet(f"{self.root}/data/{folder}/{name}")
+            df.write.option("parquet.block.size", str(FILE_BYTES)).option("compression", "zstd").parquet(f"{self.root}/data/{folder}/{name}")
         return {as_: f"{folder}/{name}", f"{as_}_schema": df.schema.json()}
 
     def _read(self, layer: dict, what: str = "rows") -> DataFrame:
         """Files of a layer; their schema is known, so no file is opened for it."""
         return self.spark.read.schema(StructType.fromJson(json.loads(layer[f"{what}_schema"]))).parquet(f"{self.root}/data/{layer[what]}")
 
+    def _touched(self, layer: dict) -> DataFrame:
+        """The keys that a layer has touched, for a join with bodies: broadcast while they are few, so bodies stay where they are."""
+        keys = self._read(layer, "keys")
+        return F.broadcast(keys) if layer.get("keys_count", BROADCAST_KEYS + 1) <= BROADCAST_KEYS else keys
+
     def _notes(self, notes: DataFrame, folder: str, html: str | None, base: int) -> dict:
-        """A layer of notes, numbered from base on, and its postings."""
-        own = index_rows(notes, html)
-        size = notes.select(F.sum(F.octet_length("body"))).first()[0] or 0 if "body" in notes.columns else 0
-        parts = max(self.spark.sparkContext.defaultParallelism, -(-int(size) // FILE_BYTES))
-        spread = own.repartition(parts, "guid").withColumn("n", F.monotonically_increasing_id() + F.lit(base))
+        """A layer of notes, numbered from base on, and its postings.
+
+        The tasks that have made the notes write them: bodies are shuffled only in a table so small that some cores had none.
+        """
+        own, cores = index_rows(notes, html), self.spark.sparkContext.defaultParallelism
+        size = notes.select(F.sum(F.octet_length(html or "body"))).first()[0] or 0
+        if size <= cores * FILE_BYTES:
+            own = own.repartition(cores, "guid")
         d = sum((F.greatest(F.length(c) - 2, F.lit(0)) for c in FIELDS), F.lit(0)).cast("long")
-        layer = self._write(spread.withColumn("d", d), folder, "note")
+        layer = self._write(own.withColumn("n", F.monotonically_increasing_id() + F.lit(base)).withColumn("d", d), folder, "note")
         with shuffles_removed(self.spark):
             grams.write(grams.postings(self._read(layer).select("n", *FIELDS), FIELDS), f"{self.root}/data/{folder}/grams", max(1, -(-int(size) // (grams.BUCKETS * grams.TASK_BYTES))))
         return {**layer, "grams": f"{folder}/grams"}
@@ -126,7 +136,8 @@ class Index:
         now = self.version()
         state, folder = self.describe(now), self._data()
         touched = self._write(keys.select("guid").where(F.col("guid").isNotNull()).distinct(), folder, "keys", "keys")
-        fresh = notes.join(self._read(touched, "keys"), "guid", "left_semi")
+        touched["keys_count"] = self._read(touched, "keys").count()
+        fresh = notes.join(self._touched(touched), "guid", "left_semi")
         layers = state["tables"]["note"]
         base = max((self._read(x).agg(F.max("n")).first()[0] or 0 for x in layers), default=0) + 1
         layers = [*layers, {**self._notes(fresh, folder, html, base), **touched}]

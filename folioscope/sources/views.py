@@ -14,15 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """guid, location, title, body, package_size, data_modified, doc_id; nulls become empty strings, as in any scan of the library."""
+def notes(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFrame:
+    """guid, location, title, body, package_size, data_modified, doc_id; nulls become empty strings, as in any scan of the library.
+
+    nulls: bodies stay null where the texts are.
+    """
     d = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
     return d.select(
         F.col("doc_id").cast("string").alias("guid"),
         F.concat(F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/"), F.coalesce("source", F.lit("")), F.lit("/")).alias("location"),
         F.substring(F.split_part(text, F.lit("\n"), F.lit(1)), 1, 120).alias("title"),
-        text.alias("body"),
+        (F.col("text") if nulls else text).alias("body"),
         F.octet_length(text).cast("long").alias("package_size"),
         F.date_format(F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, int(doc_id), 0)"), "yyyy-MM-dd HH:mm:ss").alias("data_modified"),
         "doc_id",

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators import grams, search
+from folioscope.plans import lifecycle
 from folioscope.sources import index as module
 from folioscope.sources.index import Conflict, Index
 from folioscope.sources.store import listed, read_text, write_new
@@ -121,3 +122,43 @@ def test_postings_are_packed(spark):
     rows = spark.range(500).select(F.col("id").alias("n"), F.lit("abc").alias("t")).coalesce(1)
     made = grams.postings(rows, ("t",)).collect()
     assert [r["n"] for r in made] == [500] and len(made[0]["notes"]) < 600
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bodies_stay_where_they_are(spark, own, monkeypatch):
+    """Notes of a table that isn't small are written by the tasks that made them, and meet the keys of a merge by a broadcast."""
+    many = spark.range(400).select(F.col("id").cast("string").alias("guid"), F.lit("t").alias("title"), F.concat(F.lit("word "), F.repeat(F.sha2(F.col("id").cast("string"), 512), 2)).alias("body"), F.lit("/a/").alias("location"))
+    written, plain = [], own._write
+    monkeypatch.setattr(own, "_write", lambda df, folder, name, *how: (written.append((name, plan_of(df))), plain(df, folder, name, *how))[1])
+    monkeypatch.setattr(module, "FILE_BYTES", 1 << 10)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        own.build(many)
+        own.merge(many.where("guid % 3 = 0").select("guid"), many.where("guid % 2 = 0").withColumn("title", F.lit("new")))
+        assert own.sweep(keep=1) == 0
+        rows = own.table("note")
+        assert [name for name, plan in written if name == "note" and "Exchange hashpartitioning" in plan] == []
+        assert "Exchange hashpartitioning" not in plan_of(rows)
+        assert by_guid(rows) == {str(i): "new" if i % 3 == 0 else "t" for i in range(400) if i % 3 or i % 2 == 0}
+        assert search.search_index(own, "word").count() == 200
+        monkeypatch.setattr(module, "BROADCAST_KEYS", 1)
+        assert "Exchange hashpartitioning" in plan_of(own.table("note")) and own.table("note").count() == len(by_guid(rows))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_texts_at_hand_are_not_joined(spark, tmp_path):
+    """Notes get their bodies from their own rows; where ids are repeated each note meets each of their texts, as a join has it."""
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "one\ntwo", "en", "a", 7), (2, None, None, "b", None), (3, "", "de", None, 0), (None, "lost", "en", "a", 4)]
+    spark.createDataFrame(rows, shape).write.parquet(f"{tmp_path}/key/documents.parquet")
+    own = lifecycle._with_bodies(spark, f"{tmp_path}/key")
+    assert "Exchange" not in plan_of(own)
+    assert sorted((r["guid"], r["title"], r["body"]) for r in own.select("guid", "title", "body").collect()) == [("1", "one", "one\ntwo"), ("2", "", None), ("3", "", "")]
+    spark.createDataFrame([*rows, (1, "other", "en", "a", 5)], shape).write.parquet(f"{tmp_path}/twice/documents.parquet")
+    own = lifecycle._with_bodies(spark, f"{tmp_path}/twice").where("doc_id = 1")
+    assert sorted((r["title"], r["body"]) for r in own.collect()) == [("one", "one\ntwo"), ("one", "other"), ("other", "one\ntwo"), ("other", "other")]
